@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, pseudonyms, quality, secrets, url_templates
+from . import contamination, media, packing, pseudonyms, quality, secrets, site_style, url_templates
 from .common import table
 
 
+def op1_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(media.read(spark, media.store(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
@@ -29,11 +37,15 @@ def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contamination.matches(docs, contamination.automaton(table(spark, sf_dir, "benchmark")), only=("n_words", "n_hit", "n_items", "items_sha256", "contaminated"))
     return found.drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op3_url_templates, op5_quality, op6_secrets, op7_pseudonyms, op10_contamination)}
+QUERIES = {f.__name__: f for f in (op1_site_style, op2_media, op3_url_templates, op5_quality, op6_secrets, op7_pseudonyms, op8_packing, op10_contamination)}
 ORACLE_SQL: dict[str, str] = {}
