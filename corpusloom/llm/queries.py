@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, media, packing, pseudonyms, quality, secrets, site_style, url_templates
+from . import contamination, jaccard, media, packing, pseudonyms, quality, secrets, site_style, url_templates
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
@@ -47,5 +51,5 @@ def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_site_style, op2_media, op3_url_templates, op5_quality, op6_secrets, op7_pseudonyms, op8_packing, op10_contamination)}
+QUERIES = {f.__name__: f for f in (op1_site_style, op2_media, op3_url_templates, op4_jaccard, op5_quality, op6_secrets, op7_pseudonyms, op8_packing, op10_contamination)}
 ORACLE_SQL: dict[str, str] = {}
