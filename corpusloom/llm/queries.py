@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, jaccard, media, packing, pseudonyms, quality, secrets, site_style, url_templates
+from . import contamination, jaccard, language_model, media, packing, pseudonyms, quality, secrets, site_style, url_templates
 from .common import table
 
 
@@ -45,11 +45,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = language_model.held_out(F.col("doc_id"))
+    scored = language_model.score(docs, language_model.train(docs.where(~out)))
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contamination.matches(docs, contamination.automaton(table(spark, sf_dir, "benchmark")), only=("n_words", "n_hit", "n_items", "items_sha256", "contaminated"))
     return found.drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_site_style, op2_media, op3_url_templates, op4_jaccard, op5_quality, op6_secrets, op7_pseudonyms, op8_packing, op10_contamination)}
+QUERIES = {f.__name__: f for f in (op1_site_style, op2_media, op3_url_templates, op4_jaccard, op5_quality, op6_secrets, op7_pseudonyms, op8_packing, op9_language_model, op10_contamination)}
 ORACLE_SQL: dict[str, str] = {}
