@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -174,3 +175,32 @@ def matches(docs: DataFrame, items: Automaton, text: str = "text", coverage: int
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(out[f.name], kinds[f.name]) for f in made)], names=[*names, *out])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *made]))
+
+
+def cut_spans(docs: DataFrame, items: Automaton, text: str = "text", least: int = 13, coverage: float = 0.05) -> DataFrame:
+    """Rewrite `text` without its hit runs of at least `least` words, or all of its hit runs where they cover at least
+    `coverage` of its words; a run goes from its first word's beginning to its last word's end. Other texts stay as they are."""
+    names, at = docs.columns, docs.columns.index(text)
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(items))
+
+    def run(batches):
+        auto = pickle.loads(shared.value)
+        number = auto.vocabulary.get
+        for b in batches:
+            out = []
+            for t in b.column(at).to_pylist():
+                raw = (t or "").encode()
+                ms = list(re.finditer(rb"[^ ]+", raw.translate(_NORMAL)))
+                hit, _ = auto.scan(np.array([number(m.group(), -1) for m in ms], np.int64))
+                if hit.any():
+                    runs = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).reshape(-1, 2)
+                    every = hit.sum() >= coverage * len(ms)
+                    for lo, hi in reversed([r for r in runs.tolist() if every or r[1] - r[0] >= least]):
+                        raw = raw[: ms[lo].start()] + raw[ms[hi - 1].end() :]
+                    t = raw.decode()
+                out.append(t)
+            cols = list(b.columns)
+            cols[at] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return docs.mapInArrow(run, docs.schema)
