@@ -2,14 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
 
-def oracle_sql() -> dict:
-    return {}
 
+def query(sql: str | None = None, digits: int | None = 6):
+    """Register a function of tables (t("documents") reads one) under its name; doubles are rounded, as the SQL does."""
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    def wrap(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            if digits is None:
+                return out
+            return out.select(*[F.round(F.col(f"`{n}`"), digits).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in out.dtypes])
+
+        run.__name__ = f.__name__
+        QUERIES[f.__name__] = run
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return wrap
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import code_queries, dedup_queries, filter_queries, quality_queries, star_queries, structure_queries  # noqa: F401
+
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    queries()
+    return dict(SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact de-duplication of the documents, with the word statistics of those that stay."""
+    from ..operators import dedup, quality
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return quality.word_statistics(dedup.exact_dedup(docs)).drop("text")
