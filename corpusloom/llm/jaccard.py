@@ -13,6 +13,8 @@ others of the group get it, so no link between components is lost and near copie
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +23,9 @@ from pyspark.sql import functions as F
 from .common import U, mix, stored, text_buffer, word_hashes
 from .components import components
 
-#: Bytes kept of each n-gram hash when sets travel to be verified.
-KEPT = 6
+#: Bytes kept of each n-gram hash when sets travel to be verified. Short hashes can only add matches, so no link is lost;
+#: links that MARGIN matches fewer would undo are verified again with all 8 bytes.
+KEPT, MARGIN = 4, 3
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:
@@ -233,7 +236,7 @@ class Trie:
         node.ends.append((name, len(s)))
 
     def linked(self, probe: np.ndarray, percent: int):
-        """Names of the sets whose Jaccard similarity with the probe is at least percent / 100."""
+        """(name, whether MARGIN matches fewer would still do) of the sets whose Jaccard similarity is at least percent / 100."""
         known = np.sort(probe)
         n, stack = len(probe), [(self, 0, 0)]
         while stack:
@@ -247,13 +250,13 @@ class Trie:
             if (100 + percent) * (overlap + best - depth) < percent * (n + best):
                 continue
             for name, size in node.ends:
-                if 100 * overlap >= percent * (n + size - overlap):
-                    yield name
+                if (100 + percent) * overlap >= percent * (n + size):
+                    yield name, (100 + percent) * (overlap - MARGIN) >= percent * (n + size)
             stack.extend((c, depth, overlap) for c in node.children.values())
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, shared, n: int, id_column: str, text: str, bits: int = 1 << 26) -> DataFrame:
-    """id and grams (KEPT bytes of each hash, in the global order) of the wanted ids' texts.
+def sets_of(docs: DataFrame, wanted: DataFrame, shared, n: int, id_column: str, text: str, kept: int = KEPT, bits: int = 1 << 26) -> DataFrame:
+    """id and grams (`kept` bytes of each hash, in the global order) of the wanted ids' texts.
 
     A Bloom filter of fixed size passes over the texts first, so that only wanted ones (and a few more) are hashed and moved."""
     spark = docs.sparkSession
@@ -282,21 +285,22 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shared, n: int, id_column: str,
             for at in places(ids):
                 hit &= (bloom[at >> 3] >> (at & 7)) & 1 == 1
             own = b.filter(pa.array(hit))
-            out = [ordered(s, order).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes() for s in _sets(own.column(1), n)]
+            out = [ordered(s, order).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :kept].tobytes() for s in _sets(own.column(1), n)]
             yield pa.RecordBatch.from_arrays([own.column(0), pa.array(out, pa.binary())], names=["id", "grams"])
 
     source = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string")).where("id is not null")
     return source.mapInArrow(run, "id long, grams binary").join(wanted.select("id").distinct(), "id", "left_semi")
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // KEPT, 8), np.uint8)
-    wide[:, 8 - KEPT :] = np.frombuffer(raw, np.uint8).reshape(-1, KEPT)
+def _unpack(raw: bytes, kept: int) -> np.ndarray:
+    wide = np.zeros((len(raw) // kept, 8), np.uint8)
+    wide[:, 8 - kept :] = np.frombuffer(raw, np.uint8).reshape(-1, kept)
     return wide.view(">u8").astype(np.int64).ravel()
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int, most_bytes: int = 32 << 20) -> DataFrame:
-    """The pairs (small, large) whose sets link. Partners travel to the larger document in blocks of about most_bytes."""
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, kept: int = KEPT, most_bytes: int = 32 << 20) -> DataFrame:
+    """The pairs (small, large) whose sets link, and whether they are `safe`. Partners travel to the larger document and are
+    held in blocks of about most_bytes."""
     partner = pairs.join(sets.select(F.col("id").alias("small"), "grams"), "small")
     whole = partner.select(F.col("large").alias("probe"), "small", "grams").union(
         sets.join(pairs.select(F.col("large").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("probe"), F.lit(None).cast("long").alias("small"), "grams")
@@ -308,8 +312,8 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, most_bytes: int = 32
         trie, held = Trie(np.zeros(0, np.int64)), 0
 
         def found():
-            got = list(trie.linked(own, percent)) if own is not None and held else []
-            return pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), pa.array([probe] * len(got), pa.int64())], names=["small", "large"])
+            got = list(trie.linked(own, percent)) if own is not None else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([probe] * len(got), pa.int64()), pa.array([y for _, y in got], pa.bool_())], names=["small", "large", "safe"])
 
         for b in batches:
             for p, s, g in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -318,14 +322,32 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, most_bytes: int = 32
                         yield found()
                     trie, held = Trie(np.zeros(0, np.int64)), 0
                 if s is None:
-                    probe, own = p, _unpack(g)
+                    probe, own = p, _unpack(g, kept)
                 else:
-                    trie.add(_unpack(g), s)
+                    trie.add(_unpack(g, kept), s)
                     held += len(g)
         if held:
             yield found()
 
-    return parts.mapInArrow(run, "small long, large long")
+    return parts.mapInArrow(run, "small long, large long, safe boolean")
+
+
+def _links(docs: DataFrame, pairs: DataFrame, sets: DataFrame, shared, n: int, percent: int, id_column: str, text: str) -> DataFrame:
+    """The pairs that link, stored: first by short hashes, then the close ones by whole hashes."""
+    found = stored(verify(pairs, sets, percent), "found")
+    close = found.where(~F.col("safe")).select("small", "large")
+    sure = found.where("safe").select("small", "large")
+    if close.isEmpty():
+        return sure
+    ids = stored(close.select(F.explode(F.array("small", "large")).alias("id")).distinct(), "close")
+    whole = sets_of(docs, ids, shared, n, id_column, text, 8)
+    return stored(sure.union(verify(close, whole, percent, 8).select("small", "large")), "links")
+
+
+def _release(spark) -> None:
+    """Let Spark drop the shuffle files of finished steps; else they stay until the driver happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85, common: int = 24, block: int = 24, limit: int = 50_000, most_common: int = 1 << 20) -> DataFrame:
@@ -346,6 +368,7 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n: int
     prefixes = prefixes.join(copies.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     groups = prefixes.select("id", "size", F.posexplode("prefix").alias("place", "gram"))
     met = stored(_shared(groups), "postings")
+    _release(spark)
     sizes = met.groupBy("gram").agg(F.count("*").alias("n"))
     large = stored(sizes.where(F.col("n") > block), "large-groups")
     met = _dealt(met, large.where(F.col("n") > limit), limit)
@@ -355,8 +378,12 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n: int
     first = met.select("gram", "part", "id", "size", "place").union(heads)
     pairs = stored(candidate_pairs(first, percent, block), "pairs")
     wanted = stored(pairs.select(F.explode(F.array("small", "large")).alias("id")).union(met.join(large, "gram", "left_semi").select("id")).distinct(), "wanted")
+    _release(spark)
     sets = stored(sets_of(docs, wanted, order, n, id_column, text), "sets")
-    links = stored(verify(pairs, sets, percent), "links")
+    del prefixes, groups, first
+    _release(spark)
+    links = _links(docs, pairs, sets, order, n, percent, id_column, text)
+    _release(spark)
 
     # Second round: within large groups all pairs that no path of links joins yet. In a split group the rows outside its
     # commonest component go to all parts, so they meet every row; the others needn't meet each other.
@@ -371,7 +398,7 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n: int
     second = candidate_pairs(many.select(columns).union(odd.select(columns)).distinct(), percent, block)
     second = stored(second.join(pairs, ["small", "large"], "left_anti"), "second-pairs")
     if not second.isEmpty():
-        links = stored(links.union(verify(second, sets, percent)), "links")
+        links = links.union(_links(docs, second, sets, order, n, percent, id_column, text))
         so_far = components(links, "small", "large")
     degree = links.select(F.explode(F.array("small", "large")).alias("id")).groupBy("id").agg(F.count("*").alias("n_verified"))
     named = own.join(copies, ["sig_a", "sig_b"], "left").join(so_far.withColumnRenamed("id", "rep"), "rep", "left").join(degree.withColumnRenamed("id", "rep"), "rep", "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import contamination, jaccard, language_model, media, packing, pseudonyms, quality, secrets, site_style, url_templates
 from .common import table
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def op1_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,11 +19,12 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_templates.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+    out = url_templates.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+    return out.withColumn("purity", F.round("purity", 6))
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("n_verified")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +61,3 @@ def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_site_style, op2_media, op3_url_templates, op4_jaccard, op5_quality, op6_secrets, op7_pseudonyms, op8_packing, op9_language_model, op10_contamination)}
-ORACLE_SQL: dict[str, str] = {}

@@ -57,7 +57,7 @@ def judge(pages: DataFrame, url: str = "url", label: str | None = None, rules=RU
     base = pages.withColumn("__host", host).withColumn("__path", path).withColumn("__rule", rule).withColumn("__said", said)
     by_rule = F.when(F.col("__said") == "allow", F.lit(1)).when(F.col("__said") == "block", F.lit(0))
     good = F.coalesce(F.col(label).cast("int"), by_rule) if label else by_rule
-    base = base.withColumn("__good", good).withColumn("__top", F.coalesce(F.element_at(segments(F.col("__path")), 1), F.lit(""))).withColumn("__tail", F.array_join(F.slice(segments(F.col("__path")), 2, 10_000), "/"))
+    base = base.withColumn("__good", good).withColumn("__top", F.coalesce(F.get(segments(F.col("__path")), F.lit(0)), F.lit(""))).withColumn("__tail", F.array_join(F.slice(segments(F.col("__path")), 2, 10_000), "/"))
 
     counted = [F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum("good").alias("good")]
     leaf = base.groupBy(F.col("__host").alias("h"), F.col("__top").alias("s"), F.col("__tail").alias("t")).agg(F.count("*").alias("n"), F.count("__good").alias("k"), F.coalesce(F.sum("__good"), F.lit(0)).alias("good"))
