@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col
+from ..sources.shared import stored
 
 
 def filter_rows(df: DataFrame, criteria: Sequence[str], how: str = "AND", drop: Sequence[str] = ()) -> DataFrame:
@@ -108,11 +109,11 @@ def noop(df: DataFrame) -> DataFrame:
 
 def _numbered(df: DataFrame, order_by: Sequence[str], into: str, start: int = 0) -> DataFrame:
     """Contiguous numbers over an order without sending all rows to one task: rows are range-partitioned and sorted, and the
-    partitions' counts give each its first number. The partitioning is materialised, so that both passes see the same rows."""
+    partitions' counts give each its first number. The numbered rows are written once, so that both passes see the same ones."""
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = df.repartitionByRange(parts, *order_by).sortWithinPartitions(*order_by).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    placed = placed.persist()
+    placed = stored(placed, "numbered")
     counts = placed.groupBy("__part").count()
     before = F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # one row per partition
     first = counts.select(F.col("__part"), F.coalesce(before, F.lit(0)).alias("__first"))
