@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Kinds in the order in which they are tried at a place; each pattern fits one kind's whole match.
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
-PHONE = r"(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\)[ ]?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}"
+PHONE = r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
 SSN = r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IPV4 = rf"{OCTET}(?:\.{OCTET}){{3}}"
@@ -96,12 +96,17 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    low, radix = _longs(2, 0, 0, 2, 0, 0, 0, 0, 0, 0), _longs(8, 10, 10, 8, 10, 10, 10, 10, 10, 10)
+    """Area and exchange codes that begin with 2 to 9, as assigned ones do, keep that; others keep to 0 and 1."""
 
     def moved(d: Column) -> Column:
         extra = F.size(d) - 10  # a leading country code 1
-        ten = F.zip_with(F.slice(d, extra + 1, F.lit(10)), low, lambda a, b: a - b)
-        return _spell(F.concat(F.slice(d, F.lit(1), extra), F.zip_with(feistel(ten, radix, key, F.lit("phone")), low, lambda a, b: a + b)), m)
+        return let(F.slice(d, extra + 1, F.lit(10)), lambda ten: _spell(F.concat(F.slice(d, F.lit(1), extra), spun(ten)), m))
+
+    def spun(ten: Column) -> Column:
+        first = lambda i: (i == 0) | (i == 3)
+        low = F.transform(ten, lambda x, i: F.when(first(i) & (x >= 2), 2).otherwise(0).cast("long"))
+        radix = F.transform(ten, lambda x, i: F.when(~first(i), 10).when(x >= 2, 8).otherwise(2).cast("long"))
+        return F.zip_with(feistel(F.zip_with(ten, low, lambda a, b: a - b), radix, key, F.lit("phone")), low, lambda a, b: a + b)
 
     return let(_digits(m), moved)
 

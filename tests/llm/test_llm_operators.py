@@ -196,7 +196,7 @@ def copies():
     return rows + [(i, t) for i, t in EDGE[:5]]
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 3, "common": 2}, {"block": 3, "common": 2, "limit": 10}, {"block": 2, "common": 10**6, "most_common": 1}])
+@pytest.mark.parametrize("options", [{}, {"block": 3, "common": 2}, {"block": 3, "common": 2, "limit": 10}, {"block": 2, "common": 10**6, "most_common": 1, "cluster": 5}])
 def test_join_equals_brute_force(spark, copies, options):
     docs = spark.createDataFrame(copies, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(docs, **options).collect()}
@@ -295,12 +295,12 @@ def luhn(s):
 
 
 def test_pseudonyms_keep_formats_and_links(spark, data):
-    text = "card 4539 1488 0343 6467, 4539148803436467 or 4539148803436468; +1 (988) 555-2485, 212-555-0199, 10.0.0.1, v1.2.3.4.5, 2024-02-29, 2023-02-30, 123-45-6789, John.Doe7@mail.example.com"
+    text = "card 4539 1488 0343 6467, 4539148803436467 or 4539148803436468; +1 (988) 555-2485, +1 (152) 555-8590, 212-555-0199, 10.0.0.1, v1.2.3.4.5, 2024-02-29, 2023-02-30, 123-45-6789, John.Doe7@mail.example.com"
     df = spark.createDataFrame([(1, text, 5), (2, text, 5), (3, None, 5), (4, "", 5), (5, "Apache License, Version 2.0.", 5)], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: r for r in pseudonyms.pseudonymise(df, n_chars="n_chars").collect()}
     new = got[1]["text"]
     assert new == got[2]["text"] and got[3]["text"] is None and got[4]["text"] == "" and got[5]["text"] == "Apache License, Version 2.0." and got[1]["n_chars"] == len(new)
-    for old in ("4539 1488 0343 6467", "4539148803436467", "988) 555-2485", "212-555-0199", "10.0.0.1", "2024-02-29", "123-45-6789", "John.Doe7"):
+    for old in ("4539 1488 0343 6467", "4539148803436467", "988) 555-2485", "152) 555-8590", "212-555-0199", "10.0.0.1", "2024-02-29", "123-45-6789", "John.Doe7"):
         assert old not in new
     for kept in ("4539148803436468", "v1.2.3.4.5", "2023-02-30", "@mail.example.com"):
         assert kept in new
