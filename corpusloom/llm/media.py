@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import io
 import struct
+import sys
 import time
 import uuid
 import zipfile
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -207,7 +209,12 @@ class ArchiveReader(DataSourceReader):
 
 def read(spark: SparkSession, folder: str, range_bytes: int = 16 << 20, retries: int = 3) -> DataFrame:
     """The stored members: id, n_bytes, media, archive, member_offset."""
-    spark.dataSource.register(ArchiveMembers)
+    # The source's classes go to the workers by value: those that plan it get no path from the session.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    try:
+        spark.dataSource.register(ArchiveMembers)
+    finally:
+        cloudpickle.unregister_pickle_by_value(sys.modules[__name__])
     return spark.read.format("archive_members").option("range_bytes", range_bytes).option("retries", retries).load(folder)
 
 
