@@ -2,14 +2,16 @@
 
 Documents become sets of hashed word n-grams. All sets are sorted by one global order: n-grams that no more than `common`
 prefixes hold first, by hash, then the common ones. Two sets that link share an n-gram among the first
-n - ceil(threshold * n) + 1 of each, so only documents that meet at such an n-gram are candidates. Candidates are
-verified at the larger document: its partners' sets are stored in a trie in the global order and walked with that
-document, sharing what partners have in common; a subtree is left when even a full match of what remains can't reach
-the wanted overlap.
+n - ceil(threshold * n) + 1 of each, so only documents that meet at such an n-gram are candidates of each other.
 
-Equal sets are one class from the start (its least id stands for it). Of a large group only a star and a chain of pairs
-are verified first; after that, pairs whose documents are already linked by some path need no verification, and all
-others of the group get it, so no link between components is lost and near copies cost about one pair each."""
+Candidates form clusters: within an n-gram's documents, ordered by size, each is joined to the next one if their sizes allow a
+link (which joins any two whose sizes do), one edge a document. Every link lies within a cluster, and a cluster's sets travel to it
+once. There they are stored in a trie in the global order, which is walked with one vector of overlaps with all the
+cluster's sets: sets that begin alike share the overlaps of what they share, and a subtree is left when no other set can reach
+the wanted overlap with what remains. Only links that join something leave the task, one fewer than documents at most.
+Clusters of over `block` documents are dealt to blocks, and each two blocks are walked as one cluster.
+
+Equal sets are one class from the start (its least id stands for it). No pair of candidates is ever a row."""
 
 from __future__ import annotations
 
@@ -17,7 +19,7 @@ import gc
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U, mix, stored, text_buffer, word_hashes
@@ -117,91 +119,6 @@ def postings(docs: DataFrame, shared, n: int, percent: int, id_column: str, text
     return docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string")).mapInArrow(run, "id long, size int, prefix array<long>")
 
 
-def _bounded(ids, size, place, i, j, percent: int):
-    """Those of the pairs of rows (i, j), i the larger document, that can still reach the wanted overlap."""
-    small, large = size[j].astype(np.int64), size[i].astype(np.int64)
-    need = -(-percent * (small + large) // (100 + percent))
-    reach = 1 + np.minimum(small - place[j] - 1, large - place[i] - 1) + np.minimum(place[j], place[i])
-    ok = (100 * small >= percent * large) & (reach >= need) & (ids[i] != ids[j])
-    return ids[j[ok]], ids[i[ok]]
-
-
-def _pairs_of(ids, size, place, label, percent: int, block: int):
-    """Candidate pairs of one group, whose rows are ordered by (size, id), in parts.
-
-    Without labels (first round) small groups give all pairs that the bounds allow and large ones a star and a chain; with
-    labels all pairs whose labels differ."""
-    m = len(ids)
-    if label is None and m > block:
-        i = np.concatenate([np.arange(1, m), np.arange(2, m)])
-        yield _bounded(ids, size, place, i, np.concatenate([np.arange(m - 1), np.zeros(m - 2, np.int64)]), percent)
-        return
-    if label is not None and (label == label[0]).all():
-        return
-    is_, js, n = [], [], 0
-    for k in range(1, m):
-        lo = int(np.searchsorted(size[:k], -(-percent * int(size[k]) // 100)))
-        j = np.arange(lo, k) if label is None else lo + np.flatnonzero(label[lo:k] != label[k])
-        if len(j):
-            is_.append(np.full(len(j), k))
-            js.append(j)
-            n += len(j)
-        if n > 200_000 or k == m - 1 and n:
-            yield _bounded(ids, size, place, np.concatenate(is_), np.concatenate(js), percent)
-            is_, js, n = [], [], 0
-
-
-def candidate_pairs(groups: DataFrame, percent: int, block: int) -> DataFrame:
-    """Distinct pairs (small, large) from rows gram, part, id, size, place and, in the second round, label."""
-    labelled = "label" in groups.columns
-    parts = groups.repartition("gram", "part").sortWithinPartitions("gram", "part", "size", "id")
-    parts = parts.select("gram", "part", "id", "size", "place", *(["label"] if labelled else []))
-
-    def emit(cols):
-        edges = np.concatenate([[0], np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1, [len(cols[0])]])
-        a, b, n = [], [], 0
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            if hi - lo < 2:
-                continue
-            for x, y in _pairs_of(*(c[lo:hi] for c in cols[2:5]), cols[5][lo:hi] if labelled else None, percent, block):
-                a.append(x)
-                b.append(y)
-                n += len(x)
-                if n > 200_000:
-                    yield a, b
-                    a, b, n = [], [], 0
-        yield a, b
-
-    def run(batches):
-        kept = None
-        for b in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            if kept is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(kept, cols, strict=True)]
-            if len(cols[0]):
-                edge = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))
-                cut = int(edge[-1]) + 1 if len(edge) else 0
-                kept = [c[cut:] for c in cols]
-                yield from packed(emit([c[:cut] for c in cols])) if cut else ()
-        if kept is not None:
-            yield from packed(emit(kept))
-
-    def packed(found):
-        for a, b in found:
-            if a:
-                u = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1])], names=["small", "large"])
-
-    return parts.mapInArrow(run, "small long, large long").distinct()
-
-
-def _dealt(met: DataFrame, heavy: DataFrame, limit: int) -> DataFrame:
-    """Add `part` 0, or for grams of over `limit` documents a part by the document's hash, and the number of `parts`."""
-    heavy = heavy.select(F.col("gram").alias("g"), F.ceil(F.col("n") / limit).cast("int").alias("k"))
-    parts = F.coalesce(F.col("k"), F.lit(1))
-    return met.join(heavy, F.col("gram") == F.col("g"), "left").withColumn("parts", parts).withColumn("part", F.pmod(F.hash("id"), parts)).drop("g", "k")
-
-
 class Trie:
     """Sets in the global order; a node holds a run of n-grams, its children by their first one, and the sets that end there."""
 
@@ -235,23 +152,49 @@ class Trie:
             node, at = child, at + k
         node.ends.append((name, len(s)))
 
-    def linked(self, probe: np.ndarray, percent: int):
-        """(name, whether MARGIN matches fewer would still do) of the sets whose Jaccard similarity is at least percent / 100."""
-        known = np.sort(probe)
-        n, stack = len(probe), [(self, 0, 0)]
-        while stack:
-            node, depth, overlap = stack.pop()
-            if len(node.run):
-                at = np.searchsorted(known, node.run)
-                overlap += int(np.count_nonzero(known[np.minimum(at, n - 1)] == node.run))
-                depth += len(node.run)
-            # Of the sets below, one of this size could do best: all its remaining n-grams match.
-            best = min(node.longest, depth + n - overlap)
-            if (100 + percent) * (overlap + best - depth) < percent * (n + best):
-                continue
-            for name, size in node.ends:
-                if (100 + percent) * overlap >= percent * (n + size):
-                    yield name, (100 + percent) * (overlap - MARGIN) >= percent * (n + size)
+
+def trie_of(sets: list[np.ndarray]) -> Trie:
+    trie = Trie(np.zeros(0, np.int64))
+    for i, s in enumerate(sets):
+        trie.add(s, i)
+    return trie
+
+
+def links_of(sets: list[np.ndarray], percent: int, stretch: int = 96):
+    """For each non-empty set (place, places of the sets it links with, whether MARGIN matches fewer would still do)."""
+    size = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate([*sets, np.zeros(0, np.int64)])
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+
+    def with_run(overlap: np.ndarray, run: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(flat, run, side="left"), np.searchsorted(flat, run, side="right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return overlap + np.bincount(owner[at], minlength=len(sets))
+
+    def alive(overlap: np.ndarray, depth: int, longest: int) -> int:
+        """How many sets could link with one of at most `longest` below, itself included."""
+        best = np.minimum(longest, depth + size - overlap)  # its size, were all that remains to match
+        return int(np.count_nonzero((100 + percent) * (overlap + best - depth) >= percent * (size + best)))
+
+    stack = [(trie_of(sets), 0, np.zeros(len(sets), np.int64))]
+    while stack:
+        node, depth, overlap = stack.pop()
+        for at in range(0, len(node.run), stretch):
+            part = node.run[at : at + stretch]
+            overlap, depth = with_run(overlap, part), depth + len(part)
+            if alive(overlap, depth, node.longest) < 2:
+                break
+        else:
+            if node.ends:
+                n = node.ends[0][1]
+                near = np.flatnonzero((100 + percent) * overlap >= percent * (n + size)) if n else np.zeros(0, np.int64)
+                for i, _ in node.ends:
+                    own = near[near != i]
+                    if len(own):
+                        yield i, own, (100 + percent) * (overlap[own] - MARGIN) >= percent * (n + size[own])
             stack.extend((c, depth, overlap) for c in node.children.values())
 
 
@@ -298,50 +241,75 @@ def _unpack(raw: bytes, kept: int) -> np.ndarray:
     return wide.view(">u8").astype(np.int64).ravel()
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int, kept: int = KEPT, most_bytes: int = 32 << 20) -> DataFrame:
-    """The pairs (small, large) whose sets link, and whether they are `safe`. Partners travel to the larger document and are
-    held in blocks of about most_bytes."""
-    partner = pairs.join(sets.select(F.col("id").alias("small"), "grams"), "small")
-    whole = partner.select(F.col("large").alias("probe"), "small", "grams").union(
-        sets.join(pairs.select(F.col("large").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("probe"), F.lit(None).cast("long").alias("small"), "grams")
-    )
-    parts = whole.repartition("probe").sortWithinPartitions("probe", F.col("small").asc_nulls_first())
+def walk(sets: DataFrame, percent: int, kept: int) -> DataFrame:
+    """small, large, safe from rows cluster, one, two, id, grams: links that join what no link before joined, and of those that
+    aren't safe all that join what the safe ones leave apart. A task holds the sets of one cluster or of two of its blocks."""
+    parts = sets.repartition("cluster", "one", "two").sortWithinPartitions("cluster", "one", "two", "id")
+    parts = parts.select("cluster", "one", "two", "id", "grams")
 
     def run(batches):
-        probe = own = None
-        trie, held = Trie(np.zeros(0, np.int64)), 0
+        key, ids, raw = None, [], []
 
         def found():
-            got = list(trie.linked(own, percent)) if own is not None else []
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([probe] * len(got), pa.int64()), pa.array([y for _, y in got], pa.bool_())], names=["small", "large", "safe"])
+            out, label, unsure = [], np.arange(len(ids)), []
+            for i, near, safe in links_of([_unpack(g, kept) for g in raw], percent) if len(ids) > 1 else ():
+                sure = near[safe]
+                labels, first = np.unique(label[sure], return_index=True)
+                fresh = labels != label[i]
+                if fresh.any():
+                    out += [(ids[i], ids[j], True) for j in sure[first[fresh]].tolist()]
+                    label[np.isin(label, labels)] = label[i]
+                unsure += [(i, j) for j in near[~safe].tolist() if i < j]
+            out += [(ids[i], ids[j], False) for i, j in unsure if label[i] != label[j]]
+            rows = [(min(a, b), max(a, b), safe) for a, b, safe in out]
+            cols = list(zip(*rows, strict=True)) or [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["small", "large", "safe"])
 
         for b in batches:
-            for p, s, g in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if p != probe or held >= most_bytes:
-                    if held:
+            for c, one, two, i, g in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if (c, one, two) != key:
+                    if len(ids) > 1:
                         yield found()
-                    trie, held = Trie(np.zeros(0, np.int64)), 0
-                if s is None:
-                    probe, own = p, _unpack(g, kept)
-                else:
-                    trie.add(_unpack(g, kept), s)
-                    held += len(g)
-        if held:
-            yield found()
+                    key, ids, raw = (c, one, two), [], []
+                ids.append(i)
+                raw.append(g)
+        yield found()
 
     return parts.mapInArrow(run, "small long, large long, safe boolean")
 
 
-def _links(docs: DataFrame, pairs: DataFrame, sets: DataFrame, shared, n: int, percent: int, id_column: str, text: str) -> DataFrame:
-    """The pairs that link, stored: first by short hashes, then the close ones by whole hashes."""
-    found = stored(verify(pairs, sets, percent), "found")
-    close = found.where(~F.col("safe")).select("small", "large")
-    sure = found.where("safe").select("small", "large")
+def clusters(met: DataFrame, percent: int, limit: int) -> DataFrame:
+    """id, cluster from rows gram, id, size: see the module's text. All documents of an n-gram of over `limit` are joined to
+    the least of them, which needs no order."""
+    grams = met.groupBy("gram").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    heavy = stored(grams.where(F.col("n") > limit).select("gram", "least"), "heavy-grams")
+    order = Window.partitionBy("gram").orderBy("size", "id")
+    rows = met.join(heavy, "gram", "left_anti").select("id", "size", F.lag("id").over(order).alias("b"), F.lag("size").over(order).alias("before"))
+    edges = rows.where(100 * F.col("before") >= percent * F.col("size")).select(F.col("id").alias("a"), "b")
+    edges = edges.union(met.join(heavy, "gram").select(F.col("id").alias("a"), F.col("least").alias("b")))
+    return components(edges).select("id", F.col("component").alias("cluster"))
+
+
+def _walked(docs: DataFrame, named: DataFrame, shared, n: int, percent: int, id_column: str, text: str, kept: int, block: int) -> DataFrame:
+    """walk() over the clusters of `named` (id, cluster), each dealt to as many blocks as it needs."""
+    sizes = named.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = named.join(sizes, "cluster").withColumn("own", F.pmod(F.hash("id"), F.col("blocks")))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("one"), F.greatest("own", k).alias("two")))
+    # Two blocks hold what each of them holds, so a block meets itself only where it is the only one.
+    pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("one"), F.lit(0).alias("two")))).otherwise(F.filter(pairs, lambda p: p["one"] != p["two"]))
+    sets = sets_of(docs, named, shared, n, id_column, text, kept).join(dealt, "id").select("id", "cluster", "grams", F.explode(pairs).alias("p"))
+    return walk(sets.select("id", "cluster", "grams", "p.one", "p.two"), percent, kept)
+
+
+def _links(docs: DataFrame, named: DataFrame, shared, n: int, percent: int, id_column: str, text: str, block: int) -> DataFrame:
+    """Enough links to tell the components, stored: first by short hashes, then the close ones by whole hashes."""
+    options = (shared, n, percent, id_column, text)
+    found = stored(_walked(docs, named, *options, KEPT, block), "found")
+    sure, close = found.where("safe").select("small", "large"), found.where(~F.col("safe")).select("small", "large")
     if close.isEmpty():
         return sure
-    ids = stored(close.select(F.explode(F.array("small", "large")).alias("id")).distinct(), "close")
-    whole = sets_of(docs, ids, shared, n, id_column, text, 8)
-    return stored(sure.union(verify(close, whole, percent, 8).select("small", "large")), "links")
+    again = stored(components(close, "small", "large").select("id", F.col("component").alias("cluster")), "close")
+    return stored(sure.union(_walked(docs, again, *options, 8, block).select("small", "large")), "links")
 
 
 def _release(spark) -> None:
@@ -350,12 +318,10 @@ def _release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85, common: int = 24, block: int = 24, limit: int = 50_000, most_common: int = 1 << 20) -> DataFrame:
-    """One row per document: id_column, n_shingles, component_id, n_verified.
+def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85, common: int = 4, block: int = 2000, limit: int = 50_000, most_common: int = 1 << 20) -> DataFrame:
+    """One row per document: id_column, n_shingles, component_id.
 
-    component_id is the least id reachable by links (100 * intersection >= percent * union). n_verified counts the verified
-    links of the document's class to other classes: pairs of a large group that are already linked by a path aren't all
-    verified, so it is a lower bound there; no component depends on that. Texts without words have no n-grams and
+    component_id is the least id reachable by links (100 * intersection >= percent * union). Texts without words have no n-grams and
     link with nothing; null ids are dropped from links and keep themselves (null); rows that repeat an id count as copies of
     it; an empty table gives an empty result."""
     spark = docs.sparkSession
@@ -369,40 +335,15 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n: int
     groups = prefixes.select("id", "size", F.posexplode("prefix").alias("place", "gram"))
     met = stored(_shared(groups), "postings")
     _release(spark)
-    sizes = met.groupBy("gram").agg(F.count("*").alias("n"))
-    large = stored(sizes.where(F.col("n") > block), "large-groups")
-    met = _dealt(met, large.where(F.col("n") > limit), limit)
-
-    # First round: small groups whole, of large ones a star and a chain; parts of a split group meet through their first rows.
-    heads = met.where("parts > 1").groupBy("gram", "part").agg(F.min(F.struct("size", "id", "place")).alias("h")).select("gram", F.lit(-1).alias("part"), "h.id", "h.size", "h.place")
-    first = met.select("gram", "part", "id", "size", "place").union(heads)
-    pairs = stored(candidate_pairs(first, percent, block), "pairs")
-    wanted = stored(pairs.select(F.explode(F.array("small", "large")).alias("id")).union(met.join(large, "gram", "left_semi").select("id")).distinct(), "wanted")
+    del prefixes, groups
     _release(spark)
-    sets = stored(sets_of(docs, wanted, order, n, id_column, text), "sets")
-    del prefixes, groups, first
+    named = stored(clusters(met, percent, limit), "clusters")
     _release(spark)
-    links = _links(docs, pairs, sets, order, n, percent, id_column, text)
+    links = _links(docs, named, order, n, percent, id_column, text, block)
     _release(spark)
-
-    # Second round: within large groups all pairs that no path of links joins yet. In a split group the rows outside its
-    # commonest component go to all parts, so they meet every row; the others needn't meet each other.
-    many = met.join(large.select("gram"), "gram", "left_semi")
-    so_far = components(links, "small", "large")
-    many = many.join(so_far, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    many = stored(many, "large-postings")
-    split = many.where("parts > 1")
-    usual = split.groupBy("gram", "label").count().groupBy("gram").agg(F.max_by("label", F.struct("count", "label")).alias("usual"))
-    odd = split.join(usual, "gram").where("label <> usual").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    columns = ["gram", "part", "id", "size", "place", "label"]
-    second = candidate_pairs(many.select(columns).union(odd.select(columns)).distinct(), percent, block)
-    second = stored(second.join(pairs, ["small", "large"], "left_anti"), "second-pairs")
-    if not second.isEmpty():
-        links = links.union(_links(docs, second, sets, order, n, percent, id_column, text))
-        so_far = components(links, "small", "large")
-    degree = links.select(F.explode(F.array("small", "large")).alias("id")).groupBy("id").agg(F.count("*").alias("n_verified"))
-    named = own.join(copies, ["sig_a", "sig_b"], "left").join(so_far.withColumnRenamed("id", "rep"), "rep", "left").join(degree.withColumnRenamed("id", "rep"), "rep", "left")
-    return named.select(F.col("id").alias(id_column), "n_shingles", F.coalesce("component", "rep", "id").alias("component_id"), F.coalesce("n_verified", F.lit(0)).cast("long").alias("n_verified"))
+    so_far = components(links, "small", "large").withColumnRenamed("id", "rep")
+    whole = own.join(copies, ["sig_a", "sig_b"], "left").join(so_far, "rep", "left")
+    return whole.select(F.col("id").alias(id_column), "n_shingles", F.coalesce("component", "rep", "id").alias("component_id"))
 
 
 def _shared(groups: DataFrame) -> DataFrame:

@@ -196,7 +196,7 @@ def copies():
     return rows + [(i, t) for i, t in EDGE[:5]]
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 3, "common": 2}, {"block": 3, "common": 2, "limit": 10}, {"block": 2, "common": 10**6, "most_common": 1, "cluster": 5}])
+@pytest.mark.parametrize("options", [{}, {"block": 25, "common": 2}, {"block": 7, "common": 10**6, "most_common": 1, "limit": 10}])
 def test_join_equals_brute_force(spark, copies, options):
     docs = spark.createDataFrame(copies, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(docs, **options).collect()}
@@ -212,12 +212,10 @@ def test_join_edges(spark, edge):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.frozensets(st.integers(1, 25), min_size=1, max_size=14), min_size=2, max_size=10), st.integers(50, 95))
 def test_trie_finds_exactly_the_links(sets, percent):
-    probe, *rest = [np.array(sorted(s), np.int64) for s in sets]
-    trie = jaccard.Trie(np.zeros(0, np.int64))
-    for i, s in enumerate(rest):
-        trie.add(s, i)
-    want = {i for i, s in enumerate(rest) if 100 * len(set(s) & set(probe)) >= percent * len(set(s) | set(probe))}
-    assert {i for i, _ in trie.linked(probe, percent)} == want
+    sets = [np.array(sorted(s), np.int64) for s in sets]
+    links = lambda i: {j for j, s in enumerate(sets) if j != i and 100 * len(set(s) & set(sets[i])) >= percent * len(set(s) | set(sets[i]))}
+    got = {i: set(near.tolist()) for i, near, _ in jaccard.links_of(sets, percent, stretch=3)}
+    assert got == {i: links(i) for i in range(len(sets)) if links(i)}
 
 
 def test_components_of_a_long_path(spark):
