@@ -75,6 +75,19 @@ class EliasFano:
         left -= np.where(which > 0, counts[rows, np.maximum(which - 1, 0)], 0)
         return word * 64 + which * 8 + _NTH[octets[rows, which], left] - k
 
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The keys at these places."""
+        ones = np.arange(len(self.zeros)) * 64 - self.zeros
+        word = np.searchsorted(ones, places, side="right") - 1
+        left = (places - ones[word]).astype(np.int64)
+        octets = self.high[word].view(np.uint8).reshape(-1, 8)
+        counts = np.cumsum(_ONES[octets], 1, dtype=np.int64)
+        which = (counts <= left[:, None]).sum(1)
+        rows = np.arange(len(places))
+        left -= np.where(which > 0, counts[rows, np.maximum(which - 1, 0)], 0)
+        high = word * 64 + which * 8 + _NTH[octets[rows, which], left] - places
+        return (high << self.width) + unpack(self.low, self.width, places) + self.first
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key, -1 where it isn't there: binary search among those that share its high bits."""
         out = np.full(len(keys), -1, np.int64)

@@ -1,9 +1,10 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-Level 1 holds every training word (64-bit hashes) with its exact count. Levels 2 and 3 hold successors of frequent
-contexts: a context is a word, or a pair of words, whose share of the tokens is at least `context_share`; successors are
-the words of that share. So at most 1 / context_share contexts and words are known to the driver and broadcast, while the
-levels grow with the corpus and lie, cut in shards, in memory-mapped files of the shared folder.
+Level 1 holds every training word (64-bit hashes) with its exact count; a word's number is its place there. Levels 2 and 3
+hold the pairs and triples seen at least twice, keyed by the number of their context (a word, or a pair of level 2) and
+that of the last word. A pair can only be seen twice if its words are, and a triple if its two pairs are, so each level is
+counted among what the one below holds. All levels grow with the corpus and lie, cut in shards, in memory-mapped files of
+the shared folder, where tasks look numbers up; the driver knows only the files.
 
 Probabilities are interpolated with absolute discounting: p(w | context) = (c - d) / C for the stored successors, plus
 what that leaves times p(w | shorter context); words alone have (c + 1) / (N + V + 1), of which one share stands for all
@@ -12,7 +13,7 @@ unknown words. Levels 2 and 3 store log10 p in 8 bits, contexts their left-over
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -53,83 +54,81 @@ def tokens(column: pa.Array):
         lo = hi
 
 
-def _numbers(words: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Places of hashes among the sorted known words, -1 for others."""
-    if not len(words):
-        return np.full(len(h), -1, np.int64)
-    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-    return np.where(words[at] == h, at, -1)
-
-
-def _contexts(h: np.ndarray, ends: np.ndarray, known: Known):
+def _contexts(h: np.ndarray, ends: np.ndarray, reader: Reader):
     """For each token its number, the number of the word before it, and of the pair before it; -1 where unknown."""
     u, back = np.unique(h, return_inverse=True)
-    own = _numbers(known.words, u)[back]
+    _, numbers = reader.vocabulary(u)
+    own = numbers[back]
     starts = np.concatenate([[0], ends[:-1] + 1])
     one = np.empty_like(own)
     one[1:] = own[:-1]
-    one[starts] = known.end
+    one[starts] = own[ends[0]] if len(ends) else -1
     two = np.full(len(own), -1, np.int64)
-    if len(known.pairs):
+    if 2 in reader.files:
         before = np.empty_like(one)
         before[1:] = one[:-1]
-        key = np.where((before >= 0) & (one >= 0), before * len(known.words) + one, -1)
+        key = np.where((before >= 0) & (one >= 0), before * reader.model.v + one, -1)
         key[starts] = -1
-        uk, back = np.unique(key, return_inverse=True)
-        two = _numbers(known.pairs, uk)[back]
+        u, back = np.unique(key, return_inverse=True)
+        two = reader.pairs(u)[back]
     return own, one, two
 
 
 @dataclass
 class Known:
-    """What executors get as a broadcast: its size is bounded by 1 / context_share."""
-
     words: np.ndarray
-    logs: np.ndarray  # log10 p of these words alone
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    totals: dict = field(default_factory=dict)  # level -> counts of its contexts
-
-    @property
-    def end(self) -> int:
-        return int(_numbers(self.words, np.array([END]))[0])
 
 
 @dataclass
 class Model:
-    known: Known
+    """Files only; each level lies in the shared folder."""
+
     levels: dict[int, list[str]]  # level -> files of its shards, in order
+    firsts: dict[int, np.ndarray]  # level -> number of the first entry of each of these, and of all entries
     n: int
     v: int
+    least: int  # count from which words and n-grams serve as contexts and successors
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1.0) / (self.n + 1.0 * (self.v + 1)))
 
+    def contexts(self, level: int) -> int:
+        return int(self.firsts[level - 1][-1])
+
+    @property
+    def known(self) -> Known:
+        """All words of level 1 by number: for small models."""
+        parts = [_opened(f.split("\t")[1])[0] for f in self.levels.get(1, [])]
+        return Known(np.concatenate([ef.at(np.arange(ef.n)) for ef in parts]) if parts else np.zeros(0, np.int64))
+
 
 def _counted(docs: DataFrame, keys_of) -> DataFrame:
-    """key, n: keys counted within stretches, then over the corpus."""
+    """key, n: keys counted within stretches, then over the corpus. keys_of gives a task's function of tokens."""
 
     def run(batches):
+        keys = keys_of()
         for b in batches:
             for _, ends, h in tokens(b.column(0)):
-                k = keys_of(h, ends)
+                k = keys(h, ends)
                 u, c = np.unique(k, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c.astype(np.int64))], names=["key", "n"])
 
     return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _sharded(counts: DataFrame, shard: Column, build, folder: str) -> list[str]:
-    """Write a file for each shard, whose rows (key, n) come sorted by key; gives the files in the order of shards."""
+def _sharded(counts: DataFrame, shard: Column, builder, folder: str) -> tuple[list[str], np.ndarray]:
+    """Write a file for each shard, whose rows (key, n) come sorted by key; gives the files in the order of shards, and
+    the number of the first entry of each, then of all. builder gives a task's function of a shard."""
     parts = counts.withColumn("shard", shard.cast("int"))
     parts = parts.repartition("shard").sortWithinPartitions("shard", "key").select("shard", "key", "n")
 
     def run(batches):
-        shard, keys, ns = None, [], []
+        build, shard, keys, ns = builder(), None, [], []
 
         def close():
-            name = f"{folder}/{uuid.uuid4().hex}"
-            save(name, build(shard, np.concatenate(keys), np.concatenate(ns)))
-            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [name]})
+            name, k = f"{folder}/{uuid.uuid4().hex}", np.concatenate(keys)
+            save(name, build(k, np.concatenate(ns)))
+            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [name], "size": pa.array([len(k)], pa.int64())})
 
         for b in batches:
             s, k, n = (c.to_numpy(zero_copy_only=False) for c in b.columns)
@@ -144,32 +143,40 @@ def _sharded(counts: DataFrame, shard: Column, build, folder: str) -> list[str]:
         if shard is not None:
             yield close()
 
-    rows = stored(parts.mapInArrow(run, "shard int, file string"), "shards").collect()
-    return [f"{r['shard']}\t{r['file']}" for r in rows]
+    rows = sorted(stored(parts.mapInArrow(run, "shard int, file string, size long"), "shards").collect())
+    return [f"{r['shard']}\t{r['file']}" for r in rows], np.cumsum([0, *[r["size"] for r in rows]])
 
 
 def _by_shard(files: list[str]) -> dict[int, str]:
     return {int(k): f for k, f in (x.split("\t") for x in files)}
 
 
-def _vocabulary(_, keys: np.ndarray, ns: np.ndarray) -> dict[str, np.ndarray]:
+def _with_counts(ns: np.ndarray) -> dict[str, np.ndarray]:
     values, code = np.unique(ns, return_inverse=True)  # few distinct counts: a codebook, exact
     width = max(1, int(len(values) - 1).bit_length())
-    return {**EliasFano.build(keys), "counts": values, "width": np.array([width]), "codes": pack(code, width)}
+    return {"counts": values, "width": np.array([width]), "places": pack(code, width)}
+
 
+def _vocabulary():
+    return lambda keys, ns: {**EliasFano.build(keys), **_with_counts(ns)}
 
-def _successors(level: int, known: Known, lower) -> object:
-    """Builder of a shard of level 2 or 3. Keys are context * words + successor."""
-    w = max(1, len(known.words))
 
-    def build(shard: int, keys: np.ndarray, ns: np.ndarray) -> dict[str, np.ndarray]:
-        context, word = keys // w, keys % w
+def _successors(level: int, model: Model, shards: dict[int, int]):
+    """Builder of a shard of level 2 or 3. Keys are context * v + successor."""
+
+    def build(keys: np.ndarray, ns: np.ndarray) -> dict[str, np.ndarray]:
+        reader = Reader(model, shards)
+        context, word = keys // model.v, keys % model.v
         heads, first = np.unique(context, return_index=True)
-        total = known.totals[level][heads].astype(float)
+        total = reader.counts_at(level - 1, heads).astype(float)
         own = np.maximum(ns - DISCOUNT, 0.0)
         left = np.maximum(1 - np.add.reduceat(own, first) / total, 1e-9)
         size = np.diff(np.append(first, len(keys)))
-        p = own / np.repeat(total, size) + np.repeat(left, size) * 10.0 ** lower(context, word)
+        u, back = np.unique(word, return_inverse=True)
+        lower = model.unigram(reader.counts_at(1, u))[back]
+        if level == 3:
+            lower = reader.logs(2, np.repeat(reader.keys_at(2, heads) % model.v, size), word, lower)
+        p = own / np.repeat(total, size) + np.repeat(left, size) * 10.0**lower
         logs = np.log10(p)
         lo, hi = float(logs.min()), float(logs.max())
         step = max((hi - lo) / 255, 1e-12)
@@ -177,11 +184,11 @@ def _successors(level: int, known: Known, lower) -> object:
         mass = np.zeros(int(heads[-1]) - base + 1, np.uint16)
         mass[heads - base] = np.clip(np.round(-np.log10(left) * 6553.5), 0, 65535)
         return {
-            **EliasFano.build(keys), "codes": np.round((logs - lo) / step).astype(np.uint8),
+            **EliasFano.build(keys), "codes": np.round((logs - lo) / step).astype(np.uint8), **(_with_counts(ns) if level == 2 else {}),
             "scale": np.array([lo, step]), "base": np.array([base]), "mass": mass,
         }
 
-    return build
+    return lambda: build
 
 
 @lru_cache(maxsize=64)
@@ -195,38 +202,69 @@ class Reader:
 
     def __init__(self, model: Model, shards: dict[int, int]):
         self.model, self.files, self.shards = model, {k: _by_shard(v) for k, v in model.levels.items()}, shards
+        self.first = {k: dict(zip(f, model.firsts[k].tolist(), strict=False)) for k, f in self.files.items()}
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """Counts of sorted distinct hashes; 0 for unknown ones."""
-        out = np.zeros(len(h), np.int64)
-        shard = _word_shard(h, self.shards[1])
-        for s in np.unique(shard):
-            if (file := self.files[1].get(int(s))) is not None:
+    def vocabulary(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(counts, numbers) of sorted distinct hashes; 0 and -1 for unknown ones, -1 also for words rarer than `least`."""
+        out, number = np.zeros(len(h), np.int64), np.full(len(h), -1, np.int64)
+        for s, own in _groups(_word_shard(h, self.shards[1])):
+            if (file := self.files[1].get(s)) is not None:
                 ef, parts = _opened(file)
-                own = np.flatnonzero(shard == s)
                 at = ef.find(h[own])
                 ok = at >= 0
-                out[own[ok]] = parts["counts"][unpack(parts["codes"], int(parts["width"][0]), at[ok])]
+                out[own[ok]] = parts["counts"][unpack(parts["places"], int(parts["width"][0]), at[ok])]
+                number[own[ok]] = self.first[1][s] + at[ok]
+        return out, np.where((out >= self.model.least) | (h == END), number, -1)
+
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        """Counts of sorted distinct hashes; 0 for unknown ones."""
+        return self.vocabulary(h)[0]
+
+    def pairs(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of sorted distinct keys of level 2; -1 for those it doesn't hold."""
+        out = np.full(len(keys), -1, np.int64)
+        live = np.flatnonzero(keys >= 0)
+        for s, own in _groups(_context_shard(keys[live] // self.model.v, self.model.contexts(2), self.shards[2])):
+            if (file := self.files[2].get(s)) is not None:
+                at = _opened(file)[0].find(keys[live[own]])
+                out[live[own]] = np.where(at >= 0, self.first[2][s] + at, -1)
+        return out
+
+    def _entries(self, level: int, numbers: np.ndarray):
+        """(places in numbers, opened shard, places in it) for each shard of these entries."""
+        firsts = self.model.firsts[level]
+        for k, own in _groups(np.searchsorted(firsts, numbers, side="right") - 1):
+            yield own, _opened(self.model.levels[level][k].split("\t")[1]), numbers[own] - firsts[k]
+
+    def counts_at(self, level: int, numbers: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(numbers), np.int64)
+        for own, (_, parts), at in self._entries(level, numbers):
+            out[own] = parts["counts"][unpack(parts["places"], int(parts["width"][0]), at)]
+        return out
+
+    def keys_at(self, level: int, numbers: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(numbers), np.int64)
+        for own, (ef, _), at in self._entries(level, numbers):
+            out[own] = ef.at(at)
         return out
 
     def logs(self, level: int, context: np.ndarray, word: np.ndarray, lower: np.ndarray) -> np.ndarray:
         """log10 p(word | context), given that of the shorter context; contexts or words of -1 fall back to it."""
-        known = self.model.known
-        w, out = max(1, len(known.words)), lower.copy()
+        out = lower.copy()
         live = np.flatnonzero(context >= 0)
         if not len(live) or level not in self.files:
             return out
-        key = context[live] * w + word[live]  # looked up only for words of the vocabulary
-        shard = _context_shard(context[live], len(known.totals[level]), self.shards[level])
-        for s in np.unique(shard):
-            own = live[shard == s]
-            if (file := self.files[level].get(int(s))) is None:
+        key = context[live] * self.model.v + word[live]  # looked up only for words of the vocabulary
+        shard = _context_shard(context[live], self.model.contexts(level), self.shards[level])
+        for s, part in _groups(shard):
+            own = live[part]
+            if (file := self.files[level].get(s)) is None:
                 continue
             ef, parts = _opened(file)
             base, (lo, step) = int(parts["base"][0]), parts["scale"]
             place = context[own] - base
             inside = (place >= 0) & (place < len(parts["mass"]))
-            own, place, keys = own[inside], place[inside], key[shard == s][inside]
+            own, place, keys = own[inside], place[inside], key[part][inside]
             out[own] += -parts["mass"][place].astype(float) / 6553.5
             can = np.flatnonzero(word[own] >= 0)
             u, back = np.unique(keys[can], return_inverse=True)
@@ -236,6 +274,13 @@ class Reader:
         return out
 
 
+def _groups(shard: np.ndarray):
+    """(shard, places) of each shard, in one sort."""
+    order = np.argsort(shard, kind="stable")
+    u, first = np.unique(shard[order], return_index=True)
+    yield from zip(u.tolist(), np.split(order, first[1:]), strict=False)
+
+
 def _word_shard(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> 32) * n >> 31).astype(np.int64)
 
@@ -244,62 +289,50 @@ def _context_shard(context: np.ndarray, contexts: int, n: int) -> np.ndarray:
     return context * n // max(1, contexts)
 
 
-def train(docs: DataFrame, text: str = "text", context_share: float = 2.0**-17, shard_rows: int = 2_000_000) -> tuple[Model, dict[int, int]]:
+def train(docs: DataFrame, text: str = "text", context_share: float = 0.0, shard_rows: int = 2_000_000, least: int = 2) -> tuple[Model, dict[int, int]]:
     """Build the trie from all texts. Gives the model and the number of shards of each level.
 
-    The driver collects the frequent words and pairs (at most 1 / context_share of each), the totals and file names."""
+    Words, pairs and triples seen `least` times at least are kept, whatever the size of the corpus; a `context_share` over 0
+    cuts those of a smaller share of the tokens too. The driver collects totals and file names."""
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{text}`").cast("string"))
     folder = fresh_dir(spark, "trie")
-    words = stored(_counted(docs, lambda h, _: h), "words")
+    words = stored(_counted(docs, lambda: lambda h, _: h), "words")
     total = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     n, v = int(total["n"]), int(total["v"])
     shards = {1: max(1, -(-v // shard_rows))}
-    model = Model(Known(np.zeros(0, np.int64), np.zeros(0)), {}, n, v)
+    model = Model({}, {}, n, v, max(least, int(np.ceil(n * context_share))))
     if not n:
         return model, shards
-    model.levels[1] = _sharded(words, F.shiftright(F.shiftright("key", 32) * shards[1], 31), _vocabulary, f"{folder}/1")
-    least = max(2, int(np.ceil(n * context_share)))
-    top = words.where((F.col("n") >= least) | (F.col("key") == int(END))).toPandas().sort_values("key")
-    known = Known(top["key"].to_numpy(np.int64), model.unigram(top["n"].to_numpy(np.int64)))
-    known.totals[2] = top["n"].to_numpy(np.int64)
-    w = len(known.words)
-    model.known = known
-
-    shared = spark.sparkContext.broadcast(known)
-
-    def bigrams(h, ends):
-        own, one, _ = _contexts(h, ends, shared.value)
+    model.levels[1], model.firsts[1] = _sharded(words, F.shiftright(F.shiftright("key", 32) * shards[1], 31), _vocabulary, f"{folder}/1")
+
+    def bigrams(reader, h, ends):
+        own, one, _ = _contexts(h, ends, reader)
         ok = (own >= 0) & (one >= 0)
-        return one[ok] * w + own[ok]
-
-    pairs = stored(_counted(docs, bigrams), "pairs")
-    sizes = pairs.agg(F.count("*").alias("v")).first()["v"]
-    shards[2] = max(1, -(-int(sizes) // shard_rows))
-    builder = _successors(2, known, lambda _, word: known.logs[word])
-    model.levels[2] = _sharded(pairs, F.expr(f"(key div {w}) * {shards[2]} div {w}"), builder, f"{folder}/2")
-
-    often = pairs.where((F.col("n") >= least) & (F.col("key") % w != known.end)).toPandas().sort_values("key")
-    full = Known(known.words, known.logs, often["key"].to_numpy(np.int64), {**known.totals, 3: often["n"].to_numpy(np.int64)})
-    if len(full.pairs):
-        shared3 = spark.sparkContext.broadcast(full)
-
-        def trigrams(h, ends):
-            own, _, two = _contexts(h, ends, shared3.value)
-            ok = (own >= 0) & (two >= 0)
-            return two[ok] * w + own[ok]
-
-        triples = stored(_counted(docs, trigrams), "triples")
-        sizes = triples.agg(F.count("*").alias("v")).first()["v"]
-        shards[3] = max(1, -(-int(sizes) // shard_rows))
-        below = Model(known, dict(model.levels), n, v)
-
-        def lower(context, word):
-            last = full.pairs[context] % w
-            return Reader(below, shards).logs(2, last, word, known.logs[word])
-
-        model.levels[3] = _sharded(triples, F.expr(f"(key div {w}) * {shards[3]} div {len(full.pairs)}"), _successors(3, full, lower), f"{folder}/3")
-        model.known = full
+        return one[ok] * v + own[ok]
+
+    def trigrams(reader, h, ends):
+        own, _, two = _contexts(h, ends, reader)
+        kept = np.ones(len(own), bool)  # whether level 2 holds the triple's last two words
+        kept[:-1] = two[1:] >= 0
+        kept[ends] = True
+        ok = (own >= 0) & (two >= 0) & kept
+        return two[ok] * v + own[ok]
+
+    for level, grams in ((2, bigrams), (3, trigrams)):
+        below, cut = Model(dict(model.levels), dict(model.firsts), n, v, model.least), dict(shards)
+
+        def keys(grams=grams, below=below, cut=cut):
+            reader = Reader(below, cut)
+            return lambda h, ends: grams(reader, h, ends)
+
+        found = stored(_counted(docs, keys).where(F.col("n") >= model.least), "grams")
+        size = found.count()
+        if not size:
+            break
+        shards[level] = -(-size // shard_rows)
+        shard = F.expr(f"(key div {v}) * {shards[level]} div {below.contexts(level)}")
+        model.levels[level], model.firsts[level] = _sharded(found, shard, _successors(level, below, cut), f"{folder}/{level}")
     return model, shards
 
 
@@ -322,7 +355,7 @@ def score(docs: DataFrame, trained: tuple[Model, dict[int, int]], text: str = "t
                 u, back = np.unique(h, return_inverse=True)
                 counts = reader.counts(u) if model.n else np.zeros(len(u), np.int64)
                 single = model.unigram(counts)[back]
-                own, one, two = _contexts(h, ends, model.known) if model.n else (None, None, None)
+                own, one, two = _contexts(h, ends, reader) if model.n else (None, None, None)
                 best = reader.logs(3, two, own, reader.logs(2, one, own, single)) if model.n else single
                 starts = np.concatenate([[0], ends[:-1] + 1])
                 out["n_tokens"].append(ends - starts + 1)

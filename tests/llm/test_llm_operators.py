@@ -415,6 +415,21 @@ def test_probabilities_sum_to_one(spark):
         assert abs((10**logs).sum() + (10**rest).sum() - 1) < 0.05  # 8-bit steps
 
 
+def test_language_model_keeps_rare_ngrams_at_any_size(spark):
+    rare = "quaint vellum heron"
+    for size in (50, 400_000):  # tokens beside the two rare texts
+        texts = [rare, rare, *["the of and " * 1000] * (size // 3000 + 1)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        model, shards = language_model.train(docs)
+        probe = spark.createDataFrame([(0, rare), (1, "heron vellum quaint")], "doc_id long, text string")
+        seen, shuffled = (r["score"] - r["base_score"] for r in language_model.score(probe, (model, shards)).orderBy("doc_id").collect())
+        assert seen > 6 and seen > shuffled + 6
+    many = language_model.train(docs, shard_rows=2)
+    assert many[1][1] > 1 and many[1][2] > 1 and many[1][3] > 1
+    a, b = ({r["doc_id"]: r["score"] for r in language_model.score(docs.limit(2), m).collect()} for m in ((model, shards), many))
+    assert all(math.isclose(a[i], b[i], rel_tol=0.05) for i in a)
+
+
 def test_language_model_edges(spark, edge):
     trained = language_model.train(edge)
     rows = language_model.score(edge, trained).collect()
@@ -442,6 +457,14 @@ def test_packed_bits(width, values):
     assert (elias_fano.unpack(elias_fano.pack(v, width), width, np.arange(len(v))) == v).all()
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 2**62), min_size=1, max_size=300))
+def test_elias_fano_gives_its_keys(keys):
+    keys = np.array(sorted(keys), np.int64)
+    ef = elias_fano.EliasFano.of(elias_fano.EliasFano.build(keys))
+    assert (ef.at(np.arange(len(keys))) == keys).all()
+
+
 def test_files_of_arrays(tmp_path):
     arrays = {"a": np.arange(10), "b": np.zeros(0, np.uint8), "c": np.ones(3, np.uint16)}
     elias_fano.save(str(tmp_path / "x/y"), arrays)
