@@ -1,10 +1,10 @@
-"""Pattern packing: token pieces are packed by repeated few-piece length patterns fitted to the length histogram by
-non-negative least squares; what rounding leaves is packed best-fit."""
+"""Pattern packing: token pieces are packed by repeated length patterns fitted to the length histogram by non-negative
+least squares, of which the (nearly) full ones are taken; what they leave is packed best-fit, by counts of equal sequences."""
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -81,13 +81,20 @@ def pieces(docs: DataFrame, text: str = "text", size: int = 2048, tokenizer: str
 
 
 def patterns(hist: np.ndarray, size: int) -> list[tuple[int, ...]]:
-    """Few-piece patterns of present lengths that fill a sequence, or nearly: pairs, threes and fours around each length."""
+    """Patterns of present lengths that fill a sequence, or nearly: around each length pairs, threes and fours, and many short pieces."""
     have = [int(x) for x in np.flatnonzero(hist) if x]
 
     def at_most(x: int) -> int:
         i = bisect_left(have, x + 1)
         return have[i - 1] if i else 0
 
+    def filled(p: list[int], cap: int) -> tuple[int, ...]:
+        """p and the longest pieces that fit, none over cap."""
+        rest = size - sum(p)
+        while b := at_most(min(rest, cap)):
+            p, rest = p + [b] * (rest // b), rest % b
+        return tuple(sorted(p))
+
     out = {(size,)} if hist[size] else set()
     for a in have:
         out.add((a,))
@@ -104,10 +111,12 @@ def patterns(hist: np.ndarray, size: int) -> list[tuple[int, ...]]:
                 e = at_most(rest - b - d) if d else 0
                 if d and e:
                     out.add(tuple(sorted((a, b, d, e))))
-        if rest >= a:  # the same length several times, and one to fill
-            k = min(size // a, 8)
-            c = at_most(size - k * a)
-            out.add(tuple(sorted([a] * k + ([c] if c else []))))
+        out.add(filled([a] * (size // a), size))
+        for share in (8, 32):  # a long piece and many short ones
+            out.add(filled([a], rest // share))
+        if 5 * a <= size:  # short ones with shorter ones
+            for share in (2, 4):
+                out.add(filled([a] * (size // a // share), a - 1))
     # The fullest come first, and of these those with long pieces: they are the hardest to place otherwise.
     return sorted(out, key=lambda p: (size - sum(p), [-x for x in sorted(p, reverse=True)]))
 
@@ -134,44 +143,60 @@ def nnls(columns: list[tuple[int, ...]], hist: np.ndarray, sweeps: int = 30) ->
     return np.array(x)
 
 
+def best_fit(hist: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
+    """(pattern, repeats): the longest piece first, each into the tightest open sequence. Equal sequences are handled by
+    their count, so the work and the patterns are bounded by the lengths, not by the pieces."""
+    open_: dict[int, list[tuple[tuple[int, ...], int]]] = {size: []}  # free places -> sequences
+    for length in range(size, 0, -1):
+        left, moved = int(hist[length]), []
+
+        def put(free: int, p: tuple[int, ...], n: int, left: int, length=length, moved=moved) -> tuple[int, int]:
+            """(sequences of n that stay as they were, pieces left)"""
+            k = free // length
+            for pieces, m in ((k, min(n, left // k)), (left % k, 1 if left // k < n else 0)):
+                if pieces and m:
+                    moved.append((free - pieces * length, p + (length,) * pieces, m))
+                    n, left = n - m, left - m * pieces
+            return n, left
+
+        for free in sorted(f for f in open_ if f >= length) if left else ():
+            for j, (p, n) in enumerate(open_[free]):
+                if left:
+                    n, left = put(free, p, n, left)
+                    open_[free][j] = (p, n)
+            open_[free] = [x for x in open_[free] if x[1]]
+        if left:
+            put(size, (), left, left)
+        for free, p, n in moved:
+            open_.setdefault(free, []).append((p, n))
+    return [x for groups in open_.values() for x in groups if x[1]]
+
+
 def plan(hist: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
     """(pattern, repeats) that together place every piece of the histogram (indexed by length) exactly once."""
-    hist = hist.astype(np.int64).copy()
+    whole = hist.astype(np.int64)
+    hist = whole.copy()
     out = []
-    columns = patterns(hist, size)
-    for p, x in zip(columns, nnls(columns, hist), strict=True):
+
+    def take(p: tuple[int, ...], most: float):
         ks, cs = np.unique(p, return_counts=True)
-        n = int(min(np.floor(x + 1e-6), (hist[ks] // cs).min()))
+        n = int(min(most, (hist[ks] // cs).min()))
         if n > 0:
             out.append((p, n))
             hist[ks] -= cs * n
-    # Full patterns again while the rest allows, then best fit: the longest first, each into the tightest open sequence.
+
+    columns = patterns(hist, size)
+    full = size - size // 100
+    for p, x in zip(columns, nnls(columns, hist), strict=True):
+        if sum(p) >= full:
+            take(p, np.floor(x + 1e-6))
+    # Full patterns again while the rest allows.
     for p in columns:
         if sum(p) == size:
-            ks, cs = np.unique(p, return_counts=True)
-            if (n := int((hist[ks] // cs).min())) > 0:
-                out.append((p, n))
-                hist[ks] -= cs * n
-    spaces: list[int] = []  # free places of open sequences, ascending
-    open_: dict[int, list[list[int]]] = {}
-    closed = []
-    for length in range(size, 0, -1):
-        for _ in range(int(hist[length])):
-            i = bisect_left(spaces, length)
-            if i < len(spaces):
-                free = spaces.pop(i)
-                bin_ = open_[free].pop()
-            else:
-                free, bin_ = size, []
-            bin_.append(length)
-            free -= length
-            if free:
-                insort(spaces, free)
-                open_.setdefault(free, []).append(bin_)
-            else:
-                closed.append(bin_)
-    out += [(tuple(b), 1) for b in closed + [b for bins in open_.values() for b in bins]]
-    return out
+            take(p, np.inf)
+    out += best_fit(hist, size)
+    plain = best_fit(whole, size)
+    return min(out, plain, key=lambda found: sum(n for _, n in found))
 
 
 def slots(planned: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:

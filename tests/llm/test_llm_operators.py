@@ -378,6 +378,26 @@ def test_plans_place_every_piece_once(hist):
     assert placed == Counter({k: int(v) for k, v in enumerate(hist) if v})
 
 
+def test_plans_fill_sequences_with_short_pieces():
+    size, rng = 2048, np.random.default_rng(8)
+    equal, short, hot = (np.zeros(size + 1, np.int64) for _ in range(3))
+    equal[50] = 100_000
+    np.add.at(short, rng.integers(1, 120, 50_000), 1)
+    np.add.at(short, rng.integers(1000, 2048, 40), 1)
+    np.add.at(hot, rng.integers(100, 2049, 40_000), 1)
+    hot[1] += 20_000
+    assert sum(n for _, n in packing.plan(equal, size)) == 2500
+    for hist in (short, hot):
+        planned = packing.plan(hist, size)
+        placed = Counter()
+        for p, n in planned:
+            assert sum(p) <= size
+            for x in p:
+                placed[x] += n
+        assert placed == Counter({k: int(v) for k, v in enumerate(hist) if v})
+        assert sum(n for _, n in planned) <= -(-int((hist * np.arange(size + 1)).sum()) // size) * 1.02 + 1
+
+
 # --- 9 language model
 
 
