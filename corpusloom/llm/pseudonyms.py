@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Kinds in the order in which they are tried at a place; each pattern fits one kind's whole match.
-CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
+#: Digits, spaces and hyphens, in which cards and other numbers may stand side by side; `_run` looks inside.
+RUN = r"[0-9][0-9 -]{11,}(?<=[0-9])"
 PHONE = r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
 SSN = r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -23,7 +24,7 @@ IPV4 = rf"{OCTET}(?:\.{OCTET}){{3}}"
 DATE = r"(?:1[6-9]|2[0-3])[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])"
 EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*+\.)+[A-Za-z]{2,}"
 #: Where a candidate may begin and end: not inside a longer number or word.
-ANY = rf"(?<![A-Za-z0-9._%+@-])(?:{EMAIL})|(?<![0-9A-Za-z.+-])(?:(?:{DATE}|{SSN}|{PHONE}|{IPV4}|{CARD})(?![0-9A-Za-z]|[.-][0-9]))"
+ANY = rf"(?<![A-Za-z0-9._%+@-])(?:{EMAIL})|(?<![0-9A-Za-z.+-])(?:(?:{DATE}|{SSN}|{PHONE}|{IPV4}|{RUN})(?![0-9A-Za-z]|[.-][0-9]))"
 ROUNDS = 8
 #: Days of a century that holds no 400th year, and of one that does: a product of two radices each.
 CENTURY, LEAP_CENTURY = (92, 397), (75, 487)
@@ -90,11 +91,38 @@ def _card(m: Column, key: str) -> Column:
         body = F.slice(d, F.lit(2), n - 2)
         new = feistel(body, F.transform(body, lambda _: F.lit(10).cast("long")), key, F.concat(F.lit("card"), n.cast("string"), F.element_at(d, 1).cast("string")))
         whole = let(F.concat(F.slice(d, 1, 1), new), lambda bare: F.concat(bare, F.array(F.pmod(-_luhn(F.concat(bare, _longs(0))), F.lit(10)))))
-        return F.when(_luhn(d) % 10 == 0, _spell(whole, m)).otherwise(m)
+        return _spell(whole, m)
 
     return let(_digits(m), moved)
 
 
+def _run(m: Column, key: str) -> Column:
+    """The leftmost numbers of a run that don't overlap: dates, SSNs and phones after a space, the longest valid cards at
+    the beginning of any group of digits. What lies between them stays."""
+    whole = lambda x, p: x.rlike(rf"^(?:{p})$")
+    valid = lambda c: (c != "") & (_luhn(_digits(c)) % 10 == 0)
+
+    def inside(run: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.length(run)), lambda i: F.substring(run, i, F.lit(1)).rlike("[0-9]") & ((i == 1) | ~F.substring(run, i - 1, F.lit(1)).rlike("[0-9]")))
+
+        def found(i: Column) -> Column:
+            rest = F.substring(run, i, F.lit(40))
+            other = F.when((i == 1) | (F.substring(run, i - 1, F.lit(1)) == " "), F.regexp_extract(rest, rf"^(?:{DATE}|{SSN}|{PHONE})(?![0-9A-Za-z]|[.-][0-9])", 0)).otherwise("")
+            cards = F.array(*[F.regexp_extract(rest, rf"^[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9])", 0) for n in range(19, 12, -1)])
+            return let(other, lambda o: F.when(o != "", o).otherwise(F.coalesce(F.get(F.filter(cards, valid), F.lit(0)), F.lit(""))))
+
+        def step(s: Column, i: Column) -> Column:
+            add = lambda f: F.struct((i + F.length(f)).alias("at"), F.concat(s["out"], F.array(F.struct(F.substring(run, s["at"], i - s["at"]).alias("gap"), f.alias("f")))).alias("out"))
+            return F.when(i < s["at"], s).otherwise(let(found(i), lambda f: F.when(f == "", s).otherwise(add(f))))
+
+        one = lambda f: F.when(whole(f, DATE), _date(f, key)).when(whole(f, SSN), _ssn(f, key)).when(whole(f, PHONE), _phone(f, key)).otherwise(_card(f, key))
+        none = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<gap:string,f:string>>").alias("out"))
+        spell = lambda s: F.concat(F.array_join(F.transform(s["out"], lambda x: F.concat(x["gap"], one(x["f"]))), ""), F.substring(run, s["at"], F.length(run)))
+        return let(F.aggregate(starts, none, step), spell)
+
+    return let(m, inside)
+
+
 def _phone(m: Column, key: str) -> Column:
     """Area and exchange codes that begin with 2 to 9, as assigned ones do, keep that; others keep to 0 and 1."""
 
@@ -164,7 +192,7 @@ def _place(c: Column) -> Column:
 def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one match of ANY."""
     whole = lambda p: m.rlike(rf"^(?:{p})$")
-    return F.when(F.instr(m, "@") > 0, _email(m, key)).when(whole(DATE), _date(m, key)).when(whole(SSN), _ssn(m, key)).when(whole(PHONE), _phone(m, key)).when(whole(IPV4), _ipv4(m, key)).otherwise(_card(m, key))
+    return F.when(F.instr(m, "@") > 0, _email(m, key)).when(whole(DATE), _date(m, key)).when(whole(SSN), _ssn(m, key)).when(whole(PHONE), _phone(m, key)).when(whole(IPV4), _ipv4(m, key)).otherwise(_run(m, key))
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = "corpus-key", into: str | None = None, n_chars: str | None = None) -> DataFrame:

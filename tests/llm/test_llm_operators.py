@@ -317,6 +317,16 @@ def test_feistel_is_a_permutation(spark):
     assert moved.distinct().count() == 36525 and moved.where("text < '2000-01-01' OR text > '2099-12-31'").count() == 0
 
 
+def test_pseudonyms_look_inside_runs_of_digits(spark):
+    card, day = "4111 1111 1111 1111", "2024-01-31"
+    texts = [card, f"{card} 12/27", f"{card} 123", f"2 {card}", f"12 12 13 {card} 7", f"{card} {card}", f"1234567 {day}", day, "1234567 123-45-6789", "123-45-6789", "1234 5678 9012 3456"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in pseudonyms.pseudonymise(rows).orderBy("doc_id").collect()]
+    new, date, ssn = got[0], got[7], got[9]
+    assert new != card and luhn(new) and date != day and ssn != "123-45-6789"
+    assert got == [new, f"{new} 12/27", f"{new} 123", f"2 {new}", f"12 12 13 {new} 7", f"{new} {new}", f"1234567 {date}", date, f"1234567 {ssn}", ssn, texts[-1]]
+
+
 # --- 8 packing
 
 
