@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..sources import shared
 from ..sources.shared import let_workers_import
 
 U = np.uint64
@@ -17,7 +17,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Largest stretch hashed at once; longer texts are cut after white space, or hashed alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _RADIX = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {}
 
@@ -114,30 +114,35 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return (np.concatenate(parts) if parts else np.zeros(0, U)), np.cumsum(counts)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests only)."""
+def fresh_dir(spark: SparkSession, name: str) -> str:
     let_workers_import(spark)
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = "/tmp/checkpoints"
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(path)
-    return path.rstrip("/")
+    return shared.fresh_dir(spark, name)
 
 
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: A step's shuffle files go when it is written: later steps read the written table, never the shuffle.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage, survives lost executors."""
+    """Write once to the shared folder and read back: cuts lineage, survives lost executors, frees the shuffle files."""
     spark = df.sparkSession
+    before = spark.conf.get(_CLEAN, "false")
     path = fresh_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete the folders of stored frames that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:
@@ -148,3 +153,44 @@ def small_enough(df: DataFrame, rows: int) -> bool:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     let_workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Bloom:
+    """A blocked Bloom filter over 64-bit hashes: four bits of one 64-bit word a key, about 16 bits a key.
+
+    Its size is bounded by most_words, whatever it holds; a fuller one only lets more through. Words are chosen by a
+    hash's high bits, so sorted hashes read them in order."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.shift = words, U(64 - int(len(words) - 1).bit_length())
+
+    @staticmethod
+    def _masks(h: np.ndarray) -> np.ndarray:
+        m = mix(h ^ U(0x2545F4914F6CDD1D))
+        return (U(1) << (m & U(63))) | (U(1) << (m >> U(6) & U(63))) | (U(1) << (m >> U(12) & U(63))) | (U(1) << (m >> U(18) & U(63)))
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        """h: unsigned 64-bit hashes."""
+        mask = self._masks(h)
+        return self.words[(h >> self.shift).astype(np.int64)] & mask == mask
+
+    @classmethod
+    def of(cls, keys: DataFrame, rows: int, most_words: int = 1 << 22) -> Bloom:
+        """From a frame of one column of longs that holds `rows` rows; tasks set bits, the driver gets the set words."""
+        words = min(most_words, max(1 << 10, 1 << int(max(rows, 1) // 4).bit_length()))
+        shift = U(64 - int(words - 1).bit_length())
+
+        def mark(batches):
+            own = np.zeros(words, U)
+            for b in batches:
+                h = b.column(0).to_numpy(zero_copy_only=False).view(U)
+                np.bitwise_or.at(own, (h >> shift).astype(np.int64), cls._masks(h))
+            at = np.flatnonzero(own)
+            for lo in range(0, len(at), 1 << 16):
+                part = at[lo : lo + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(own[part].view(np.int64))], names=["at", "bits"])
+
+        marked = keys.mapInArrow(mark, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+        filled = np.zeros(words, U)
+        filled[marked.column(0).to_numpy()] = marked.column(1).to_numpy().view(U)
+        return cls(filled)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -26,6 +26,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         new = stored(small, "edges")
         # Settled when every id points to one that points nowhere.
         stars = new.join(new.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty() and new.groupBy("u").count().where("count > 1").isEmpty()
+        dropped(e)
         e = new
         if stars:
             break

@@ -1,33 +1,45 @@
 """N-gram Jaccard join over prefix trees.
 
-Documents become sets of hashed word n-grams. All sets are sorted by one global order: n-grams that no more than `common`
-prefixes hold first, by hash, then the common ones. Two sets that link share an n-gram among the first
-n - ceil(threshold * n) + 1 of each, so only documents that meet at such an n-gram are candidates of each other.
+Documents become sets of hashed word n-grams. All sets are sorted by one global order: rare n-grams first, by hash, then
+the common ones (a Bloom filter of bounded size tells them; any filter gives the same links). Two sets that link share an
+n-gram among the first n - ceil(threshold * n) + 1 of each, so only documents that meet at such an n-gram are candidates.
 
-Candidates form clusters: within an n-gram's documents, ordered by size, each is joined to the next one if their sizes allow a
-link (which joins any two whose sizes do), one edge a document. Every link lies within a cluster, and a cluster's sets travel to it
-once. There they are stored in a trie in the global order, which is walked with one vector of overlaps with all the
-cluster's sets: sets that begin alike share the overlaps of what they share, and a subtree is left when no other set can reach
-the wanted overlap with what remains. Only links that join something leave the task, one fewer than documents at most.
-Clusters of over `block` documents are dealt to blocks, and each two blocks are walked as one cluster.
+Candidates form clusters. Sizes are cut in classes so wide that a link never crosses more than one border; within an
+n-gram and class all documents are joined to the least one, and neighbouring classes by their least ones. All of this is
+minima by key, aggregated before the shuffle, so an n-gram that all documents hold needs no task of its own. Every link
+lies within a cluster. A task stores the sets of a cluster in a trie in the global order and walks it with one vector of
+overlaps with all of the task's sets: sets that begin alike share the overlaps of what they share, and a subtree is left
+when no other set can reach the wanted overlap with what remains. Only links that join something leave the task.
+
+Large clusters are dealt by size class and hash to blocks of bounded bytes, which are walked first. Most of a large cluster
+is then one component; only the documents outside of it go on to the other blocks of their own and the neighbouring size
+classes, since two documents of the same component need no further link. So near copies are never compared block by block.
 
 Equal sets are one class from the start (its least id stands for it). No pair of candidates is ever a row."""
 
 from __future__ import annotations
 
-import gc
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, mix, stored, text_buffer, word_hashes
+from .common import Bloom, U, dropped, mix, small_enough, stored, text_buffer, word_hashes
 from .components import components
 
 #: Bytes kept of each n-gram hash when sets travel to be verified. Short hashes can only add matches, so no link is lost;
-#: links that MARGIN matches fewer would undo are verified again with all 8 bytes.
-KEPT, MARGIN = 4, 3
+#: links that a few matches fewer (`margin`) would undo are verified again with all 8 bytes.
+KEPT = 4
+#: Ids that may be broadcast, 8 bytes each; more are joined by shuffling.
+MOST_IDS = 2_000_000
+
+
+def margin(a, b, kept: int):
+    """More chance matches between two sets of these sizes than ever occur: mean of a Poisson law plus ten deviations and three."""
+    mean = np.asarray(a, float) * b / 2.0 ** (8 * kept)
+    return 3 + mean + 10 * np.sqrt(mean)
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:
@@ -60,31 +72,17 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def ordered(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """A set in the global order; `common` is sorted."""
-    if not len(common) or not len(s):
-        return s
-    at = np.searchsorted(common, s)
-    late = common[np.minimum(at, len(common) - 1)] == s
-    return np.concatenate([s[~late], s[late]])
-
+def ordered(s: np.ndarray, common: Bloom) -> np.ndarray:
+    """A set (sorted by hash) in the global order."""
+    late = common.holds(s)
+    return np.concatenate([s[~late], s[late]]) if late.any() else s
 
-def profile(docs: DataFrame, n: int, id_column: str, text: str) -> DataFrame:
-    """id, n_shingles and the set's signature (sig_a, sig_b)."""
 
-    def run(batches):
-        for b in batches:
-            rows = [(len(s), *signature(s)) for s in _sets(b.column(1), n)]
-            cols = list(zip(*rows, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=["id", "n_shingles", "sig_a", "sig_b"])
+def common_grams(docs: DataFrame, n: int, percent: int, text: str, common: int, most_words: int, heavy: int, most_heavy: int) -> tuple[Bloom, np.ndarray]:
+    """The filter of n-grams that over `common` prefixes (by hash alone) hold, and a sorted list of the most frequent ones.
 
-    return docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string")).mapInArrow(run, "id long, n_shingles long, sig_a long, sig_b long")
-
-
-def common_grams(docs: DataFrame, n: int, percent: int, text: str, common: int, most: int) -> np.ndarray:
-    """N-grams that over `common` prefixes (by hash alone) hold, of distinct texts within a batch; the `most` commonest.
-
-    They only shape the global order: any set of them gives the same links. `most` bounds what is broadcast."""
+    If the filter can't hold all, only those with higher counts enter. The list has those in over `heavy` prefixes, the
+    most_heavy most frequent at most, so no n-gram outside of it has more than one in most_heavy of all rows."""
 
     def run(batches):
         for b in batches:
@@ -98,25 +96,40 @@ def common_grams(docs: DataFrame, n: int, percent: int, text: str, common: int,
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["gram", "n"])
 
     counted = docs.select(text).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > common)
-    rows = counted.orderBy(F.desc("n"), "gram").limit(most).select("gram").toPandas()
-    return np.sort(rows["gram"].to_numpy(np.int64).view(U))
-
-
-def postings(docs: DataFrame, shared, n: int, percent: int, id_column: str, text: str) -> DataFrame:
-    """id, size, prefix (array of n-gram hashes in the global order)."""
+    counted = stored(counted, "common-grams")
+    bins = counted.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("bin")).agg(F.min("n").alias("least"), F.count("*").alias("rows")).collect()
+    rows, least = 0, None  # from the most frequent on, while the filter has room
+    for r in sorted(bins, key=lambda r: -r["bin"]):
+        if rows and rows + r["rows"] > most_words * 8:
+            break
+        rows, least = rows + r["rows"], r["least"]
+    order = Bloom.of(counted.where(F.col("n") >= F.lit(least)).select("gram"), rows, most_words)
+    top = counted.where(F.col("n") > heavy).orderBy(F.desc("n"), "gram").limit(most_heavy).select("gram").toArrow()
+    dropped(counted)
+    return order, np.sort(top.column(0).to_numpy().view(U))
+
+
+def profile(docs: DataFrame, shared, n: int, percent: int, id_column: str, text: str, salts: int = 64) -> DataFrame:
+    """id, n_shingles, the set's signature (sig_a, sig_b), and prefix: n-gram hashes, each with a salt (0 but for heavy ones)."""
 
     def run(batches):
-        order = shared.value
+        order, heavy = shared.value
         for b in batches:
-            size, prefix = [], []
+            rows, prefix, salt = [], [], []
             for s in _sets(b.column(1), n):
-                size.append(len(s))
-                prefix.append(ordered(s, order)[: prefix_length(len(s), percent)].view(np.int64))
-            at = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
-            flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["id", "size", "prefix"])
+                sig = signature(s)
+                rows.append((len(s), *sig))
+                own = ordered(s, order)[: prefix_length(len(s), percent)]
+                prefix.append(own)
+                at = np.minimum(np.searchsorted(heavy, own), max(len(heavy) - 1, 0))
+                salt.append((heavy[at] == own).astype(np.int32) * (1 + sig[0] % salts) if len(heavy) else np.zeros(len(own), np.int32))
+            cols = list(zip(*rows, strict=True)) or [()] * 3
+            at = pa.array(np.cumsum([0, *map(len, prefix)]).astype(np.int32))
+            flat = pa.StructArray.from_arrays([pa.array(np.concatenate([*prefix, np.zeros(0, U)]).view(np.int64)), pa.array(np.concatenate([*salt, np.zeros(0, np.int32)]).astype(np.int32))], names=["gram", "salt"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols), pa.ListArray.from_arrays(at, flat)], names=["id", "n_shingles", "sig_a", "sig_b", "prefix"])
 
-    return docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string")).mapInArrow(run, "id long, size int, prefix array<long>")
+    source = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string"))
+    return source.mapInArrow(run, "id long, n_shingles long, sig_a long, sig_b long, prefix array<struct<gram:long,salt:int>>")
 
 
 class Trie:
@@ -154,19 +167,20 @@ class Trie:
 
 
 def trie_of(sets: list[np.ndarray]) -> Trie:
-    trie = Trie(np.zeros(0, np.int64))
+    trie = Trie(np.zeros(0, U))
     for i, s in enumerate(sets):
         trie.add(s, i)
     return trie
 
 
-def links_of(sets: list[np.ndarray], percent: int, stretch: int = 96):
-    """For each non-empty set (place, places of the sets it links with, whether MARGIN matches fewer would still do)."""
+def links_of(sets: list[np.ndarray], percent: int, stretch: int = 96, kept: int = 8):
+    """For each non-empty set (place, places of the sets it links with, whether `margin` matches fewer would still do)."""
     size = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate([*sets, np.zeros(0, np.int64)])
-    owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)
+    kind = sets[0].dtype if sets else U
+    flat = np.concatenate([*sets, np.zeros(0, kind)])
     order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
+    flat, owner = flat[order], np.repeat(np.arange(len(sets), dtype=np.int32), size)[order]
+    del order
 
     def with_run(overlap: np.ndarray, run: np.ndarray) -> np.ndarray:
         lo, hi = np.searchsorted(flat, run, side="left"), np.searchsorted(flat, run, side="right")
@@ -194,83 +208,72 @@ def links_of(sets: list[np.ndarray], percent: int, stretch: int = 96):
                 for i, _ in node.ends:
                     own = near[near != i]
                     if len(own):
-                        yield i, own, (100 + percent) * (overlap[own] - MARGIN) >= percent * (n + size[own])
+                        yield i, own, (100 + percent) * (overlap[own] - margin(n, size[own], kept)) >= percent * (n + size[own])
             stack.extend((c, depth, overlap) for c in node.children.values())
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, shared, n: int, id_column: str, text: str, kept: int = KEPT, bits: int = 1 << 26) -> DataFrame:
-    """id and grams (`kept` bytes of each hash, in the global order) of the wanted ids' texts.
+def sets_of(docs: DataFrame, wanted: DataFrame, shared, n: int, id_column: str, text: str, kept: int) -> DataFrame:
+    """id and grams (`kept` bytes of each hash, in the global order) of the texts whose ids are in `wanted` (stored, distinct).
 
-    A Bloom filter of fixed size passes over the texts first, so that only wanted ones (and a few more) are hashed and moved."""
-    spark = docs.sparkSession
-
-    def places(ids: np.ndarray) -> list[np.ndarray]:
-        return [(mix(ids.view(U) + U(k)) % U(bits)).astype(np.int64) for k in (11, 23, 47)]
-
-    def mark(batches):
-        own = np.zeros(bits // 8, np.uint8)
-        for b in batches:
-            for at in places(b.column(0).to_numpy(zero_copy_only=False)):
-                np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        at = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(own[at].astype(np.int32))], names=["at", "bits"])
-
-    marked = wanted.select("id").mapInArrow(mark, "at long, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
-    bloom = np.zeros(bits // 8, np.uint8)
-    bloom[marked["at"].to_numpy(np.int64)] = marked["bits"].to_numpy().astype(np.uint8)
-    seen = spark.sparkContext.broadcast(bloom)
+    A Bloom filter of bounded size passes over the ids first, so that only wanted texts (and a few more) are hashed and moved."""
+    bloom = docs.sparkSession.sparkContext.broadcast(Bloom.of(wanted.select(F.xxhash64("id")), wanted.count()))
 
     def run(batches):
-        order, bloom = shared.value, seen.value
+        (order, _), seen = shared.value, bloom.value
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            hit = np.ones(len(ids), bool)
-            for at in places(ids):
-                hit &= (bloom[at >> 3] >> (at & 7)) & 1 == 1
-            own = b.filter(pa.array(hit))
+            own = b.filter(pa.array(seen.holds(b.column(2).to_numpy(zero_copy_only=False).view(U))))
             out = [ordered(s, order).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :kept].tobytes() for s in _sets(own.column(1), n)]
-            yield pa.RecordBatch.from_arrays([own.column(0), pa.array(out, pa.binary())], names=["id", "grams"])
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array(out, pa.large_binary()).cast(pa.binary())], names=["id", "grams"])
 
     source = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string")).where("id is not null")
-    return source.mapInArrow(run, "id long, grams binary").join(wanted.select("id").distinct(), "id", "left_semi")
+    return source.withColumn("h", F.xxhash64("id")).mapInArrow(run, "id long, grams binary")
 
 
-def _unpack(raw: bytes, kept: int) -> np.ndarray:
-    wide = np.zeros((len(raw) // kept, 8), np.uint8)
-    wide[:, 8 - kept :] = np.frombuffer(raw, np.uint8).reshape(-1, kept)
-    return wide.view(">u8").astype(np.int64).ravel()
+def size_class(size: Column, percent: int) -> Column:
+    """Classes of sizes: if percent * larger <= 100 * smaller, the two are at most one class apart."""
+    if percent >= 100:
+        return size.cast("int")
+    return F.floor(F.log(size.cast("double")) / (-math.log(percent / 100) * (1 + 1e-9))).cast("int")
 
 
 def walk(sets: DataFrame, percent: int, kept: int) -> DataFrame:
-    """small, large, safe from rows cluster, one, two, id, grams: links that join what no link before joined, and of those that
-    aren't safe all that join what the safe ones leave apart. A task holds the sets of one cluster or of two of its blocks."""
-    parts = sets.repartition("cluster", "one", "two").sortWithinPartitions("cluster", "one", "two", "id")
-    parts = parts.select("cluster", "one", "two", "id", "grams")
+    """small, large, safe from rows unit, id, grams (a task holds one unit's sets at a time): links that join what no link
+    before joined; of those that aren't safe, a forest that connects what the safe ones leave apart."""
+    parts = sets.select("unit", "id", "grams").repartition("unit").sortWithinPartitions("unit", "id")
+
+    def joined(label: np.ndarray, i: int, near: np.ndarray) -> list[int]:
+        """Of `near`, one place for each label other than i's, all of which become i's."""
+        labels, first = np.unique(label[near], return_index=True)
+        fresh = labels != label[i]
+        if not fresh.any():
+            return []
+        label[np.isin(label, labels)] = label[i]
+        return near[first[fresh]].tolist()
 
     def run(batches):
         key, ids, raw = None, [], []
 
         def found():
             out, label, unsure = [], np.arange(len(ids)), []
-            for i, near, safe in links_of([_unpack(g, kept) for g in raw], percent) if len(ids) > 1 else ():
-                sure = near[safe]
-                labels, first = np.unique(label[sure], return_index=True)
-                fresh = labels != label[i]
-                if fresh.any():
-                    out += [(ids[i], ids[j], True) for j in sure[first[fresh]].tolist()]
-                    label[np.isin(label, labels)] = label[i]
-                unsure += [(i, j) for j in near[~safe].tolist() if i < j]
-            out += [(ids[i], ids[j], False) for i, j in unsure if label[i] != label[j]]
-            rows = [(min(a, b), max(a, b), safe) for a, b, safe in out]
+            if len(ids) > 1:
+                wide = [np.frombuffer(g, f">u{kept}").astype(f"u{kept}") for g in raw]
+                forest = np.arange(len(ids))
+                for i, near, safe in links_of(wide, percent, kept=kept):
+                    out += [(ids[i], ids[j], True) for j in joined(label, i, near[safe])]
+                    unsure += [(i, j) for j in joined(forest, i, near[~safe])]
+                # A part of the unsure graph that crosses safe parts goes whole: any of its pairs may be a link.
+                across = {forest[i] for i, j in unsure if label[i] != label[j]}
+                out += [(ids[i], ids[j], False) for i, j in unsure if forest[i] in across]
+            rows = [(min(a, b), max(a, b), safe) for a, b, safe in out if a != b]
             cols = list(zip(*rows, strict=True)) or [()] * 3
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["small", "large", "safe"])
 
         for b in batches:
-            for c, one, two, i, g in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if (c, one, two) != key:
+            for c, i, g in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if c != key:
                     if len(ids) > 1:
                         yield found()
-                    key, ids, raw = (c, one, two), [], []
+                    key, ids, raw = c, [], []
                 ids.append(i)
                 raw.append(g)
         yield found()
@@ -278,86 +281,114 @@ def walk(sets: DataFrame, percent: int, kept: int) -> DataFrame:
     return parts.mapInArrow(run, "small long, large long, safe boolean")
 
 
-def clusters(met: DataFrame, percent: int, limit: int) -> DataFrame:
-    """id, cluster from rows gram, id, size: see the module's text. All documents of an n-gram of over `limit` are joined to
-    the least of them, which needs no order."""
-    grams = met.groupBy("gram").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    heavy = stored(grams.where(F.col("n") > limit).select("gram", "least"), "heavy-grams")
-    order = Window.partitionBy("gram").orderBy("size", "id")
-    rows = met.join(heavy, "gram", "left_anti").select("id", "size", F.lag("id").over(order).alias("b"), F.lag("size").over(order).alias("before"))
-    edges = rows.where(100 * F.col("before") >= percent * F.col("size")).select(F.col("id").alias("a"), "b")
-    edges = edges.union(met.join(heavy, "gram").select(F.col("id").alias("a"), F.col("least").alias("b")))
-    return components(edges).select("id", F.col("component").alias("cluster"))
-
-
-def _walked(docs: DataFrame, named: DataFrame, shared, n: int, percent: int, id_column: str, text: str, kept: int, block: int) -> DataFrame:
-    """walk() over the clusters of `named` (id, cluster), each dealt to as many blocks as it needs."""
-    sizes = named.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = named.join(sizes, "cluster").withColumn("own", F.pmod(F.hash("id"), F.col("blocks")))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("one"), F.greatest("own", k).alias("two")))
-    # Two blocks hold what each of them holds, so a block meets itself only where it is the only one.
-    pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("one"), F.lit(0).alias("two")))).otherwise(F.filter(pairs, lambda p: p["one"] != p["two"]))
-    sets = sets_of(docs, named, shared, n, id_column, text, kept).join(dealt, "id").select("id", "cluster", "grams", F.explode(pairs).alias("p"))
-    return walk(sets.select("id", "cluster", "grams", "p.one", "p.two"), percent, kept)
-
-
-def _links(docs: DataFrame, named: DataFrame, shared, n: int, percent: int, id_column: str, text: str, block: int) -> DataFrame:
-    """Enough links to tell the components, stored: first by short hashes, then the close ones by whole hashes."""
-    options = (shared, n, percent, id_column, text)
-    found = stored(_walked(docs, named, *options, KEPT, block), "found")
-    sure, close = found.where("safe").select("small", "large"), found.where(~F.col("safe")).select("small", "large")
-    if close.isEmpty():
-        return sure
-    again = stored(components(close, "small", "large").select("id", F.col("component").alias("cluster")), "close")
-    return stored(sure.union(_walked(docs, again, *options, 8, block).select("small", "large")), "links")
-
-
-def _release(spark) -> None:
-    """Let Spark drop the shuffle files of finished steps; else they stay until the driver happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85, common: int = 4, block: int = 2000, limit: int = 50_000, most_common: int = 1 << 20) -> DataFrame:
+def clusters(met: DataFrame, percent: int) -> DataFrame:
+    """id, cluster from rows gram, id, class: see the module's text."""
+    least = stored(met.groupBy("gram", "class").agg(F.min("id").alias("least"), F.count("*").alias("rows")), "least")
+    more = met.join(least.where("rows > 1"), ["gram", "class"]).where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    above = least.select("gram", (F.col("class") - 1).alias("class"), F.col("least").alias("b"))
+    next_ = least.select("gram", "class", F.col("least").alias("a")).join(above, ["gram", "class"]).where("a <> b").select("a", "b")
+    out = components(more.union(next_).distinct()).select("id", F.col("component").alias("cluster"))
+    dropped(least)
+    return out
+
+
+def _blocks(named: DataFrame, block: int, most_grams: int) -> DataFrame:
+    """cluster, class, blocks for the clusters that one task can't hold, from rows cluster, class, size."""
+    by_class = named.groupBy("cluster", "class").agg(F.count("*").alias("n"), F.sum("size").alias("grams"))
+    large = by_class.groupBy("cluster").agg(F.sum("n").alias("all"), F.sum("grams").alias("all_grams")).where((F.col("all") > block) | (F.col("all_grams") > most_grams))
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("grams") / most_grams)).cast("int")
+    return by_class.join(large.select("cluster"), "cluster", "left_semi").select("cluster", "class", blocks.alias("blocks"))
+
+
+def _links(docs: DataFrame, named: DataFrame, shared, n: int, percent: int, id_column: str, text: str, block: int, most_grams: int, kept: int) -> DataFrame:
+    """small, large, safe: enough links within the clusters of `named` (stored; id, cluster, class, size) to tell the components."""
+    one = lambda *parts: F.xxhash64(*parts)
+    large = stored(_blocks(named, block, most_grams), "blocks")
+    dealt = named.join(large, ["cluster", "class"], "left").withColumn("own", F.pmod(F.hash("id"), F.coalesce("blocks", F.lit(1))))
+    dealt = dealt.withColumn("unit", F.when(F.col("blocks").isNull(), one("cluster")).otherwise(one("cluster", "class", "own", F.lit(0))))
+    sets = sets_of(docs, named, shared, n, id_column, text, kept)
+    found = stored(walk(sets.join(dealt.select("id", "unit").distinct(), "id"), percent, kept), "found")
+    if large.isEmpty():
+        return found
+    # What the blocks of a large cluster joined: all outside of its largest part visit the blocks of classes near their own.
+    within = named.join(large.select("cluster").distinct(), "cluster", "left_semi").join(large, ["cluster", "class"]).withColumn("own", F.pmod(F.hash("id"), F.col("blocks")))
+    so_far = components(found.where("safe"), "small", "large")
+    within = stored(within.join(so_far, "id", "left").withColumn("component", F.coalesce("component", "id")), "blocked")
+    parts = within.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    main = parts.groupBy("cluster").agg(F.max(F.struct("n", (-F.col("component")).alias("least"))).alias("top")).select("cluster", (-F.col("top.least")).alias("component"))
+    outside = within.join(main, ["cluster", "component"], "left_anti").select("cluster", "id", "size", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])).alias("class"))
+    outside = stored(outside.join(large, ["cluster", "class"]), "visitors")
+    if outside.isEmpty():
+        return found
+    visits = outside.groupBy("cluster", "class").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("size") / most_grams)).cast("int").alias("groups"))
+    groups = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    guest = outside.join(visits, ["cluster", "class"]).withColumn("group", F.pmod(F.hash("id", F.lit(7)), F.col("groups"))).select("id", "cluster", "class", "group", groups("blocks").alias("own"))
+    home = within.join(visits, ["cluster", "class"]).select("id", "cluster", "class", "own", groups("groups").alias("group"))
+    units = guest.select("id", "cluster", "class", "own", "group").union(home.select("id", "cluster", "class", "own", "group")).select("id", one("cluster", "class", "own", F.col("group") + 1).alias("unit")).distinct()
+    again = sets_of(docs, stored(within.select("id").distinct(), "blocked-ids"), shared, n, id_column, text, kept)
+    return found.union(stored(walk(again.join(units, "id"), percent, kept), "visits"))
+
+
+def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85, common: int = 4, block: int = 1000, most_grams: int = 1 << 20, heavy: int = 256, most_heavy: int = 1 << 16, most_words: int = 1 << 22) -> DataFrame:
     """One row per document: id_column, n_shingles, component_id.
 
     component_id is the least id reachable by links (100 * intersection >= percent * union). Texts without words have no n-grams and
-    link with nothing; null ids are dropped from links and keep themselves (null); rows that repeat an id count as copies of
-    it; an empty table gives an empty result."""
+    link with nothing; null ids are dropped from links and keep themselves (null); rows that repeat an id are one document, which
+    has the links of all its texts; an empty table gives an empty result.
+
+    A task holds the sets of at most `block` documents and about most_grams n-grams (twice as many where blocks are visited), or of
+    two documents if these are longer. common, heavy, most_heavy, most_words: see common_grams()."""
     spark = docs.sparkSession
     docs = docs.select(id_column, text)
-    own = stored(profile(docs, n, id_column, text), "profiles")
-    copies = own.where("n_shingles > 0 and id is not null").groupBy("sig_a", "sig_b").agg(F.min("id").alias("rep"))
-    copies = stored(copies, "classes")
-    order = spark.sparkContext.broadcast(common_grams(docs, n, percent, text, common, most_common))
-    prefixes = postings(docs.where(F.col(id_column).isNotNull()), order, n, percent, id_column, text)
-    prefixes = prefixes.join(copies.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    groups = prefixes.select("id", "size", F.posexplode("prefix").alias("place", "gram"))
+    order = spark.sparkContext.broadcast(common_grams(docs, n, percent, text, common, most_words, heavy, most_heavy))
+    own = stored(profile(docs, order, n, percent, id_column, text), "profiles")
+    live = own.where("n_shingles > 0 and id is not null")
+    copies = stored(live.groupBy("sig_a", "sig_b").agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "classes")
+    # Rows other than the first of their class; a class's least id may be repeated, too.
+    several = copies.where("rows > 1").select("sig_a", "sig_b", "rep")
+    hint = F.broadcast if small_enough(several, MOST_IDS) else lambda d: d
+    marked = live.join(hint(several), ["sig_a", "sig_b"], "left")
+    single = marked.where("rep is null").select("id", F.col("n_shingles").alias("size"), "prefix")
+    first = marked.where("rep = id").select("sig_a", "sig_b", "id", F.col("n_shingles").alias("size"), "prefix").dropDuplicates(["sig_a", "sig_b"]).drop("sig_a", "sig_b")
+    groups = single.union(first).withColumn("class", size_class(F.col("size"), percent)).select("id", "class", F.inline("prefix"))
     met = stored(_shared(groups), "postings")
-    _release(spark)
-    del prefixes, groups
-    _release(spark)
-    named = stored(clusters(met, percent, limit), "clusters")
-    _release(spark)
-    links = _links(docs, named, order, n, percent, id_column, text, block)
-    _release(spark)
-    so_far = components(links, "small", "large").withColumnRenamed("id", "rep")
-    whole = own.join(copies, ["sig_a", "sig_b"], "left").join(so_far, "rep", "left")
-    return whole.select(F.col("id").alias(id_column), "n_shingles", F.coalesce("component", "rep", "id").alias("component_id"))
+    cluster = clusters(met, percent)
+    sizes = live.select("id", F.col("n_shingles").alias("size")).distinct().withColumn("class", size_class(F.col("size"), percent))
+    named = stored(cluster.join(sizes, "id"), "clusters")
+    dropped(met)
+    options = (order, n, percent, id_column, text, block, most_grams)
+    found = _links(docs, named, *options, KEPT)
+    sure, close = found.where("safe").select("small", "large"), found.where(~F.col("safe")).select("small", "large")
+    if not close.isEmpty():
+        again = components(close, "small", "large").select("id", F.col("component").alias("cluster"))
+        sure = sure.union(_links(docs, stored(again.join(sizes, "id"), "close"), *options, 8).select("small", "large"))
+    whole = own.drop("prefix").join(copies.drop("rows"), ["sig_a", "sig_b"], "left")
+    again = stored(own.where("id is not null").groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id"), "repeated-ids")
+    repeated = not again.isEmpty()
+    if repeated:
+        sure = sure.union(whole.where("rep is not null").join(again, "id", "left_semi").select(F.least("id", "rep"), F.greatest("id", "rep")))
+    so_far = components(sure, "small", "large")
+    whole = whole.join(so_far.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    label = F.coalesce("component", "rep", "id")
+    if repeated:  # a repeated id's rows without words have the label of its others
+        whole = whole.join(so_far.select("id", F.col("component").alias("by_id")), "id", "left")
+        label = F.coalesce("component", "by_id", "rep", "id")
+    return whole.select(F.col("id").alias(id_column), "n_shingles", label.alias("component_id"))
 
 
 def _shared(groups: DataFrame) -> DataFrame:
-    """The rows whose gram at least two documents have: groups are ordered by gram in each task, single rows fall out."""
-    parts = groups.select("gram", "id", "size", "place").repartition("gram").sortWithinPartitions("gram")
+    """gram, id, class of the n-grams that at least two documents have: single rows fall out of each task's sorted rows. The
+    documents of heavy n-grams, which all have company, are dealt by their salt, too."""
+    parts = groups.select("gram", "salt", "id", "class").repartition("gram", "salt").sortWithinPartitions("gram")
 
     def run(batches):
         last, spare = None, None  # the gram before, and its row while it stands alone
         for b in batches:
             if not b.num_rows:
                 continue
-            g = b.column(0).to_numpy(zero_copy_only=False)
+            g, heavy = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False) > 0
             same = g[1:] == g[:-1]
-            keep = np.zeros(len(g), bool)
+            keep = heavy.copy()
             keep[1:] |= same
             keep[:-1] |= same
             if last is not None and g[0] == last:
@@ -365,7 +396,8 @@ def _shared(groups: DataFrame) -> DataFrame:
                 if spare is not None:
                     yield spare
             alone = not keep[-1]
+            b = b.select(["gram", "id", "class"])
             spare, last = (b.slice(len(g) - 1, 1) if alone else None), g[-1]
             yield b.filter(pa.array(keep))
 
-    return parts.mapInArrow(run, "gram long, id long, size int, place int")
+    return parts.mapInArrow(run, "gram long, id long, class int")

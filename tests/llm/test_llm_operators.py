@@ -196,13 +196,35 @@ def copies():
     return rows + [(i, t) for i, t in EDGE[:5]]
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 25, "common": 2}, {"block": 7, "common": 10**6, "most_common": 1, "limit": 10}])
+@pytest.mark.parametrize("options", [{}, {"block": 25, "common": 2}, {"block": 7, "common": 10**6, "heavy": 1}, {"block": 9, "most_grams": 500, "most_heavy": 3, "heavy": 5, "most_words": 1024}])
 def test_join_equals_brute_force(spark, copies, options):
     docs = spark.createDataFrame(copies, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(docs, **options).collect()}
     assert got == brute(copies)
 
 
+@pytest.mark.parametrize("n, percent", [(5, 80), (2, 100), (1, 60)])
+def test_join_with_other_thresholds(spark, copies, n, percent):
+    docs = spark.createDataFrame(copies, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(docs, n=n, percent=percent, block=20).collect()}
+    assert got == brute(copies, n, percent)
+
+
+def test_join_of_repeated_ids(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words)), (1, "quite another text of its own"), (2, " ".join([*words[:39], "x"])), (3, "quite another text of its own"), (3, None)]
+    got = Counter((r["doc_id"], r["component_id"]) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter({(1, 1): 2, (2, 1): 1, (3, 1): 2})
+
+
+def test_short_hashes_leave_close_links_open():
+    """Two large sets share thousands of short hashes by chance; such links are never called safe."""
+    rng = np.random.default_rng(3)
+    a, b = (np.unique(rng.integers(0, 2**16, 40_000, dtype=np.uint16)) for _ in range(2))
+    got = list(jaccard.links_of([a, b], 25, kept=2))
+    assert got and not any(safe.any() for _, _, safe in got)
+
+
 def test_join_edges(spark, edge):
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(edge).collect())
     assert got == Counter([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (6, 1, 6), (6, 1, 6), (None, 2, None)])
