@@ -1,21 +1,25 @@
 """N-gram Jaccard join over prefix trees.
 
-Documents become sets of hashed word n-grams. All sets are sorted by one global order: rare n-grams first, by hash, then
-the common ones (a Bloom filter of bounded size tells them; any filter gives the same links). Two sets that link share an
-n-gram among the first n - ceil(threshold * n) + 1 of each, so only documents that meet at such an n-gram are candidates.
-
-Candidates form clusters. Sizes are cut in classes so wide that a link never crosses more than one border; within an
-n-gram and class all documents are joined to the least one, and neighbouring classes by their least ones. All of this is
-minima by key, aggregated before the shuffle, so an n-gram that all documents hold needs no task of its own. Every link
-lies within a cluster. A task stores the sets of a cluster in a trie in the global order and walks it with one vector of
-overlaps with all of the task's sets: sets that begin alike share the overlaps of what they share, and a subtree is left
-when no other set can reach the wanted overlap with what remains. Only links that join something leave the task.
+Documents become sets of hashed word n-grams, sorted by one global order: rare n-grams first, by hash, then the common ones
+(a Bloom filter of bounded size tells them; any filter gives the same links). Three steps narrow down who may link:
+
+1. Two sets that link share at least m n-grams among the first n - ceil(threshold * n) + m of each. With m = 1 + n // SHARE (and
+   two n-grams more for sets whose m differ), a document that has fewer than m of them in company links with none.
+2. What is left is cut in hash parts, more of them than two sets that link can differ by: some part must be equal in both. Sizes
+   are cut in classes so wide that a link never crosses more than one border, and each two neighbouring classes have their
+   own number of parts. All documents of a part are joined to the least one, which gives clusters; every link lies within one.
+   Sharing passages doesn't make parts equal, so clusters hold near copies and little else.
+3. A task stores the sets of a cluster in a trie in the global order and walks it with one vector of overlaps with all of the
+   task's sets: sets that begin alike share the overlaps of what they share, and a subtree is left when no other set can reach
+   the wanted overlap with what remains. Only links that join something leave the task.
 
 Large clusters are dealt by size class and hash to blocks of bounded bytes, which are walked first. Most of a large cluster
 is then one component; only the documents outside of it go on to the other blocks of their own and the neighbouring size
 classes, since two documents of the same component need no further link. So near copies are never compared block by block.
 
-Equal sets are one class from the start (its least id stands for it). No pair of candidates is ever a row."""
+Equal sets are one class from the start (its least id stands for it). Whatever is grouped by an n-gram or part is counted, or
+its least id taken, before the shuffle, or dealt by a salt, so that one that all documents hold needs no task of its own. No pair
+of candidates is ever a row."""
 
 from __future__ import annotations
 
@@ -32,6 +36,8 @@ from .components import components
 #: Bytes kept of each n-gram hash when sets travel to be verified. Short hashes can only add matches, so no link is lost;
 #: links that a few matches fewer (`margin`) would undo are verified again with all 8 bytes.
 KEPT = 4
+#: See step 1.
+SHARE = 32
 #: Ids that may be broadcast, 8 bytes each; more are joined by shuffling.
 MOST_IDS = 2_000_000
 
@@ -72,6 +78,10 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def share_of(percent: int) -> int:
+    return SHARE if percent >= 10 else 1 << 40
+
+
 def ordered(s: np.ndarray, common: Bloom) -> np.ndarray:
     """A set (sorted by hash) in the global order."""
     late = common.holds(s)
@@ -119,7 +129,7 @@ def profile(docs: DataFrame, shared, n: int, percent: int, id_column: str, text:
             for s in _sets(b.column(1), n):
                 sig = signature(s)
                 rows.append((len(s), *sig))
-                own = ordered(s, order)[: prefix_length(len(s), percent)]
+                own = ordered(s, order)[: prefix_length(len(s), percent) + len(s) // share_of(percent) + 2]
                 prefix.append(own)
                 at = np.minimum(np.searchsorted(heavy, own), max(len(heavy) - 1, 0))
                 salt.append((heavy[at] == own).astype(np.int32) * (1 + sig[0] % salts) if len(heavy) else np.zeros(len(own), np.int32))
@@ -229,17 +239,28 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shared, n: int, id_column: str,
     return source.withColumn("h", F.xxhash64("id")).mapInArrow(run, "id long, grams binary")
 
 
+def _width(percent: int) -> float:
+    return -math.log(min(percent, 99.999) / 100) * (1 + 1e-9)
+
+
+def class_of(size: int, percent: int) -> int:
+    return math.floor(math.log(size) / _width(percent)) if size else 0
+
+
+def size_limit(base: int, percent: int) -> float:
+    """What all sizes of a class are below."""
+    return math.exp((base + 1) * _width(percent)) * (1 + 1e-9)
+
+
 def size_class(size: Column, percent: int) -> Column:
     """Classes of sizes: if percent * larger <= 100 * smaller, the two are at most one class apart."""
-    if percent >= 100:
-        return size.cast("int")
-    return F.floor(F.log(size.cast("double")) / (-math.log(percent / 100) * (1 + 1e-9))).cast("int")
+    return F.floor(F.log(size.cast("double")) / _width(percent)).cast("int")
 
 
 def walk(sets: DataFrame, percent: int, kept: int) -> DataFrame:
     """small, large, safe from rows unit, id, grams (a task holds one unit's sets at a time): links that join what no link
     before joined; of those that aren't safe, a forest that connects what the safe ones leave apart."""
-    parts = sets.select("unit", "id", "grams").repartition("unit").sortWithinPartitions("unit", "id")
+    dealt = sets.select("unit", "id", "grams").repartition("unit").sortWithinPartitions("unit", "id")
 
     def joined(label: np.ndarray, i: int, near: np.ndarray) -> list[int]:
         """Of `near`, one place for each label other than i's, all of which become i's."""
@@ -278,17 +299,58 @@ def walk(sets: DataFrame, percent: int, kept: int) -> DataFrame:
                 raw.append(g)
         yield found()
 
-    return parts.mapInArrow(run, "small long, large long, safe boolean")
+    return dealt.mapInArrow(run, "small long, large long, safe boolean")
+
+
+def parts(s: np.ndarray, percent: int, base: int, limit: float, order: Bloom) -> np.ndarray:
+    """Keys of the parts of a set in the join of size classes `base` and base + 1, whose smaller set is below `limit`.
+
+    Two sets that link differ by at most `apart`, so of apart + 1 + spare parts, spare + 1 are equal. A set with no more than
+    `spare` parts of fewer than two n-grams thus needs the others only; where both have more, they meet at an n-gram of
+    their prefixes."""
+    apart = int((100 - percent) / percent * limit + 1e-6)
+    if not apart:
+        return s[:0]  # only equal sets link
+    spare = apart // 5
+    k = apart + 1 + spare
+    where = ((mix(s ^ U(0x94D049BB133111EB)) >> U(32)) * U(k) >> U(32)).astype(np.int64)
+    rank = np.argsort(where, kind="stable")
+    where = where[rank]
+    first = np.flatnonzero(np.diff(where, prepend=-1))
+    n = np.diff(first, append=len(s))
+    content = np.add.reduceat(mix(s[rank]), first)
+    full = n > 1
+    keys = mix(content[full] + mix(where[first[full]].astype(U) + U(base + 1 << 32)))
+    if k - np.count_nonzero(full) > spare:
+        keys = np.concatenate([keys, mix(ordered(s, order)[: prefix_length(len(s), percent)] ^ mix(U(base + 1 << 40)))])
+    return keys
+
+
+def clusters(docs: DataFrame, wanted: DataFrame, shared, n: int, percent: int, id_column: str, text: str) -> DataFrame:
+    """id, cluster (stored) of the ids of `wanted` (stored) that share a part with another."""
+    bloom = docs.sparkSession.sparkContext.broadcast(Bloom.of(wanted.select(F.xxhash64("id")), wanted.count()))
 
+    def run(batches):
+        (order, _), seen = shared.value, bloom.value
+        for b in batches:
+            own = b.filter(pa.array(seen.holds(b.column(2).to_numpy(zero_copy_only=False).view(U))))
+            keys = []
+            for s in _sets(own.column(1), n):
+                c = class_of(len(s), percent)
+                keys.append(np.concatenate([parts(s, percent, k, size_limit(k, percent), order) for k in (c - 1, c)]) if len(s) else s)
+            ids = np.repeat(own.column(0).to_numpy(zero_copy_only=False), [len(k) for k in keys])
+            flat = np.concatenate([*keys, np.zeros(0, U)]).view(np.int64)
+            for lo in range(0, len(flat), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(flat[lo : lo + (1 << 16)]), pa.array(ids[lo : lo + (1 << 16)])], names=["key", "id"])
 
-def clusters(met: DataFrame, percent: int) -> DataFrame:
-    """id, cluster from rows gram, id, class: see the module's text."""
-    least = stored(met.groupBy("gram", "class").agg(F.min("id").alias("least"), F.count("*").alias("rows")), "least")
-    more = met.join(least.where("rows > 1"), ["gram", "class"]).where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
-    above = least.select("gram", (F.col("class") - 1).alias("class"), F.col("least").alias("b"))
-    next_ = least.select("gram", "class", F.col("least").alias("a")).join(above, ["gram", "class"]).where("a <> b").select("a", "b")
-    out = components(more.union(next_).distinct()).select("id", F.col("component").alias("cluster"))
-    dropped(least)
+    source = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string")).where("id is not null")
+    keys = source.withColumn("h", F.xxhash64("id")).mapInArrow(run, "key long, id long")
+    hint = F.broadcast if small_enough(wanted, MOST_IDS) else lambda d: d
+    keys = stored(keys.join(hint(wanted.select("id").distinct()), "id", "left_semi"), "parts")
+    least = keys.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1").select("key", "least")
+    edges = keys.join(least, "key").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
+    out = stored(components(edges).select("id", F.col("component").alias("cluster")), "clusters")
+    dropped(keys)
     return out
 
 
@@ -348,14 +410,14 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n: int
     several = copies.where("rows > 1").select("sig_a", "sig_b", "rep")
     hint = F.broadcast if small_enough(several, MOST_IDS) else lambda d: d
     marked = live.join(hint(several), ["sig_a", "sig_b"], "left")
-    single = marked.where("rep is null").select("id", F.col("n_shingles").alias("size"), "prefix")
-    first = marked.where("rep = id").select("sig_a", "sig_b", "id", F.col("n_shingles").alias("size"), "prefix").dropDuplicates(["sig_a", "sig_b"]).drop("sig_a", "sig_b")
-    groups = single.union(first).withColumn("class", size_class(F.col("size"), percent)).select("id", "class", F.inline("prefix"))
-    met = stored(_shared(groups), "postings")
-    cluster = clusters(met, percent)
+    single = marked.where("rep is null").select("id", "n_shingles", "prefix")
+    first = marked.where("rep = id").dropDuplicates(["sig_a", "sig_b", "id"]).select("id", "n_shingles", "prefix")
+    groups = single.union(first).select("id", "n_shingles", F.inline("prefix"))
+    enough = stored(_shared(groups, percent).groupBy("id").agg(F.count("*").alias("shared"), F.min("least").alias("least")).where("shared >= least").select("id"), "in-company")
+    cluster = clusters(docs, enough, order, n, percent, id_column, text)
     sizes = live.select("id", F.col("n_shingles").alias("size")).distinct().withColumn("class", size_class(F.col("size"), percent))
-    named = stored(cluster.join(sizes, "id"), "clusters")
-    dropped(met)
+    named = stored(cluster.join(sizes, "id"), "named")
+    dropped(enough, cluster)
     options = (order, n, percent, id_column, text, block, most_grams)
     found = _links(docs, named, *options, KEPT)
     sure, close = found.where("safe").select("small", "large"), found.where(~F.col("safe")).select("small", "large")
@@ -376,10 +438,13 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n: int
     return whole.select(F.col("id").alias(id_column), "n_shingles", label.alias("component_id"))
 
 
-def _shared(groups: DataFrame) -> DataFrame:
-    """gram, id, class of the n-grams that at least two documents have: single rows fall out of each task's sorted rows. The
-    documents of heavy n-grams, which all have company, are dealt by their salt, too."""
-    parts = groups.select("gram", "salt", "id", "class").repartition("gram", "salt").sortWithinPartitions("gram")
+def _shared(groups: DataFrame, percent: int) -> DataFrame:
+    """id, least for each n-gram that another document has, too; least: how many of them a document needs.
+
+    Single rows fall out of each task's sorted rows. The documents of heavy n-grams, which all have company, are dealt by their
+    salt, too."""
+    dealt = groups.select("gram", "salt", "id", (1 + F.floor(F.col("n_shingles") / share_of(percent))).cast("int").alias("least"))
+    dealt = dealt.repartition("gram", "salt").sortWithinPartitions("gram")
 
     def run(batches):
         last, spare = None, None  # the gram before, and its row while it stands alone
@@ -396,8 +461,8 @@ def _shared(groups: DataFrame) -> DataFrame:
                 if spare is not None:
                     yield spare
             alone = not keep[-1]
-            b = b.select(["gram", "id", "class"])
+            b = b.select(["id", "least"])
             spare, last = (b.slice(len(g) - 1, 1) if alone else None), g[-1]
             yield b.filter(pa.array(keep))
 
-    return parts.mapInArrow(run, "gram long, id long, class int")
+    return dealt.mapInArrow(run, "id long, least int")
