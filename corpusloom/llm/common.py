@@ -115,8 +115,10 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A new folder's path, with its scheme, so that Spark and Python mean the same place."""
     let_workers_import(spark)
-    return shared.fresh_dir(spark, name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared.fresh_dir(spark, name))
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
 
 
 #: A step's shuffle files go when it is written: later steps read the written table, never the shuffle.
@@ -145,6 +147,13 @@ def dropped(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def unused(name: str, names) -> str:
+    """A column name like `name` that isn't among `names`."""
+    while name in names:
+        name += "_"
+    return name
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether a (stored) frame has at most that many rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows

@@ -50,7 +50,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = language_model.held_out(F.col("doc_id"))
-    scored = language_model.score(docs, language_model.train(docs.where(~out)))
+    scored = language_model.train_and_score(docs, ~out)
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -471,7 +471,7 @@ def test_scores_against_plain_counts(spark, data):
 def test_probabilities_sum_to_one(spark):
     texts = ["a b a b a c", "b a b a", "c c a b", "a b"] * 5
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    trained = language_model.train(docs, context_share=0.01)
+    trained = language_model.train(docs)
     probe = spark.createDataFrame([(i, t) for i, t in enumerate(["", "a", "b", "c", "zz"])], "doc_id long, text string")
     # After the start: the end, a, b, c, and what unknown words share.
     first = {}
@@ -485,6 +485,67 @@ def test_probabilities_sum_to_one(spark):
         logs = reader.logs(2, np.full(len(vocab), ctx), np.arange(len(vocab)), single)
         rest = reader.logs(2, np.array([ctx]), np.array([-1]), model.unigram(np.zeros(1)))
         assert abs((10**logs).sum() + (10**rest).sum() - 1) < 0.05  # 8-bit steps
+    for pair in range(model.entries(2)):  # level 3, over level 2
+        last = np.full(len(vocab), reader.words_at(2, np.array([pair]))[0])
+        lower = reader.logs(2, last, np.arange(len(vocab)), single)
+        logs = reader.logs(3, np.full(len(vocab), pair), np.arange(len(vocab)), lower)
+        rest = reader.logs(3, np.array([pair]), np.array([-1]), reader.logs(2, last[:1], np.array([-1]), model.unigram(np.zeros(1))))
+        assert abs((10**logs).sum() + (10**rest).sum() - 1) < 0.05
+
+
+def brute_scores(train, probe, least=2, d=language_model.DISCOUNT):
+    """log10 probabilities by plain counting; None is the end."""
+    one = Counter(w for ws in train for w in ws)
+    n, v = sum(one.values()), len(one)
+    known = {w for w, c in one.items() if c >= least or w is None}
+    two = Counter(p for ws in train for p in zip([None, *ws], ws) if set(p) <= known)  # noqa: B905
+    two = {p: c for p, c in two.items() if c >= least}
+    three = Counter(t for ws in train for t in zip([None, *ws], ws, ws[1:]) if t[:2] in two and t[1:] in two)  # noqa: B905
+    three = {t: c for t, c in three.items() if c >= least}
+    kept2, kept3 = defaultdict(float), defaultdict(float)
+    for p, c in two.items():
+        kept2[p[0]] += c - d
+    for t, c in three.items():
+        kept3[t[:2]] += c - d
+
+    def p1(w):
+        return (one[w] + 1) / (n + v + 1)
+
+    def p2(a, w):
+        if a not in kept2:
+            return p1(w)
+        return (max(two.get((a, w), 0) - d, 0) + (one[a] - kept2[a]) * p1(w)) / one[a]
+
+    def p3(a, b, w):
+        if (a, b) not in kept3:
+            return p2(b, w)
+        return (max(three.get((a, b, w), 0) - d, 0) + (two[a, b] - kept3[a, b]) * p2(b, w)) / two[a, b]
+
+    for ws in probe:
+        seq = [None, *ws]
+        yield sum(math.log10(p2(None, w) if i == 0 else p3(seq[i - 1], seq[i], w)) for i, w in enumerate(ws))
+
+
+@pytest.mark.parametrize("shard_rows", [2_000_000, 500])
+def test_scores_against_brute_force(spark, data, shard_rows):
+    docs = docs_of(spark, data).select("doc_id", "text")
+    texts = {r["doc_id"]: [*(r["text"] or "").encode().lower().split(), None] for r in docs.collect()}
+    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    want = dict(zip(texts, brute_scores([ws for i, ws in texts.items() if not out[i]], texts.values()), strict=True))
+    got = {r["doc_id"]: r["score"] for r in language_model.train_and_score(docs, ~language_model.held_out(F.col("doc_id")), shard_rows=shard_rows).collect()}
+    # 8 bits over some 6 decades: half a step is 0.013 a token.
+    assert all(abs(got[i] - want[i]) <= 0.02 * len(texts[i]) for i in texts)
+    assert abs(sum(got.values()) - sum(want.values())) < 0.003 * sum(map(len, texts.values()))
+    model, shards = language_model.train(docs.where(~language_model.held_out(F.col("doc_id"))), shard_rows=shard_rows)
+    apart = {r["doc_id"]: r["score"] for r in language_model.score(docs, (model, shards)).collect()}
+    assert all(math.isclose(apart[i], got[i], rel_tol=1e-9, abs_tol=1e-9) for i in got)
+
+
+def test_wide_keys_give_the_same_model(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(["a b a b a c", "b a b a", "c c a b", "a b"] * 5)), "doc_id long, text string")
+    plain = [r["score"] for r in language_model.score(docs, language_model.train(docs)).orderBy("doc_id").collect()]
+    monkeypatch.setattr(language_model.Model, "wide", lambda self, level: True)
+    assert plain == [r["score"] for r in language_model.score(docs, language_model.train(docs)).orderBy("doc_id").collect()]
 
 
 def test_language_model_keeps_rare_ngrams_at_any_size(spark):
