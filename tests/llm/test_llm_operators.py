@@ -430,6 +430,29 @@ def test_plans_place_every_piece_once(hist):
     assert placed == Counter({k: int(v) for k, v in enumerate(hist) if v})
 
 
+@pytest.mark.parametrize("text", [" " * 5_000_000, "a" * 5_000_000, "x" + "\n" * 200_000 + "y", "<|endoftext|> a"])
+def test_encoder_on_long_runs(text):
+    from tokenizers import Tokenizer
+
+    enc = packing.encoder("byte_bpe_50k.json")
+    want = Tokenizer.from_file(enc.path).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(enc.ids(text), "<u4").tolist() == want
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=150))
+def test_plans_need_no_more_than_best_fit_decreasing(lengths):
+    room = []  # of each open sequence
+    for x in sorted(lengths, reverse=True):
+        fits = [r for r in room if r >= x]
+        if fits:
+            room.remove(min(fits))
+            room.append(min(fits) - x)
+        else:
+            room.append(64 - x)
+    assert sum(n for _, n in packing.plan(np.bincount(lengths, minlength=65), 64)) <= len(room)
+
+
 def test_plans_fill_sequences_with_short_pieces():
     size, rng = 2048, np.random.default_rng(8)
     equal, short, hot = (np.zeros(size + 1, np.int64) for _ in range(3))
