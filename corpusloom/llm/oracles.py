@@ -15,9 +15,9 @@ SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id FROM docum
 _NORMAL = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP10 = f"""WITH i AS (SELECT item_id, {_NORMAL} AS w FROM benchmark),
-v AS (SELECT DISTINCT item_id, least(13, len(w)) AS k, array_to_string(w[p:p + least(13, len(w)) - 1], ' ') AS g FROM i, range(1, 20000) r(p) WHERE len(w) > 0 AND p <= len(w) - least(13, len(w)) + 1),
+v AS (SELECT DISTINCT item_id, least(13, len(w)) AS k, array_to_string(w[p:p + least(13, len(w)) - 1], ' ') AS g FROM i, unnest(range(1, len(w) + 1)) r(p) WHERE len(w) > 0 AND p <= len(w) - least(13, len(w)) + 1),
 d AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE {_NORMAL} END AS w FROM documents),
-m AS (SELECT doc_id, p, k.k, array_to_string(w[p:p + k.k - 1], ' ') AS g FROM d, (SELECT DISTINCT k FROM v) k, range(1, 100000) r(p) WHERE p <= len(w) - k.k + 1),
+m AS (SELECT doc_id, p, k.k, array_to_string(w[p:p + k.k - 1], ' ') AS g FROM d, (SELECT DISTINCT k FROM v) k, unnest(range(1, len(w) + 1)) r(p) WHERE p <= len(w) - k.k + 1),
 h AS (SELECT m.doc_id, m.p, m.k, v.item_id FROM m JOIN v ON m.k = v.k AND m.g = v.g),
 c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM h) GROUP BY doc_id),
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
@@ -31,16 +31,24 @@ OP3 = f"""WITH u AS (SELECT page_id, coalesce(translate(regexp_extract({_REST},
 coalesce(regexp_extract({_REST}, '^[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
 r AS (SELECT *, CASE WHEN {_FITS.format('example.net', '/en/')} THEN 'example.net/en/' WHEN {_FITS.format('example.com', '/de/')} THEN 'example.com/de/' WHEN {_FITS.format('org', '/fr/')} THEN 'org/fr/' WHEN {_FITS.format('net', '/')} THEN 'net/' END AS rule,
 list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '[0-9]') OR length(s) > 40 THEN '*' ELSE s END) AS seg FROM u),
-g AS (SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 1 WHEN rule IS NOT NULL THEN 0 END AS good, coalesce(seg[1], '') AS s, array_to_string(seg[2:], '/') AS t FROM r),
-leaf AS (SELECT host, s, t, count(good) AS k, coalesce(sum(good), 0) AS good FROM g GROUP BY ALL),
-branch AS (SELECT host, s, sum(k) AS k, sum(good) AS good FROM leaf GROUP BY ALL),
-root AS (SELECT host, sum(k) AS hk, sum(good) AS hg FROM branch GROUP BY ALL),
-z AS (SELECT *, (hg + 0.5) / (hk + 1.0) AS pool FROM branch JOIN root USING (host)),
-b AS (SELECT host, s, k, good, hk, hg, CASE WHEN k > 0 AND hk - k > 0 AND abs((good + 0.5) / (k + 1.0) - (hg - good + 0.5) / (hk - k + 1.0)) / sqrt(pool * (1 - pool) * (1 / (k + 1.0) + 1 / (hk - k + 1.0))) < 1.96 THEN '*' ELSE s END AS b FROM z),
-up AS (SELECT host, b, CASE WHEN sum(k) > 0 THEN (sum(good) + 2.0 * (any_value(hg) + 2.0) / (any_value(hk) + 2.0)) / (sum(k) + 2.0) ELSE 1.0 END AS up FROM b GROUP BY ALL),
-tree AS (SELECT host, b, t, (sum(leaf.good) + 2.0 * any_value(up)) / (sum(leaf.k) + 2.0) AS purity FROM leaf JOIN b USING (host, s) JOIN up USING (host, b) GROUP BY ALL)
-SELECT page_id, host, path, rule, CASE WHEN host = '' THEN '' ELSE '/' || b || CASE WHEN t <> '' THEN '/' || t ELSE '' END END AS template, round(purity, 6)::DOUBLE AS purity,
-CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN purity < 0.35 THEN 'block' ELSE 'allow' END AS verdict
-FROM g JOIN b USING (host, s) JOIN tree USING (host, b, t)"""
+g AS (SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 1 WHEN rule IS NOT NULL THEN 0 END AS good, array_to_string(seg, '/') AS leaf FROM r),
+leaf AS (SELECT host, leaf, any_value(seg) AS seg, count(good) AS k, coalesce(sum(good), 0) AS good FROM g GROUP BY host, leaf),
+a AS (SELECT (coalesce(sum(good), 0) + 1.0::DOUBLE) / (coalesce(sum(k), 0) + 2.0::DOUBLE) AS m FROM leaf),
+steps AS (SELECT host, leaf, k, good, i AS level, seg[i] AS segment, array_to_string(seg[1:i - 1], '/') AS parent FROM leaf, unnest(range(1, len(seg) + 1)) t(i)),
+node AS (SELECT host, parent, segment, sum(k) AS k, sum(good) AS good FROM steps GROUP BY ALL),
+alike AS (SELECT host, parent, k, good, count(*) AS members, (good + 0.5::DOUBLE) / (k + 1.0::DOUBLE) AS share FROM node GROUP BY ALL),
+z AS (SELECT *, lag(k) OVER w AS bk, lag(good) OVER w AS bg, lag(share) OVER w AS bs, (good + bg + 1.0::DOUBLE) / (k + bk + 2.0::DOUBLE) AS pool FROM alike WINDOW w AS (PARTITION BY host, parent ORDER BY share, k)),
+br AS (SELECT host, parent, k, good, members, sum(CASE WHEN (share - bs) / sqrt(pool * (1 - pool) * (1 / (k + 1.0::DOUBLE) + 1 / (bk + 1.0::DOUBLE))) >= 1.96 THEN 1 ELSE 0 END) OVER (PARTITION BY host, parent ORDER BY share, k ROWS UNBOUNDED PRECEDING) AS branch FROM z),
+sz AS (SELECT host, parent, branch, sum(members) AS size FROM br GROUP BY ALL),
+named AS (SELECT node.host, node.parent, segment, CASE WHEN size > 1 THEN '*' || branch::BIGINT ELSE segment END AS name FROM node JOIN br USING (host, parent, k, good) JOIN sz USING (host, parent, branch)),
+names AS (SELECT host, leaf, list(name ORDER BY level) AS names FROM steps JOIN named USING (host, parent, segment) GROUP BY host, leaf),
+l2 AS (SELECT host, leaf, k, good, coalesce(names, []) AS names, '/' || array_to_string(coalesce(names, []), '/') AS template FROM leaf LEFT JOIN names USING (host, leaf)),
+tree AS (SELECT host, template, k, good, i AS level, array_to_string(names[1:i], '/') AS prefix FROM l2, unnest(range(0, len(names) + 1)) t(i)),
+stat AS (SELECT host, level, prefix, sum(k) AS k, sum(good) AS good FROM tree GROUP BY ALL),
+walk AS (SELECT host, template, list(struct_pack(k := k, good := good) ORDER BY level) AS nodes FROM (SELECT DISTINCT host, template, level, prefix FROM tree) JOIN stat USING (host, level, prefix) GROUP BY host, template),
+down AS (WITH RECURSIVE go AS (SELECT host, template, nodes, 0 AS i, (SELECT m FROM a) AS p FROM walk UNION ALL SELECT host, template, nodes, i + 1, (nodes[i + 1].good + 2.0::DOUBLE * p) / (nodes[i + 1].k + 2.0::DOUBLE) FROM go WHERE i < len(nodes)) SELECT host, template, p AS purity FROM go WHERE i = len(nodes))
+SELECT page_id, host, path, rule, CASE WHEN host = '' THEN '' ELSE template END AS template, round(purity, 6)::DOUBLE AS purity,
+CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN purity < 0.2 THEN 'block' ELSE 'allow' END AS verdict
+FROM g JOIN l2 USING (host, leaf) JOIN down USING (host, template)"""
 
 ORACLE_SQL = {"op3_url_templates": OP3, "op4_jaccard": OP4, "op10_contamination": OP10}

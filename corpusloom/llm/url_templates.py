@@ -1,14 +1,20 @@
 """URL filter by path-template trees; DataFrame functions only.
 
-Per host the path's segments form a tree. Segments with digits become `*`; sibling branches whose labelled shares
-don't differ significantly are merged into `*` too; a template is rejected when the smoothed share of allowed
-pages among its labelled ones is below `min_purity`."""
+Per host the path's segments form a tree, of any depth; segments with digits become `*`. At every node the children are put in
+the order of their labelled shares; neighbours in that order whose shares a two-proportion z-test doesn't tell apart are merged
+into one branch, so children without labels join those of little evidence. A template's purity is that of its last node, each
+node's share being smoothed towards its parent's, the host's towards that of all hosts; templates below `min_purity` are rejected.
+
+Children enter the order as classes of equal counts, so a node with very many children has few rows there; all else are
+sums by key, aggregated before the shuffle, and joins that adaptive execution can split."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: (verdict, host suffix, path prefix)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
@@ -42,43 +48,60 @@ def segments(path: Column) -> Column:
     return F.transform(parts, lambda s: F.when(s.rlike("[0-9]") | (F.length(s) > 40), F.lit("*")).otherwise(s))
 
 
-def judge(pages: DataFrame, url: str = "url", label: str | None = None, rules=RULES, alpha: float = 2.0, min_purity: float = 0.35, z_max: float = 1.96) -> DataFrame:
+def judge(pages: DataFrame, url: str = "url", label: str | None = None, rules=RULES, alpha: float = 2.0, min_purity: float = 0.2, z_max: float = 1.96) -> DataFrame:
     """Add host, path, rule, template, purity and verdict.
 
     `label`: optional boolean column (true: wanted). Where it is null or not given, the rules' verdicts serve as labels.
-    A template's purity is (wanted + alpha * m) / (labelled + alpha), where m is the same figure of its parent node, and
-    that of the root is (wanted + alpha) / (labelled + alpha) over its host: unlabelled branches stay. Siblings merge
-    when a two-proportion z-test doesn't tell them apart (or one has no labels).
+    A node's purity is (wanted + alpha * m) / (labelled + alpha), where m is its parent's, and for a host the share of
+    wanted ones among all labelled pages, (wanted + 1) / (labelled + 2). A merged branch is named by its place among its
+    parent's, like `*0`, the least pure one first.
     Null or malformed urls have host, path and template '' and no rule; ties and repeated rows each get the same verdict;
-    an empty table gives an empty result; input columns named like the added ones are replaced."""
+    an empty table gives an empty result; input columns named like the added ones are replaced, others of any name pass through."""
     made = ["host", "path", "rule", "template", "purity", "verdict"]
-    host, path = host_of(F.col(url)), path_of(F.col(url))
-    rule, said = rule_of(F.col("__host"), F.col("__path"), rules)
-    base = pages.withColumn("__host", host).withColumn("__path", path).withColumn("__rule", rule).withColumn("__said", said)
-    by_rule = F.when(F.col("__said") == "allow", F.lit(1)).when(F.col("__said") == "block", F.lit(0))
-    good = F.coalesce(F.col(label).cast("int"), by_rule) if label else by_rule
-    base = base.withColumn("__good", good).withColumn("__top", F.coalesce(F.get(segments(F.col("__path")), F.lit(0)), F.lit(""))).withColumn("__tail", F.array_join(F.slice(segments(F.col("__path")), 2, 10_000), "/"))
-
-    counted = [F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum("good").alias("good")]
-    leaf = base.groupBy(F.col("__host").alias("h"), F.col("__top").alias("s"), F.col("__tail").alias("t")).agg(F.count("*").alias("n"), F.count("__good").alias("k"), F.coalesce(F.sum("__good"), F.lit(0)).alias("good"))
-    # One row per (host, first segment, tail); a host's few totals come from a second, already aggregated pass.
-    branch = leaf.groupBy("h", "s").agg(*counted)
-    root = branch.groupBy("h").agg(F.sum("n").alias("hn"), F.sum("k").alias("hk"), F.sum("good").alias("hgood"))
-    rate = lambda g, k: (g + 0.5) / (k + 1.0)
-    other_k, other_g = F.col("hk") - F.col("k"), F.col("hgood") - F.col("good")
-    pooled = rate(F.col("hgood"), F.col("hk"))
-    z = F.abs(rate(F.col("good"), F.col("k")) - rate(other_g, other_k)) / F.sqrt(pooled * (1 - pooled) * (1 / (F.col("k") + 1.0) + 1 / (other_k + 1.0)))
-    alike = (F.col("k") > 0) & (other_k > 0) & (z < z_max)
-    branch = branch.join(root, "h").withColumn("b", F.when(alike, F.lit("*")).otherwise(F.col("s")))
-    top = (F.col("hgood") + alpha) / (F.col("hk") + alpha)
-    merged = branch.groupBy("h", "b").agg(*counted, F.first("hk").alias("hk"), F.first("hgood").alias("hgood"))
-    merged = merged.select("h", "b", F.when(F.col("k") > 0, (F.col("good") + alpha * top) / (F.col("k") + alpha)).otherwise(F.lit(1.0)).alias("up"))
-    leaf = leaf.join(branch.select("h", "s", "b"), ["h", "s"])
-    tree = leaf.groupBy("h", "b", "t").agg(F.sum("k").alias("k"), F.sum("good").alias("good")).join(merged, ["h", "b"])
-    tree = tree.withColumn("purity", (F.col("good") + alpha * F.col("up")) / (F.col("k") + alpha))
-    tree = leaf.select("h", "s", "t", "b").join(tree.select("h", "b", "t", "purity"), ["h", "b", "t"])
-    tree = tree.select("h", "s", "t", "purity", F.concat_ws("/", F.lit(""), "b", F.when(F.col("t") != "", F.col("t"))).alias("template"))
-    out = base.join(tree, (base["__host"] == tree["h"]) & (base["__top"] == tree["s"]) & (base["__tail"] == tree["t"]), "left")
-    verdict = F.coalesce(F.col("__said"), F.when(F.col("purity") < min_purity, F.lit("block")).otherwise(F.lit("allow")))
-    keep = [F.col(f"`{c}`") for c in pages.columns if c not in made]
-    return out.select(*keep, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.when(F.col("__host") != "", tree["template"]).otherwise(F.lit("")).alias("template"), tree["purity"].alias("purity"), verdict.alias("verdict"))
+    base = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
+    rule, said = rule_of(F.col("host"), F.col("path"), rules)
+    base = base.withColumn("rule", rule).withColumn("said", said).withColumn("segments", segments(F.col("path")))
+    by_rule = F.when(F.col("said") == "allow", 1).when(F.col("said") == "block", 0)
+    base = base.withColumn("good", F.coalesce(F.col("row").getField(label).cast("int"), by_rule) if label else by_rule)
+    base = base.withColumn("leaf", F.array_join("segments", "/"))
+
+    counts = [F.sum("k").alias("k"), F.sum("good").alias("good")]
+    leaf = base.groupBy("host", "leaf").agg(F.count("good").alias("k"), F.coalesce(F.sum("good"), F.lit(0)).cast("long").alias("good"))
+    leaf = stored(leaf.withColumn("segments", F.filter(F.split("leaf", "/"), lambda s: s != "")), "leaves")
+    total = leaf.agg(*counts).first()
+    everywhere = ((total["good"] or 0) + 1.0) / ((total["k"] or 0) + 2.0)
+
+    # Nodes of the raw tree, and the branch that each is merged into.
+    steps = leaf.select("host", "leaf", "k", "good", F.posexplode("segments").alias("level", "segment"), "segments")
+    steps = steps.select("host", "leaf", "k", "good", "level", "segment", F.array_join(F.slice("segments", F.lit(1), F.col("level")), "/").alias("parent"))
+    node = stored(steps.groupBy("host", "parent", "segment").agg(*counts), "nodes")
+    share = lambda g, k: (g + 0.5) / (k + 1.0)
+    alike = node.groupBy("host", "parent", "k", "good").agg(F.count("*").alias("members"))
+    order = Window.partitionBy("host", "parent").orderBy(share(F.col("good"), F.col("k")), "k")
+    before_k, before_good = F.lag("k").over(order), F.lag("good").over(order)
+    pooled = (F.col("good") + before_good + 1.0) / (F.col("k") + before_k + 2.0)
+    z = (share(F.col("good"), F.col("k")) - share(before_good, before_k)) / F.sqrt(pooled * (1 - pooled) * (1 / (F.col("k") + 1.0) + 1 / (before_k + 1.0)))
+    alike = alike.withColumn("new", F.when(z >= z_max, 1).otherwise(0))
+    alike = alike.withColumn("branch", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    size = alike.groupBy("host", "parent", "branch").agg(F.sum("members").alias("size"))
+    alike = alike.select("host", "parent", "k", "good", "branch").join(size, ["host", "parent", "branch"])
+    named = node.join(alike, ["host", "parent", "k", "good"])
+    named = named.select("host", "parent", "segment", F.when(F.col("size") > 1, F.concat(F.lit("*"), F.col("branch").cast("string"))).otherwise(F.col("segment")).alias("name"))
+
+    # The merged tree: each leaf's names, the counts of their prefixes, and the walk down from the host.
+    names = steps.select("host", "leaf", "level", "parent", "segment").join(named, ["host", "parent", "segment"])
+    names = names.groupBy("host", "leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "name"))), lambda x: x["name"]).alias("names"))
+    leaf = leaf.select("host", "leaf", "k", "good").join(names, ["host", "leaf"], "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    leaf = stored(leaf.withColumn("template", F.concat(F.lit("/"), F.array_join("names", "/"))), "templates")
+    prefixes = F.explode(F.transform(F.sequence(F.lit(0), F.size("names")), lambda i: F.struct(i.alias("level"), F.array_join(F.slice("names", F.lit(1), i), "/").alias("prefix"))))
+    tree = leaf.select("host", "template", "k", "good", prefixes.alias("p")).select("host", "template", "k", "good", "p.level", "p.prefix")
+    stat = tree.groupBy("host", "level", "prefix").agg(*counts)
+    walk = tree.select("host", "template", "level", "prefix").distinct().join(stat, ["host", "level", "prefix"])
+    walk = walk.groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("level", "k", "good"))).alias("nodes"))
+    purity = F.aggregate("nodes", F.lit(everywhere), lambda m, x: (x["good"] + alpha * m) / (x["k"] + alpha))
+    found = leaf.select("host", "leaf", "template").join(walk.select("host", "template", purity.alias("purity")), ["host", "template"])
+
+    out = base.join(found.select(F.col("host").alias("h"), F.col("leaf").alias("l"), "template", "purity"), (F.col("host") == F.col("h")) & (F.col("leaf") == F.col("l")))
+    verdict = F.coalesce("said", F.when(F.col("purity") < min_purity, F.lit("block")).otherwise(F.lit("allow")))
+    keep = [F.col("row").getField(c).alias(c) for c in pages.columns if c not in made]
+    return out.select(*keep, "host", "path", "rule", F.when(F.col("host") != "", F.col("template")).otherwise(F.lit("")).alias("template"), "purity", verdict.alias("verdict"))

@@ -156,6 +156,32 @@ def test_urls_reject_bad_templates(spark):
     assert all(got[i] == ("block" if i % 2 else "allow") for i in got)
 
 
+def test_urls_smooth_every_level(spark):
+    """Siblings merge at depth two; unlabelled branches go by their parents; other columns of any name pass through."""
+    rows = [(i, f"http://h.io/s/{'abcd'[i % 4]}/x/{i}", i % 4 < 2) for i in range(200)]
+    rows += [(1000 + i, f"http://h.io/s/new{'xyz'[i % 3]}/{i}", None) for i in range(9)]  # no labels: host and /s are half good
+    rows += [(2000 + i, f"http://bad.io/p/{i}", False) for i in range(40)] + [(3000, "http://bad.io/q/r", None), (4000, "http://else.io/q", None)]
+    pages = spark.createDataFrame([(*r, "k", "k", "k", "k") for r in rows], "page_id long, url string, wanted boolean, h string, s string, t string, row string")
+    got = {r["page_id"]: r for r in url_templates.judge(pages, label="wanted", rules=()).collect()}
+    assert {got[i]["template"] for i in range(200) if i % 4 < 2} == {"/s/*2/x/*"} and {got[i]["template"] for i in range(200) if i % 4 > 1} == {"/s/*0/x/*"}
+    assert all(got[i]["verdict"] == ("allow" if i % 4 < 2 else "block") for i in range(200))
+    assert {got[1000 + i]["template"] for i in range(9)} == {"/s/*1/*"} and all(got[1000 + i]["verdict"] == "allow" for i in range(9))
+    assert got[3000]["verdict"] == "block" and got[4000]["verdict"] == "allow" and got[4000]["s"] == "k"
+    everywhere = (100 + 1) / (240 + 2)
+    at = (everywhere * 2 + 100) / 202  # host
+    at = (at * 2 + 100) / 202  # /s
+    for _ in range(3):  # /s/*2, x, *
+        at = (at * 2 + 100) / 102
+    assert math.isclose(got[0]["purity"], at)
+
+
+def test_urls_of_many_segments(spark):
+    deep = "http://h.io/" + "/".join(f"s{'abcdefghij'[i % 10]}" for i in range(300))
+    pages = spark.createDataFrame([(1, deep, True), (2, deep + "/tail", None)], "page_id long, url string, wanted boolean")
+    got = {r["page_id"]: r["template"] for r in url_templates.judge(pages, label="wanted", rules=()).collect()}
+    assert got[1].count("/") == 300 and got[2].endswith("/tail")
+
+
 # --- 4 Jaccard join
 
 
