@@ -92,12 +92,86 @@ def test_html_main_text(spark):
     assert site_style.extract(none_of(pages)).count() == 0
 
 
+def both_ways(spark, rows, **options):
+    """{page_id: text} with the figures broadcast, which must equal those with the figures joined."""
+    pages = spark.createDataFrame([(*r, "n", "b") for r in rows], "page_id long, url string, html string, ns string, node string")
+    got, joined = (sorted((r["page_id"], r["text"], r["n_chars"], r["ns"]) for r in site_style.extract(pages, **options, **o).collect()) for o in ({}, {"most_nodes": 0}))
+    assert got == joined
+    return {i: t for i, t, _, _ in got}
+
+
 def test_html_site_tree_cuts_what_pages_share(spark):
     rows = [(i, f"http://h/{i}", f"<body><div id=x1>Same words on each page</div><div id=main{i}><p>Own text {i} {i * 7}</p></div></body>") for i in range(8)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    assert {r["text"] for r in site_style.extract(pages).collect()} == {f"Own text {i} {i * 7}" for i in range(8)}
-    # The way without a broadcast gives the same.
-    assert {r["text"] for r in site_style.extract(pages, most_nodes=0).collect()} == {f"Own text {i} {i * 7}" for i in range(8)}
+    assert set(both_ways(spark, rows).values()) == {f"Own text {i} {i * 7}" for i in range(8)}
+
+
+def test_html_shared_blocks_within_articles_go_but_copies_stay(spark):
+    own = lambda i: f"<p>Body number {i} has words of its own {i * 31}.</p><p>More {i} of it.</p>"
+    rows = [(i, f"http://h/{i}", f"<article><h1>Title {i}</h1><div class=x>Read this on our site</div>{own(i)}</article>") for i in range(12)]
+    rows += [(100 + i, f"http://h/c{i}", f"<article><h1>Copied</h1>{own('x')}<p>{'the same article ' * 9}</p></article>") for i in range(30)]
+    got = both_ways(spark, rows)
+    assert all("Read this" not in t and f"Body number {i} " in t for i, t in got.items() if i < 12)
+    assert {t for i, t in got.items() if i >= 100} == {"Copied\nBody number x has words of its own " + "x" * 31 + ".\nMore x of it.\n" + ("the same article " * 9).strip()}
+
+
+def test_html_branches_of_low_importance_go_whole(spark):
+    """A list that all pages share goes with the item that only one of them has."""
+    items = "".join(f"<li>Link {k}</li>" for k in range(8))
+    rows = [(i, f"http://h/{i}", f"<body><div class=z><ul>{items}{'<li>Only here</li>' * (i == 3)}</ul></div><div class=y><p>Own words {i * 13} of page {i}</p></div></body>") for i in range(20)]
+    assert both_ways(spark, rows) == {i: f"Own words {i * 13} of page {i}" for i in range(20)}
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<html><head><title>t</title><body><p>Hello there</p></body></html>", "Hello there"),
+        ("<head><title>t</title><meta x>Hello there", "Hello there"),
+        ('<div class="main-content sidebar-left"><p>All of the article</p></div><div class=sidebar>x</div>', "All of the article"),
+        ("<div id=share><h1>T</h1><p>" + "All of the article. " * 5 + "</p><div class=ad>buy</div></div><nav>n</nav>", "T\n" + ("All of the article. " * 5).strip()),
+        ("<p>Short text</p><div class=comments><p>" + "a long comment " * 9 + "</p></div>", "Short text"),
+        ("<header>Site</header><article><header><h1>Title</h1></header><p>Text</p></article>", "Title\nText"),
+        ("<div>" * 3000 + "deep" + "</div>" * 3000 + "</b></i>" * 3000, "deep"),
+        ("<p>" + "word " * 300_000 + "</p>", ("word " * 300_000).strip()),
+        ("<p hidden>no</p><p>yes</p>", "yes"),
+    ],
+)
+def test_html_single_pages(spark, page, want):
+    tree = site_style.Page("h", page)
+    assert tree.main_text([None] * len(tree.up), lambda f, a: False) == want
+
+
+def brute_tree(rows):
+    """(node -> (pages, shown, weight, content), block -> importance) of the merged trees, by plain counting."""
+    seen = defaultdict(set)
+    for _, u, p in rows:
+        t = site_style.Page(site_style.host(u), p or "")
+        for node, feature, sort in t.features():
+            seen[node, sort, feature].add(t.identity())
+    nodes, low = {}, {}
+    for (node, sort, _), pages in seen.items():
+        m = len(pages)
+        if sort == 2 and m > 1:
+            per = lambda k: [len(v) for (a, s, _), v in seen.items() if a == node and s == k]  # noqa: B023, E731
+            styles, texts, base = per(1), per(0), math.log(m + 2)
+            entropy = -sum(n / sum(styles) * math.log(n / sum(styles)) for n in styles)
+            weight = 0.9 ** len(styles)
+            content = max(0.0, 1 - sum(n * math.log(n) for n in texts) / sum(texts) / base) if texts else 1.0
+            nodes[node] = (m, (1 - weight) * min(1.0, entropy / base), weight, content)
+            for (a, s, f), v in seen.items():
+                if a == node and s == 0 and len(v) > 1 and 1 - math.log(len(v)) / base < 0.3:
+                    low[f] = 1 - math.log(len(v)) / base
+    return nodes, low
+
+
+def test_html_importance_equals_plain_counts(spark, data):
+    rows = [tuple(r) for r in spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html").limit(60).collect()]
+    rows += [(1000 + i, "http://h/", f"<div>Shared</div><ul>{'<li>x</li>' * i}</ul><p>Own {i}</p>") for i in range(5)] + [(2000, None, None)]
+    nodes, low = site_style.importance(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    want = brute_tree(rows)
+    got = {np.int64(r["node"]).view(np.uint64): tuple(r)[1:] for r in nodes.collect()}
+    assert got.keys() == want[0].keys() and all(np.allclose(got[k], want[0][k]) for k in got)
+    blocks = {np.int64(r["feature"]).view(np.uint64): r["importance"] for r in low.collect()}
+    assert blocks.keys() == want[1].keys() and all(math.isclose(blocks[k], want[1][k], abs_tol=1e-12) for k in blocks)
 
 
 # --- 2 media
