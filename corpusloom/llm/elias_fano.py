@@ -44,7 +44,7 @@ class EliasFano:
 
     def __init__(self, shape: np.ndarray, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
         self.n, self.width, self.first, self.last = shape.tolist()
-        self.low, self.high, self.zeros = low, high, zeros
+        self.low, self.high, self.zeros, self.directory = low, high, zeros, None
 
     @staticmethod
     def build(keys: np.ndarray) -> dict[str, np.ndarray]:
@@ -75,6 +75,16 @@ class EliasFano:
         left -= np.where(which > 0, counts[rows, np.maximum(which - 1, 0)], 0)
         return word * 64 + which * 8 + _NTH[octets[rows, which], left] - k
 
+    def _bucket_ends(self, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places where these buckets of equal high bits begin and end. Many queries decode all ends at once, 4 bytes each."""
+        if self.directory is None and len(bucket) * 24 >= self.n:
+            bits = np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little")
+            zero = np.flatnonzero(bits == 0)
+            self.directory = (zero - np.arange(len(zero))).astype(np.int32 if self.n < 1 << 31 else np.int64)
+        if self.directory is not None:
+            return np.where(bucket > 0, self.directory[bucket - 1], 0).astype(np.int64), self.directory[bucket].astype(np.int64)
+        return np.where(bucket > 0, self._ones_before_zero(np.maximum(bucket - 1, 0)), 0), self._ones_before_zero(bucket)
+
     def at(self, places: np.ndarray) -> np.ndarray:
         """The keys at these places."""
         ones = np.arange(len(self.zeros)) * 64 - self.zeros
@@ -96,8 +106,7 @@ class EliasFano:
             return out
         keys = keys[inside] - self.first
         bucket = (keys >> self.width).astype(np.int64)
-        lo = np.where(bucket > 0, self._ones_before_zero(np.maximum(bucket - 1, 0)), 0)
-        end = self._ones_before_zero(bucket)
+        lo, end = self._bucket_ends(bucket)
         want, hi = keys & ((1 << self.width) - 1), end.copy()
         while (active := np.flatnonzero(lo < hi)).size:
             mid = (lo[active] + hi[active]) >> 1
@@ -111,6 +120,7 @@ class EliasFano:
 
 
 def place(path: str) -> tuple[fs.FileSystem, str]:
+    """(file system, path in it); paths without a scheme are local ones (those of common.fresh_dir have one)."""
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -134,7 +144,7 @@ def load(path: str) -> dict[str, np.ndarray]:
     """The arrays: mapped into memory where the file system is local, else read."""
     where, name = place(path)
     if isinstance(where, fs.LocalFileSystem):
-        raw = np.memmap(name, np.uint8, "r")
+        raw = np.asarray(np.memmap(name, np.uint8, "r"))  # plain views: a memmap object is slow to index
     else:
         with where.open_input_file(name) as f:
             raw = np.frombuffer(f.read(), np.uint8)

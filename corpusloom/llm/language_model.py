@@ -188,16 +188,13 @@ def _opened(file: str):
     return (cut("pointers_"), cut("words_")), parts
 
 
-def _successor(words: EliasFano, lo: np.ndarray, hi: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Place of each word among the successors lo to hi, -1 where it isn't one."""
+def _successor(words: EliasFano, before: np.ndarray, lo: np.ndarray, hi: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Place of each word among the successors lo to hi, -1 where it isn't one; before: the value before lo."""
     out = np.full(len(word), -1, np.int64)
     some = np.flatnonzero(hi > lo)
-    if len(some):
-        lo, hi = lo[some], hi[some]
-        before = np.where(lo > 0, words.at(np.maximum(lo - 1, 0)), 0)
-        at = words.find(word[some] + 1 + before)
-        ok = (at >= lo) & (at < hi)
-        out[some[ok]] = at[ok]
+    at = words.find(word[some] + 1 + before[some])
+    ok = (at >= lo[some]) & (at < hi[some])
+    out[some[ok]] = at[ok]
     return out
 
 
@@ -269,8 +266,9 @@ class Reader:
                 mass[own] = parts["mass"][place] / -6553.5
                 can = np.flatnonzero(word[own] >= 0)
                 u, back = np.unique(place[can], return_inverse=True)
-                lo, hi = pointers.at(u)[back], pointers.at(u + 1)[back]
-                at = _successor(words, lo, hi, word[own[can]])
+                lo, hi = pointers.at(u), pointers.at(u + 1)
+                before = np.where(lo > 0, words.at(np.maximum(lo - 1, 0)), 0)
+                at = _successor(words, before[back], lo[back], hi[back], word[own[can]])
                 entry[own[can]] = np.where(at >= 0, self.first[level][s] + at, -1)
         return entry, mass
 
@@ -288,6 +286,7 @@ def _groups(shard: np.ndarray):
     if len(shard) and (shard == shard[0]).all():
         yield int(shard[0]), np.arange(len(shard))
         return
+    shard = shard.astype(np.int16) if len(shard) and shard.max() < 1 << 15 else shard  # sorted by radix
     order = np.argsort(shard, kind="stable")
     u, first = np.unique(shard[order], return_index=True)
     yield from zip(u.tolist(), np.split(order, first[1:]), strict=False)
@@ -396,7 +395,7 @@ def _counted(docs: DataFrame, level: int, model: Model, shards: dict[int, int])
         for b in batches:
             own, rows = _arrays(b.column(0), kind)
             two = _arrays(b.column(1), pair)[0] if level == 3 else own
-            for lo, hi in _stretches(rows):
+            for lo, hi in _stretches(rows, 1 << 21):
                 a, z, starts = rows[lo], rows[hi], rows[lo:hi] - rows[lo]
                 word, above = own[a:z].astype(np.int64), two[a:z].astype(np.int64)
                 context = np.empty_like(word)
@@ -501,16 +500,17 @@ def _scored(docs: DataFrame, model: Model, shards: dict[int, int]) -> DataFrame:
             for lo, hi in _stretches(rows):
                 a, z, starts = rows[lo], rows[hi], rows[lo:hi] - rows[lo]
                 word, pairs = own[a:z].astype(np.int64), two[a:z].astype(np.int64)
-                u, back = np.unique(word, return_inverse=True)
-                counts = np.where(u < 0, -1 - u, 0)
-                counts[u >= 0] = reader.counts_at(1, u[u >= 0]) if model.n else 0
-                best = model.unigram(counts)[back]
+                hit = pairs >= 0
+                miss = np.flatnonzero(~hit)
+                few = word[miss]
+                counts = np.where(few < 0, -1 - few, 0)
+                counts[few >= 0] = reader.counts_at(1, few[few >= 0]) if model.n else 0
+                best = np.empty(len(word))
+                best[miss] = model.unigram(counts)
                 if model.n:
                     before, above = np.empty_like(word), np.empty_like(word)
                     before[1:], above[1:] = word[:-1], pairs[:-1]
                     before[starts], above[starts] = end, -1
-                    hit = pairs >= 0
-                    miss = np.flatnonzero(~hit)
                     best[miss] += reader.find(2, before[miss], np.full(len(miss), -1))[1]
                     best[hit] = reader.logs_at(2, pairs[hit])
                     # A triple is stored only if its last two words are.
