@@ -11,7 +11,9 @@ stay). Numbers that fail validation, such as version numbers, are left alone."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Kinds in the order in which they are tried at a place; each pattern fits one kind's whole match.
@@ -195,12 +197,25 @@ def pseudonym(m: Column, key: str) -> Column:
     return F.when(F.instr(m, "@") > 0, _email(m, key)).when(whole(DATE), _date(m, key)).when(whole(SSN), _ssn(m, key)).when(whole(PHONE), _phone(m, key)).when(whole(IPV4), _ipv4(m, key)).otherwise(_run(m, key))
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = "corpus-key", into: str | None = None, n_chars: str | None = None) -> DataFrame:
+#: Session setting that holds the secret key. Without it a key that anyone can read here is used, with a warning.
+KEY_SETTING, OPEN_KEY = "spark.corpusloom.pseudonyms.key", "corpus-key"
+
+
+def session_key(spark: SparkSession) -> str:
+    key = spark.conf.get(KEY_SETTING, None)
+    if key is None:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms can be inverted by whoever has this source", stacklevel=3)
+    return key or OPEN_KEY
+
+
+def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None, into: str | None = None, n_chars: str | None = None) -> DataFrame:
     """Replace personal numbers, dates and addresses in `text` (or write the new text to `into`).
 
     Null texts stay null and empty ones empty; texts without a match are returned as they are; repeated rows get equal
     results; other columns, of whatever name, pass through. `n_chars`: a column to update to the new length (formats keep
-    their length, but an IPv4 address may not). Keys are ordinary parameters: pass a secret one."""
+    their length, but an IPv4 address may not). An empty table gives an empty one. The key is the parameter, else the
+    session's KEY_SETTING."""
+    key = session_key(docs.sparkSession) if key is None else key
     col = F.col(f"`{text}`")
     found = F.regexp_extract_all(col, F.lit(ANY), F.lit(0))
     between = F.split(col, ANY, -1)

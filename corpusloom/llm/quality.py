@@ -92,7 +92,8 @@ def fit(x: np.ndarray, good: np.ndarray, at: float = 0.3, partners: int = 16, ri
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
-    return F.crc32(doc_id.cast("string")) % folds == 0
+    """Whether a document is held out; rows without an id aren't."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
 
 
 def learn(docs: DataFrame, labels: DataFrame, at: float = 0.3, sample: int = 12_000) -> Model:

@@ -767,5 +767,26 @@ def test_contamination_edges(spark, edge):
     assert contamination.matches(edge, contamination.automaton(none_of(items))).where("contaminated").count() == 0
     cut = {r["doc_id"]: r["text"] for r in contamination.cut_spans(edge, auto).collect()}
     assert cut[4] == "" and cut[1] is None and cut[6] == EDGE[5][1]
-    with pytest.raises(ValueError):
-        contamination.automaton(items, most_bytes=3)
+    assert {r["spans"]: 1 for r in contamination.cut_spans(edge, auto).collect()} == {"x": 1, None: 1}
+
+
+def test_contamination_in_parts_and_passes(spark):
+    """Items beyond what one part, segment or pass holds, overlapping each other, give the same result."""
+    rng = random.Random(2)
+    w = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(w) for _ in range(rng.choice([3, 12, 13, 14, 40, 200])))) for i in range(40)] + [(40, "one two three"), (40, "one two three")]
+    docs = []
+    for d in range(60):
+        parts = [" ".join(rng.choice(w) for _ in range(9))]
+        for _ in range(3):
+            own = rng.choice(items)[1].split()
+            at = rng.randrange(len(own))
+            parts += [" ".join(own[at : at + rng.randrange(1, 40)]), rng.choice(w)]
+        docs.append((d, " ".join(parts)))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {d: brute_hits(t, [(str(i), x) for i, x in items]) for d, t in docs}
+    for options in ({}, {"part_bytes": 300}, {"part_bytes": 300, "most_bytes": 1, "segment": 20}):
+        auto = contamination.automaton(frames[1], **options)
+        assert bool(options.get("most_bytes")) == (len(auto.groups) > 2)
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in contamination.matches(frames[0], auto).collect()}
+        assert got == {d: (n, h, f) for d, (n, h, f) in want.items()}
