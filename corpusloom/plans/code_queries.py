@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import code
 from .registry import query
-from .sql import ASCII, count_of, ratio
+from .sql import WORD_CHARS, count_of, ratio
 
 _LS = r"CASE WHEN text = '' THEN [] ELSE string_split(regexp_replace(text, '\n$', ''), chr(10)) END"
 
@@ -35,20 +35,21 @@ def code_flags(t):
     return docs.select("doc_id", code.is_generated("text").alias("autogenerated"), code.is_config_or_test("text").alias("config_or_test"), code.has_no_keywords("text", "l").alias("has_no_keywords"), code.has_few_assignments("text", "l").alias("has_few_assignments"), code.is_xml("text", "l").alias("is_xml"))
 
 
-_WORDS = rf"(SELECT doc_id, w, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\b\w+\b')) AS w FROM documents WHERE {ASCII}) GROUP BY ALL)"
+_WORDS = f"(SELECT doc_id, w, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[{WORD_CHARS}]+')) AS w FROM documents) GROUP BY ALL)"
 
 
-@query(f"""SELECT doc_id AS id, round(100.0 * max(k) / sum(k), 6)::DOUBLE AS top_word_percent, round(CASE WHEN count(*) >= 2 THEN 100.0 * list_sum(list_reverse_sort(list(k))[:2]) / sum(k) ELSE 0 END, 6)::DOUBLE AS top_two_words_percent FROM {_WORDS} GROUP BY doc_id""")
+@query(f"""SELECT d.doc_id AS id, coalesce(a, 0.0)::DOUBLE AS top_word_percent, coalesce(b, 0.0)::DOUBLE AS top_two_words_percent FROM documents d LEFT JOIN (SELECT doc_id, round(100.0 * max(k) / sum(k), 6) AS a,
+round(CASE WHEN count(*) >= 2 THEN 100.0 * list_sum(list_reverse_sort(list(k))[:2]) / sum(k) ELSE 0 END, 6) AS b FROM {_WORDS} GROUP BY doc_id) USING (doc_id)""")
 def top_words(t):
-    return code.top_words(t("documents").where(~F.col("text").rlike(r"[^\x00-\x7F]")))
+    return code.top_words(t("documents"))
 
 
 _RUNS = r"list_transform(list_concat(regexp_extract_all(text, '[a-zA-Z0-9+/\n=]{64,}'), regexp_extract_all(text, '(?:\\u[0-9a-fA-F]{4}){8,}')), lambda x: length(x))"
 
 
-@query(f"SELECT doc_id, coalesce(list_max(r), 0)::BIGINT AS max_encoded_data_length, {ratio('coalesce(list_sum(r), 0)', 'length(text)')} AS encoded_data_percent FROM (SELECT doc_id, text, list_concat({_RUNS}, list_transform(regexp_extract_all(text, '(?:\\b(?:0x|\\\\x)?[0-9a-fA-F]{{2}}(?:,|\\b\\s*)){{8,}}'), lambda x: length(x))) AS r FROM documents WHERE {ASCII})")
+@query(f"SELECT doc_id, coalesce(list_max(r), 0)::BIGINT AS max_encoded_data_length, {ratio('coalesce(list_sum(r), 0)', 'length(text)')} AS encoded_data_percent FROM (SELECT doc_id, text, list_concat({_RUNS}, list_transform(regexp_extract_all(text, '(?:\\b(?:0x|\\\\x)?[0-9a-fA-F]{{2}}(?:,|\\b\\s*)){{8,}}'), lambda x: length(x))) AS r FROM documents)")
 def encoded_data(t):
-    return code.encoded_data(t("documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))).select("doc_id", "max_encoded_data_length", "encoded_data_percent")
+    return code.encoded_data(t("documents")).select("doc_id", "max_encoded_data_length", "encoded_data_percent")
 
 
 @query()
@@ -61,10 +62,14 @@ def is_html(t):
     return t("pages").withColumn("l", F.lit("HTML")).select("page_id", code.is_html("html", "l").alias("is_html"))
 
 
-@query(r"""SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '(?i)\b(?:licen[sc]ed?\b|copyright\b|\(c\)\s*\d{4}|all rights reserved|spdx-)')), chr(10)) AS code FROM documents WHERE NOT regexp_matches(text, '(?m)^\s*(?:#|//|/?\*+/?|--|;|<!--|-->)*\s*$')""")
+_BAD = r"regexp_matches({0}, '(?i)\b(?:licen[sc]ed?\b|copyright\b|\(c\)\s*\d{{4}}|all rights reserved|spdx-)')"
+_HOLLOW = r"regexp_matches({0}, '^\s*(?:#|//|/?\*+/?|--|;|<!--|-->)*\s*$') AND NOT regexp_matches({0}, '^\s*$')"
+
+
+@query(f"""SELECT doc_id, array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: NOT (bad[i] OR (hollow[i] AND (coalesce(bad[i + 1], false) OR i > 1 AND coalesce(bad[i - 1], false))))), lambda i: l[i]), chr(10)) AS code
+FROM (SELECT doc_id, l, list_transform(l, lambda x: {_BAD.format('x')}) AS bad, list_transform(l, lambda x: {_HOLLOW.format('x')}) AS hollow FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""")
 def license_line_strip(t):
-    docs = t("documents").where(~F.col("text").rlike(r"(?m)^\s*(?:#|//|/?\*+/?|--|;|<!--|-->)*\s*$"))
-    return docs.select("doc_id", code.strip_notices("text").alias("code"))
+    return t("documents").select("doc_id", code.strip_notices("text").alias("code"))
 
 
 @query("SELECT doc_id, CASE WHEN contains(text, 'EICAR-STANDARD-ANTIVIRUS-TEST-FILE') THEN 'Eicar-Signature' WHEN contains(text, 'idiot') THEN 'rude' END AS virus_detection FROM documents")
@@ -83,13 +88,13 @@ def repo_superrow(t):
     return got.select("source", F.sha2("contents", 256).alias("contents"), "files", F.coalesce(F.element_at("lang_distribution", "en"), F.lit(0)).alias("en"))
 
 
-_PATH = "CASE doc_id % 5 WHEN 0 THEN 'README.md' WHEN 1 THEN 'conf/a' || doc_id || '.json' WHEN 2 THEN 'src/m' || doc_id || '.py' WHEN 3 THEN 'src/n' || doc_id || '.txt' ELSE 'src/readme_' || doc_id || '.rst' END"
+_PATH = "CASE doc_id % 5 WHEN 0 THEN 'd' || doc_id || '/README.md' WHEN 1 THEN 'conf/a' || doc_id || '.json' WHEN 2 THEN 'src/m' || doc_id || '.py' WHEN 3 THEN 'src/n' || doc_id || '.txt' ELSE 'src/readme_' || doc_id || '.rst' END"
 
 
 @query(f"""SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY regexp_extract(p, '^(.*/)?[^/]*$', 1), CASE WHEN regexp_matches(lower(regexp_extract(p, '([^/]*)$', 1)), '^(?:readme|license|contributing|changelog)') THEN 0
-WHEN regexp_extract(p, '\\.([^.]*)$', 1) IN ('md', 'txt', 'json', 'yaml', 'toml', 'cfg') THEN 1 ELSE 2 END, lower(regexp_extract(p, '([^/]*)$', 1)), p)::BIGINT AS place FROM (SELECT doc_id, source, {_PATH} || '' AS p FROM documents) WHERE doc_id % 5 <> 0""")
+WHEN regexp_extract(p, '\\.([^.]*)$', 1) IN ('md', 'txt', 'json', 'yaml', 'toml', 'cfg') THEN 1 ELSE 2 END, lower(regexp_extract(p, '([^/]*)$', 1)), p)::BIGINT AS place FROM (SELECT doc_id, source, {_PATH} || '' AS p FROM documents)""")
 def repo_path_order(t):
-    files = t("documents").where("doc_id % 5 <> 0").select("doc_id", "source", F.expr(_PATH).alias("p"))
+    files = t("documents").select("doc_id", "source", F.expr(_PATH).alias("p"))
     return code.path_order(files, "p", "source").select("doc_id", F.col("place").cast("long").alias("place"))
 
 
@@ -118,10 +123,14 @@ def library_concepts(t):
     return code.concepts(files, known)
 
 
-@query(f"SELECT doc_id, len({_LS})::BIGINT AS snippet_lines, 0.0::DOUBLE AS mean_function_lines FROM documents WHERE NOT regexp_matches(text, '(?m)^\\s*(?:async\\s+)?(?:def|function|func|fn)\\b')")
+_COMMENTS = r"len(list_filter(l, lambda x: regexp_matches(x, '^\s*(?:#|//|/\*|\*|--)')))"
+_CODE = rf"(len(list_filter(l, lambda x: NOT regexp_matches(x, '^\s*$'))) - {_COMMENTS})"
+_HEADS = r"len(list_filter(l, lambda x: regexp_matches(x, '^\s*(?:async\s+)?(?:def|function|func|fn)\b')))"
+
+
+@query(f"SELECT doc_id, {ratio(_CODE, _COMMENTS)} AS code_comment_ratio, len(l)::BIGINT AS snippet_lines, {ratio(_CODE, _HEADS)} AS mean_function_lines FROM (SELECT doc_id, {_LS} AS l FROM documents)")
 def comment_ratio(t):
-    docs = t("documents").where(~F.col("text").rlike(r"(?m)^\s*(?:async\s+)?(?:def|function|func|fn)\b"))
-    return code.comment_ratio(docs).select("doc_id", "snippet_lines", "mean_function_lines")
+    return code.comment_ratio(t("documents")).select("doc_id", "code_comment_ratio", "snippet_lines", "mean_function_lines")
 
 
 @query("SELECT 'lang' AS metric, lang AS value, count(*) AS count FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source")

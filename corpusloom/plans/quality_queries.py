@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quality, structure
 from .registry import query
-from .sql import ASCII, count_of, ratio, total, where, words
+from .sql import SENTENCES, WORD_CHARS, count_of, ratio, total, where, words
 
 W = words()
 LINES = "string_split(text, chr(10))"
@@ -30,16 +30,14 @@ def doc_quality_ratios(t):
     return t("documents").select("doc_id", quality.curly_bracket_ratio("text").alias("curly"), spark_count("text", "the").alias("n_the"))
 
 
-@query(rf"SELECT doc_id, len(regexp_extract_all(text, '\b[^.!?]+[.!?]*'))::BIGINT AS sentences FROM documents WHERE {ASCII}")
+@query(f"SELECT doc_id, {SENTENCES} AS sentences FROM documents")
 def sentence_count(t):
-    docs = t("documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return docs.select("doc_id", quality.sentence_count("text").alias("sentences"))
+    return t("documents").select("doc_id", quality.sentence_count("text").alias("sentences"))
 
 
-@query(rf"SELECT doc_id, regexp_matches(text, '(?i)\b(?:idiot|moron|clown)\b') AS bad FROM documents WHERE {ASCII}")
+@query(f"SELECT doc_id, regexp_matches(text, '(?i)(?:^|[^{WORD_CHARS}])(?:idiot|moron|clown)(?:$|[^{WORD_CHARS}])') AS bad FROM documents")
 def bad_words(t):
-    docs = t("documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return docs.select("doc_id", quality.contains_bad_word("text", ["idiot", "moron", "", "clown"]).alias("bad"))
+    return t("documents").select("doc_id", quality.contains_bad_word("text", ["idiot", "moron", "", "clown"]).alias("bad"))
 
 
 @query("SELECT doc_id, lang = 'en' AND (" + " + ".join(f"contains(text, '{w}')::INTEGER" for w in quality.COMMON_EN) + ") >= 2 AS common FROM documents")
@@ -83,7 +81,7 @@ def dup_line_para(t):
 
 
 def _top(n: int) -> str:
-    grams = f"(SELECT doc_id, i, array_to_string(w[i:i + {n - 1}], ' ') AS g FROM (SELECT doc_id, {W} AS w FROM documents), range(1, 40000) r(i) WHERE i <= len(w) - {n - 1})"
+    grams = f"(SELECT doc_id, i, array_to_string(w[i:i + {n - 1}], ' ') AS g FROM (SELECT doc_id, {W} AS w FROM documents), unnest(range(1, len(w) - {n - 2})) r(i))"
     return f"(SELECT doc_id, length(g) * k AS c FROM (SELECT doc_id, g, count(*) AS k, min(i) AS f FROM {grams} GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, f) = 1)"
 
 
@@ -112,11 +110,10 @@ _RW = r"""list_filter(list_transform({w}, lambda x: regexp_replace(regexp_replac
 
 @query(rf"""SELECT doc_id, round((n + len(list_filter(w, lambda x: length(x) <= 3))) / s, 6)::DOUBLE AS mcalpine_eflaw_textstat, round(4.71 * ch / n + 0.5 * n / s - 21.43, 6)::DOUBLE AS automated_readability_index_textstat,
 round(0.0588 * (ch / n * 100) - 0.296 * (s / n * 100) - 15.8, 6)::DOUBLE AS coleman_liau_index_textstat, round(length(regexp_replace(text, '\s', '', 'g')) * 14.69 / 1000, 6)::DOUBLE AS reading_time_textstat
-FROM (SELECT doc_id, text, w, greatest(len(w), 1)::DOUBLE AS n, greatest(len(regexp_extract_all(text, '\b[^.!?]+[.!?]*')), 1)::DOUBLE AS s, {total('w')}::DOUBLE AS ch FROM (SELECT doc_id, text, {_RW} AS w FROM documents WHERE {ASCII}))""")
+FROM (SELECT doc_id, text, w, greatest(len(w), 1)::DOUBLE AS n, greatest({SENTENCES}, 1)::DOUBLE AS s, {total('w')}::DOUBLE AS ch FROM (SELECT doc_id, text, {_RW} AS w FROM documents))""")
 def readability_closed_form(t):
-    docs = t("documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
     names = ("mcalpine_eflaw", "automated_readability_index", "coleman_liau_index", "reading_time")
-    return quality.readability(docs, scores=names).select("doc_id", *[f"{n}_textstat" for n in names])
+    return quality.readability(t("documents"), scores=names).select("doc_id", *[f"{n}_textstat" for n in names])
 
 
 @query()

@@ -25,4 +25,7 @@ def where(items: str, test: str) -> str:
 
 
 KEY = r"""sha256(regexp_replace(lower(text), '[ \n!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]', '', 'g'))"""
-ASCII = r"NOT regexp_matches(text, '[^\x00-\x7F]')"
+#: Characters of words as `\\w` means them, in RE2's classes.
+WORD_CHARS = r"\p{L}\p{M}\p{Nd}\p{Pc}"
+#: Runs without .!? that hold part of a word.
+SENTENCES = rf"len(regexp_extract_all(text, '[^.!?]*[{WORD_CHARS}][^.!?]*'))::BIGINT"
