@@ -71,3 +71,28 @@ def count_of(c: str | Column, needle: str) -> Column:
 
 def without(c: str | Column, pattern: str) -> Column:
     return F.regexp_replace(col(c), pattern, "")
+
+
+def str_to_int(c: str | Column, seed: int = 42) -> Column:
+    """32-bit murmur hash (the third version, for 32-bit machines) of the UTF-8 bytes, as an unsigned number."""
+    low = F.lit(0xFFFFFFFF)
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    times = lambda x, m: (x * (m & 0xFFFF) + F.shiftleft((x * (m >> 16)).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(low)
+    turned = lambda x, r: F.shiftleft(x, r).bitwiseOR(F.shiftright(x, 32 - r)).bitwiseAND(low)
+    mixed = lambda k: times(let(times(k, 0xCC9E2D51), lambda x: turned(x, 15)), 0x1B873593)
+    shifted = lambda h, r: let(h, lambda x: x.bitwiseXOR(F.shiftright(x, r)))
+    raw = F.hex(F.encode(col(c), "utf-8"))
+
+    def number(hexa: Column) -> Column:
+        """Little-endian."""
+        two = lambda i: F.substring(hexa, i, 2)
+        return F.coalesce(F.conv(F.concat(two(7), two(5), two(3), two(1)), 16, 10).cast("long"), F.lit(0).cast("long"))
+
+    def hashed(h: Column) -> Column:
+        n = F.floor(F.length(h) / 2)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(n / 4)), lambda i: F.substring(h, (i * 8 + 1).cast("int"), F.lit(8)))
+        step = lambda s, k: F.when(F.length(k) == 8, (times(let(s.bitwiseXOR(mixed(number(k))), lambda x: turned(x, 13)), 5) + 0xE6546B64).bitwiseAND(low)).otherwise(s.bitwiseXOR(mixed(number(k))))
+        state = F.aggregate(blocks, F.lit(seed).cast("long"), step).bitwiseXOR(n)
+        return shifted(times(shifted(times(shifted(state, 16), 0x85EBCA6B), 13), 0xC2B2AE35), 16)
+
+    return let(raw, hashed)

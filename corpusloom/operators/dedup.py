@@ -6,6 +6,7 @@ removes one removes all) but keeps groups of copies out of the buckets."""
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 from ..functions.text import col, normal_key, shingles
 
 PERMUTATIONS, BANDS, ROWS, THRESHOLD = 112, 14, 8, 0.7
+#: Bands and rows of the search: a document as near as THRESHOLD is met with probability 0.9995 (14 bands of 8 meet 0.56).
+SEARCH_BANDS, SEARCH_ROWS = 28, 4
+#: 32-bit hashes of shingles by name.
+HASHES = {"xxh32": xxhash.xxh32_intdigest, "md5": lambda s: int.from_bytes(hashlib.md5(s.encode()).digest()[:4], "big")}
 
 
 def exact_key(text: str | Column = "text") -> Column:
@@ -62,11 +67,12 @@ def min_hashes(hashes: np.ndarray, multipliers: np.ndarray, stretch: int = 8192)
     return out
 
 
-def signatures(df: DataFrame, text: str = "text", id_column: str = "doc_id", k: int = PERMUTATIONS, shingle: int = 5, seed: int = 42) -> DataFrame:
-    """id, minhashes (array of longs below 2^32), document_length. Texts without words all have the signature of zeros."""
+def signatures(df: DataFrame, text: str = "text", id_column: str = "doc_id", k: int = PERMUTATIONS, shingle: int = 5, seed: int = 42, hashing: str = "xxh32", characters: bool = False) -> DataFrame:
+    """id, minhashes (array of longs below 2^32), document_length. Shingles are of words, or of characters of the text with
+    single spaces. Texts without words all have the signature of zeros."""
 
     def run(batches):
-        a = permutations(k, seed)
+        a, digest, joint = permutations(k, seed), HASHES[hashing], "" if characters else " "
         for b in batches:
             rows, lengths = [], []
             for t in b.column(1).to_pylist():
@@ -74,7 +80,8 @@ def signatures(df: DataFrame, text: str = "text", id_column: str = "doc_id", k:
                 if not w:
                     rows.append(np.zeros(k, np.int64))
                 else:
-                    h = {xxhash.xxh32_intdigest(" ".join(w[i : i + shingle])) for i in range(max(1, len(w) - shingle + 1))}
+                    units = " ".join(w) if characters else w
+                    h = {*map(digest, {joint.join(units[i : i + shingle]) for i in range(max(1, len(units) - shingle + 1))})}
                     rows.append(min_hashes(np.fromiter(h, np.uint64, len(h)), a).astype(np.int64))
                 lengths.append(len(t or ""))
             flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
@@ -103,11 +110,17 @@ def signatures_sql(df: DataFrame, text: str = "text", id_column: str = "doc_id",
 
 
 def band_hashes(sigs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row for each document and band: band, band_hash and what `sigs` has."""
-    hashes = F.array(*[F.xxhash64(F.lit(b), *[F.get("minhashes", F.lit(b * rows + i)) for i in range(rows)]) for b in range(bands)])
+    """One row for each document and band: band, band_hash (60 bits of md5 over the band's hashes) and what `sigs` has."""
+    text = lambda b: F.array_join(F.slice("minhashes", b * rows + 1, rows).cast("array<string>"), ",")
+    hashes = F.array(*[F.conv(F.substring(F.md5(text(b).cast("binary")), 1, 15), 16, 10).cast("long") for b in range(bands)])
     return sigs.select("*", F.posexplode(hashes).alias("band", "band_hash"))
 
 
+def buckets(banded: DataFrame) -> DataFrame:
+    """band, band_hash, docs, first_doc of the buckets that hold at least two documents."""
+    return banded.groupBy("band", "band_hash").agg(F.count("*").alias("docs"), F.min("id").alias("first_doc")).where("docs > 1")
+
+
 def signature_jaccard(a: Column, b: Column) -> Column:
     """Share of equal positions."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.size(a)
@@ -212,12 +225,22 @@ def packed_signature(sigs: DataFrame) -> DataFrame:
     return sigs.select("id", F.unhex(F.array_join(F.transform("minhashes", lambda m: F.lpad(F.hex(m), 8, "0")), "")).alias("packed"))
 
 
-def near_duplicates(queries: DataFrame, index: DataFrame, k: int = 4, bands: int = BANDS, rows: int = ROWS, max_distance: float = 0.3) -> DataFrame:
-    """query_id, neighbor_id, distance, rank: the k nearest by signature among those that share a band, within max_distance."""
-    q = band_hashes(queries, bands, rows).select("band", "band_hash", F.col("id").alias("query_id"), F.col("minhashes").alias("qm"))
-    i = band_hashes(index, bands, rows).select("band", "band_hash", F.col("id").alias("neighbor_id"), F.col("minhashes").alias("im"))
-    met = q.join(i, ["band", "band_hash"]).where("query_id <> neighbor_id").dropDuplicates(["query_id", "neighbor_id"])
-    near = met.select("query_id", "neighbor_id", (1 - signature_jaccard(F.col("qm"), F.col("im"))).alias("distance")).where(F.col("distance") <= max_distance + 1e-9)
+def near_duplicates(queries: DataFrame, index: DataFrame, k: int = 4, bands: int = SEARCH_BANDS, rows: int = SEARCH_ROWS, max_distance: float = 0.3) -> DataFrame:
+    """query_id, neighbor_id, distance, rank: the k nearest by signature among those that share a band, within max_distance.
+
+    Signatures are searched once however many documents share them: queries and index meet as classes, by band without their
+    signatures, which join the distinct pairs. A class then stands for its k + 1 least ids, more can't be among the k nearest."""
+    key = F.md5(F.array_join(F.col("minhashes").cast("array<string>"), ",").cast("binary"))
+    asked, held = (d.select("id", "minhashes", key.alias("key")) for d in (queries, index))
+    qc, ic = (d.groupBy("key").agg(F.first("minhashes").alias("minhashes")) for d in (asked, held))
+    q, i = (band_hashes(d, bands, rows).select("band", "band_hash", F.col("key").alias(n)) for d, n in ((qc, "qk"), (ic, "ik")))
+    pairs = q.join(i, ["band", "band_hash"]).select("qk", "ik").distinct()
+    pairs = pairs.join(qc.select(F.col("key").alias("qk"), F.col("minhashes").alias("qm")), "qk").join(ic.select(F.col("key").alias("ik"), F.col("minhashes").alias("im")), "ik")
+    pairs = pairs.select("qk", "ik", (1 - signature_jaccard(F.col("qm"), F.col("im"))).alias("distance")).where(F.col("distance") <= max_distance + 1e-9)
+    order = F.row_number().over(Window.partitionBy("ik").orderBy("neighbor_id"))  # limited before the shuffle
+    members = held.select(F.col("key").alias("ik"), F.col("id").alias("neighbor_id")).withColumn("place", order).where(F.col("place") <= k + 1).drop("place")
+    best = pairs.join(members, "ik").withColumn("place", F.row_number().over(Window.partitionBy("qk").orderBy("distance", "neighbor_id"))).where(F.col("place") <= k + 1)
+    near = asked.select(F.col("id").alias("query_id"), F.col("key").alias("qk")).join(best, "qk").where("query_id <> neighbor_id").select("query_id", "neighbor_id", "distance")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id")))
     return ranked.where(F.col("rank") <= k)
 
@@ -237,20 +260,31 @@ def optimal_bands(threshold: float = THRESHOLD, k: int = PERMUTATIONS, false_pos
     return best[1], best[2]
 
 
+def _pseudo_random(id_column: str, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(seed), col(id_column)).cast("binary"))
+
+
 def split_queries(df: DataFrame, n: int, id_column: str = "doc_id", seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(n queries, corpus without them) by a seeded pseudo-random order."""
-    queries = df.orderBy(F.xxhash64(col(id_column), F.lit(seed)), id_column).limit(n)
+    queries = df.orderBy(_pseudo_random(id_column, seed), id_column).limit(n)
     return queries, df.join(queries.select(id_column), id_column, "left_anti")
 
 
 def shuffled(df: DataFrame, id_column: str = "doc_id", seed: int = 42) -> DataFrame:
     """Rows in a seeded pseudo-random order."""
-    return df.orderBy(F.xxhash64(col(id_column), F.lit(seed)), id_column)
+    return df.orderBy(_pseudo_random(id_column, seed), id_column)
+
+
+def upsert(store: DataFrame, fresh: DataFrame, on: str = "id", order_by: str | None = None) -> DataFrame:
+    """The store's rows, and for ids that `fresh` has too, its rows; of several the last one by order_by, else by all columns."""
+    order = F.struct(*([order_by] if order_by else []), *fresh.columns)
+    last = fresh.groupBy(F.col(on).alias("__on")).agg(F.max_by(F.struct(*fresh.columns), order).alias("__row")).select("__row.*")
+    return store.join(fresh.select(on).distinct(), on, "left_anti").unionByName(last)
 
 
-def upsert(store: DataFrame, fresh: DataFrame, on: str = "id") -> DataFrame:
-    """The store's rows, and for ids that `fresh` has too, its rows."""
-    return store.join(fresh.select(on).distinct(), on, "left_anti").unionByName(fresh.dropDuplicates([on]))
+def kept_ids(sigs: DataFrame, **options) -> DataFrame:
+    """The ids that fuzzy de-duplication keeps: a manifest to filter other tables of the same documents with."""
+    return sigs.select("id").join(fuzzy_removed(sigs, **options), "id", "left_anti")
 
 
 def manifest_of(spark, k: int = PERMUTATIONS, bits: int = 4096, seed: int = 42) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import shingles
 from ..operators import dedup, repetition
+from ..sources import tables
 from ..sources.shared import fresh_dir, stored
 from ..streaming import online
 from .registry import query
@@ -45,84 +47,144 @@ def word_shingles(t):
     return t("documents").select("doc_id", F.explode(shingles("text")).alias("s")).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("s").alias("first"))
 
 
-_K, _ROWS = 16, 4
+_K = dedup.PERMUTATIONS
 _MINS = ", ".join(f"min({dedup.sql_minhash('h', hi, lo)})::BIGINT AS m{i}" for i, (hi, lo) in enumerate(dedup.limb_multipliers(_K)))
-_SIGS = f"(SELECT id, [{', '.join(f'm{i}' for i in range(_K))}] AS m FROM (SELECT doc_id AS id, {_MINS} FROM (SELECT doc_id, ('0x' || substr(md5(s), 1, 8))::BIGINT AS h FROM {_SHINGLES}) GROUP BY doc_id))"
-_BANDS = f"(SELECT id, m, b AS band, array_to_string(m[b * {_ROWS} + 1:b * {_ROWS} + {_ROWS}], ',') AS key FROM {_SIGS}, range({_K // _ROWS}) r(b))"
+_SIGS = f"(SELECT id, [{', '.join(f'm{i}' for i in range(_K))}] AS m, n FROM (SELECT doc_id AS id, any_value(n) AS n, {_MINS} FROM (SELECT doc_id, n, ('0x' || substr(md5(s), 1, 8))::BIGINT AS h FROM (SELECT s.*, length(text)::BIGINT AS n FROM {_SHINGLES} s JOIN documents USING (doc_id))) GROUP BY doc_id))"
 
 
-@query(f"SELECT id, array_to_string(m, ',') AS minhashes FROM {_SIGS}")
-def minhash_signature(t):
-    return dedup.signatures_sql(t("documents"), k=_K).select("id", F.array_join(F.col("minhashes").cast("array<string>"), ",").alias("minhashes"))
+def _bands(table: str, bands: int, rows: int) -> str:
+    return f"(SELECT *, ('0x' || substr(md5(array_to_string(m[b * {rows} + 1:b * {rows} + {rows}], ',')), 1, 15))::BIGINT AS band_hash FROM (SELECT *, b::INTEGER AS band FROM {table}, range({bands}) r(b)))"
 
 
-def _banded(t):
-    sigs = dedup.signatures_sql(t("documents"), k=_K)
-    keys = F.array(*[F.array_join(F.slice("minhashes", b * _ROWS + 1, _ROWS).cast("array<string>"), ",") for b in range(_K // _ROWS)])
-    return sigs.select("id", "minhashes", F.posexplode(keys).alias("band", "key"))
+_BANDS = _bands(_SIGS, dedup.BANDS, dedup.ROWS)
+_SAME = f"len(list_filter(range(1, {_K + 1}), lambda i: {{}}[i] = {{}}[i])) / {_K}.0"
+_NUMBERS = "array_to_string({}, ',')"
+#: Greedy pivots: in each bucket, by id, a document goes to the first pivot it is similar to, else it becomes one.
+_GREEDY = f"""WITH RECURSIVE sg AS MATERIALIZED (SELECT * FROM {_SIGS}), one AS MATERIALIZED (SELECT m, min(id) AS id FROM sg GROUP BY m),
+bk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY band, band_hash ORDER BY id) AS i, count(*) OVER (PARTITION BY band, band_hash) AS k FROM {_bands('one', dedup.BANDS, dedup.ROWS)}),
+go AS (SELECT band, band_hash, i, [struct_pack(id := id, m := m)] AS piv, NULL::BIGINT AS first_doc, NULL::BIGINT AS removed, NULL::DOUBLE AS similarity FROM bk WHERE i = 1 AND k > 1
+UNION ALL SELECT band, band_hash, i, CASE WHEN hit IS NULL THEN list_append(piv, struct_pack(id := id, m := m)) ELSE piv END, hit.id, CASE WHEN hit IS NOT NULL THEN id END, CASE WHEN hit IS NOT NULL THEN {_SAME.format('hit.m', 'm')} END
+FROM (SELECT go.band, go.band_hash, bk.i, piv, bk.id, bk.m, list_filter(piv, lambda p: {_SAME.format('p.m', 'bk.m')} >= {dedup.THRESHOLD})[1] AS hit FROM go JOIN bk ON go.band = bk.band AND go.band_hash = bk.band_hash AND bk.i = go.i + 1)),
+near AS MATERIALIZED (SELECT DISTINCT first_doc, removed, similarity FROM go WHERE removed IS NOT NULL),
+same AS (SELECT one.id AS first_doc, sg.id AS removed, 1.0::DOUBLE AS similarity FROM sg JOIN one USING (m) WHERE sg.id <> one.id),
+gone AS (SELECT sg.id FROM sg JOIN one USING (m) WHERE one.id IN (SELECT removed FROM near) UNION SELECT removed FROM same) """
 
 
-@query(f"SELECT id, band, md5(key) AS band_hash FROM {_BANDS}")
-def band_hash(t):
-    return _banded(t).select("id", F.col("band").cast("long").alias("band"), F.md5(F.col("key").cast("binary")).alias("band_hash"))
+def _signed(t, **options):
+    return stored(dedup.signatures(t("documents"), hashing="md5", **options), "signatures")
 
 
-@query(f"SELECT band, md5(key) AS band_hash, count(*) AS docs, min(id) AS first_doc FROM {_BANDS} GROUP BY band, key HAVING count(*) > 1")
-def lsh_buckets(t):
-    return _banded(t).groupBy("band", "key").agg(F.count("*").alias("docs"), F.min("id").alias("first_doc")).where("docs > 1").select(F.col("band").cast("long").alias("band"), F.md5(F.col("key").cast("binary")).alias("band_hash"), "docs", "first_doc")
+def _shown(sigs):
+    return sigs.withColumn("minhashes", F.array_join(F.col("minhashes").cast("array<string>"), ","))
 
 
-@query(f"WITH b AS (SELECT * FROM {_BANDS}) SELECT DISTINCT x.id AS a, y.id AS b, round(len(list_filter(range(1, {_K + 1}), lambda i: x.m[i] = y.m[i])) / {_K}.0, 6)::DOUBLE AS jaccard FROM b x JOIN b y ON x.band = y.band AND x.key = y.key AND x.id < y.id")
-def lsh_pairs_jaccard(t):
-    b = _banded(t)
-    x, y = (b.select("band", "key", F.col("id").alias(i), F.col("minhashes").alias(m)) for i, m in (("a", "ma"), ("b", "mb")))
-    return x.join(y, ["band", "key"]).where("a < b").dropDuplicates(["a", "b"]).select("a", "b", dedup.signature_jaccard(F.col("ma"), F.col("mb")).alias("jaccard"))
+@query(f"SELECT id, {_NUMBERS.format('m')} AS minhashes, n AS document_length FROM {_SIGS}")
+def fuzzy_signatures(t):
+    return _shown(dedup.signatures(t("documents"), hashing="md5"))
 
 
-def _signed(t):
-    return stored(dedup.signatures(t("documents")), "signatures")
+@query(f"SELECT id, {_NUMBERS.format('m[:16]')} AS minhashes FROM {_SIGS}")
+def minhash_signature(t):
+    """The same numbers by built-in functions alone."""
+    return _shown(dedup.signatures_sql(t("documents"), k=16))
 
 
-@query()
-def fuzzy_signatures(t):
-    return dedup.signatures(t("documents"))
+_CHARS = r"trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g'))"
+_FOUR = ", ".join(f"min({dedup.sql_minhash('h', hi, lo)})::BIGINT" for hi, lo in dedup.limb_multipliers(4))
 
 
-@query()
+@query(f"SELECT id, array_to_string([{_FOUR}], ',') AS minhashes FROM (SELECT doc_id AS id, ('0x' || substr(md5(c[i:i + 8]), 1, 8))::BIGINT AS h FROM (SELECT doc_id, c, unnest(range(1, greatest(length(c) - 8, 1) + 1)) AS i FROM (SELECT doc_id, {_CHARS} AS c FROM documents))) GROUP BY id")
+def character_signatures(t):
+    return _shown(dedup.signatures(t("documents"), k=4, shingle=9, characters=True, hashing="md5")).drop("document_length")
+
+
+@query(f"SELECT id, band, band_hash, {_NUMBERS.format('m')} AS minhashes FROM {_BANDS}")
+def band_hash(t):
+    return _shown(dedup.band_hashes(_signed(t))).drop("document_length")
+
+
+@query(f"SELECT band, band_hash, count(*) AS docs, min(id) AS first_doc FROM {_BANDS} GROUP BY band, band_hash HAVING count(*) > 1")
+def lsh_buckets(t):
+    return dedup.buckets(dedup.band_hashes(_signed(t)))
+
+
+@query(f"WITH b AS MATERIALIZED (SELECT * FROM {_BANDS}) SELECT DISTINCT x.id AS a, y.id AS b, round({_SAME.format('x.m', 'y.m')}, 6)::DOUBLE AS jaccard FROM b x JOIN b y ON x.band = y.band AND x.band_hash = y.band_hash AND x.id < y.id AND x.id % 100 = 0")
+def lsh_pairs_jaccard(t):
+    """Signature Jaccard of the documents divisible by 100 with later ones of their buckets."""
+    b = dedup.band_hashes(_signed(t)).select("band", "band_hash", "id", "minhashes")
+    x, y = (d.withColumnRenamed("id", i).withColumnRenamed("minhashes", m) for d, i, m in ((b.where("id % 100 = 0"), "a", "ma"), (b, "b", "mb")))
+    return x.join(y, ["band", "band_hash"]).where("a < b").dropDuplicates(["a", "b"]).select("a", "b", dedup.signature_jaccard(F.col("ma"), F.col("mb")).alias("jaccard"))
+
+
+@query(_GREEDY + "SELECT first_doc, removed, round(similarity, 6)::DOUBLE AS similarity FROM near UNION SELECT * FROM same")
 def fuzzy_greedy(t):
     return dedup.fuzzy_pairs(_signed(t))
 
 
-@query()
+@query(_GREEDY + "SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT id FROM gone)")
 def fuzzy_filter(t):
     return dedup.clean(t("documents"), dedup.fuzzy_removed(_signed(t))).drop("text")
 
 
-@query()
+@query(_GREEDY + "SELECT doc_id, lang, source, n_chars, CASE WHEN doc_id IN (SELECT id FROM gone) THEN 'd' ELSE '' END AS duplicate FROM documents")
 def fuzzy_annotate(t):
     return dedup.clean(t("documents"), dedup.fuzzy_removed(_signed(t)), mode="annotate").drop("text")
 
 
-@query()
+@query(_GREEDY + "SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id IN (SELECT id FROM gone)")
 def fuzzy_keep_dups(t):
     return dedup.clean(t("documents"), dedup.fuzzy_removed(_signed(t)), mode="keep").drop("text")
 
 
-@query()
+@query(_GREEDY + "SELECT id FROM sg WHERE id NOT IN (SELECT id FROM gone)")
+def kept_ids(t):
+    return dedup.kept_ids(_signed(t))
+
+
+_WRAP = "18446744073709551616::UHUGEINT"
+_H1 = f"((xor(x::UBIGINT, 9173::UBIGINT)::UHUGEINT * 18397679294719823053::UHUGEINT) % {_WRAP})::UBIGINT"
+_H2 = f"((xor(h, h >> 33)::UHUGEINT * 14181476777654086739::UHUGEINT) % {_WRAP})::UBIGINT"
+
+
+@query(f"SELECT id, string_agg(p::VARCHAR, ',' ORDER BY p) AS bits FROM (SELECT DISTINCT id, (xor(g, g >> 33) % 4096)::INTEGER AS p FROM (SELECT id, {_H2} AS g FROM (SELECT id, {_H1} AS h FROM (SELECT id, unnest(m) AS x FROM {_SIGS})))) GROUP BY id")
 def bitmap_signature(t):
-    return dedup.bitmap_signature(dedup.signatures(t("documents")))
+    """The set bits of each signature's bitmap, the highest bit of a byte first."""
+    hexa = dedup.bitmap_signature(_signed(t)).select("id", F.hex("bitmap").alias("h"))
+    digits = F.transform(F.sequence(F.lit(1), F.length("h")), lambda i: F.conv(F.substring("h", i, F.lit(1)), 16, 10).cast("int"))
+    bits = F.flatten(F.transform(digits, lambda d, i: F.filter(F.array(*[F.when(d.bitwiseAND(F.lit(8 >> k)) > 0, 4 * i + k) for k in range(4)]), lambda x: x.isNotNull())))
+    return hexa.select("id", F.array_join(bits.cast("array<string>"), ",").alias("bits"))
 
 
-@query()
+@query(f"SELECT id, array_to_string(list_transform(m, lambda x: printf('%08X', x)), '') AS packed FROM {_SIGS}")
 def packed_signature(t):
-    return dedup.packed_signature(dedup.signatures(t("documents")))
+    return dedup.packed_signature(_signed(t)).select("id", F.hex("packed").alias("packed"))
 
 
-@query()
+def _nearest(k: int, where: str) -> str:
+    """The k nearest by signature of those that share a band of the search."""
+    return f"""WITH b AS MATERIALIZED (SELECT id, m, band, band_hash FROM {_bands(_SIGS, dedup.SEARCH_BANDS, dedup.SEARCH_ROWS)}), p AS (SELECT DISTINCT x.id AS query_id, y.id AS neighbor_id, 1 - {_SAME.format('x.m', 'y.m')} AS d
+FROM b x JOIN b y ON x.band = y.band AND x.band_hash = y.band_hash AND x.id <> y.id WHERE {where})
+SELECT query_id, neighbor_id, round(d, 6)::DOUBLE AS distance, row_number() OVER (PARTITION BY query_id ORDER BY d, neighbor_id)::INTEGER AS rank FROM p WHERE d <= 0.300000001 QUALIFY rank <= {k}"""
+
+
+@query(_nearest(4, "x.id % 100 = 0"))
 def near_dup_topk(t):
+    """The nearest of all documents to each one whose id is divisible by 100."""
     sigs = _signed(t)
-    one = dedup.classes(sigs)
-    return dedup.near_duplicates(one, one)
+    return dedup.near_duplicates(sigs.where("id % 100 = 0"), sigs)
+
+
+@query(f"""WITH sg AS MATERIALIZED (SELECT * FROM {_SIGS}), tr AS (SELECT x.id AS q, 1 - {_SAME.format('x.m', 'y.m')} AS d FROM sg x JOIN sg y ON x.id % 100 = 0 AND x.id <> y.id WHERE d <= 0.300000001)
+SELECT count(DISTINCT q) AS queries, true AS enough FROM tr""")
+def near_dup_recall(t):
+    """Whether the search finds at least 0.9 of the true nearest documents by signature, over all documents."""
+    sigs = _signed(t)
+    asked = sigs.where("id % 100 = 0")
+    pairs = F.broadcast(asked.select(F.col("id").alias("query"), F.col("minhashes").alias("m"))).join(sigs.select(F.col("id").alias("neighbor"), "minhashes"), F.col("query") != F.col("neighbor"))
+    near = pairs.select("query", "neighbor", (1 - dedup.signature_jaccard(F.col("m"), F.col("minhashes"))).alias("d")).where("d <= 0.300000001")
+    truth = near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d", "neighbor")))
+    found = dedup.near_duplicates(asked, sigs).withColumnsRenamed({"query_id": "query", "neighbor_id": "neighbor"})
+    return repetition.recall_at(truth, found, 4).select("queries", F.coalesce(F.col("recall") >= 0.9, F.lit(True)).alias("enough"))
 
 
 @query()
@@ -133,6 +195,16 @@ def online_dedup(t):
     return docs.sparkSession.read.parquet(f"{path}/signatures").select("id", "document_length", F.col("batch").cast("long").alias("batch"))
 
 
+@query("SELECT doc_id, doc_id % 3 AS part, lang FROM documents")
+def segmented_bands(t):
+    """Rows dealt to numbered segments by a rule, as a partitioned table that is read back segment by segment."""
+    docs = t("documents").select("doc_id", "lang", (F.col("doc_id") % 3).alias("part"))
+    path = fresh_dir(docs.sparkSession, "segments")
+    tables.write(docs, path, partition_by=["part"])
+    spark = docs.sparkSession
+    return tables.merged([spark.read.parquet(f"{path}/part={i}").withColumn("part", F.lit(i).cast("long")) for i in range(3)]).select("doc_id", "part", "lang")
+
+
 @query(f"SELECT doc_id, lang FROM documents WHERE {KEY} NOT IN (SELECT {KEY} FROM documents WHERE doc_id % 10 = 0) QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY doc_id) = 1")
 def new_documents(t):
     old = t("documents").where("doc_id % 10 = 0").select(dedup.exact_key("text").alias("key")).distinct()
@@ -174,7 +246,7 @@ def divergence(t):
 
 
 def _grams(table: str, ident: str, n: int, text: str = "text") -> str:
-    return f"(SELECT {ident} AS id, i - 1 AS pos, array_to_string(w[i:i + {n - 1}], ' ') AS gram FROM (SELECT {ident}, {words(text)} AS w FROM {table}), range(1, 100000) r(i) WHERE i <= len(w) - {n - 1})"
+    return f"(SELECT {ident} AS id, i - 1 AS pos, array_to_string(w[i:i + {n - 1}], ' ') AS gram FROM (SELECT {ident}, {words(text)} AS w FROM {table}), unnest(range(1, len(w) - {n - 2})) r(i))"
 
 
 _RUNS = "SELECT id, min(pos)::BIGINT AS first, (max(pos) + {n})::BIGINT AS last FROM (SELECT id, pos, sum(new) OVER (PARTITION BY id ORDER BY pos) AS run FROM (SELECT id, pos, (pos > coalesce(lag(pos) OVER (PARTITION BY id ORDER BY pos), {low}) + {n})::INTEGER AS new FROM hit)) GROUP BY id, run"
@@ -185,7 +257,10 @@ def repetition_ranges(t):
     return repetition.repeated_ranges(t("documents")).select("id", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
 
 
-@query()
+_DUP50 = f"g AS (SELECT *, count(*) OVER (PARTITION BY gram) AS n, row_number() OVER (PARTITION BY gram ORDER BY id, pos) AS r FROM {_grams('documents', 'doc_id', 50)}), hit AS (SELECT DISTINCT id, unnest(range(pos, pos + 50)) AS q FROM g WHERE n > 1 AND r > 1)"
+
+
+@query(f"WITH {_DUP50}, h AS (SELECT id, list(q) AS q FROM hit GROUP BY id) SELECT doc_id, CASE WHEN q IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(q, i - 1)), lambda i: w[i]), ' ') END AS text FROM (SELECT doc_id, text, {words()} AS w FROM documents) LEFT JOIN h ON id = doc_id")
 def repetition_removal(t):
     return repetition.remove_repetition(t("documents").select("doc_id", "text"))
 
@@ -217,11 +292,31 @@ def latency_percentiles(t):
     return repetition.latency_percentiles(t("events"), "value", "event_type")
 
 
-@query()
+@query("SELECT doc_id, source FROM documents QUALIFY row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) <= 20")
 def query_split(t):
     return dedup.split_queries(t("documents").select("doc_id", "source"), 20)[0]
 
 
+@query("SELECT doc_id, (row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id) - 1)::BIGINT AS place FROM documents")
+def shuffled_order(t):
+    from ..operators import filters
+
+    docs = t("documents").select("doc_id", F.md5(F.concat(F.lit("7:"), "doc_id").cast("binary")).alias("by"))
+    return filters.sequential_id(dedup.shuffled(docs, seed=7), ["by", "doc_id"], "place").drop("by")
+
+
+def _best(threshold: float, k: int) -> str:
+    low, high = f"(i + 0.5) * {threshold} / 200", f"{threshold} + (i + 0.5) * {1 - threshold:.2f} / 200"
+    area = f"sum(0.5 * (1 - pow(1 - pow({low}, r), b)) * {threshold} / 200 + 0.5 * pow(1 - pow({high}, r), b) * {1 - threshold:.2f} / 200)"
+    return f"(SELECT {threshold}::DOUBLE AS threshold, b::INTEGER AS bands, r::INTEGER AS rows FROM range(1, {k + 1}) x(b), range(1, {k + 1}) y(r), range(200) z(i) WHERE b * r <= {k} GROUP BY b, r ORDER BY {area} LIMIT 1)"
+
+
+@query(f"SELECT * FROM {_best(0.8, 64)} UNION ALL SELECT * FROM {_best(0.7, 112)}")
+def optimal_bands(t):
+    rows = [(x, *dedup.optimal_bands(x, k)) for x, k in ((0.8, 64), (0.7, 112))]
+    return t("region").sparkSession.createDataFrame(rows, "threshold double, bands int, rows int")
+
+
 @query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, lang, -1 FROM documents WHERE doc_id % 7 = 0")
 def upsert(t):
     docs = t("documents").select("doc_id", "lang", "n_chars")
@@ -233,15 +328,15 @@ def sketch_manifest(t):
     return dedup.manifest_of(t("region").sparkSession)
 
 
-@query()
+@query(f"SELECT DISTINCT {KEY} AS key FROM documents")
 def exact_dedup_stream(t):
-    """The same store fed by a file stream, a file a batch."""
+    """The same store fed by a file stream, a file a batch: of each key one document stays, that of the file which came first."""
     docs = t("documents").select("doc_id", "text")
     spark = docs.sparkSession
     base = fresh_dir(spark, "stream")
     docs.repartitionByRange(3, "doc_id").write.parquet(f"{base}/in")
     online.run(spark, f"{base}/in", "doc_id long, text string", online.ExactStore(f"{base}/store"), f"{base}/progress")
-    return spark.read.parquet(f"{base}/store/kept").select("doc_id")
+    return spark.read.parquet(f"{base}/store/kept").select(dedup.exact_key("text").alias("key"))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL", digits=6)

@@ -63,7 +63,7 @@ class FuzzyStore:
         sigs = dedup.signatures(batch, self.text, self.id, self.bands * self.rows, seed=self.seed).persist()
         inner = dedup.fuzzy_removed(sigs, threshold=self.threshold, bands=self.bands, rows=self.rows).persist()
         survivors = sigs.join(inner, "id", "left_anti")
-        near = dedup.near_duplicates(survivors, known, self.top, self.bands, self.rows, 1 - self.threshold).persist()
+        near = dedup.near_duplicates(survivors, known, self.top, max_distance=1 - self.threshold).persist()
         found = near.groupBy("query_id").agg(F.array_sort(F.collect_list("neighbor_id")).alias("neighbors"))
         found.write.mode("overwrite").parquet(f"{self.path}/neighbors/batch={batch_id}")
         dropped = inner.union(near.select("query_id")).distinct().select(F.lit(batch_id).cast("long").alias("batch_start"), F.col("id").alias("dropped_query_id"))
