@@ -69,8 +69,8 @@ class EliasFano:
         word = np.searchsorted(self.zeros, k, side="right") - 1
         left = (k - self.zeros[word]).astype(np.int64)
         octets = (~self.high[word]).view(np.uint8).reshape(-1, 8)
-        counts = np.cumsum(_ONES[octets], 1, dtype=np.int64)
-        which = (counts <= left[:, None]).sum(1)
+        counts = np.cumsum(_ONES[octets], 1, dtype=np.uint8)
+        which = (counts <= left[:, None].astype(np.uint8)).sum(1)
         rows = np.arange(len(k))
         left -= np.where(which > 0, counts[rows, np.maximum(which - 1, 0)], 0)
         return word * 64 + which * 8 + _NTH[octets[rows, which], left] - k
@@ -91,8 +91,8 @@ class EliasFano:
         word = np.searchsorted(ones, places, side="right") - 1
         left = (places - ones[word]).astype(np.int64)
         octets = self.high[word].view(np.uint8).reshape(-1, 8)
-        counts = np.cumsum(_ONES[octets], 1, dtype=np.int64)
-        which = (counts <= left[:, None]).sum(1)
+        counts = np.cumsum(_ONES[octets], 1, dtype=np.uint8)
+        which = (counts <= left[:, None].astype(np.uint8)).sum(1)
         rows = np.arange(len(places))
         left -= np.where(which > 0, counts[rows, np.maximum(which - 1, 0)], 0)
         high = word * 64 + which * 8 + _NTH[octets[rows, which], left] - places

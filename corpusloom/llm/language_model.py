@@ -316,7 +316,7 @@ def _packed(numbers: np.ndarray, ends: np.ndarray, kind: np.dtype) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(numbers, kind))]).cast(pa.binary())
 
 
-def _stretches(rows: np.ndarray, most: int = 1 << 19):
+def _stretches(rows: np.ndarray, most: int = 1 << 18):
     """(first, last) rows of about `most` tokens, one row at least; rows: where each ends, from 0 on."""
     lo, n = 0, len(rows) - 1
     while lo < n:
@@ -395,7 +395,7 @@ def _counted(docs: DataFrame, level: int, model: Model, shards: dict[int, int])
         for b in batches:
             own, rows = _arrays(b.column(0), kind)
             two = _arrays(b.column(1), pair)[0] if level == 3 else own
-            for lo, hi in _stretches(rows, 1 << 21):
+            for lo, hi in _stretches(rows, 1 << 20):
                 a, z, starts = rows[lo], rows[hi], rows[lo:hi] - rows[lo]
                 word, above = own[a:z].astype(np.int64), two[a:z].astype(np.int64)
                 context = np.empty_like(word)
