@@ -35,6 +35,11 @@ def keep_tokens(tokens: DataFrame, survivors: DataFrame, on: str) -> DataFrame:
     return tokens.join(survivors.select(on).distinct(), on, "left_semi")
 
 
+def id_counts(rows: DataFrame, on: str) -> DataFrame:
+    """id and count: how many rows each id has."""
+    return rows.groupBy(on).agg(F.count("*").alias("count"))
+
+
 def ml_filter(df: DataFrame, thresholds: dict[str, dict[str, float]], language: str = "lang", ignore_missing: bool = False) -> DataFrame:
     """Per-language thresholds: `x_min` asks x >= v, `x_max` x <= v, any other name x >= v. Language "other" is none of those named.
 

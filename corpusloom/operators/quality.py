@@ -6,13 +6,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import rolling
 from ..functions.text import WS, PUNCT, col, count_of, count_where, lines, n_words, ratio, split_lines, total_length, without, words
 
 #: Symbols, bullets, common English words, ends of sentences.
@@ -20,6 +21,10 @@ SYMBOLS = ("#", "...")
 BULLETS = ("-", "*")
 COMMON_EN = ("the", "and", "to", "that", "of", "with", "be", "have")
 END_PUNCTUATION = (".", "?", "!", '"', "'")
+#: Fixed values of enrichment: ends of paragraphs, an ellipsis near the end of one, marks of list items.
+PARAGRAPH_ENDS = r"[\n\x0B\f\r\x{85}\x{2028}\x{2029}]+"
+ELLIPSIS = r"(?:\.\.\.|\. \. \.|…).{0,15}\s*$"
+BULLET_POINTS = ("●", "•", "*", "-")
 
 
 def word_statistics(df: DataFrame, text: str = "text") -> DataFrame:
@@ -111,7 +116,10 @@ def normalise(text: str | Column, accents: bool = True, digits: bool = True) ->
 
 
 #: Typographic punctuation and its plain form.
-_PLAIN = str.maketrans({"，": ",", "。": ".", "、": ",", "„": '"', "”": '"', "“": '"', "«": '"', "»": '"', "‘": "'", "’": "'", "´": "'", "–": "-", "—": " - ", "…": "...", "！": "!", "？": "?", "：": ":", "；": ";", "（": "(", "）": ")", "【": "[", "】": "]", "％": "%"})
+_PLAIN = str.maketrans({
+    "，": ",", "。": ".", "、": ",", "„": '"', "”": '"', "“": '"', "«": '"', "»": '"', "１": '"', "」": '"', "「": '"', "《": '"', "》": '"', "´": "'", "∶": ":", "：": ":", "？": "?", "！": "!",
+    "（": "(", "）": ")", "；": ";", "–": "-", "—": " - ", "．": ". ", "～": "~", "’": "'", "…": "...", "━": "-", "〈": "<", "〉": ">", "【": "[", "】": "]", "％": "%", "►": "-",
+})
 
 
 def _repeated(items: Column) -> tuple[Column, Column]:
@@ -128,26 +136,42 @@ def repeated_lines(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumns({"dup_line_frac": ratio(ln, F.size(ls)), "dup_line_char_frac": ratio(lc, size), "dup_para_frac": ratio(pn, F.size(ps)), "dup_para_char_frac": ratio(pc, size)})
 
 
-def top_gram_chars(ws: Sequence[str], n: int) -> int:
-    """Characters of all occurrences of the commonest n-gram; of equally common ones the first."""
-    grams = [" ".join(ws[i : i + n]) for i in range(len(ws) - n + 1)]
-    if not grams:
-        return 0
-    gram, times = Counter(grams).most_common(1)[0]
-    return len(gram) * times
-
-
-def repeated_gram_chars(ws: Sequence[str], n: int) -> int:
-    """Characters of n-grams met before, reading from left to right and skipping past each repeat."""
-    seen, total, i = set(), 0, 0
-    while i + n <= len(ws):
-        gram = "".join(ws[i : i + n])
-        if gram in seen:
-            total, i = total + len(gram), i + n
-        else:
-            seen.add(gram)
-            i += 1
-    return total
+class Grams:
+    """n-grams of a list of words by 64-bit hashes: of the words in order, or of their characters without the spaces."""
+
+    def __init__(self, ws: Sequence[str]):
+        self.sizes = np.fromiter(map(len, ws), np.int64, len(ws))
+        self.ends = np.concatenate([[0], np.cumsum(self.sizes)])
+        number: dict[str, int] = {}
+        self.by_word = rolling(np.array([number.setdefault(w, len(number)) + 1 for w in ws], np.uint64))
+        self.by_character = rolling(np.frombuffer("".join(ws).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
+
+    def top_chars(self, n: int) -> int:
+        """Characters, spaces included, of all occurrences of the commonest n-gram; of equally common ones the first."""
+        first = np.arange(len(self.sizes) - n + 1)
+        if not len(first):
+            return 0
+        _, at, times = np.unique(self.by_word(first, first + n), return_index=True, return_counts=True)
+        most = times.max()
+        at = int(at[times == most].min())
+        return int(self.ends[at + n] - self.ends[at] + n - 1) * int(most)
+
+    def repeated_chars(self, n: int) -> int:
+        """Characters of n-grams met before, reading from left to right and skipping past each repeat."""
+        first = np.arange(len(self.sizes) - n + 1)
+        if not len(first):
+            return 0
+        keys = self.by_character(self.ends[first], self.ends[first + n])
+        if len(np.unique(keys)) == len(keys):
+            return 0
+        seen, total, i, keys = set(), 0, 0, keys.tolist()
+        while i < len(keys):
+            if keys[i] in seen:
+                total, i = total + int(self.ends[i + n] - self.ends[i]), i + n
+            else:
+                seen.add(keys[i])
+                i += 1
+        return total
 
 
 def gram_repetition(df: DataFrame, text: str = "text", tokenize: Callable[[str], list[str]] = str.split) -> DataFrame:
@@ -158,8 +182,8 @@ def gram_repetition(df: DataFrame, text: str = "text", tokenize: Callable[[str],
     def run(s: pd.Series) -> pd.DataFrame:
         rows = []
         for t in s:
-            ws = tokenize(t) if t else []
-            rows.append([None] * 9 if t is None else [0.0] * 9 if not t else [top_gram_chars(ws, n) / len(t) for n in (2, 3, 4)] + [repeated_gram_chars(ws, n) / len(t) for n in range(5, 11)])
+            g = Grams(tokenize(t) if t else [])
+            rows.append([None] * 9 if t is None else [0.0] * 9 if not t else [g.top_chars(n) / len(t) for n in (2, 3, 4)] + [g.repeated_chars(n) / len(t) for n in range(5, 11)])
         return pd.DataFrame(rows, columns=names, dtype="float64")
 
     return df.withColumn("__r", run(col(text))).select("*", *[F.col(f"__r.{n}").alias(n) for n in names]).drop("__r")
@@ -189,7 +213,9 @@ def syllables(word: Column) -> Column:
 def readability(df: DataFrame, text: str = "text", scores: Sequence[str] = ("mcalpine_eflaw",), easy_words: Sequence[str] = COMMON_EN) -> DataFrame:
     """Published readability formulas, by name. Words are white-space runs, sentences as in sentence_count (one at least).
 
-    difficult_words are words of two syllables or more that aren't in `easy_words`, which callers replace by a full list."""
+    difficult_words are words of two syllables or more that aren't in `easy_words`, for which callers pass the published list;
+    Dale-Chall's and Spache's scores depend on it. text_standard is the grade that most of the other scores give, rounded and
+    rounded up; of equally frequent grades the first in the order of the published consensus."""
     w = F.transform(words(text), lambda x: F.regexp_replace(x, f"^[{PUNCT}]+|[{PUNCT}]+$", ""))
     base = df.withColumn("__w", F.filter(w, lambda x: x != "")).withColumn("__n", F.greatest(F.size("__w"), F.lit(1)).cast("double")).withColumn("__s", F.greatest(sentence_count(text), F.lit(1)).cast("double"))
     base = base.withColumn("__y", F.transform("__w", syllables)).withColumn("__ch", total_length(F.col("__w")).cast("double"))
@@ -205,10 +231,18 @@ def readability(df: DataFrame, text: str = "text", scores: Sequence[str] = ("mca
     dale = 0.1579 * (100.0 * hard / n) + 0.0496 * n / s + F.when(100.0 * hard / n > 5, 3.6365).otherwise(0.0)
     linsear0 = (n - poly + 3.0 * poly) / s
     linsear = F.when(linsear0 > 20, linsear0 / 2).otherwise((linsear0 - 2) / 2)
+    ease = 206.835 - 1.015 * n / s - 84.6 * sy / n
+    two = lambda x: F.array(F.round(x).cast("int"), F.ceil(x).cast("int"))
+    bands = F.when((ease < 100) & (ease >= 90), F.array(F.lit(5)))
+    for low, grades in ((80, (6,)), (70, (7,)), (60, (8, 9)), (50, (10,)), (40, (11,)), (30, (12,))):
+        bands = bands.when((ease < low + 10) & (ease >= low), F.array(*map(F.lit, grades)))
+    grades = F.concat(two(kincaid), bands.otherwise(F.array(F.lit(13))), *[two(x) for x in (smog, coleman, ari, dale, linsear, fog)])
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    standard = let(grades, lambda g: let(F.transform(g, lambda x: F.size(F.filter(g, lambda y: y == x))), lambda c: F.element_at(g, F.array_position(c, F.array_max(c)).cast("int"))))
     known = {
         "flesch_ease": 206.835 - 1.015 * n / s - 84.6 * sy / n, "flesch_kincaid": kincaid, "gunning_fog": fog, "smog_index": smog, "coleman_liau_index": coleman,
         "automated_readability_index": ari, "dale_chall_readability_score": dale, "difficult_words": hard.cast("double"), "linsear_write_formula": linsear,
-        "text_standard": (kincaid + fog + smog + coleman + ari + dale + linsear) / 7, "spache_readability": 0.121 * n / s + 0.082 * (100.0 * hard / n) + 0.659,
+        "text_standard": standard.cast("double"), "spache_readability": 0.121 * n / s + 0.082 * (100.0 * hard / n) + 0.659,
         "mcalpine_eflaw": (n + mini) / s, "reading_time": F.length(F.regexp_replace(col(text), r"\s", "")) * 14.69 / 1000,
     }
     return base.withColumns({f"{k}_textstat": known[k] for k in scores}).drop("__w", "__n", "__s", "__y", "__ch")
@@ -221,8 +255,8 @@ def enrichment(df: DataFrame, text: str = "text", tokenize: Callable[[str], list
     """Counts, means, character-class ratios and repetition of paragraphs and n-grams. Rows that fail get zeros, a mean
     word length of -1 and the error's text."""
     t = col(text)
-    ps = F.filter(F.split(t, r"[\r\n]+"), lambda p: p != "")
-    flat = F.regexp_replace(t, r"[\r\n]+", "")
+    ps = F.filter(F.split(t, PARAGRAPH_ENDS), lambda p: p != "")
+    flat = F.regexp_replace(t, PARAGRAPH_ENDS, "")
     n, k, chars = n_words(text).cast("long"), F.size(ps).cast("long"), F.length(flat).cast("long")
     share = lambda p: ratio(F.regexp_count(flat, F.lit(p)), chars)
     out = df.withColumns({
@@ -230,7 +264,7 @@ def enrichment(df: DataFrame, text: str = "text", tokenize: Callable[[str], list
         "avg_word_length": ratio(F.length(F.regexp_replace(t, WS, "")), n), "avg_paragraph_length_chars": ratio(chars, k), "avg_paragraph_length_words": ratio(n, k),
         "alphanumeric_char_ratio": share(r"[\p{L}\p{N}]"), "control_char_ratio": share(r"[\p{C}&&[^\t]]"), "punctuation_char_ratio": share(r"\p{P}"), "other_symbol_char_ratio": share(r"\p{S}"),
         "tabs_word_ratio": ratio(count_of(text, "\t"), n), "hashes_word_ratio": ratio(count_of(text, "#"), n),
-        "ellipsis_ratio": ratio(count_where(ps, lambda p: F.rtrim(p).rlike(r"(?:\.\.\.|…)$")), k), "bulletpoint_ratio": ratio(count_where(ps, lambda p: F.ltrim(p).rlike(r"^[-*•‣▶●◦■]")), k),
+        "ellipsis_ratio": ratio(count_where(ps, lambda p: p.rlike(ELLIPSIS)), k), "bulletpoint_ratio": ratio(count_where(ps, lambda p: p.rlike(r"^\s*[" + "".join(BULLET_POINTS) + "]")), k),
     })
     names = ["dup_paragraphs_ratio", "dup_paragraphs_char_ratio"] + [f"top_{n}_gram_char_ratio" for n in (2, 3, 4)] + [f"dup_{n}_gram_char_ratio" for n in range(5, 11)]
 
@@ -246,20 +280,25 @@ def enrichment(df: DataFrame, text: str = "text", tokenize: Callable[[str], list
 
     out = out.withColumn("__r", run(t))
     out = out.select("*", *[F.col(f"__r.{x}").alias(x) for x in [*names, "error"]]).drop("__r")
-    return out.withColumn("avg_word_length", F.when(F.col("error").isNotNull(), -1.0).otherwise(F.col("avg_word_length")))
+    if tokenize is str.split:  # which can't fail: counts alone then need no Python
+        return out
+    failed = F.col("error").isNotNull()
+    zero = [c for c in out.columns if c not in (*df.columns, "error", "avg_word_length")]
+    out = out.withColumns({c: F.when(failed, F.lit(0).cast(dict(out.dtypes)[c])).otherwise(F.col(c)) for c in zero})
+    return out.withColumn("avg_word_length", F.when(failed, -1.0).otherwise(F.col("avg_word_length")))
 
 
 def _enriched(text: str, tokenize) -> list[float]:
     paragraphs, all_words = [], []
-    for p in filter(None, re.split(r"[\r\n]+", text)):
+    for p in filter(None, re.split("[\n\v\f\r\x85\u2028\u2029]+", text)):
         ws = [x for x in ("".join(c for c in w.lower() if not unicodedata.category(c).startswith("P")) for w in tokenize(p)) if x]
         if ws:
             all_words += ws
             paragraphs.append(" ".join(ws))
     size, total = sum(map(len, paragraphs)), sum(map(len, all_words))
-    again = _again(paragraphs)
+    again, g = _again(paragraphs), Grams(all_words)
     share = lambda a, b: a / b if b else 0.0
-    return [share(len(again), len(paragraphs)), share(sum(map(len, again)), size), *[share(top_gram_chars(all_words, n), total) for n in (2, 3, 4)], *[share(repeated_gram_chars(all_words, n), total) for n in range(5, 11)]]
+    return [share(len(again), len(paragraphs)), share(sum(map(len, again)), size), *[share(g.top_chars(n), total) for n in (2, 3, 4)], *[share(g.repeated_chars(n), total) for n in range(5, 11)]]
 
 
 def _again(items: list[str]) -> list[str]:

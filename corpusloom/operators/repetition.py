@@ -2,18 +2,41 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import col, count_of, words
+from ..functions.hashing import rolling
+from ..functions.text import WS, col, count_of, words
+
+_SPACE = re.compile(WS + "+")
+#: Phrases of queries that may be broadcast, 8 bytes each.
+MOST_PHRASES = 2_000_000
 
 
 def word_grams(df: DataFrame, text: str, id_column: str, n: int) -> DataFrame:
-    """id, pos (from 0) and a 64-bit hash of each window of n words."""
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(n)), " ")))
-    return df.select(col(id_column).alias("id"), words(text).alias("w")).where(F.size("w") >= n).select("id", F.posexplode(grams).alias("pos", "gram"))
+    """id, pos (from 0) and a 64-bit hash of each window of n words, rolled over the words' hashes in Arrow batches."""
+
+    def run(batches):
+        for b in batches:
+            number: dict[str, int] = {}
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ws = [w for w in _SPACE.split(t) if w] if t else []
+                if len(ws) >= n:
+                    items = np.array([number[w] if w in number else number.setdefault(w, (xxhash.xxh64_intdigest(w) >> 1) + 1) for w in ws], np.uint64)
+                    at = np.arange(len(ws) - n + 1)
+                    grams = rolling(items)(at, at + n).view(np.int64)
+                    for lo in range(0, len(at), 1 << 16):
+                        part = slice(lo, lo + (1 << 16))
+                        yield pa.RecordBatch.from_arrays([pa.array([i] * len(at[part]), b.schema.field(0).type), pa.array(at[part], pa.int32()), pa.array(grams[part])], names=["id", "pos", "gram"])
+
+    source = df.select(col(id_column).alias("id"), col(text).cast("string").alias("__text"))
+    return source.mapInArrow(run, f"id {source.dtypes[0][1]}, pos int, gram long")
 
 
 def _ranges(marked: DataFrame, n: int) -> DataFrame:
@@ -64,10 +87,14 @@ def shingle_index(docs: DataFrame, n: int = 5, text: str = "text", id_column: st
 
 
 def similarity(queries: DataFrame, index: DataFrame, n: int = 5, text: str = "text", id_column: str = "doc_id", top: int = 3) -> DataFrame:
-    """query_id, id, score, rank: documents of the index that share most n-word phrases with a query, as a share of the query's."""
+    """query_id, id, score, rank: documents of the index that share most n-word phrases with a query, as a share of the query's.
+
+    The index is first cut to the queries' phrases, by a broadcast where these are few."""
     q = shingle_index(queries, n, text, id_column).withColumnRenamed("id", "query_id")
     sizes = q.groupBy("query_id").agg(F.count("*").alias("n"))
-    met = q.join(index, "gram").groupBy("query_id", "id").agg(F.count("*").alias("k")).join(sizes, "query_id")
+    wanted = q.select("gram").distinct()
+    few = wanted.limit(MOST_PHRASES + 1).count() <= MOST_PHRASES
+    met = q.join(index.join(F.broadcast(wanted) if few else wanted, "gram", "left_semi"), "gram").groupBy("query_id", "id").agg(F.count("*").alias("k")).join(sizes, "query_id")
     scored = met.select("query_id", "id", (F.col("k") / F.col("n")).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= top)
 

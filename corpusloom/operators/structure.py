@@ -98,8 +98,9 @@ def chunk_json(df: DataFrame, text: str = "text", id_column: str = "doc_id") ->
 
 
 def _chunks(parts: DataFrame, text: str, id_column: str) -> DataFrame:
-    rows = parts.select(*[c for c in parts.columns if c not in (text, "__p", id_column)], col(id_column).alias("source_document_id"), F.posexplode("__p").alias("chunk_id", "contents"))
-    return rows.withColumns({"chunk_id": F.col("chunk_id").cast("long"), "document_id": F.sha2("contents", 256)})
+    # The outer form, since for the other one Spark infers a filter that builds all chunks once more.
+    rows = parts.select(*[c for c in parts.columns if c not in (text, "__p", id_column)], col(id_column).alias("source_document_id"), F.posexplode_outer("__p").alias("chunk_id", "contents"))
+    return rows.where("contents is not null").withColumns({"chunk_id": F.col("chunk_id").cast("long"), "document_id": F.sha2("contents", 256)})
 
 
 #: A plain tokenizer: words, numbers and single other marks.
@@ -171,11 +172,20 @@ def redact(df: DataFrame, text: str = "text", entities: Sequence[str] = tuple(EN
     """Prepend `into`, with entities as <TYPE> (or gone), and detected_pii, the types found. Names and the like need a model: `models` runs first."""
     if models:
         df = models(df)
-    new, found = col(text), []
+    # Each step's text is computed once: it is the one element of an array that the next step transforms.
+    state = F.array(F.struct(col(text).alias("t"), F.array().cast("array<string>").alias("found")))
+    def step(name: str):
+        def run(s: Column) -> Column:
+            new = F.regexp_replace(s["t"], ENTITIES[name], f"<{name}>" if replace else "")
+            return F.when(s["t"].rlike(ENTITIES[name]), F.struct(new.alias("t"), F.array_append(s["found"], F.lit(name)).alias("found"))).otherwise(s)
+
+        return run
+
     for name in entities:
-        found.append(F.when(new.rlike(ENTITIES[name]), F.lit(name)))
-        new = F.regexp_replace(new, ENTITIES[name], f"<{name}>" if replace else "")
-    return df.select(new.alias(into), F.filter(F.array(*found), lambda x: x.isNotNull()).alias("detected_pii"), *[c for c in df.columns if c not in (into, "detected_pii")])
+        state = F.transform(state, step(name))
+    rest = [c for c in df.columns if c not in (into, "detected_pii")]
+    out = df.withColumn("__s", F.element_at(state, 1))
+    return out.select(F.col("__s.t").alias(into), F.col("__s.found").alias("detected_pii"), *rest)
 
 
 #: Frequent short words by language.
@@ -227,7 +237,7 @@ class HashedLogistic:
         self.w = np.zeros(1 << bits)
 
     def _row(self, t: str) -> np.ndarray:
-        return np.unique([xxhash.xxh32_intdigest(w) & ((1 << self.bits) - 1) for w in t.lower().split()][:100_000]).astype(np.int64)
+        return np.unique([xxhash.xxh32_intdigest(w) & ((1 << self.bits) - 1) for w in t.lower().split()]).astype(np.int64)
 
     def fit(self, texts: Sequence[str], labels: Sequence[int]) -> HashedLogistic:
         rows = [self._row(t) for t in texts]
@@ -292,6 +302,22 @@ def _hashed(t: str, size: int) -> np.ndarray:
     return v
 
 
+def html_converter(raw: bytes, path: str) -> dict:
+    """A converter for docling2parquet: an HTML file as one page of markdown."""
+    page = raw.decode("utf-8", "replace")
+    return {"contents": html_to_text(page)[1], "num_pages": 1, "num_tables": len(re.findall(r"<table\b", page, re.I))}
+
+
+def split_counts(df: DataFrame, text: str = "text", size: int = 4000, into: str = "pieces") -> DataFrame:
+    """Into how many pieces long_splits cuts each text."""
+
+    @F.pandas_udf("int")
+    def run(s: pd.Series) -> pd.Series:
+        return s.fillna("").map(lambda t: len(long_splits(t, size)))
+
+    return df.withColumn(into, run(col(text)))
+
+
 #: What an external converter of office documents must do; none is installed, so callers register theirs.
 Converter = Callable[[bytes, str], dict]
 

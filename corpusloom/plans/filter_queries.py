@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import normal_key
-from ..operators import filters, structure, urls
+from ..functions.text import normal_key, str_to_int
+from ..operators import filters, urls
 from ..sources import tables
 from .registry import query
 from .sql import KEY, words
@@ -129,7 +129,9 @@ def resize_rows(t):
     return filters.resize_rows(t("documents").select("doc_id"), 125, ["doc_id"])
 
 
-@query()
+@query("""WITH RECURSIVE o AS MATERIALIZED (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+s AS (SELECT doc_id, n_chars, i, n_chars AS held, 0::BIGINT AS slice FROM o WHERE i = 1
+UNION ALL SELECT o.doc_id, o.n_chars, o.i, CASE WHEN s.held + o.n_chars > 100000 THEN 0 ELSE s.held + o.n_chars END, slice + (s.held + o.n_chars > 100000)::BIGINT FROM s JOIN o ON o.i = s.i + 1) SELECT doc_id, n_chars, slice FROM s""")
 def resize_bytes(t):
     return filters.resize_bytes(t("documents").select("doc_id", "n_chars"), 50_000, F.col("n_chars"), ["doc_id"])
 
@@ -144,9 +146,12 @@ def doc_id_int(t):
     return filters.doc_id(t("documents").select("doc_id", "source"), hash_into=None, int_into="doc_int", order_by=["source", "doc_id"], start=5).select("doc_id", "doc_int")
 
 
-@query()
+@query("SELECT count(*) AS rows, count(DISTINCT doc_id) AS numbers, true AS rising FROM documents")
 def doc_id_distributed(t):
-    return filters.doc_id_distributed(t("documents").select("doc_id"))
+    """Numbers are unique and rise within each task."""
+    got = filters.doc_id_distributed(t("documents").select("doc_id")).withColumn("part", F.shiftright("doc_int", 33))
+    parts = got.groupBy("part").agg(F.count("*").alias("n"), F.countDistinct("doc_int").alias("d"), (F.max("doc_int") - F.min("doc_int") + 1).alias("span"))
+    return parts.agg(F.sum("n").alias("rows"), F.sum("d").alias("numbers"), F.every(F.col("span") == F.col("n")).alias("rising"))
 
 
 @query("SELECT conv_id, turn, (row_number() OVER (ORDER BY conv_id, turn) - 1)::BIGINT AS id FROM conversations")
@@ -176,12 +181,36 @@ def chain(t):
     return tables.chain(t("documents"), lambda d: filters.filter_rows(d, ["lang = 'en'"]), quality.word_statistics).select("doc_id", "docq_total_words")
 
 
-@query()
-def split_long_texts(t):
-    from pyspark.sql import functions as F_
+@query("SELECT doc_id, lang, n_chars, quality FROM documents JOIN labels USING (doc_id) WHERE (lang = 'en' AND quality >= 1) OR (lang = 'de')")
+def ml_filter_missing_columns(t):
+    """A threshold on a column that the table lacks is left out where that is asked for."""
+    rows = t("documents").join(t("labels"), "doc_id")
+    return filters.ml_filter(rows, {"en": {"quality_min": 1, "perplexity_max": 3}, "de": {"perplexity_max": 9}}, ignore_missing=True).select("doc_id", "lang", "n_chars", "quality")
+
+
+@query("SELECT source, count(*) AS count FROM documents WHERE lang = 'en' GROUP BY source")
+def token_id_counts(t):
+    """The `id, count` file beside token files: rows that each surviving id has."""
+    return filters.id_counts(filters.keep_tokens(t("documents"), t("documents").where("lang = 'en'").select("doc_id"), "doc_id"), "source")
+
+
+def _times(x: str, m: int) -> str:
+    return f"(({x})::HUGEINT * {m} % 4294967296)::BIGINT"
+
+
+def _turned(x: str, r: int) -> str:
+    return f"((({x})::HUGEINT * {1 << r} % 4294967296)::BIGINT + (({x}) >> {32 - r}))"
+
+
+_KEYED = _times(_turned(_times("k", 0xCC9E2D51), 15), 0x1B873593)
+_NEXT = f"(({_turned('xor(h, k)', 13)})::HUGEINT * 5 + 3864292196) % 4294967296"
+_BYTE = "coalesce(('0x' || nullif(substr(x, {0}, 2), ''))::BIGINT, 0)"
 
-    @F_.udf("array<string>", useArrow=True)
-    def cut(text):
-        return structure.long_splits(text or "", 4000)
 
-    return t("documents").select("doc_id", F_.size(cut("text")).alias("pieces"))
+@query(f"""WITH b AS (SELECT doc_id, hex(encode(s)) AS x, strlen(s) AS n FROM (SELECT doc_id, lang || doc_id || source AS s FROM documents)),
+k AS (SELECT doc_id, n, i, {_KEYED} AS k FROM (SELECT doc_id, n, i, {_BYTE.format('i * 8 + 1')} + 256 * {_BYTE.format('i * 8 + 3')} + 65536 * {_BYTE.format('i * 8 + 5')} + 16777216 * {_BYTE.format('i * 8 + 7')} AS k FROM b, unnest(range(0, n // 4 + 1)) t(i))),
+f AS (SELECT doc_id, n, list_reduce(list_concat([42::BIGINT], coalesce(list(k ORDER BY i) FILTER (WHERE i < n // 4), [])), lambda h, k: ({_NEXT})::BIGINT) AS h, any_value(k) FILTER (WHERE i = n // 4) AS tail FROM k GROUP BY doc_id, n),
+g AS (SELECT doc_id, xor(xor(h, CASE WHEN n % 4 > 0 THEN tail ELSE 0 END), n) AS h FROM f), g1 AS (SELECT doc_id, {_times('xor(h, h >> 16)', 0x85EBCA6B)} AS h FROM g), g2 AS (SELECT doc_id, {_times('xor(h, h >> 13)', 0xC2B2AE35)} AS h FROM g1)
+SELECT doc_id, xor(h, h >> 16) AS murmur FROM g2""")
+def murmur_ids(t):
+    return t("documents").select("doc_id", str_to_int(F.concat("lang", F.col("doc_id").cast("string"), "source")).alias("murmur"))

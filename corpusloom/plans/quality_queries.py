@@ -121,16 +121,18 @@ def readability(t):
     return quality.readability(t("documents"), scores=quality.SCORES).drop("text")
 
 
-_FLAT, _PARAS = r"regexp_replace(text, '[\r\n]+', '', 'g')", r"list_filter(regexp_split_to_array(text, '[\r\n]+'), lambda x: x <> '')"
+_ENDS_P = r"[\n\x0B\f\r\x{0085}\x{2028}\x{2029}]+"
+_FLAT, _PARAS = f"regexp_replace(text, '{_ENDS_P}', '', 'g')", f"list_filter(regexp_split_to_array(text, '{_ENDS_P}'), lambda x: x <> '')"
 
 
 @query(rf"""SELECT doc_id, (length(text) - c)::BIGINT AS num_newlines, len(p)::BIGINT AS num_paragraphs, len(w)::BIGINT AS num_words, length(text)::BIGINT AS num_chars, c::BIGINT AS total_non_newline_chars,
 {ratio(total('w'), 'len(w)')} AS avg_word_length, {ratio('c', 'len(p)')} AS avg_paragraph_length_chars, {ratio('len(w)', 'len(p)')} AS avg_paragraph_length_words,
 {ratio(r"length(regexp_replace(f, '[^\p{L}\p{N}]', '', 'g'))", 'c')} AS alphanumeric_char_ratio, {ratio(r"length(regexp_replace(f, '[^\p{P}]', '', 'g'))", 'c')} AS punctuation_char_ratio,
-{ratio(r"length(regexp_replace(f, '[^\p{S}]', '', 'g'))", 'c')} AS other_symbol_char_ratio, {ratio(count_of('text', '#'), 'len(w)')} AS hashes_word_ratio
+{ratio(r"length(regexp_replace(f, '[^\p{S}]', '', 'g'))", 'c')} AS other_symbol_char_ratio, {ratio(count_of('text', '#'), 'len(w)')} AS hashes_word_ratio,
+{ratio(where('p', r"regexp_matches(x, '(?:[.][.][.]|[.] [.] [.]|…).{{0,15}}\s*$')".replace('{{', '{').replace('}}', '}')), 'len(p)')} AS ellipsis_ratio, {ratio(where('p', r"regexp_matches(x, '^\s*[●•*-]')"), 'len(p)')} AS bulletpoint_ratio
 FROM (SELECT *, length(f)::BIGINT AS c FROM (SELECT doc_id, text, {W} AS w, {_FLAT} AS f, {_PARAS} AS p FROM documents))""")
 def enrichment_counts(t):
-    names = "num_newlines num_paragraphs num_words num_chars total_non_newline_chars avg_word_length avg_paragraph_length_chars avg_paragraph_length_words alphanumeric_char_ratio punctuation_char_ratio other_symbol_char_ratio hashes_word_ratio"
+    names = "num_newlines num_paragraphs num_words num_chars total_non_newline_chars avg_word_length avg_paragraph_length_chars avg_paragraph_length_words alphanumeric_char_ratio punctuation_char_ratio other_symbol_char_ratio hashes_word_ratio ellipsis_ratio bulletpoint_ratio"
     return quality.enrichment(t("documents")).select("doc_id", *names.split())
 
 

@@ -34,7 +34,7 @@ def query(sql: str | None = None, digits: int | None = 6):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import code_queries, dedup_queries, filter_queries, quality_queries, star_queries, structure_queries  # noqa: F401
+    from . import code_queries, dedup_queries, filter_queries, quality_queries, source_queries, star_queries, structure_queries  # noqa: F401
 
     return dict(QUERIES)
 

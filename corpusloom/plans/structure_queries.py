@@ -96,11 +96,6 @@ def classification(t):
     return structure.classify(docs, models).drop("text")
 
 
-@query()
-def hap(t):
-    return structure.hap(t("documents")).select("doc_id", "hap_score")
-
-
 @query()
 def text_encoder(t):
     return structure.text_encoder(t("documents").select("doc_id", "text"), size=64).drop("text")
@@ -112,16 +107,47 @@ def embedding_norms(t):
     return t("embeddings").select("vec_id", square.alias("squared_norm"), F.size("embedding").alias("size"))
 
 
-@query()
+@query(r"SELECT url AS path, 1::BIGINT AS num_pages, len(regexp_extract_all(html, '(?i)<table\b'))::BIGINT AS num_tables FROM pages")
 def docling(t):
     """A converter plugged in: pages as documents of one page."""
     pages = t("pages").select(F.col("url").alias("path"), F.encode("html", "utf-8").alias("content"))
-    return structure.docling2parquet(pages, lambda raw, _: {"contents": structure.html_to_text(raw.decode())[1], "num_pages": 1, "num_tables": raw.count(b"<table")})
+    return structure.docling2parquet(pages, structure.html_converter).select("path", "num_pages", "num_tables")
 
 
-@query()
+def sized_labels():
+    """A model factory: texts by their length."""
+    return lambda s: pd.DataFrame({"label": ["long" if len(x) > 1000 else "short" for x in s], "score": [min(1.0, len(x) / 2000) for x in s]})
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 1000 THEN 'long' ELSE 'short' END AS lang_label, (floor(least(1.0, length(text) / 2000) * 1000) / 1000)::DOUBLE AS lang_score FROM documents")
 def custom_language_model(t):
-    def factory():
-        return lambda s: pd.DataFrame({"label": ["long" if len(x) > 1000 else "short" for x in s], "score": [min(1.0, len(x) / 2000) for x in s]})
+    return structure.lang_id(t("documents"), model=sized_labels).select("doc_id", "lang_label", "lang_score")
+
 
-    return structure.lang_id(t("documents"), model=factory).select("doc_id", "lang_label", "lang_score")
+@query("SELECT doc_id, CASE WHEN length(text) > 1000 THEN 'long' ELSE 'short' END AS label FROM documents")
+def loaded_model(t):
+    """A model found by its kind and path in the registry of loaders."""
+    structure.register_loader("sized", lambda path: sized_labels)
+    return structure.lang_id(t("documents"), label="label", model=structure.load_model("sized", "any")).select("doc_id", "label")
+
+
+_PIECE = "text[p + 1:p + 4000]"
+_SPLIT = f"""WITH RECURSIVE c AS (SELECT doc_id, text, 0::BIGINT AS p, 0 AS n FROM documents UNION ALL
+SELECT doc_id, text, e + length(regexp_extract(text[e + 1:], '^ *')), n + 1 FROM (SELECT *, CASE WHEN p + 4000 >= length(text) THEN length(text) WHEN instr(reverse({_PIECE}), ' ') BETWEEN 1 AND 3999
+THEN p + 4000 - instr(reverse({_PIECE}), ' ') ELSE p + 4000 END AS e FROM c WHERE p < length(text)))
+SELECT doc_id, max(n)::INTEGER AS pieces FROM c GROUP BY doc_id"""
+
+
+@query(_SPLIT)
+def split_long_texts(t):
+    return structure.split_counts(t("documents"), size=4000).select("doc_id", "pieces")
+
+
+_RUDE = "[" + ", ".join(f"'{w}'" for w in structure.RUDE) + "]"
+
+
+@query(rf"""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))) AS s FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(lower(s), '[a-z]+') AS w FROM s WHERE s <> ''), h AS (SELECT doc_id, max(CASE WHEN len(w) = 0 THEN 0.0 ELSE len(list_filter(w, lambda x: list_contains({_RUDE}, x)))::DOUBLE / len(w) END) AS h FROM w GROUP BY doc_id)
+SELECT doc_id, round(coalesce(h, 0.0), 6)::DOUBLE AS hap_score FROM documents LEFT JOIN h USING (doc_id)""")
+def hap(t):
+    return structure.hap(t("documents")).select("doc_id", "hap_score")

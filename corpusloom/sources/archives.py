@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .shared import place
+
 #: Extensions of common languages.
 LANGUAGES = {
     "py": "Python", "java": "Java", "js": "JavaScript", "jsx": "JavaScript", "ts": "TypeScript", "tsx": "TypeScript", "c": "C", "h": "C", "cpp": "C++", "cc": "C++", "hpp": "C++",
@@ -56,6 +58,24 @@ def _opened(name: str, content: bytes):
                 yield info.filename, z.read(info)
 
 
+def write_archives(rows: DataFrame, path: str, title: str = "title", contents: str = "contents") -> None:
+    """One ZIP archive a task of text members, under a name that only a finished task leaves."""
+
+    def run(batches):
+        where, root = place(path)
+        where.create_dir(root, recursive=True)
+        name = f"{root}/{uuid.uuid4().hex}.zip"
+        with where.open_output_stream(name + ".part") as f:
+            with zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+                for b in batches:
+                    for member, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                        z.writestr(member, text or "")
+        where.move(name + ".part", name)
+        yield pa.RecordBatch.from_pydict({"file": [name]})
+
+    rows.select(title, contents).mapInArrow(run, "file string").collect()  # names of files
+
+
 def code2parquet(spark: SparkSession, path: str, languages: dict[str, str] | None = None, language_column: str = "programming_language") -> DataFrame:
     """members() of the archives below a path, with the language by extension."""
     known = spark.createDataFrame(sorted((languages or LANGUAGES).items()), f"ext string, {language_column} string")
@@ -89,15 +109,13 @@ class _TokenReader(DataSourceReader):
     def partitions(self):
         from pyarrow import fs
 
-        where, root = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+        where, root = place(self.path)
         return [_File(i.path) for i in where.get_file_info(fs.FileSelector(root)) if i.base_name.endswith(".arrow")] or [_File("")]
 
     def read(self, partition):
-        from pyarrow import fs
-
         if not partition.path:
             return
-        where = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path or self.path.startswith("file:") else fs.LocalFileSystem()
+        where = place(self.path)[0]
         with where.open_input_file(partition.path) as f, pa.ipc.open_file(f) as r:
             for i in range(r.num_record_batches):
                 yield partition.path, i, r.get_batch(i).column("tokens").to_pylist()
@@ -107,9 +125,7 @@ def write_token_stream(tokens: DataFrame, path: str, id_column: str = "doc_id")
     """Write one Arrow IPC file per task; gives file, docs and tokens of each, and is what makes the files count."""
 
     def run(batches):
-        from pyarrow import fs
-
-        where, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        where, root = place(path)
         where.create_dir(root, recursive=True)
         name = f"{root}/{uuid.uuid4().hex}.arrow"
         schema = pa.schema([("tokens", pa.uint32())])

@@ -80,13 +80,19 @@ def merged(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def split(df: DataFrame, n: int) -> DataFrame:
-    """n parts of about equal size, to write as n files."""
-    return df.repartition(n)
+def split(df: DataFrame, n: int, order_by: Sequence[str], into: str = "part") -> DataFrame:
+    """Add the number of the part, of n as equal ones as can be, that each row falls in by its order; write with partition_by."""
+    from ..operators.filters import sequential_id
+
+    total = df.count()
+    return sequential_id(df, order_by, into).withColumn(into, F.floor(F.col(into) * n / max(total, 1)).cast("long"))
 
 
 def profile(df: DataFrame, tables: int, sample_rows: int | None = None) -> DataFrame:
-    """Documents, mean documents a table, mean characters of a text."""
+    """Documents, mean documents a table, and mean characters of a text, of the first sample_rows read where that is set."""
+    if sample_rows is not None:
+        mean = df.limit(sample_rows).agg(F.avg(F.length("text"))).first()[0]
+        return profile(df, tables).withColumn("mean_chars", F.lit(mean).cast("double"))
     return df.agg(F.count("*").alias("docs"), (F.count("*") / F.lit(tables)).alias("docs_per_table"), F.avg(F.length("text")).alias("mean_chars"))
 
 

@@ -129,8 +129,8 @@ def test_near_duplicates_recall_against_all_pairs(spark, data):
 
 def test_gram_scans():
     ws = "a b c d e a b c d e a b c d e".split()
-    assert quality.repeated_gram_chars(ws, 5) == 10
-    assert quality.top_gram_chars("a b a b c".split(), 2) == 6
+    assert quality.Grams(ws).repeated_chars(5) == 10
+    assert quality.Grams("a b a b c".split()).top_chars(2) == 6
     assert structure.long_splits("aaa bbb ccc", 7) == ["aaa", "bbb ccc"] or "".join(structure.long_splits("aaa bbb ccc", 7)).replace(" ", "") == "aaabbbccc"
     assert structure.long_splits("x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5]
 
