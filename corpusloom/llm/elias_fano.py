@@ -32,22 +32,26 @@ def pack(values: np.ndarray, width: int) -> np.ndarray:
 def unpack(words: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
     if not width:
         return np.zeros(len(at), np.int64)
-    bit = at.astype(np.int64) * width
-    word, shift = bit >> 6, (bit & 63).astype(U)
-    low = words[word] >> shift
-    high = np.where(shift > 0, words[word + 1] << ((U(64) - shift) & U(63)), U(0))
-    return ((low | high) & U((1 << width) - 1)).astype(np.int64)
+    bit = at * width
+    octets = words.view(np.uint8)
+    every = np.ndarray(len(octets) - 7, "<u8", octets, strides=(1,))  # the eight bytes from each byte on
+    return ((every[bit >> 3] >> (bit & 7).astype(U)) & U((1 << width) - 1)).view(np.int64)
 
 
 class EliasFano:
-    """A strictly rising sequence from `first` to `last`: low bits packed, high bits in unary with counts for each word."""
+    """A rising sequence from `first` to `last`: low bits packed, high bits in unary with counts for each word.
 
-    def __init__(self, shape: np.ndarray, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
+    For searches a directory tells how many keys lie up to each bucket of equal high bits: `inside` its block of BLOCK buckets
+    (2 bytes as a rule), and `before` the block. It lies in the file, too, so a search reads a few places of it."""
+
+    BLOCK = 10
+
+    def __init__(self, shape: np.ndarray, low: np.ndarray, high: np.ndarray, zeros: np.ndarray, before: np.ndarray | None = None, inside: np.ndarray | None = None):
         self.n, self.width, self.first, self.last = shape.tolist()
-        self.low, self.high, self.zeros, self.directory = low, high, zeros, None
+        self.low, self.high, self.zeros, self.before, self.inside = low, high, zeros, before, inside
 
     @staticmethod
-    def build(keys: np.ndarray) -> dict[str, np.ndarray]:
+    def build(keys: np.ndarray, searched: bool = True) -> dict[str, np.ndarray]:
         """Of at least one key; keys are non-negative."""
         n, first, last = len(keys), int(keys[0]), int(keys[-1])
         universe, keys = last - first + 1, keys - first
@@ -58,32 +62,21 @@ class EliasFano:
         np.bitwise_or.at(high, at >> 6, U(1) << (at & 63).astype(U))
         ones = _ONES[high.view(np.uint8).reshape(-1, 8)].sum(1, dtype=np.int64)
         zeros = np.concatenate([[0], np.cumsum(64 - ones)]).astype(np.int64)
-        return {"shape": np.array([n, width, first, last], np.int64), "low": pack(keys & ((1 << width) - 1), width), "high": high, "zeros": zeros}
+        out = {"shape": np.array([n, width, first, last], np.int64), "low": pack(keys & ((1 << width) - 1), width), "high": high, "zeros": zeros}
+        if searched:
+            upto = np.cumsum(np.bincount(keys >> width, minlength=buckets))
+            before = np.concatenate([[0], upto[(1 << EliasFano.BLOCK) - 1 :: 1 << EliasFano.BLOCK]])
+            inside = upto - before[np.arange(buckets) >> EliasFano.BLOCK]
+            out |= {"before": before, "inside": inside.astype(np.uint16 if inside.max() < 1 << 16 else np.uint32)}
+        return out
 
     @classmethod
     def of(cls, parts: dict[str, np.ndarray]) -> EliasFano:
-        return cls(parts["shape"], parts["low"], parts["high"], parts["zeros"])
+        return cls(*(parts.get(k) for k in ("shape", "low", "high", "zeros", "before", "inside")))
 
-    def _ones_before_zero(self, k: np.ndarray) -> np.ndarray:
-        """How many ones stand before the k-th zero."""
-        word = np.searchsorted(self.zeros, k, side="right") - 1
-        left = (k - self.zeros[word]).astype(np.int64)
-        octets = (~self.high[word]).view(np.uint8).reshape(-1, 8)
-        counts = np.cumsum(_ONES[octets], 1, dtype=np.uint8)
-        which = (counts <= left[:, None].astype(np.uint8)).sum(1)
-        rows = np.arange(len(k))
-        left -= np.where(which > 0, counts[rows, np.maximum(which - 1, 0)], 0)
-        return word * 64 + which * 8 + _NTH[octets[rows, which], left] - k
-
-    def _bucket_ends(self, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places where these buckets of equal high bits begin and end. Many queries decode all ends at once, 4 bytes each."""
-        if self.directory is None and len(bucket) * 24 >= self.n:
-            bits = np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little")
-            zero = np.flatnonzero(bits == 0)
-            self.directory = (zero - np.arange(len(zero))).astype(np.int32 if self.n < 1 << 31 else np.int64)
-        if self.directory is not None:
-            return np.where(bucket > 0, self.directory[bucket - 1], 0).astype(np.int64), self.directory[bucket].astype(np.int64)
-        return np.where(bucket > 0, self._ones_before_zero(np.maximum(bucket - 1, 0)), 0), self._ones_before_zero(bucket)
+    def _upto(self, bucket: np.ndarray) -> np.ndarray:
+        """How many keys lie in these buckets and all before."""
+        return self.before[bucket >> self.BLOCK] + self.inside[bucket]
 
     def at(self, places: np.ndarray) -> np.ndarray:
         """The keys at these places."""
@@ -106,7 +99,8 @@ class EliasFano:
             return out
         keys = keys[inside] - self.first
         bucket = (keys >> self.width).astype(np.int64)
-        lo, end = self._bucket_ends(bucket)
+        end = self._upto(bucket)
+        lo = np.where(bucket > 0, self._upto(np.maximum(bucket - 1, 0)), 0)
         want, hi = keys & ((1 << self.width) - 1), end.copy()
         while (active := np.flatnonzero(lo < hi)).size:
             mid = (lo[active] + hi[active]) >> 1

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U, dropped, fresh_dir, stored, text_buffer, unused, word_hashes
+from .common import U, dropped, fresh_dir, mix, stored, text_buffer, unused, word_hashes
 from .elias_fano import EliasFano, load, pack, save, unpack
 
 #: Hash of the end of a text, which is also the context of its first word.
@@ -170,7 +170,7 @@ def _successors(level: int, model: Model, shards: dict[int, int]):
         last = np.cumsum(word[first + size - 1] + 1)  # value at the end of each context
         rising = word + 1 + np.repeat(np.concatenate([[0], last[:-1]]), size)
         return {
-            **_under("pointers", EliasFano.build(np.concatenate([[0], np.cumsum(held)]))), **_under("words", EliasFano.build(rising)),
+            **_under("pointers", EliasFano.build(np.concatenate([[0], np.cumsum(held)]), searched=False)), **_under("words", EliasFano.build(rising)),
             "codes": np.round((logs - lo) / step).astype(np.uint8), **(_with_counts(ns) if level == 2 else {}),
             "scale": np.array([lo, step]), "base": np.array([base]), "mass": mass,
         }
@@ -386,9 +386,67 @@ def _end(reader: Reader) -> int:
     return int(reader.vocabulary(np.array([END]))[1][0]) if reader.model.n else -1
 
 
+#: Keys that a bucket holds on the average, before those of different tasks are added up.
+BUCKET = 4_000_000
+_PACKED = "bucket int, keys binary, more binary, counts binary"
+
+
+def _dealt(keys: list[np.ndarray], counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Distinct keys (one or two arrays) and their counts as one row a bucket, by the keys' hashes."""
+    h = mix(keys[0].view(U))
+    if len(keys) > 1:
+        h = mix(h ^ keys[1].view(U))
+    bucket = ((h >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+    order = np.argsort(bucket.astype(np.int16) if buckets < 1 << 15 else bucket, kind="stable")
+    first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    ends = np.append(first[1:], len(order))
+    counts = counts[order].astype(np.uint8 if counts.max(initial=0) < 256 else np.int64)
+    cols = [_packed(k[order], ends, np.dtype("<i8")) for k in keys] + [pa.nulls(len(first), pa.binary())] * (2 - len(keys))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[order][first], pa.int32()), *cols, _packed(counts, ends, counts.dtype)], names=["bucket", "keys", "more", "counts"])
+
+
+def _added_up(packed: DataFrame, names: list[str], least: int) -> DataFrame:
+    """names, n of _dealt()'s rows: the counts of equal keys are added up, bucket by bucket; those under `least` go."""
+    dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
+
+    def total(held):
+        keys = [np.concatenate([np.frombuffer(r[k], np.int64) for r in held]) for k in range(1, len(names) + 1)]
+        counts = np.concatenate([np.frombuffer(r[3], np.uint8 if len(r[3]) * 8 == len(r[1]) else np.int64).astype(np.int64) for r in held])
+        order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+        keys = [k[order] for k in keys]
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        first = np.flatnonzero(new)
+        n = np.add.reduceat(counts[order], first)
+        keep = np.flatnonzero(n >= least)
+        for lo in range(0, len(keep), 1 << 16):
+            part = keep[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(k[first[part]]) for k in keys), pa.array(n[part])], names=[*names, "n"])
+
+    def run(batches):
+        held = []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and held[0][0] != row[0]:
+                    yield from total(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from total(held)
+
+    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"]))
+
+
+def _buckets(spark, tokens_: int) -> int:
+    return max(1, -(-tokens_ // BUCKET), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _counted(docs: DataFrame, level: int, model: Model, shards: dict[int, int]) -> DataFrame:
     """context, word, n of the pairs or triples of numbered (and paired) texts, counted within stretches, then over all."""
     wide, v, kind, pair = model.wide(level), model.v, _kind(model.v), _kind(max(model.entries(2), 1))
+    buckets = _buckets(docs.sparkSession, model.n)
 
     def run(batches):
         end = _end(Reader(model, shards))
@@ -407,14 +465,13 @@ def _counted(docs: DataFrame, level: int, model: Model, shards: dict[int, int])
                     order = np.lexsort([word, context])
                     context, word = context[order], word[order]
                     first = np.flatnonzero((np.diff(context, prepend=-1) != 0) | (np.diff(word, prepend=-1) != 0))
-                    cols = [context[first], word[first], np.diff(first, append=len(word))]
+                    yield _dealt([context[first], word[first]], np.diff(first, append=len(word)), buckets)
                 else:
-                    cols = np.unique(context * v + word, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=[*names, "n"])
+                    keys, counts = np.unique(context * v + word, return_counts=True)
+                    yield _dealt([keys], counts, buckets)
 
     names = ["context", "word"] if wide else ["key"]
-    source = docs.select("numbers", *(["pairs"] if level == 3 else []))
-    counts = source.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"])).groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= model.least)
+    counts = _added_up(docs.select("numbers", *(["pairs"] if level == 3 else [])).mapInArrow(run, _PACKED), names, model.least)
     return counts if wide else counts.select(F.expr(f"key div {v}").alias("context"), F.expr(f"key % {v}").alias("word"), "n")
 
 
@@ -424,13 +481,16 @@ def _build(docs: DataFrame, text: str, learn_from: Column | None, carry: list[st
     docs = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").cast("string").alias("__text"), (F.lit(True) if learn_from is None else learn_from).alias("__learn"))
     folder = fresh_dir(spark, "trie")
 
+    size = docs.where("__learn").agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0)).alias("n")).first()["n"]
+    buckets = _buckets(spark, size // 4)  # about four characters a word at least
+
     def words(batches):
         for b in batches:
             for _, _, h in tokens(b.column(0)):
-                u, c = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c.astype(np.int64))], names=["key", "n"])
+                keys, n = np.unique(h, return_counts=True)
+                yield _dealt([keys], n, buckets)
 
-    counts = stored(docs.where("__learn").select("__text").mapInArrow(words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
+    counts = stored(_added_up(docs.where("__learn").select("__text").mapInArrow(words, _PACKED), ["key"], 1), "words")
     total = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     n, v = int(total["n"]), int(total["v"])
     shards = {1: max(1, -(-v // shard_rows))}

@@ -126,13 +126,18 @@ def store(docs: DataFrame, id_column: str = "doc_id", text: str = "text", archiv
     return folder
 
 
-class Range(InputPartition):
-    def __init__(self, archive: str, size: int, start: int, end: int):
-        self.archive, self.size, self.start, self.end = archive, size, start, end
+class Ranges(InputPartition):
+    """Byte ranges (archive, start, end); a member belongs to the range that it begins in."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
 
 
 class ArchiveMembers(DataSource):
-    """Options: path (a folder from store()), range_bytes, retries."""
+    """Options: path (a folder from store()), range_bytes, retries, most_partitions.
+
+    A partition is a byte range of an archive, or, where there would be over most_partitions of these, several ranges, whole
+    archives as far as they fit; the driver plans with the archives' names and sizes, as for any source of files."""
 
     @classmethod
     def name(cls):
@@ -150,16 +155,26 @@ class ArchiveReader(DataSourceReader):
         self.folder = options["path"]
         self.range_bytes = int(options.get("range_bytes", 16 << 20))
         self.retries = int(options.get("retries", 3))
+        self.most_partitions = int(options.get("most_partitions", 50_000))
 
     def partitions(self):
         where, root = _place(self.folder)
-        out = []
+        archives = []
         for info in where.get_file_info(fs.FileSelector(f"{root}/manifest")):
             if info.base_name.endswith(".parquet"):
                 with where.open_input_file(info.path) as f:
-                    for row in pq.read_table(f, columns=["archive", "bytes"]).to_pylist():
-                        out += [Range(row["archive"], row["bytes"], at, min(at + self.range_bytes, row["bytes"])) for at in range(0, row["bytes"], self.range_bytes)]
-        return out or [Range("", 0, 0, 0)]
+                    archives += [(r["archive"], r["bytes"]) for r in pq.read_table(f, columns=["archive", "bytes"]).to_pylist()]
+        step = max(self.range_bytes, -(-sum(n for _, n in archives) // self.most_partitions))
+        out, room = [], 0
+        for name, size in archives:
+            for at in range(0, size, step):
+                end = min(at + step, size)
+                if step == self.range_bytes or end - at > room:
+                    out.append([])
+                    room = step
+                out[-1].append((name, at, end))
+                room -= end - at
+        return [Ranges(x) for x in out] or [Ranges([])]
 
     def member(self, where, path: str, info: zipfile.ZipInfo) -> bytes:
         """One member by its offset, checked; each try opens the archive anew."""
@@ -183,21 +198,20 @@ class ArchiveReader(DataSourceReader):
         raise AssertionError
 
     def read(self, partition):
-        if not partition.size:
-            return
         where, root = _place(self.folder)
-        path = f"{root}/{partition.archive}"
-        with where.open_input_file(path) as f:
-            infos = [x for x in zipfile.ZipFile(f).infolist() if partition.start <= x.header_offset < partition.end]
         rows, size = [], 0
-        for x in infos:
-            body = self.member(where, path, x)
-            name = x.filename.removesuffix(".png")
-            rows.append((None if name == "null" else int(name), int(x.comment), body, partition.archive, x.header_offset))
-            size += len(body)
-            if size >= 4 << 20:
-                yield self._batch(rows)
-                rows, size = [], 0
+        for archive, start, end in partition.ranges:
+            path = f"{root}/{archive}"
+            with where.open_input_file(path) as f:
+                infos = [x for x in zipfile.ZipFile(f).infolist() if start <= x.header_offset < end]
+            for x in infos:
+                body = self.member(where, path, x)
+                name = x.filename.removesuffix(".png")
+                rows.append((None if name == "null" else int(name), int(x.comment), body, archive, x.header_offset))
+                size += len(body)
+                if size >= 4 << 20:
+                    yield self._batch(rows)
+                    rows, size = [], 0
         if rows:
             yield self._batch(rows)
 
@@ -219,7 +233,10 @@ def read(spark: SparkSession, folder: str, range_bytes: int = 16 << 20, retries:
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of stored members."""
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of stored members.
+
+    Null and empty texts have been stored as one row of fill, with n_bytes 0; repeated ids are rows of their own, equal texts
+    have equal values; an empty table gives an empty one; a text of any length is one member."""
     made = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches):

@@ -1,5 +1,6 @@
 """Each operator against brute force, round trips and held-out accuracy, and its defined edge cases."""
 
+import datetime as dt
 import hashlib
 import math
 import random
@@ -186,6 +187,29 @@ def test_media_round_trip(spark, edge):
     assert media.read(spark, media.store(none_of(edge))).count() == 0
 
 
+def test_media_features_by_an_independent_decoder(spark):
+    """The stored form is a grey PNG of 8-bit samples whose rows, unfiltered by hand, are the payload."""
+    docs = spark.createDataFrame([(1, "héllo " * 300), (2, ""), (3, None), (4, "x" * 576)], "doc_id long, text string")
+    folder = media.store(docs)
+    for r in media.describe(media.read(spark, folder)).collect():
+        text = {1: "héllo " * 300, 4: "x" * 576}.get(r["doc_id"], "").encode()
+        want = text + b"\xff" * (576 if not text else -len(text) % 576)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(text), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-32:]))
+        png = media.to_png(want)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(png), hashlib.sha256(png).hexdigest())
+        at, packed = 8, b""
+        while at < len(png):
+            size = int.from_bytes(png[at : at + 4], "big")
+            body = png[at + 8 : at + 8 + size]
+            if png[at + 4 : at + 8] == b"IHDR":
+                width, height, depth, colour = int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big"), body[8], body[9]
+            packed += body if png[at + 4 : at + 8] == b"IDAT" else b""
+            at += size + 12
+        lines = zlib.decompress(packed)
+        assert (width, depth, colour) == (576, 8, 0) and all(lines[k * 577] == 0 for k in range(height))
+        assert b"".join(lines[k * 577 + 1 : (k + 1) * 577] for k in range(height)) == want
+
+
 def test_media_image_and_retries(tmp_path, monkeypatch):
     p = media.payload("é" * 400)
     assert media.from_png(media.to_png(p)) == p and len(media.payload("")) == 576 and media.payload("a" * 576) == b"a" * 576
@@ -195,6 +219,16 @@ def test_media_image_and_retries(tmp_path, monkeypatch):
         media.from_png(bytes(broken))
 
 
+def test_media_plans_a_bounded_number_of_partitions(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " * 200) for i in range(60)], "doc_id long, text string").repartition(3)
+    folder = media.store(docs, archive_bytes=4000)
+    many = media.ArchiveReader({"path": folder, "range_bytes": "1000"}).partitions()
+    few = media.ArchiveReader({"path": folder, "range_bytes": "1000", "most_partitions": "5"})
+    parts = few.partitions()
+    assert len(many) > 20 and len(parts) <= 8  # whole archives may overfill the last one of each
+    assert sorted(i for p in parts for b in few.read(p) for i in b.column(0).to_pylist()) == list(range(60))
+
+
 def test_media_member_is_read_again(spark, tmp_path, monkeypatch):
     docs = spark.createDataFrame([(7, "hello")], "doc_id long, text string")
     reader = media.ArchiveReader({"path": media.store(docs)})
@@ -449,6 +483,71 @@ def test_pseudonyms_keep_formats_and_links(spark, data):
     assert pseudonyms.pseudonymise(none_of(df)).count() == 0
 
 
+def plain_feistel(x, m, key, tweak, rounds=8):
+    x, half = list(x), len(x) // 2
+    for r in range(rounds):
+        moved = [(i < half) == (r % 2 == 0) for i in range(len(x))]
+        other = ",".join(str(v) for v, go in zip(x, moved, strict=True) if not go)
+        told = [int(hashlib.sha256(f"{key}|{tweak}|{r}|{i}|{other}".encode()).hexdigest()[:12], 16) for i in range(len(x))]
+        x = [(v + t) % k if go else v for v, t, k, go in zip(x, told, m, moved, strict=True)]
+    return x
+
+
+def plain_pseudonym(kind, v, key):
+    d = [int(c) for c in v if c.isdigit()]
+    spell = lambda new: "".join(str(new.pop(0)) if c.isdigit() else c for c in v)
+    if kind == "card":
+        bare = [d[0], *plain_feistel(d[1:-1], [10] * (len(d) - 2), key, f"card{len(d)}{d[0]}")]
+        return spell([*bare, next(c for c in range(10) if luhn("".join(map(str, [*bare, c]))))])
+    if kind == "phone":
+        low = [2 if i in (0, 3) and x >= 2 else 0 for i, x in enumerate(d)]
+        m = [10 if i not in (0, 3) else 8 if x >= 2 else 2 for i, x in enumerate(d)]
+        return spell([a + b for a, b in zip(plain_feistel([a - b for a, b in zip(d, low, strict=True)], m, key, "phone"), low, strict=True)])
+    if kind == "ssn":
+        a, g, n = map(int, v.split("-"))
+        a, g, n = plain_feistel([a - 1 - (a > 666), g - 1, n - 1], [898, 99, 9999], key, "ssn")
+        return f"{a + 1 + (a + 1 >= 666):03d}-{g + 1:02d}-{n + 1:04d}"
+    if kind == "ipv4":
+        return ".".join(map(str, plain_feistel(map(int, v.split(".")), [256] * 4, key, "ipv4")))
+    if kind == "date":
+        start = dt.date(int(v[:2]) * 100, 1, 1)
+        a, b = (75, 487) if int(v[:2]) % 4 == 0 else (92, 397)
+        hi, lo = plain_feistel(divmod((dt.date.fromisoformat(v) - start).days, b), [a, b], key, f"date{v[:2]}")
+        return (start + dt.timedelta(hi * b + lo)).isoformat()
+    local, domain = v.split("@")
+    kinds = ["0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c.isupper() else c for c in local]
+    new = plain_feistel([k.index(c) for k, c in zip(kinds, local, strict=True)], [len(k) for k in kinds], key, f"mail{domain.lower()}")
+    return "".join(k[x] for k, x in zip(kinds, new, strict=True)) + "@" + domain
+
+
+def test_pseudonyms_equal_a_plain_model(spark):
+    rng = random.Random(6)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    values = []
+    for _ in range(25):
+        body = rng.choice("3456") + digits(14)
+        values.append(("card", body + next(str(c) for c in range(10) if luhn(body + str(c)))))
+        values.append(("phone", f"{rng.choice('0129')}{digits(2)}-{rng.choice('0129')}{digits(2)}-{digits(4)}"))
+        values.append(("ssn", f"{rng.randrange(1, 666):03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}"))
+        values.append(("ipv4", ".".join(str(rng.randrange(256)) for _ in range(4))))
+        values.append(("date", (dt.date(rng.choice([1650, 1955, 2004]), 1, 1) + dt.timedelta(rng.randrange(9000))).isoformat()))
+        values.append(("mail", "".join(rng.choice("abcXYZ019._") for _ in range(rng.randrange(1, 9))) + "a@Mail.example.org"))
+    docs = spark.createDataFrame([(i, f"x {v} y") for i, (_, v) in enumerate(values)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pseudonyms.pseudonymise(docs, key="k1").collect()}
+    assert {i: f"x {plain_pseudonym(k, v, 'k1')} y" for i, (k, v) in enumerate(values)} == got
+
+
+def test_pseudonyms_with_clashing_columns(spark):
+    rows = [(1, "on 2024-02-29", "m", "v", 1), (2, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x string, v string, t int")
+    spark.conf.set(pseudonyms.KEY_SETTING, "secret")
+    try:
+        got = [tuple(r) for r in pseudonyms.pseudonymise(docs).orderBy("doc_id").collect()]
+    finally:
+        spark.conf.unset(pseudonyms.KEY_SETTING)
+    assert got == [(1, f"on {plain_pseudonym('date', '2024-02-29', 'secret')}", "m", "v", 1), rows[1]]
+
+
 def test_feistel_is_a_permutation(spark):
     small = spark.range(1000).select(F.array(F.floor(F.col("id") / 100), F.floor(F.col("id") / 10) % 10, F.col("id") % 10).alias("v"))
     ten = F.array(*[F.lit(10).cast("long")] * 3)
@@ -727,6 +826,24 @@ def test_files_of_arrays(tmp_path):
     assert all((v == arrays[k]).all() for k, v in elias_fano.load(str(tmp_path / "x/y")).items())
 
 
+def test_very_long_texts(spark, data):
+    """Texts of two megabytes: each operator sees all of them."""
+    card, secret, tail = "4539148803436467", "token=abcdef123456", " ".join(f"q{i}" for i in range(13))
+    long = "word " * 400_000 + f"{card} {secret} {tail}"
+    docs = spark.createDataFrame([(1, long, "a"), (2, "x" * 2_000_000, "b"), (3, long, "c")], "doc_id long, text string, items string")
+    assert secrets.scan(docs, {}).where("n_assign = 1").count() == 2
+    got = {r["doc_id"]: r["text"] for r in pseudonyms.pseudonymise(docs, key="k").collect()}
+    assert got[1] == got[3] == long.replace(card, plain_pseudonym("card", card, "k")) and got[2] == "x" * 2_000_000
+    items = contamination.automaton(spark.createDataFrame([(7, tail)], "item_id long, text string"))
+    hit = {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in contamination.matches(docs, items).collect()}
+    assert hit[1][1] == hit[3][1] == 13 and hit[2] == (1, 0)
+    score = {r["doc_id"]: r["score"] for r in quality.score(docs, quality.learn(docs_of(spark, data), spark.read.parquet(f"{data}/labels.parquet"))).collect()}
+    assert score[1] == score[3] and 0 <= score[1] <= 1
+    lm = {r["doc_id"]: (r["n_tokens"], r["score"]) for r in language_model.score(docs, language_model.train(docs)).collect()}
+    assert lm[1] == lm[3] and lm[1][0] == 400_000 + 3 + 13 and lm[2][0] == 2
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.join(docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
 # --- 10 contamination
 
 
