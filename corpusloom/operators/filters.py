@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import col
 from ..sources.shared import stored
@@ -150,20 +153,80 @@ def resize_rows(df: DataFrame, max_rows: int, order_by: Sequence[str], into: str
 def resize_bytes(df: DataFrame, max_bytes: int, size: Column, order_by: Sequence[str], into: str = "slice", disk_factor: int = 2) -> DataFrame:
     """Slices by bytes: the row that crosses disk_factor * max_bytes begins the next slice, and its own size isn't carried over.
 
-    The rule looks at all rows before, so it is a scan in order; ranges of the order are scanned in turn (streamed, constant
-    memory) within one partition."""
+    The rule looks at all rows before, but after a row that begins a slice nothing before it counts. So each range of the
+    order tells, for every row that could be its first such one, how many slices follow and what is held at its end: at most a
+    slice's rows a range. One task goes over these summaries and gives each range what it begins with; then all ranges are
+    numbered at once."""
     limit = max_bytes * disk_factor
-
-    def run(batches):
-        k, held = 0, 0
-        for pdf in batches:
+    spark, names = df.sparkSession, [c for c in df.columns if c != into]
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = df.drop(into).withColumn("__size", F.coalesce(size.cast("long"), F.lit(0))).repartitionByRange(parts, *order_by).sortWithinPartitions(*order_by)
+    placed = stored(placed.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "ranges")
+    in_order = placed.repartition("__part").sortWithinPartitions("__part", "__at")
+
+    def summaries(batches):
+        part, held = None, []
+        for b in batches:
+            p, n = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            for lo, hi in _stretches(p):
+                if p[lo] != part and held:
+                    yield _summary(part, np.concatenate(held), limit)
+                    held = []
+                part = int(p[lo])
+                held.append(n[lo:hi])
+        if held:
+            yield _summary(part, np.concatenate(held), limit)
+
+    def entries(batches):
+        """What each range begins with, from the rows of all summaries in order."""
+        part, begun, k, h, done = None, [], 0, 0, True
+        for b in batches:
+            for p, upto, slices, left in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if p != part:
+                    part, done = p, False
+                    begun.append((p, k, h))
+                if not done and (upto is None or upto > limit - h):
+                    done, k, h = True, k + slices, left if upto is not None else h + left
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*begun, strict=True)) or [()] * 3, (pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["part", "slices", "held"])
+
+    told = stored(in_order.select("__part", "__size").mapInArrow(summaries, "part int, at long, upto long, slices long, held long"), "summaries")
+    one = told.repartitionByRange(1, "part", "at").sortWithinPartitions("part", "at").select("part", "upto", "slices", "held")
+    starts = {r["part"]: (r["slices"], r["held"]) for r in one.mapInArrow(entries, "part int, slices long, held long").collect()}  # a row a range
+
+    def number(batches):
+        part, k, h = None, 0, 0
+        for b in batches:
             out = []
-            for n in pdf["__size"]:
-                held += int(n or 0)
-                if held > limit:
-                    k, held = k + 1, 0
+            for p, n in zip(b.column(len(names) + 1).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
+                if p != part:
+                    part, (k, h) = p, starts[p]
+                h += n
+                if h > limit:
+                    k, h = k + 1, 0
                 out.append(k)
-            yield pdf.drop(columns="__size").assign(**{into: out})
-
-    kinds = ", ".join(f"`{n}` {t}" for n, t in df.dtypes if n != into) + f", `{into}` long"
-    return df.drop(into).withColumn("__size", size.cast("long")).repartitionByRange(1, *order_by).sortWithinPartitions(*order_by).mapInPandas(run, kinds)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(out, pa.int64())], names=[*names, into])
+
+    kept = in_order.select(*names, "__size", "__part")
+    return kept.mapInArrow(number, T.StructType([*kept.schema.fields[: len(names)], T.StructField(into, T.LongType())]))
+
+
+def _stretches(p: np.ndarray):
+    """(first, end) of the stretches of equal numbers."""
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(p)) + 1, [len(p)]]) if len(p) else []
+    return zip(edges[:-1], edges[1:], strict=True)
+
+
+def _summary(part: int, sizes: np.ndarray, limit: int) -> pa.RecordBatch:
+    """Rows part, at, upto, slices, held: if at is the first row that begins a slice (whose sum `upto` exceeds what was
+    free), so many begin in all and that is held at the end; the last row, without upto: none begins."""
+    total, n = np.cumsum(sizes), len(sizes)
+    before = total - sizes
+    next_ = np.searchsorted(total, before + limit, side="right")  # the row that begins a slice after a fresh start at each row
+    many, held = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    for j in range(n - 1, -1, -1):
+        many[j], held[j] = (1 + many[next_[j] + 1], held[next_[j] + 1]) if next_[j] < n else (0, total[-1] - before[j])
+    first = np.arange(min(int(np.searchsorted(total, limit, side="right")) + 1, n))
+    at = [*first.tolist(), n]
+    columns = [[part] * len(at), at, [*total[first].tolist(), None], [*(1 + many[first + 1]).tolist(), 0], [*held[first + 1].tolist(), int(total[-1])]]
+    kinds = [pa.int32()] + [pa.int64()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["part", "at", "upto", "slices", "held"])

@@ -187,12 +187,34 @@ def near_dup_recall(t):
     return repetition.recall_at(truth, found, 4).select("queries", F.coalesce(F.col("recall") >= 0.9, F.lit(True)).alias("enough"))
 
 
-@query()
+_BATCH = "(doc_id - (SELECT min(doc_id) FROM documents)) // ((SELECT (max(doc_id) - min(doc_id) + 4) // 4 FROM documents))"
+
+
+@query(f"SELECT {_BATCH} AS batch, count(*) AS documents, true AS accounted, true AS apart FROM documents GROUP BY ALL")
 def online_dedup(t):
+    """Four batches: whether each document was either kept or dropped, and whether no kept one is near an earlier kept one that
+    the search, asked again, would find."""
+    docs = t("documents")
+    spark, path = docs.sparkSession, fresh_dir(docs.sparkSession, "fuzzy-store")
+    store = online.FuzzyStore(path)
+    online.add_in_batches(docs, store, 4)
+    kept, dropped = store.signatures(spark), spark.read.parquet(f"{path}/dropped")
+    span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    batch = F.floor((F.col("doc_id") - span["lo"]) / ((span["hi"] - span["lo"] + 4) // 4)).cast("long")
+    state = kept.select(F.col("id").alias("doc_id"), F.lit(1).alias("kept")).union(dropped.select(F.col("dropped_query_id").alias("doc_id"), F.lit(0)))
+    near = dedup.near_duplicates(kept, kept).groupBy(F.col("query_id").alias("doc_id")).agg(F.count("*").alias("near"))
+    rows = docs.select("doc_id", batch.alias("batch")).join(state, "doc_id", "left").join(near, "doc_id", "left")
+    return rows.groupBy("batch").agg(F.count_distinct("doc_id").alias("documents"), (F.count("kept") == F.count_distinct("doc_id")).alias("accounted"), (F.count("near") == 0).alias("apart"))
+
+
+@query("SELECT doc_id, false AS known FROM documents WHERE doc_id < 0")
+def probe_known_documents(t):
+    """Documents probed against a store that holds them all: each is found again, so none is new. The store isn't changed."""
     docs = t("documents")
-    path = fresh_dir(docs.sparkSession, "fuzzy-store")
-    online.add_in_batches(docs, online.FuzzyStore(path), 4)
-    return docs.sparkSession.read.parquet(f"{path}/signatures").select("id", "document_length", F.col("batch").cast("long").alias("batch"))
+    spark, path = docs.sparkSession, fresh_dir(docs.sparkSession, "probed-store")
+    store = online.FuzzyStore(path)
+    store.add(docs, 0)
+    return store.probe(docs.where("doc_id % 100 = 0")).where("not known").select("doc_id", "known")
 
 
 @query("SELECT doc_id, doc_id % 3 AS part, lang FROM documents")
@@ -323,9 +345,11 @@ def upsert(t):
     return dedup.upsert(docs, docs.where("doc_id % 7 = 0").withColumn("n_chars", F.lit(-1).cast("long")), "doc_id")
 
 
-@query()
+@query("SELECT 112 AS k, 4096 AS bits, 42::BIGINT AS seed, 112 AS multipliers, true AS odd")
 def sketch_manifest(t):
-    return dedup.manifest_of(t("region").sparkSession)
+    """What the signatures of the documents depend on; multipliers are odd, so multiplying loses nothing."""
+    got = dedup.manifest_of(t("documents").sparkSession)
+    return got.select("k", "bits", "seed", F.size(F.array_distinct("multipliers")).alias("multipliers"), F.forall("multipliers", lambda x: F.pmod(x, F.lit(2)) == 1).alias("odd"))
 
 
 @query(f"SELECT DISTINCT {KEY} AS key FROM documents")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedup
+from ..sources.shared import stored
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -44,37 +45,74 @@ class ExactStore:
 
 
 class FuzzyStore:
-    """Signatures of all documents kept so far, under `path`/signatures; for each batch also neighbours, drops and metrics."""
+    """Signatures of all documents kept so far, under `path`/signatures, and an index of their bands, under `path`/index; for
+    each batch also neighbours, drops and metrics.
+
+    The index is partitioned by a part of the band's hash (`parts` folders a batch); a batch reads the parts that its own bands
+    fall in, semi-joined by these bands, and then the signatures of the documents that it met, so what is compared grows with
+    the matches and not with the store."""
 
     SIGNATURES = "id long, minhashes array<long>, document_length long, batch long"
+    INDEX = "band int, band_hash long, id long, batch long, part int"
 
-    def __init__(self, path: str, text: str = "text", id_column: str = "doc_id", threshold: float = dedup.THRESHOLD, bands: int = dedup.BANDS, rows: int = dedup.ROWS, top: int = 4, seed: int = 42):
-        self.path, self.text, self.id, self.threshold, self.bands, self.rows, self.top, self.seed = path.rstrip("/"), text, id_column, threshold, bands, rows, top, seed
+    def __init__(self, path: str, text: str = "text", id_column: str = "doc_id", threshold: float = dedup.THRESHOLD, bands: int = dedup.BANDS, rows: int = dedup.ROWS, top: int = 4, seed: int = 42, parts: int = 8):
+        self.path, self.text, self.id, self.threshold, self.bands, self.rows, self.top, self.seed, self.parts = path.rstrip("/"), text, id_column, threshold, bands, rows, top, seed, parts
 
     def signatures(self, spark: SparkSession) -> DataFrame:
         return _stored(spark, f"{self.path}/signatures", self.SIGNATURES)
 
+    def _banded(self, sigs: DataFrame) -> DataFrame:
+        bands = dedup.band_hashes(sigs, dedup.SEARCH_BANDS, dedup.SEARCH_ROWS).select("band", "band_hash", "id")
+        return bands.withColumn("part", F.pmod(F.col("band_hash"), F.lit(self.parts)).cast("int"))
+
+    def _search(self, sigs: DataFrame, batch_id: int | None) -> DataFrame:
+        """dedup.near_duplicates() of the given signatures among the store's (but for one batch's)."""
+        spark = sigs.sparkSession
+        index, known = _stored(spark, f"{self.path}/index", self.INDEX), self.signatures(spark)
+        if batch_id is not None:
+            index, known = index.where(F.col("batch") != batch_id), known.where(F.col("batch") != batch_id)
+        asked = self._banded(sigs).select("part", "band", "band_hash").distinct()
+        met = index.join(asked, ["part", "band", "band_hash"], "left_semi").select("id").distinct()
+        return dedup.near_duplicates(sigs, known.join(met, "id", "left_semi").select("id", "minhashes"), self.top, max_distance=1 - self.threshold)
+
+    def _signed(self, batch: DataFrame) -> DataFrame:
+        return dedup.signatures(batch, self.text, self.id, self.bands * self.rows, seed=self.seed)
+
+    def probe(self, batch: DataFrame) -> DataFrame:
+        """Only ask: the batch's ids with neighbors (nearest first) and known, whether the store has any near copy; an id that
+        the store holds itself is known, too. Nothing is inserted."""
+        spark, sigs = batch.sparkSession, stored(self._signed(batch), "probed")
+        found = self._search(sigs, None).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "neighbor_id"))), lambda x: x["neighbor_id"]).alias("neighbors"))
+        held = self.signatures(spark).select("id").distinct().withColumn("held", F.lit(True))
+        out = sigs.select("id").join(found, F.col("id") == F.col("query_id"), "left").join(held, "id", "left")
+        return out.select(F.col("id").alias(self.id), "neighbors", (F.col("neighbors").isNotNull() | F.col("held").isNotNull()).alias("known"))
+
     def add(self, batch: DataFrame, batch_id: int) -> None:
         """Sign, drop near copies within the batch, search the store, drop what is too near, never insert a known id, insert the rest."""
         spark, mark, began = batch.sparkSession, f"{self.path}/signatures/batch={batch_id}", time.time()
         if _exists(spark, f"{mark}/_SUCCESS"):
             return
-        known = self.signatures(spark).where(F.col("batch") != batch_id).select("id", "minhashes")
-        sigs = dedup.signatures(batch, self.text, self.id, self.bands * self.rows, seed=self.seed).persist()
-        inner = dedup.fuzzy_removed(sigs, threshold=self.threshold, bands=self.bands, rows=self.rows).persist()
+        sigs = stored(self._signed(batch), "batch")
+        # Near copies of the batch among each other: the greedy rule, and what the finer search still finds goes by the least id.
+        inner = stored(dedup.fuzzy_removed(sigs, threshold=self.threshold, bands=self.bands, rows=self.rows), "inner")
+        left = sigs.join(inner, "id", "left_anti")
+        later = dedup.near_duplicates(left, left, self.top, max_distance=1 - self.threshold).where("neighbor_id < query_id").select(F.col("query_id").alias("id"))
+        inner = stored(inner.union(later).distinct(), "inner")
         survivors = sigs.join(inner, "id", "left_anti")
-        near = dedup.near_duplicates(survivors, known, self.top, max_distance=1 - self.threshold).persist()
+        near = stored(self._search(survivors, batch_id), "near")
         found = near.groupBy("query_id").agg(F.array_sort(F.collect_list("neighbor_id")).alias("neighbors"))
         found.write.mode("overwrite").parquet(f"{self.path}/neighbors/batch={batch_id}")
-        dropped = inner.union(near.select("query_id")).distinct().select(F.lit(batch_id).cast("long").alias("batch_start"), F.col("id").alias("dropped_query_id"))
-        dropped.write.mode("overwrite").parquet(f"{self.path}/dropped/batch={batch_id}")
-        fresh = survivors.join(near.select(F.col("query_id").alias("id")).distinct(), "id", "left_anti").join(known.select("id"), "id", "left_anti")
+        known = self.signatures(spark).where(F.col("batch") != batch_id).select("id")
+        again = survivors.join(known, "id", "left_semi").select("id")
+        gone = stored(inner.union(near.select("query_id")).union(again).distinct(), "gone")
+        gone.select(F.lit(batch_id).cast("long").alias("batch_start"), F.col("id").alias("dropped_query_id")).write.mode("overwrite").parquet(f"{self.path}/dropped/batch={batch_id}")
+        fresh = stored(sigs.join(gone, "id", "left_anti"), "fresh")
+        self._banded(fresh).write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/index/batch={batch_id}")
+        # The signatures come last: they commit the batch.
         fresh.write.mode("overwrite").parquet(mark)
-        inserted, total = spark.read.parquet(mark).count(), sigs.count()
+        inserted, total = fresh.count(), sigs.count()
         row = (batch_id, total, inserted, total - inserted, time.time() - began)
         spark.createDataFrame([row], "batch_id long, documents long, inserted long, removed long, seconds double").write.mode("overwrite").parquet(f"{self.path}/metrics/batch={batch_id}")
-        for df in (sigs, inner, near):
-            df.unpersist()
 
 
 def run(spark: SparkSession, source: str, schema: str, store: ExactStore | FuzzyStore, checkpoint: str, files_per_batch: int = 1) -> None:

@@ -10,8 +10,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import str_to_int
 from corpusloom.operators import code, dedup, filters, quality, repetition, structure, urls
-from corpusloom.sources import archives, tables
+from corpusloom.sources import archives, tables, warc
 from corpusloom.streaming import online
 
 
@@ -142,6 +143,24 @@ def test_repetition_removal(spark):
     assert got == {1: f"one {passage} end", 2: "two tail", 3: "alone here"}
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 30), min_size=1, max_size=60), st.integers(5, 60), st.integers(1, 6))
+def test_ranges_summed_up_give_the_rule_of_one_scan(sizes, limit, ranges):
+    want, k, h = [], 0, 0
+    for n in sizes:
+        h += n
+        if h > limit:
+            k, h = k + 1, 0
+        want.append((k, h))
+    cut, k, h = np.array_split(np.array(sizes), ranges), 0, 0
+    at = 0
+    for own in (c for c in cut if len(c)):
+        rows = filters._summary(0, own, limit).to_pylist()
+        hit = next(r for r in rows if r["upto"] is None or r["upto"] > limit - h)
+        k, h, at = k + hit["slices"], hit["held"] if hit["upto"] is not None else h + hit["held"], at + len(own)
+        assert (k, h) == want[at - 1]
+
+
 def test_resize_bytes_rule(spark):
     df = spark.createDataFrame([(i, 40) for i in range(8)], "i int, n int")
     got = [r["slice"] for r in filters.resize_bytes(df, 50, F.col("n"), ["i"]).orderBy("i").collect()]
@@ -202,3 +221,56 @@ def test_manifests_must_match(spark):
     dedup.check_manifest(dedup.manifest_of(spark), dedup.manifest_of(spark))
     with pytest.raises(ValueError):
         dedup.check_manifest(dedup.manifest_of(spark), dedup.manifest_of(spark, seed=1))
+
+
+def test_murmur_known_values(spark):
+    rows = spark.createDataFrame([("",), ("hello",), ("hello, world",)], "s string").select(str_to_int("s", 0).alias("h"))
+    assert [r["h"] for r in rows.collect()] == [0, 0x248BFA47, 0x149BBB7F]
+
+
+def test_warc_records_of_plain_and_cut_streams():
+    one = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 4\r\n\r\na\r\nb\r\n\r\n"
+    two = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://x:1/\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    for step in (1, 3, 1000):
+        raw = one + two + one[:-6]
+        got = list(warc.records(raw[i : i + step] for i in range(0, len(raw), step)))
+        assert [(h["warc-type"], h.get("warc-target-uri"), b) for h, b in got] == [("warcinfo", None, b"a\r\nb"), ("response", "http://x:1/", b"")]
+
+
+def test_upsert_keeps_the_last(spark):
+    store = spark.createDataFrame([(1, "old", 0), (2, "stays", 0)], "id long, v string, at int")
+    fresh = spark.createDataFrame([(1, "late", 5), (1, "early", 2), (3, "new", 1)], "id long, v string, at int")
+    assert sorted(values(dedup.upsert(store, fresh, order_by="at"), "id", "v")) == [(1, "late"), (2, "stays"), (3, "new")]
+
+
+def test_gram_hashes_equal_plain_scans():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        ws = ["a", "ab", "b", "bc", "c", "é😀"][:6]
+        ws = [ws[i] for i in rng.integers(0, 6, rng.integers(0, 40))]
+        g = quality.Grams(ws)
+        for n in (2, 5):
+            grams = [" ".join(ws[i : i + n]) for i in range(len(ws) - n + 1)]
+            top = max(grams, key=grams.count, default="")
+            assert g.top_chars(n) == len(top) * grams.count(top)
+            seen, total, i = set(), 0, 0
+            while i + n <= len(ws):
+                gram = "".join(ws[i : i + n])
+                if gram in seen:
+                    total, i = total + len(gram), i + n
+                else:
+                    seen.add(gram)
+                    i += 1
+            assert g.repeated_chars(n) == total
+
+
+def test_fuzzy_store_probes_without_inserting(spark, data, tmp_path):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    store = online.FuzzyStore(str(tmp_path / "store"))
+    assert store.probe(docs).where("known").count() == 0
+    store.add(docs.where("doc_id % 2 = 0"), 0)
+    held = store.signatures(spark).count()
+    store.add(docs.where("doc_id % 2 = 0"), 0)
+    got = store.probe(docs)
+    assert store.signatures(spark).count() == held and got.count() == docs.count()
+    assert got.where("doc_id % 2 = 0 and not known").count() == 0
