@@ -107,6 +107,7 @@ def _sharded(counts: DataFrame, shard: Column, builder, folder: str, keys: tuple
 
         def close():
             name, cols = f"{folder}/{uuid.uuid4().hex}", [np.concatenate(c) for c in zip(*held, strict=True)]
+            held.clear()
             save(name, build(*cols))
             return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [name], "size": pa.array([len(cols[0])], pa.int64())})
 
@@ -387,7 +388,7 @@ def _end(reader: Reader) -> int:
 
 
 #: Keys that a bucket holds on the average, before those of different tasks are added up.
-BUCKET = 4_000_000
+BUCKET = 2_000_000
 _PACKED = "bucket int, keys binary, more binary, counts binary"
 
 
@@ -518,7 +519,7 @@ def _build(docs: DataFrame, text: str, learn_from: Column | None, carry: list[st
     return model, shards, own
 
 
-def train(docs: DataFrame, text: str = "text", shard_rows: int = 2_000_000, least: int = 2) -> tuple[Model, dict[int, int]]:
+def train(docs: DataFrame, text: str = "text", shard_rows: int = 500_000, least: int = 2) -> tuple[Model, dict[int, int]]:
     """Build the trie from all texts. Gives the model and the number of shards of each level.
 
     Words, pairs and triples seen `least` times at least are kept, whatever the size of the corpus. The driver collects totals
@@ -529,7 +530,7 @@ def train(docs: DataFrame, text: str = "text", shard_rows: int = 2_000_000, leas
     return model, shards
 
 
-def train_and_score(docs: DataFrame, learn_from: Column, text: str = "text", shard_rows: int = 2_000_000, least: int = 2) -> DataFrame:
+def train_and_score(docs: DataFrame, learn_from: Column, text: str = "text", shard_rows: int = 500_000, least: int = 2) -> DataFrame:
     """train() on the rows that learn_from marks, score() of all rows: texts are tokenised twice instead of four times. The text isn't kept."""
     carry = [c for c in docs.columns if c not in (*BASE, "score", text)]
     model, shards, own = _build(docs, text, learn_from, carry, shard_rows, least)
