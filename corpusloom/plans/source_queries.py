@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import filters, structure, urls
-from ..sources import archives, tables, warc
+from ..sources import archives, shared, tables, warc
 from ..sources.shared import fresh_dir
 from .registry import query
 
@@ -125,3 +125,29 @@ def blocklist_file(t):
     path = fresh_dir(spark, "blocklist")
     spark.createDataFrame([("# comment",), ("A.org ",), ("",), ("b.net",), ("a.org",)], "value string").coalesce(1).write.text(path)
     return urls.load_blocklist(spark, path).select("domain", F.lit(True).alias("listed"))
+
+
+@query("SELECT doc_id, lang, lang IN ('en', 'fr') AS allowed FROM documents WHERE (n_chars > 1000)")
+def configured_chain(t):
+    """Operators named in a description, as a job's configuration has them."""
+    steps = [{"operator": "filters.filter_rows", "criteria": ["n_chars > 1000"], "drop": ["text"]}, {"operator": "filters.language_select", "allowed": ["en", "fr"]}]
+    return tables.configured(steps)(t("documents")).select("doc_id", "lang", "allowed")
+
+
+@query("SELECT count(*) AS rows, true AS measured FROM lineitem")
+def task_resources(t):
+    got = tables.resources(t("lineitem").select("l_orderkey"))
+    return got.agg(F.sum("rows").cast("long").alias("rows"), F.every((F.col("cpu_seconds") > 0) & (F.col("memory_mb") > 1)).alias("measured"))
+
+
+@query("SELECT 2 AS before, 1 AS after")
+def cleaned_folder(t):
+    """Of two intermediate results one is cleaned away by its name."""
+    spark = t("region").sparkSession
+    paths = [fresh_dir(spark, name) for name in ("clean-me", "keep-me")]
+    for p in paths:
+        t("region").write.parquet(p)
+    exists = lambda p: shared.place(p)[0].get_file_info(shared.place(p)[1]).type.name != "NotFound"
+    before = sum(map(exists, paths))
+    shared.cleaned(spark, ("clean-me",), older_than=0)
+    return spark.createDataFrame([(before, sum(map(exists, paths)))], "before int, after int")

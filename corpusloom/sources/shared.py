@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import time
 import uuid
 from pathlib import Path
 
@@ -44,3 +46,18 @@ def let_workers_import(spark: SparkSession) -> None:
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
+def cleaned(spark: SparkSession, names: tuple[str, ...], older_than: float = 86_400.0) -> list[str]:
+    """Delete the folders of fresh_dir() whose names begin with one of these and that are older than so many seconds; gives them.
+
+    Only a job that knows that nothing reads its intermediate results any more may call this."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(root):
+        return []
+    limit = time.time() * 1000 - older_than * 1000
+    old = [s.getPath() for s in fs.listStatus(root) if s.getModificationTime() <= limit and re.fullmatch(r"(?:" + "|".join(map(re.escape, names)) + r")-[0-9a-f]{32}", s.getPath().getName())]
+    for p in old:
+        fs.delete(p, True)
+    return sorted(p.getName() for p in old)

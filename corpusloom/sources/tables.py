@@ -115,3 +115,34 @@ def chain(df: DataFrame, *operators) -> DataFrame:
     for op in operators:
         df = df.transform(op)
     return df
+
+
+def configured(steps: Sequence[dict]):
+    """An operator from a description: steps of {"operator": "module.function", ...parameters}, of this package's operators."""
+    from importlib import import_module
+
+    def step(d: dict):
+        module, _, name = d["operator"].rpartition(".")
+        if module.startswith("_") or "." in module or name.startswith("_"):
+            raise ValueError(f"no operator of this name: {d['operator']}")
+        f = getattr(import_module(f"corpusloom.operators.{module}"), name)
+        return lambda df: f(df, **{k: v for k, v in d.items() if k != "operator"})
+
+    made = [step(d) for d in steps]
+    return lambda df: chain(df, *made)
+
+
+def resources(df: DataFrame) -> DataFrame:
+    """What reading a frame takes: for each task its rows, and CPU seconds and greatest memory (MB) of its Python worker so far."""
+
+    def run(batches):
+        import resource
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        rows = sum(b.num_rows for b in batches)
+        used = resource.getrusage(resource.RUSAGE_SELF)
+        yield pa.RecordBatch.from_pydict({"task": pa.array([TaskContext.get().partitionId()], pa.int32()), "rows": [rows], "cpu_seconds": [used.ru_utime + used.ru_stime], "memory_mb": [used.ru_maxrss / 1024]})
+
+    return df.mapInArrow(run, "task int, rows long, cpu_seconds double, memory_mb double")
