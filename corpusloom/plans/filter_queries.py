@@ -114,7 +114,7 @@ def bloom_member_approximate(t):
     """A Bloom filter misses none and passes few others (at most 3 per cent, of 1 expected)."""
     ids, toxic = t("documents").select("doc_id"), t("labels").where("toxic = 1")
     both = filters.bloom_member(filters.bloom_member(ids, toxic, "doc_id", "told", expected=2000, exact=False), toxic, "doc_id", "member")
-    return both.agg(F.count("*").alias("documents"), F.count_if("member = 1 and told = 0").alias("missed"), (F.count_if("member = 0 and told = 1") <= 0.03 * F.count("*")).alias("few_wrong"))
+    return both.agg(F.count("*").alias("documents"), F.count_if(F.expr("member = 1 and told = 0")).alias("missed"), (F.count_if(F.expr("member = 0 and told = 1")) <= 0.03 * F.count("*")).alias("few_wrong"))
 
 
 @query("SELECT doc_id, coalesce(lang, '') || '|' || coalesce(source, '') || '|' || coalesce(n_chars::VARCHAR, '') AS joined FROM documents")
