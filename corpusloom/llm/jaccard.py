@@ -322,7 +322,7 @@ def parts(s: np.ndarray, percent: int, base: int, limit: float, order: Bloom) ->
     full = n > 1
     keys = mix(content[full] + mix(where[first[full]].astype(U) + U(base + 1 << 32)))
     if k - np.count_nonzero(full) > spare:
-        keys = np.concatenate([keys, mix(ordered(s, order)[: prefix_length(len(s), percent)] ^ mix(U(base + 1 << 40)))])
+        keys = np.concatenate([keys, mix(ordered(s, order)[: prefix_length(len(s), percent)] ^ mix(np.array([base + 1 << 40], U)))])
     return keys
 
 

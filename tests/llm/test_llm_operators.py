@@ -344,6 +344,31 @@ def test_join_with_other_thresholds(spark, copies, n, percent):
     assert got == brute(copies, n, percent)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.integers(1, 400), st.integers(0, 60), st.integers(0, 60), st.integers(50, 99), st.integers(0, 2**32))
+def test_sets_that_link_meet(n, gone, new, percent, seed):
+    """Two sets that link have enough common first n-grams, and a part (or, for scattered ones, a first n-gram) in common."""
+    rng = np.random.default_rng(seed)
+    pool = rng.integers(0, 2**64, n + new, dtype=np.uint64)
+    a, b = np.unique(pool[:n]), np.unique(pool[min(gone, n - 1) :])
+    both = len(np.intersect1d(a, b))
+    if 100 * both < percent * (len(a) + len(b) - both) or len(a) == len(b) == both:
+        return
+    words = np.zeros(1024, np.uint64)
+    common = rng.choice(pool, len(pool) // 3)
+    np.bitwise_or.at(words, (common >> np.uint64(54)).astype(np.int64), common_bloom := jaccard.Bloom._masks(common))
+    order = jaccard.Bloom(words)
+    assert order.holds(common).all() and len(common_bloom) == len(common)
+    first = [jaccard.ordered(s, order)[: jaccard.prefix_length(len(s), percent) + len(s) // jaccard.share_of(percent) + 2] for s in (a, b)]
+    shared = len(np.intersect1d(*first))
+    assert all(shared >= 1 + len(s) // jaccard.share_of(percent) for s in (a, b))
+    keys = []
+    for s in (a, b):
+        c = jaccard.class_of(len(s), percent)
+        keys.append(np.concatenate([jaccard.parts(s, percent, k, jaccard.size_limit(k, percent), order) for k in (c - 1, c)]))
+    assert len(np.intersect1d(*keys))
+
+
 def test_join_of_repeated_ids(spark):
     words = [f"w{i}" for i in range(40)]
     rows = [(1, " ".join(words)), (1, "quite another text of its own"), (2, " ".join([*words[:39], "x"])), (3, "quite another text of its own"), (3, None)]
