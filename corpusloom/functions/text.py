@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: ASCII white space, as a regular expression's class.
@@ -16,6 +16,15 @@ def col(c: str | Column) -> Column:
     return F.col(f"`{c}`") if isinstance(c, str) else c
 
 
+def once(df: DataFrame, name: str, value: Column) -> tuple[DataFrame, Column]:
+    """The frame with a column of that value, and the column: what several expressions use is computed once, since Spark doesn't
+    merge a projection into another that uses a costly column twice. Drop it in the end."""
+    name = f"__{name}"
+    while name in df.columns:
+        name += "_"
+    return df.withColumn(name, value), F.col(name)
+
+
 def words(c: str | Column) -> Column:
     """Words between white space; none for the empty text."""
     return F.filter(F.split(col(c), WS + "+"), lambda w: w != "")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import col, count_of, count_where, ratio, split_lines
+from ..functions.text import col, count_of, count_where, once, ratio, split_lines
 
 #: Keywords and the languages they are looked for in.
 GENERATED = ("auto-generated", "autogenerated", "automatically generated")
@@ -19,10 +19,10 @@ ASSIGNING = ("java", "python", "c", "c++", "c#", "go", "javascript", "ruby", "pe
 
 
 def line_stats(df: DataFrame, text: str = "text", longest: int = 7) -> DataFrame:
-    sizes = F.transform(split_lines(text), F.length)
+    df, sizes = once(df, "sizes", F.transform(split_lines(text), F.length))
     top = F.slice(F.reverse(F.array_sort(sizes)), 1, longest)
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    return df.withColumns({"line_mean": ratio(total(sizes), F.size(sizes)), "line_max": F.coalesce(F.array_max(sizes), F.lit(0)).cast("long"), "avg_longest_lines": ratio(total(top), F.size(top)), "num_lines": F.size(sizes).cast("long")})
+    return df.withColumns({"line_mean": ratio(total(sizes), F.size(sizes)), "line_max": F.coalesce(F.array_max(sizes), F.lit(0)).cast("long"), "avg_longest_lines": ratio(total(top), F.size(top)), "num_lines": F.size(sizes).cast("long")}).drop(sizes)
 
 
 def alphanumeric_share(text: str | Column) -> Column:
@@ -85,8 +85,8 @@ ENCODED = (r"[a-zA-Z0-9+/\n=]{64,}", r"(?:\b(?:0x|\\x)?[0-9a-fA-F]{2}(?:,|\b\s*)
 
 def encoded_data(df: DataFrame, text: str = "text") -> DataFrame:
     """Length of the longest encoded run, and all runs' share of the text (runs of two kinds count twice)."""
-    runs = F.concat(*[F.transform(F.regexp_extract_all(col(text), F.lit(p), F.lit(0)), F.length) for p in ENCODED])
-    return df.withColumns({"max_encoded_data_length": F.coalesce(F.array_max(runs), F.lit(0)).cast("long"), "encoded_data_percent": ratio(F.aggregate(runs, F.lit(0).cast("long"), lambda a, x: a + x), F.length(col(text)))})
+    df, runs = once(df, "runs", F.concat(*[F.transform(F.regexp_extract_all(col(text), F.lit(p), F.lit(0)), F.length) for p in ENCODED]))
+    return df.withColumns({"max_encoded_data_length": F.coalesce(F.array_max(runs), F.lit(0)).cast("long"), "encoded_data_percent": ratio(F.aggregate(runs, F.lit(0).cast("long"), lambda a, x: a + x), F.length(col(text)))}).drop(runs)
 
 
 def code_quality(df: DataFrame, text: str = "text", language: str = "lang", tokens: Column | None = None) -> DataFrame:

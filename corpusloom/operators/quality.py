@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import rolling
-from ..functions.text import WS, PUNCT, col, count_of, count_where, lines, n_words, ratio, split_lines, total_length, without, words
+from ..functions.text import WS, PUNCT, col, count_of, count_where, lines, n_words, once, ratio, total_length, without, words
 
 #: Symbols, bullets, common English words, ends of sentences.
 SYMBOLS = ("#", "...")
@@ -28,22 +28,23 @@ BULLET_POINTS = ("●", "•", "*", "-")
 
 
 def word_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    w = words(text)
+    df, w = once(df, "words", words(text))
     n = F.size(w).cast("long")
     return df.withColumns({
         "docq_total_words": n,
         "docq_mean_word_len": ratio(total_length(w), n),
         "docq_symbol_to_word_ratio": ratio(count_where(w, lambda x: x.contains(SYMBOLS[0]) | x.contains(SYMBOLS[1])), n),
-    })
+    }).drop(w)
 
 
 def line_ratios(df: DataFrame, text: str = "text") -> DataFrame:
-    ls, w = lines(text), words(text)
+    df, ls = once(df, "lines", lines(text))
+    df, w = once(df, "words", words(text))
     return df.withColumns({
         "docq_bullet_point_ratio": ratio(count_where(ls, lambda x: x.startswith(BULLETS[0]) | x.startswith(BULLETS[1])), F.size(ls)),
         "docq_ellipsis_line_ratio": ratio(count_where(ls, lambda x: x.endswith("...")), F.size(ls)),
         "docq_alphabet_word_ratio": ratio(count_where(w, lambda x: x.rlike(r"\p{L}")), F.size(w)),
-    })
+    }).drop(ls, w)
 
 
 def sentence_count(text: str | Column, lang: str = "en") -> Column:
@@ -129,11 +130,11 @@ def _repeated(items: Column) -> tuple[Column, Column]:
 
 def repeated_lines(df: DataFrame, text: str = "text") -> DataFrame:
     """Shares of repeated lines and paragraphs, by number and by characters. Closed forms: what remains after a distinct."""
-    ls = F.split(col(text), "\n+")
-    ps = F.split(F.regexp_replace(col(text), r"^\s+|\s+$", ""), "\n{2,}")
+    df, ls = once(df, "lines", F.split(col(text), "\n+"))
+    df, ps = once(df, "paragraphs", F.split(F.regexp_replace(col(text), r"^\s+|\s+$", ""), "\n{2,}"))
     (ln, lc), (pn, pc) = _repeated(ls), _repeated(ps)
     size = F.length(col(text))
-    return df.withColumns({"dup_line_frac": ratio(ln, F.size(ls)), "dup_line_char_frac": ratio(lc, size), "dup_para_frac": ratio(pn, F.size(ps)), "dup_para_char_frac": ratio(pc, size)})
+    return df.withColumns({"dup_line_frac": ratio(ln, F.size(ls)), "dup_line_char_frac": ratio(lc, size), "dup_para_frac": ratio(pn, F.size(ps)), "dup_para_char_frac": ratio(pc, size)}).drop(ls, ps)
 
 
 class Grams:
@@ -191,7 +192,7 @@ def gram_repetition(df: DataFrame, text: str = "text", tokenize: Callable[[str],
 
 def line_quality(df: DataFrame, text: str = "text", short: int = 30) -> DataFrame:
     """Shares of lines that end in punctuation, are short, repeat (by characters), and line ends per word."""
-    ls = lines(text)
+    df, ls = once(df, "lines", lines(text))
     full = F.filter(ls, lambda x: ~x.rlike(r"^\s*$"))
     ends = lambda x: x.endswith(END_PUNCTUATION[0]) | x.endswith(END_PUNCTUATION[1]) | x.endswith(END_PUNCTUATION[2]) | x.endswith(END_PUNCTUATION[3]) | x.endswith(END_PUNCTUATION[4])
     return df.withColumns({
@@ -199,7 +200,7 @@ def line_quality(df: DataFrame, text: str = "text", short: int = 30) -> DataFram
         "short_line_frac": ratio(count_where(ls, lambda x: F.length(x) <= short), F.size(ls)),
         "dup_line_char_frac": ratio(_repeated(full)[1], F.length(col(text)) - count_of(text, "\n")),
         "new_line_ratio": ratio(count_of(text, "\n"), n_words(text)),
-    })
+    }).drop(ls)
 
 
 _VOWELS = "[aeiouy]+"
@@ -255,8 +256,9 @@ def enrichment(df: DataFrame, text: str = "text", tokenize: Callable[[str], list
     """Counts, means, character-class ratios and repetition of paragraphs and n-grams. Rows that fail get zeros, a mean
     word length of -1 and the error's text."""
     t = col(text)
-    ps = F.filter(F.split(t, PARAGRAPH_ENDS), lambda p: p != "")
-    flat = F.regexp_replace(t, PARAGRAPH_ENDS, "")
+    given = df.columns
+    df, ps = once(df, "paragraphs", F.filter(F.split(t, PARAGRAPH_ENDS), lambda p: p != ""))
+    df, flat = once(df, "flat", F.regexp_replace(t, PARAGRAPH_ENDS, ""))
     n, k, chars = n_words(text).cast("long"), F.size(ps).cast("long"), F.length(flat).cast("long")
     share = lambda p: ratio(F.regexp_count(flat, F.lit(p)), chars)
     out = df.withColumns({
@@ -265,7 +267,7 @@ def enrichment(df: DataFrame, text: str = "text", tokenize: Callable[[str], list
         "alphanumeric_char_ratio": share(r"[\p{L}\p{N}]"), "control_char_ratio": share(r"[\p{C}&&[^\t]]"), "punctuation_char_ratio": share(r"\p{P}"), "other_symbol_char_ratio": share(r"\p{S}"),
         "tabs_word_ratio": ratio(count_of(text, "\t"), n), "hashes_word_ratio": ratio(count_of(text, "#"), n),
         "ellipsis_ratio": ratio(count_where(ps, lambda p: p.rlike(ELLIPSIS)), k), "bulletpoint_ratio": ratio(count_where(ps, lambda p: p.rlike(r"^\s*[" + "".join(BULLET_POINTS) + "]")), k),
-    })
+    }).drop(ps, flat)
     names = ["dup_paragraphs_ratio", "dup_paragraphs_char_ratio"] + [f"top_{n}_gram_char_ratio" for n in (2, 3, 4)] + [f"dup_{n}_gram_char_ratio" for n in range(5, 11)]
 
     @F.pandas_udf(", ".join(f"{x} double" for x in names) + ", error string")
@@ -283,7 +285,7 @@ def enrichment(df: DataFrame, text: str = "text", tokenize: Callable[[str], list
     if tokenize is str.split:  # which can't fail: counts alone then need no Python
         return out
     failed = F.col("error").isNotNull()
-    zero = [c for c in out.columns if c not in (*df.columns, "error", "avg_word_length")]
+    zero = [c for c in out.columns if c not in (*given, "error", "avg_word_length")]
     out = out.withColumns({c: F.when(failed, F.lit(0).cast(dict(out.dtypes)[c])).otherwise(F.col(c)) for c in zero})
     return out.withColumn("avg_word_length", F.when(failed, -1.0).otherwise(F.col("avg_word_length")))
 
