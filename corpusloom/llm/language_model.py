@@ -400,7 +400,7 @@ def _dealt(keys: list[np.ndarray], counts: np.ndarray, buckets: int) -> pa.Recor
     bucket = ((h >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
     order = np.argsort(bucket.astype(np.int16) if buckets < 1 << 15 else bucket, kind="stable")
     first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-    ends = np.append(first[1:], len(order))
+    ends = np.append(first[1:], len(order))[: len(first)]
     counts = counts[order].astype(np.uint8 if counts.max(initial=0) < 256 else np.int64)
     cols = [_packed(k[order], ends, np.dtype("<i8")) for k in keys] + [pa.nulls(len(first), pa.binary())] * (2 - len(keys))
     return pa.RecordBatch.from_arrays([pa.array(bucket[order][first], pa.int32()), *cols, _packed(counts, ends, counts.dtype)], names=["bucket", "keys", "more", "counts"])
