@@ -224,6 +224,8 @@ class Reader:
 
     def _entries(self, level: int, numbers: np.ndarray):
         """(places in numbers, opened shard, places in it) for each shard of these entries."""
+        if not len(numbers):
+            return
         firsts = self.model.firsts[level]
         for k, own in _groups(np.searchsorted(firsts, numbers, side="right") - 1):
             yield own, _opened(self.model.levels[level][k].split("\t")[1]), numbers[own] - firsts[k]
