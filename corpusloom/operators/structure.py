@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import PUNCT, col, words
+from ..functions.text import PUNCT, col, once, words
 
 _SKIP = {"script", "style", "noscript", "template", "head", "svg"}
 _BLOCK = {"p", "div", "br", "li", "ul", "ol", "tr", "table", "section", "article", "header", "footer", "nav", "aside", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "main", "form"}
@@ -211,15 +211,18 @@ def lang_id(df: DataFrame, text: str = "text", label: str = "lang_label", score:
                 yield predict(s.fillna("").str.replace("\n", " "))
 
         return df.withColumn("__m", run(col(text))).select("*", F.col("__m.label").alias(label), (F.floor(F.col("__m.score") * 1000) / 1000).alias(score)).drop("__m")
-    w = F.transform(words(text), lambda x: F.regexp_replace(F.lower(x), f"[{PUNCT}]", ""))
-    among = lambda listed: F.size(F.filter("__w", lambda x: x.isin(list(listed))))
-    n = {lang: among(listed) for lang, listed in STOP_WORDS.items()}
-    best = F.greatest(*n.values())
-    name = F.lit(None).cast("string")
+    given = df.columns
+    df, w = once(df, "words", F.transform(words(F.lower(col(text))), lambda x: F.regexp_replace(x, f"[{PUNCT}]", "")))
+
+    def among(listed: Sequence[str]) -> Column:
+        return F.size(F.filter(w, lambda x: x.isin(list(listed))))
+
+    df, n = once(df, "counts", F.struct(*[among(listed).alias(lang) for lang, listed in STOP_WORDS.items()]))
+    best, name = F.greatest(*[n[lang] for lang in STOP_WORDS]), F.lit(None).cast("string")
     for lang in reversed(STOP_WORDS):
         name = F.when(n[lang] == best, lang).otherwise(name)
-    out = df.withColumn("__w", w)
-    return out.withColumns({label: F.when(best > 0, name).otherwise(F.lit("unknown")), score: F.floor(1000 * F.when(F.size("__w") > 0, best / F.size("__w")).otherwise(0.0)) / 1000}).drop("__w")
+    share = F.when(F.size(w) > 0, best / F.size(w)).otherwise(0.0)
+    return df.select(*[F.col(f"`{c}`") for c in given], F.when(best > 0, name).otherwise(F.lit("unknown")).alias(label), (F.floor(1000 * share) / 1000).alias(score))
 
 
 def classify(df: DataFrame, models: Sequence[tuple[Callable[[], Callable[[pd.Series], pd.DataFrame]], str, str]], text: str = "text") -> DataFrame:
