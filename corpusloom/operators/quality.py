@@ -350,7 +350,9 @@ def clean_line(text: str | Column) -> Column:
 
 def most_common_token(df: DataFrame, text: str = "text", id_column: str = "doc_id", least: int = 5) -> DataFrame:
     """id, token, share: the commonest word of each text of at least `least` words; of ties the alphabetically first."""
-    tokens = df.select(col(id_column).alias("id"), n_words(text).alias("n"), F.explode(words(text)).alias("token")).where(F.col("n") >= least)
+    rows = df.select(col(id_column).alias("id"), words(text).alias("w")).where(F.size("w") >= least)
+    # The outer form, since for the other one Spark infers a filter that splits the text again.
+    tokens = rows.select("id", F.size("w").alias("n"), F.explode_outer("w").alias("token"))
     counted = tokens.groupBy("id", "token").agg(F.count("*").alias("k"), F.first("n").alias("n"))
     return counted.groupBy("id").agg(F.max("k").alias("k"), F.min_by("token", F.struct(-F.col("k"), "token")).alias("token"), F.first("n").alias("n")).select("id", "token", (F.col("k") / F.col("n")).alias("share"))
 
