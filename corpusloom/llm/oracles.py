@@ -51,4 +51,16 @@ SELECT page_id, host, path, rule, CASE WHEN host = '' THEN '' ELSE template END
 CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN purity < 0.2 THEN 'block' ELSE 'allow' END AS verdict
 FROM g JOIN l2 USING (host, leaf) JOIN down USING (host, template)"""
 
-ORACLE_SQL = {"op3_url_templates": OP3, "op4_jaccard": OP4, "op10_contamination": OP10}
+_H = "CAST('0x' || sha256('7:' || doc_id)[{0}:{1}] AS BIGINT)"
+
+OP11 = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, {_H.format(1, 8)} AS h1, {_H.format(9, 16)} AS h2, {_H.format(17, 24)} AS h3, {_H.format(25, 32)} AS h4 FROM documents),
+c AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS prefix, coalesce(array_to_string(u[a + 1:b], ''), '') AS middle, coalesce(array_to_string(u[b + 1:], ''), '') AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+OP13 = """WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256 FROM d WINDOW w AS (PARTITION BY t)"""
+
+ORACLE_SQL = {"op3_url_templates": OP3, "op4_jaccard": OP4, "op10_contamination": OP10, "op11_fill_in_middle": OP11, "op13_exact_dedup": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, jaccard, language_model, media, packing, pseudonyms, quality, secrets, site_style, url_templates
+from . import contamination, exact_dedup, fill_in_middle, jaccard, language_model, media, packing, pseudonyms, quality, secrets, site_style, url_templates, whitening
 from .common import table
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -60,4 +60,30 @@ def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_site_style, op2_media, op3_url_templates, op4_jaccard, op5_quality, op6_secrets, op7_pseudonyms, op8_packing, op9_language_model, op10_contamination)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    back = fill_in_middle.restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(back).alias("restored_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    rows = whitening.whiten(vectors, model)
+    error = F.lit(None if model is None else whitening.identity_error(vectors, model)).cast("double")
+    shares = F.array(*[F.lit(float(x)) for x in ([] if model is None else model.explained)]).cast("array<double>")
+    out = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    n = F.lit(0 if model is None else model.n).cast("long")
+    return out.select("vec_id", (F.col("at") + 1).alias("component"), n.alias("n"), "deviation", "whitened", F.get(shares, F.col("at")).alias("explained"), error.alias("identity_error"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_ALL = (
+    op1_site_style, op2_media, op3_url_templates, op4_jaccard, op5_quality, op6_secrets, op7_pseudonyms, op8_packing, op9_language_model, op10_contamination,
+    op11_fill_in_middle, op12_whitening, op13_exact_dedup,
+)
+QUERIES = {f.__name__: f for f in _ALL}

@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusloom.llm import common, contamination, elias_fano, jaccard, language_model, media, oracles, packing, pseudonyms, quality, queries, secrets, site_style, url_templates
+from corpusloom.llm import common, contamination, elias_fano, exact_dedup, fill_in_middle, jaccard, language_model, media, oracles, packing, pseudonyms, quality, queries, secrets, site_style, url_templates, whitening
 from corpusloom.llm.components import components
 
 EDGE = [(1, None), (2, ""), (3, "   \n\t "), (4, "one two"), (5, "one two"), (6, "word " * 30_000), (6, "word " * 30_000)]
@@ -940,3 +940,170 @@ def test_contamination_in_parts_and_passes(spark):
         assert bool(options.get("most_bytes")) == (len(auto.groups) > 2)
         got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in contamination.matches(frames[0], auto).collect()}
         assert got == {d: (n, h, f) for d, (n, h, f) in want.items()}
+
+
+# --- 11 fill in the middle
+
+
+def plain_middle(i, text, rate=100, spm=50):
+    text = text or ""
+    units = re.findall(r"[^\n]*\n|[^\n]+", text)
+    told = hashlib.sha256(f"7:{'' if i is None else i}".encode()).hexdigest()
+    h = [int(told[8 * k : 8 * k + 8], 16) for k in range(4)]
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= rate:
+        return len(units), "plain", None, None, text
+    a, b = sorted((h[0] % (len(units) + 1), h[1] % (len(units) + 1)))
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    new = ("spm", f"<S>{s}<P>{p}<M>{m}") if h[3] % 100 < spm else ("psm", f"<P>{p}<S>{s}<M>{m}")
+    return len(units), new[0], len(p), len(m), new[1]
+
+
+def test_fill_in_middle_equals_a_plain_version(spark, data):
+    docs = docs_of(spark, data).select("doc_id", "text")
+    for rate in (100, 40):
+        rows = fill_in_middle.transform(docs, rate=rate).withColumn("back", fill_in_middle.restore(F.col("output"), F.col("form"))).collect()
+        assert len(rows) == docs.count() and len({r["form"] for r in rows}) == (2 if rate == 100 else 3)
+        assert all((r["n"], r["form"], r["prefix_chars"], r["middle_chars"], r["output"]) == plain_middle(r["doc_id"], r["text"], rate) and r["back"] == r["text"] for r in rows)
+
+
+def test_fill_in_middle_edges(spark, edge):
+    more = [(7, "a<P>b\n"), (None, "x\ny\n"), (None, "x\ny\n"), (8, "\n\n\n"), (9, "é\n\U0001f600\nz"), (10, "a\n" * 300_000), (11, "x<\n<S\nP>"), (12, "y" * 3_000_000)]
+    rows = [(i, t, "f", 5, "k", "m") for i, t in [*EDGE, *more]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, form string, n int, key string, __key string")
+    out = fill_in_middle.transform(docs).withColumn("back", fill_in_middle.restore(F.col("output"), F.col("form")))
+    got = out.collect()
+    assert len(got) == len(rows) and {"key", "__key"} <= set(out.columns)
+    assert all((r["n"], r["form"], r["prefix_chars"], r["middle_chars"], r["output"]) == plain_middle(r["doc_id"], r["text"]) and r["back"] == (r["text"] or "") for r in got)
+    assert fill_in_middle.transform(none_of(docs)).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="<PSM>\n a", max_size=25), st.integers(0, 10**6))
+def test_marks_always_split_what_was_put_together(text, i):
+    n, form, _, _, out = plain_middle(i, text)
+    parts = re.split("<P>|<S>|<M>", out)
+    assert form == "plain" or len(parts) == 4
+
+
+# --- 12 whitening
+
+
+def test_limbs_multiply_exactly():
+    rng = np.random.default_rng(3)
+    for high in (1 << 10, 1 << 20, 1 << 45, (1 << 62) - 1):
+        y = rng.integers(-high, high, size=(500, 4))
+        y[0] = [-high, high - 1, 0, -1]
+        told = whitening.gram(y)
+        want = y.astype(object).T @ y.astype(object)
+        assert [[whitening.recombined({p: told[p][i, j] for p in told}) for j in range(4)] for i in range(4)] == want.tolist()
+    full = np.full((whitening.ROWS, 1), (1 << whitening.BITS - 1) - 1)
+    assert whitening.gram(full)[0][0, 0] == whitening.ROWS * ((1 << whitening.BITS - 1) - 1) ** 2
+
+
+def plain_whitening(x):
+    """(n, sums, deviations, covariance as exact fractions rounded once, falling eigenvalues, vectors)."""
+    n, x = len(x), x.astype(object)
+    z = n * x - x.sum(axis=0)
+    v = np.array([[int(a) / n**3 for a in r] for r in z.T @ z])
+    e, u = np.linalg.eigh(v)
+    return n, x.sum(axis=0), (z * z).sum(axis=1), v, e[::-1], u[:, ::-1]
+
+
+def test_whitening_equals_a_plain_version(spark, data):
+    df = spark.read.parquet(f"{data}/embeddings.parquet").repartition(5)
+    rows = df.collect()
+    x = np.floor(64 * np.array([r["embedding"] for r in rows], float)).astype(np.int64) + 1_000_000
+    n, sums, deviations, v, e, u = plain_whitening(x)
+    model = whitening.fit(df)
+    assert model.n == n and list(model.sums) == sums.tolist() and np.abs(model.covariance - v).max() <= 1e-14 * np.abs(v).max()
+    assert np.allclose(model.values, e[:32], rtol=1e-12) and np.allclose(model.explained, e[:32] / np.trace(v), rtol=1e-12)
+    got = {r["vec_id"]: r for r in whitening.whiten(df, model).collect()}
+    assert [got[r["vec_id"]]["deviation"] for r in rows] == deviations.tolist()
+    w = np.array([got[r["vec_id"]]["whitened"] for r in rows])
+    want = (x - sums.astype(float) / n) @ u[:, :32] / np.sqrt(e[:32])
+    assert np.abs(w - want * np.sign((w * want).sum(axis=0))).max() < 1e-9
+    assert np.abs(w.T @ w / n - np.eye(32)).max() < 1e-9 and whitening.identity_error(df, model) < 1e-9
+    out = queries.op12_whitening(spark, data)
+    assert out.count() == 32 * n and out.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+
+
+def test_whitening_of_wide_ranges(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(v) for v in rng.normal(size=4) * np.array([1, 1e3, 1e9, 1e16])]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = whitening.integers(np.array([r[1] for r in rows]))
+    n, sums, deviations, v, *_ = plain_whitening(x)
+    model = whitening.fit(df)
+    assert list(model.sums) == sums.tolist() and (np.abs(model.covariance - v) <= 1e-15 * np.abs(v)).all()
+    assert {r["vec_id"]: r["deviation"] for r in whitening.whiten(df, model).collect()} == {i: d if d < 1 << 63 else None for i, d in enumerate(deviations)}
+
+
+def test_whitening_edges(spark):
+    kind = "vec_id long, embedding array<double>, whitened int, id int, v string"
+    bad = [(1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [1.0]), (6, [])]
+    good = [(7, [0.5, 0.25]), (7, [0.5, 0.25]), (None, [-1.0, 2.0]), (8, [0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 1, 2, "x") for i, v in bad + good], kind)
+    model = whitening.fit(df)
+    got = whitening.whiten(df, model).collect()
+    x = np.floor(64 * np.array([v for _, v in good])).astype(np.int64) + 1_000_000
+    assert model.n == 4 and sorted((r["vec_id"] or 0, r["deviation"]) for r in got) == sorted((i or 0, d) for (i, _), d in zip(good, plain_whitening(x)[2], strict=True))
+    assert whitening.identity_error(df, model) < 1e-12
+    for few in (spark.createDataFrame([(i, v, 1, 2, "x") for i, v in bad[:4]], kind), none_of(df)):
+        assert whitening.fit(few) is None and whitening.whiten(few, None).count() == 0
+    same = spark.createDataFrame([(1, [1.0, 2.0], 1, 2, "x")] * 3, kind)
+    model = whitening.fit(same)
+    assert [r["whitened"] for r in whitening.whiten(same, model).collect()] == [[0.0, 0.0]] * 3 and whitening.identity_error(same, model) == 0.0
+
+
+# --- 13 exact de-duplication
+
+
+def plain_groups(rows):
+    told = defaultdict(list)
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for i, t in rows:
+        told[(t or "").translate(low)].append(i)
+    return {(i, t): (max((x for x in told[(t or "").translate(low)] if x is not None), default=None), len(told[(t or "").translate(low)]), hashlib.sha256((t or "").translate(low).encode()).hexdigest()) for i, t in rows}
+
+
+def test_exact_dedup_edges(spark):
+    rows = [*EDGE, (7, "One TWO"), (8, "ÉCOLE"), (9, "école"), (10, "Écolé"), (None, "nobody"), (None, "nobody"), (11, "İ K"), (12, "i̇ k")]
+    df = spark.createDataFrame([(i, t, 1, "d", 2, True) for i, t in rows], "doc_id long, text string, id int, digest string, row int, kept boolean")
+    got = exact_dedup.deduplicate(df).collect()
+    want = plain_groups(rows)
+    texts = {hashlib.sha256((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).encode()).hexdigest() for _, t in rows}
+    assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["text_sha256"]) for r in got) == sorted((str(i), str(want[i, t][0]), want[i, t][1], want[i, t][2]) for i, t in rows)
+    kept = [r for r in got if r["kept"]]
+    assert {r["text_sha256"] for r in kept} == texts and len(kept) == len(texts) and all(r["doc_id"] == r["keep_id"] for r in kept)
+    assert exact_dedup.deduplicate(none_of(df)).count() == 0
+
+
+def test_digest_index_over_batches(spark, data, tmp_path):
+    docs = docs_of(spark, data)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    first, second = [r for r in rows if r[0] < 120], [r for r in rows if r[0] >= 80]
+    of = lambda part: spark.createDataFrame(part, "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 4)
+    a = index.add(of(first), "a").collect()
+    b = index.add(of(second), "b").collect()
+    one, two = plain_groups(first), plain_groups(second)
+    by_digest = {w[2]: w[0] for w in one.values()}
+    assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in a} == {(i, w[0], w[1], i == w[0]) for (i, _), w in one.items()}
+    want = {(i, by_digest.get(w[2], w[0]), w[1], w[2] not in by_digest and i == w[0]) for (i, _), w in two.items()}
+    assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in b} == want
+    assert index.digests().count() == len({w[2] for w in [*one.values(), *two.values()]})
+    index.compact(2)
+    index.drop_old()
+    again = exact_dedup.DigestIndex(spark, str(tmp_path / "index"))
+    assert (again.generation, again.buckets, [p.name for p in (tmp_path / "index").iterdir()]) == (1, 2, ["g1-2"]) and len(list((tmp_path / "index" / "g1-2").glob("part-*"))) == 2
+    assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in again.add(of(second), "b").collect()} == want
+    assert again.digests().count() == index.digests().count()
+
+
+def test_digest_index_is_read_without_a_shuffle(spark, data, tmp_path):
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 8)
+    plan = index.add(docs_of(spark, data), "a")._jdf.queryExecution().toString()
+    assert "Bucketed: true" in plan and not re.search(r"Python|ArrowEval|MapInArrow|Pandas", plan)
+    after = plan[plan.index("== Physical Plan ==") :].split("\n")
+    at = next(i for i, line in enumerate(after) if "Bucketed: true" in line)
+    assert not any("Exchange" in line for line in after[at - 2 : at])
