@@ -24,12 +24,15 @@ SSN = r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IPV4 = rf"{OCTET}(?:\.{OCTET}){{3}}"
 DATE = r"(?:1[6-9]|2[0-3])[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])"
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*+\.)+[A-Za-z]{2,}"
+#: Only classes of characters are repeated, never groups, so that a domain of any length needs no stack.
+EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}"
 #: Where a candidate may begin and end: not inside a longer number or word.
 ANY = rf"(?<![A-Za-z0-9._%+@-])(?:{EMAIL})|(?<![0-9A-Za-z.+-])(?:(?:{DATE}|{SSN}|{PHONE}|{IPV4}|{RUN})(?![0-9A-Za-z]|[.-][0-9]))"
 ROUNDS = 8
 #: Days of a century that holds no 400th year, and of one that does: a product of two radices each.
 CENTURY, LEAP_CENTURY = (92, 397), (75, 487)
+#: Longer vectors are permuted in pieces of so many components, and longer tweaks are told by their digest: work stays linear.
+PIECE, LONGEST_TWEAK = 64, 255
 
 
 def _digest(key: str, tweak: Column, *parts: Column) -> Column:
@@ -103,26 +106,38 @@ def _run(m: Column, key: str) -> Column:
     the beginning of any group of digits. What lies between them stays."""
     whole = lambda x, p: x.rlike(rf"^(?:{p})$")
     valid = lambda c: (c != "") & (_luhn(_digits(c)) % 10 == 0)
+    groups = lambda x: F.regexp_extract_all(x, F.lit("[0-9]+"), F.lit(0))
+    one = lambda f: F.when(whole(f, DATE), _date(f, key)).when(whole(f, SSN), _ssn(f, key)).when(whole(f, PHONE), _phone(f, key)).otherwise(_card(f, key))
 
-    def inside(run: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.length(run)), lambda i: F.substring(run, i, F.lit(1)).rlike("[0-9]") & ((i == 1) | ~F.substring(run, i - 1, F.lit(1)).rlike("[0-9]")))
+    def inside(v: Column) -> Column:
+        """v: the run's parts, groups of digits in turn with what lies between them; a match is made of whole parts."""
 
         def found(i: Column) -> Column:
-            rest = F.substring(run, i, F.lit(40))
-            other = F.when((i == 1) | (F.substring(run, i - 1, F.lit(1)) == " "), F.regexp_extract(rest, rf"^(?:{DATE}|{SSN}|{PHONE})(?![0-9A-Za-z]|[.-][0-9])", 0)).otherwise("")
+            rest = F.substring(F.array_join(F.transform(F.slice(v, 2 * i + 1, F.lit(40)), lambda t: F.substring(t, 1, 41)), ""), 1, 40)
+            after = (i == 0) | F.get(v, 2 * i - 1).endswith(" ")
+            other = F.when(after, F.regexp_extract(rest, rf"^(?:{DATE}|{SSN}|{PHONE})(?![0-9A-Za-z]|[.-][0-9])", 0)).otherwise("")
             cards = F.array(*[F.regexp_extract(rest, rf"^[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9])", 0) for n in range(19, 12, -1)])
             return let(other, lambda o: F.when(o != "", o).otherwise(F.coalesce(F.get(F.filter(cards, valid), F.lit(0)), F.lit(""))))
 
-        def step(s: Column, i: Column) -> Column:
-            add = lambda f: F.struct((i + F.length(f)).alias("at"), F.concat(s["out"], F.array(F.struct(F.substring(run, s["at"], i - s["at"]).alias("gap"), f.alias("f")))).alias("out"))
-            return F.when(i < s["at"], s).otherwise(let(found(i), lambda f: F.when(f == "", s).otherwise(add(f))))
+        every = F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / 2).cast("int")), found)
 
-        one = lambda f: F.when(whole(f, DATE), _date(f, key)).when(whole(f, SSN), _ssn(f, key)).when(whole(f, PHONE), _phone(f, key)).otherwise(_card(f, key))
-        none = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<gap:string,f:string>>").alias("out"))
-        spell = lambda s: F.concat(F.array_join(F.transform(s["out"], lambda x: F.concat(x["gap"], one(x["f"]))), ""), F.substring(run, s["at"], F.length(run)))
-        return let(F.aggregate(starts, none, step), spell)
+        def chosen(fs: Column) -> Column:
+            """Of matches that overlap the left one holds. A letter for each group tells how many groups its match has, a for none;
+            a pattern reads the letters from the left and skips those within a match."""
+            letters = F.array_join(F.transform(fs, lambda f: F.char(F.lit(97) + F.size(groups(f)))), "")
+            steps = F.regexp_extract_all(letters, F.lit("a|" + "|".join(f"{chr(97 + n)}.{{{n - 1}}}" for n in range(1, 20))), F.lit(0))
+            kept = F.split(F.array_join(F.transform(steps, lambda s: F.rpad(F.substring(s, 1, 1), F.length(s), "-")), ""), "")
+            part = lambda at: F.coalesce(F.get(v, at), F.lit(""))
 
-    return let(m, inside)
+            def told(flags: Column) -> Column:
+                spell = lambda f, i: F.when(F.get(flags, i) == "-", "").when(f == "", F.concat(part(2 * i), part(2 * i + 1))).otherwise(F.concat(one(f), part(2 * (i + F.size(groups(f))) - 1)))
+                return F.array_join(F.transform(fs, spell), "")
+
+            return let(kept, told)
+
+        return let(every, chosen)
+
+    return let(F.regexp_extract_all(m, F.lit("[0-9]+|[^0-9]+"), F.lit(0)), inside)
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -180,7 +195,14 @@ def _email(m: Column, key: str) -> Column:
     kind = lambda c: F.when(c.rlike("[0-9]"), _NUMBERS).when(c.rlike("[a-z]"), _LOWER).when(c.rlike("[A-Z]"), _UPPER)
     values = F.transform(chars, _place)
     radices = F.transform(chars, lambda c: F.when(c.rlike("[0-9]"), 10).when(c.rlike("[A-Za-z]"), 26).otherwise(1).cast("long"))
-    new = feistel(values, radices, key, F.concat(F.lit("mail"), F.lower(domain)))
+    tweak = F.concat(F.lit("mail"), F.when(F.length(domain) > LONGEST_TWEAK, F.sha2(F.lower(domain), 256)).otherwise(F.lower(domain)))
+
+    def pieces(v: Column) -> Column:
+        at = lambda c, k: F.slice(c, k * PIECE + 1, F.lit(PIECE))
+        one = lambda k: feistel(at(v["x"], k), at(v["m"], k), key, F.when(k == 0, v["t"]).otherwise(F.concat(v["t"], F.lit("|"), k.cast("string"))))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(v["x"]) - 1) / PIECE).cast("int")), one))
+
+    new = let(F.struct(values.alias("x"), radices.alias("m"), tweak.alias("t")), pieces)
     spell = lambda v: F.array_join(F.transform(chars, lambda c, i: F.when(kind(c).isNull(), c).otherwise(F.substring(kind(c), F.get(v, i).cast("int") + 1, F.lit(1)))), "")
     return F.concat(let(new, spell), F.lit("@"), domain)
 
