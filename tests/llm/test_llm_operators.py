@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -594,6 +595,30 @@ def test_pseudonyms_look_inside_runs_of_digits(spark):
     assert got == [new, f"{new} 12/27", f"{new} 123", f"2 {new}", f"12 12 13 {new} 7", f"{new} {new}", f"1234567 {date}", date, f"1234567 {ssn}", ssn, texts[-1]]
 
 
+def test_pseudonyms_of_very_long_values(spark):
+    """No stack for a domain's labels, and linear time in local parts and runs of digits."""
+    card = "4111 1111 1111 1111"
+    texts = ["a@" + "b." * 20_000 + "com", "x" * 100_000 + "@example.com", "7" * 1_000_000, "7 " * 20_000 + "7", f"{card} " * 2_000 + "1", "a@" + "b." * 1_000_000, "1-" * 20_000 + "1"]
+    for t in texts:
+        docs = spark.createDataFrame([(1, t), (2, "b2@example.org")], "doc_id long, text string").repartition(2)
+        began = time.perf_counter()
+        got = {r["doc_id"]: r["text"] for r in pseudonyms.pseudonymise(docs, key="k").collect()}
+        assert time.perf_counter() - began < 60 and len(got[1]) == len(t) and got[2] != "b2@example.org"
+        assert ("@" in t and t.endswith("com")) == (got[1] != t) or card in t
+        if t.startswith(card):
+            new = got[1][: len(card)]
+            assert luhn(new) and got[1] == f"{new} " * 2_000 + "1"
+
+
+def test_emails_are_found_as_by_labels(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["a", "B", "7", ".", "-", "@", " ", "com", ".de"]) for _ in range(rng.randrange(1, 25))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["f"] for r in docs.select("doc_id", F.regexp_extract_all("text", F.lit(pseudonyms.EMAIL), F.lit(0)).alias("f")).collect()}
+    by_labels = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*+\.)+[A-Za-z]{2,}")
+    assert all(got[i] == by_labels.findall(t) for i, t in enumerate(texts)) and any(got.values())
+
+
 # --- 8 packing
 
 
