@@ -83,6 +83,7 @@ class DigestIndex:
         rows = stored(own.withColumn("salt", (F.col("row") % SALTS).cast("int")), "digests")
         parts = rows.groupBy("digest", "salt").agg(F.max(F.struct("id", "row")).alias("top"), F.count("*").alias("n"))
         groups = parts.groupBy("digest").agg(F.max("top").alias("top"), F.sum("n").alias("group_size"), F.collect_list("salt").alias("salts"))
+        groups = stored(groups, "groups")  # used twice; and the optimiser would push the anti-join below both aggregations
         news = groups.select("digest", F.col("top.id").alias("keep_id"), F.lit(batch).alias("batch"))
         self._append(news.hint("merge").join(self.digests().select("digest"), "digest", "left_anti"), self.name, self.buckets)
         known = groups.hint("merge").join(self.digests(), "digest")
