@@ -1,11 +1,9 @@
-"""Source code: quality features, headers, structure of repositories."""
+"""Source code: quality features, headers, rows of whole repositories."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,54 +147,13 @@ def path_order(df: DataFrame, path: str, group: str, extensions: Sequence[str] =
     return df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(folder, kind, name, p)))
 
 
-#: Import statements by language; group 1 is what is imported.
+#: Import statements of the languages whose libraries concepts are known for; a group is what is imported.
 IMPORTS = {
     "python": r"(?m)^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))",
-    "javascript": r"""(?m)(?:import\s+(?:[^'"]*from\s+)?|require\()\s*['"]([^'"]+)['"]""",
-    "typescript": r"""(?m)(?:import\s+(?:[^'"]*from\s+)?|require\()\s*['"]([^'"]+)['"]""",
-    "ruby": r"""(?m)^\s*require(?:_relative)?\s+['"]([^'"]+)['"]""",
-    "c": r"""(?m)^\s*#\s*include\s+["<]([^">]+)[">]""",
     "java": r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)",
-    "go": r"""(?m)^\s*(?:import\s+)?(?:\w+\s+)?"([^"]+)"\s*$""",
 }
 
 
-def dependency_edges(df: DataFrame, group: str, path: str, text: str = "text", language: str = "lang") -> DataFrame:
-    """group, source, target: files of a group that import another one of it, matched by the last part of its name."""
-    which = F.lower(col(language))
-    names = F.array().cast("array<string>")
-    for lang, pattern in IMPORTS.items():
-        groups = [F.regexp_extract_all(col(text), F.lit(pattern), F.lit(i)) for i in range(1, 1 + len(re.findall(r"(?<!\\)\((?!\?)", pattern)))]
-        names = F.when(which.isin([lang, "c++"] if lang == "c" else [lang]), F.filter(F.concat(*groups), lambda x: x != "")).otherwise(names)
-    stem = lambda c: F.lower(F.regexp_extract(F.regexp_replace(c, r"\.(?:py|jsx?|tsx?|rb|c|cc|cpp|h|hpp|java|go)$", ""), r"([^/.]+)$", 1))
-    uses = df.select(group, col(path).alias("source"), F.explode(F.array_distinct(F.transform(names, stem))).alias("stem"))
-    files = df.select(group, col(path).alias("target"), stem(col(path)).alias("stem"))
-    return uses.join(files, [group, "stem"]).where("source <> target").select(group, "source", "target").distinct()
-
-
-def dependency_order(files: DataFrame, edges: DataFrame, group: str, path: str) -> DataFrame:
-    """group, path, place: each file after those it imports. Of a cycle the file with the fewest imports comes first."""
-    rows = files.select(group, col(path).alias("path"), F.lit(None).cast("string").alias("target")).union(edges.select(group, F.col("source").alias("path"), "target"))
-
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        needs = {p: set() for p in sorted(pdf["path"])}
-        for p, t in zip(pdf["path"], pdf["target"], strict=True):
-            if isinstance(t, str):
-                needs[p].add(t)
-        done: list[str] = []
-        while needs:
-            ready = [p for p, t in needs.items() if not t] or [min(needs, key=lambda p: (len(needs[p]), p))]
-            for p in ready:
-                del needs[p]
-            for t in needs.values():
-                t.difference_update(ready)
-            done += ready
-        return pd.DataFrame({group: pdf[group].iloc[0], "path": done, "place": range(1, len(done) + 1)})
-
-    kind = dict(files.dtypes)[group]
-    return rows.groupBy(group).applyInPandas(order, f"`{group}` {kind}, path string, place long")
-
-
 def concepts(df: DataFrame, known: DataFrame, id_column: str = "doc_id", text: str = "text", language: str = "lang") -> DataFrame:
     """id, library, concept for each imported library; `known` has library, language, concept. Unknown ones get null."""
     which = F.lower(col(language))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import code
+from ..operators import code, repository
 from .registry import SQL, query
 from .sql import WORD_CHARS, count_of, ratio
 
@@ -107,24 +107,73 @@ def repo_path_order(t):
     return code.path_order(files, "p", "source").select("doc_id", F.col("place").cast("long").alias("place"))
 
 
-def _files(t):
-    n = F.col("doc_id")
-    imports = F.concat(F.lit("import m"), (n % 7).cast("string"), F.lit("\nfrom pkg.m"), ((n * 3) % 11).cast("string"), F.lit(" import x\nimport os\n"))
-    return t("documents").select("doc_id", "source", F.concat(F.lit("pkg/m"), (n % 13).cast("string"), F.lit("_"), n.cast("string"), F.lit(".py")).alias("full"), F.concat(F.lit("pkg/m"), (n % 13).cast("string"), F.lit(".py")).alias("path"), imports.alias("text"), F.lit("python").alias("lang"))
+def _folder(n: str) -> str:
+    """SQL for the folder of the file that stands for document n."""
+    return f"CASE {n} % 5 WHEN 0 THEN 'pkg' || {n} // 10 % 3 WHEN 1 THEN 'web/d' || {n} // 10 % 4 WHEN 2 THEN 'src/p' || {n} // 10 % 3 WHEN 3 THEN 'c/d' || {n} // 10 % 2 ELSE 'lib' END || '/'"
+
+
+def _path(n: str) -> str:
+    return f"{_folder(n)} || CASE {n} % 5 WHEN 2 THEN 'M' ELSE 'm' END || {n} || CASE {n} % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.java' WHEN 3 THEN '.h' ELSE '.rb' END"
+
+
+#: The file of document n imports its neighbour of the same language, ten numbers make a block, and one half as far from the start.
+_NEAR, _FAR = "(doc_id - doc_id % 10 + (doc_id + 5) % 10)", "(doc_id // 20 * 10 + doc_id % 5)"
+_TEXT = f"""CASE doc_id % 5 WHEN 0 THEN 'from .m' || {_NEAR} || ' import x' || chr(10) || 'import os, pkg' || {_FAR} // 10 % 3 || '.m' || {_FAR} || ' as y' || chr(10) || repeat('def f(): pass' || chr(10), CAST(doc_id % 3 AS INT))
+WHEN 1 THEN 'import {{ x }} from "./m' || {_NEAR} || '"' || chr(10) || 'export * from "../d' || {_FAR} // 10 % 4 || '/m' || {_FAR} || '.js"'
+WHEN 2 THEN 'package p' || doc_id // 10 % 3 || ';' || chr(10) || 'import p' || {_FAR} // 10 % 3 || '.M' || {_FAR} || ';' || CASE WHEN doc_id % 100 = 7 THEN chr(10) || 'import p' || doc_id // 10 % 3 || '.*;' ELSE '' END
+WHEN 3 THEN '#include "m' || {_NEAR} || '.h"' || chr(10) || '#include "../d' || {_FAR} // 10 % 2 || '/m' || {_FAR} || '.h"' || chr(10) || '#include <stdio.h>'
+ELSE 'require "m' || {_FAR} || '"' || chr(10) || 'require_relative "m' || {_NEAR} || '"' END"""
+
+
+def _spark(sql: str) -> str:
+    return sql.replace("//", "DIV")
+
+
+def _tree(t):
+    """A file for each document, in the repository of its source."""
+    return t("documents").select(F.col("source").alias("repo"), F.expr(_spark(_path("doc_id"))).alias("path"), F.expr(_spark(_TEXT)).alias("text"))
 
 
-@query("""WITH f AS (SELECT DISTINCT source AS s, 'pkg/m' || doc_id % 13 || '.py' AS p, doc_id % 13 AS k, unnest([doc_id % 7, (doc_id * 3) % 11]) AS d FROM documents)
-SELECT DISTINCT f.s AS repo, f.p AS source, g.p AS target FROM f JOIN (SELECT DISTINCT s, p, k FROM f) g ON f.s = g.s AND f.d = g.k WHERE f.p <> g.p""")
+_LINKS = f"""f AS (SELECT source AS repo, doc_id, {_folder('doc_id')} AS dir, {_path('doc_id')} AS path FROM documents),
+want AS (SELECT repo, path, {_FAR} AS wanted FROM f UNION ALL SELECT repo, path, {_NEAR} FROM f WHERE doc_id % 5 <> 2),
+whole AS (SELECT repo, path, dir FROM f WHERE doc_id % 100 = 7),
+links AS (SELECT DISTINCT w.repo, w.path AS source, f.path AS target FROM want w JOIN f ON f.repo = w.repo AND f.doc_id = w.wanted WHERE w.path <> f.path
+UNION SELECT repo, path, dir FROM whole UNION SELECT f.repo, f.dir, f.path FROM f JOIN whole w ON f.repo = w.repo AND f.dir = w.dir WHERE f.doc_id % 5 = 2)"""
+
+
+@query(f"WITH {_LINKS} SELECT repo, source, target FROM links")
 def dependency_edges(t):
-    return code.dependency_edges(_files(t).withColumnRenamed("source", "repo"), "repo", "path")
+    return repository.dependency_edges(_tree(t), "repo", "path")
+
 
+_ORDER = f"""{_LINKS}, node AS (SELECT repo, path, CASE WHEN doc_id % 5 = 0 THEN doc_id % 3 ELSE 0 END AS weight FROM f UNION SELECT repo, dir, NULL FROM whole),
+reach AS (SELECT repo, source AS a, target AS b FROM links UNION SELECT r.repo, r.a, l.target FROM reach r JOIN links l ON l.repo = r.repo AND l.source = r.b),
+unit AS (SELECT n.repo, n.path, n.weight, least(n.path, coalesce(min(r.b), n.path)) AS unit FROM node n LEFT JOIN (SELECT r.* FROM reach r JOIN reach s ON r.repo = s.repo AND r.a = s.b AND r.b = s.a) r ON r.repo = n.repo AND r.a = n.path GROUP BY n.repo, n.path, n.weight),
+needs AS (SELECT DISTINCT x.repo, x.unit AS a, y.unit AS b FROM links l JOIN unit x ON x.repo = l.repo AND x.path = l.source JOIN unit y ON y.repo = l.repo AND y.path = l.target WHERE x.unit <> y.unit),
+depth AS (SELECT DISTINCT repo, unit, 0 AS d FROM unit UNION SELECT n.repo, n.a, d + 1 FROM depth JOIN needs n ON n.repo = depth.repo AND n.b = depth.unit),
+placed AS (SELECT u.repo, u.path, max(d)::BIGINT AS layer, any_value(u.unit) AS unit, any_value(u.weight) AS weight FROM unit u JOIN depth USING (repo, unit) WHERE u.weight IS NOT NULL GROUP BY u.repo, u.path),
+ordered AS (SELECT repo, path, layer, row_number() OVER (PARTITION BY repo ORDER BY layer, unit, weight DESC, path)::BIGINT AS place FROM placed)"""
 
-@query("SELECT source AS repo, count(DISTINCT doc_id % 13) AS files, true AS each_once FROM documents GROUP BY source")
+
+@query(f"WITH RECURSIVE {_ORDER} SELECT repo, path, layer, place FROM ordered")
 def repo_dependency_order(t):
-    """Every file of a repository has one place, from 1 on; tests hold the order itself."""
-    files = _files(t).withColumnRenamed("source", "repo").dropDuplicates(["repo", "path"])
-    got = code.dependency_order(files, code.dependency_edges(_files(t).withColumnRenamed("source", "repo"), "repo", "path"), "repo", "path")
-    return got.groupBy("repo").agg(F.count_distinct("path").alias("files"), ((F.count_distinct("place") == F.count("*")) & (F.max("place") == F.count("*")) & (F.min("place") == 1)).alias("each_once"))
+    """Files after what they import, by strongly connected components and their layers."""
+    files = _tree(t)
+    weighed = files.withColumn("weight", repository.methods(F.col("path"), F.col("text")))
+    return repository.dependency_order(weighed, repository.dependency_edges(files, "repo", "path"), "repo", "path", "weight")
+
+
+@query(f"""WITH RECURSIVE {_ORDER}, linked AS (SELECT repo, source AS path FROM links UNION SELECT repo, target FROM links)
+SELECT o.repo, o.path, CASE WHEN l.path IS NULL THEN 2 ELSE 1 END::BIGINT AS part, layer, row_number() OVER (PARTITION BY o.repo ORDER BY l.path IS NULL, CASE WHEN l.path IS NULL THEN regexp_extract(o.path, '^(.*/)', 1) ELSE '' END, CASE WHEN l.path IS NULL THEN 2 ELSE place END, o.path)::BIGINT AS place
+FROM ordered o LEFT JOIN linked l ON l.repo = o.repo AND l.path = o.path""")
+def repo_semantic_order(t):
+    return repository.semantic_order(_tree(t), "repo", "path")
+
+
+def _files(t):
+    n = F.col("doc_id")
+    imports = F.concat(F.lit("import m"), (n % 7).cast("string"), F.lit("\nfrom pkg.m"), ((n * 3) % 11).cast("string"), F.lit(" import x\nimport os\n"))
+    return t("documents").select("doc_id", imports.alias("text"), F.lit("python").alias("lang"))
 
 
 @query("SELECT doc_id AS id, unnest(['m' || doc_id % 7, 'pkg', 'os']) AS library, unnest([NULL, NULL, 'system']) AS concept FROM documents")

@@ -205,13 +205,6 @@ def test_listing_resume_samples(spark, tmp_path):
     assert tables.job_record(spark, "noop", {"a": 1}, back, back, 0.0, 1.0).first()["rows_out"] == 10
 
 
-def test_dependency_order_breaks_cycles(spark):
-    files = spark.createDataFrame([("r", p) for p in "abcd"], "repo string, path string")
-    edges = spark.createDataFrame([("r", "a", "b"), ("r", "b", "c"), ("r", "c", "a"), ("r", "c", "d")], "repo string, source string, target string")
-    got = {r["path"]: r["place"] for r in code.dependency_order(files, edges, "repo", "path").collect()}
-    assert got["d"] == 1 and sorted(got.values()) == [1, 2, 3, 4]
-
-
 def test_optimal_bands_use_the_hashes():
     bands, rows = dedup.optimal_bands(0.7, 112)
     assert bands * rows <= 112 and rows > 1
