@@ -147,25 +147,6 @@ def path_order(df: DataFrame, path: str, group: str, extensions: Sequence[str] =
     return df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(folder, kind, name, p)))
 
 
-#: Import statements of the languages whose libraries concepts are known for; a group is what is imported.
-IMPORTS = {
-    "python": r"(?m)^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))",
-    "java": r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)",
-}
-
-
-def concepts(df: DataFrame, known: DataFrame, id_column: str = "doc_id", text: str = "text", language: str = "lang") -> DataFrame:
-    """id, library, concept for each imported library; `known` has library, language, concept. Unknown ones get null."""
-    which = F.lower(col(language))
-    names = F.array().cast("array<string>")
-    for lang in ("python", "java"):
-        one = F.regexp_extract_all(col(text), F.lit(IMPORTS[lang]), F.lit(1))
-        two = F.regexp_extract_all(col(text), F.lit(IMPORTS[lang]), F.lit(2)) if lang == "python" else F.array().cast("array<string>")
-        names = F.when(which == lang, F.filter(F.concat(one, two), lambda x: x != "")).otherwise(names)
-    used = df.select(col(id_column).alias("id"), which.alias("language"), F.explode(F.array_distinct(F.transform(names, lambda x: F.substring_index(x, ".", 1)))).alias("library"))
-    return used.join(known.select("library", F.lower("language").alias("language"), "concept"), ["library", "language"], "left").select("id", "library", "concept")
-
-
 def comment_ratio(df: DataFrame, text: str = "text") -> DataFrame:
     """Lines of code over lines of comment, lines in all, and mean length of functions in lines (by def or function heads)."""
     ls = split_lines(text)

@@ -30,7 +30,7 @@ ENDINGS = {"js": ("js", "jsx", "mjs", "cjs", "ts", "tsx"), "ts": ("ts", "tsx", "
 #: Statements: the pattern, and the group that names what is imported; Python's second group lists names of the module.
 _FROM = r"(?m)(?:^|;)[ \t]*from[ \t]+(\.*[ \t]*[\w.]*)[ \t]+import[ \t]+(\([^)]*\)|[^\n#;]+)"
 _IMPORT = r"(?m)(?:^|;)[ \t]*import[ \t]+([^\n#;]+)"
-_SCRIPT = r"""(?:\bimport\s+(?:[\w*{}\s,$]+\bfrom\s+)?|\bexport\s+[\w*{}\s,$]+\bfrom\s+|\b(?:require|import)\s*\(\s*)['"]([^'"\n]+)['"]"""
+_SCRIPT = r"""(?:\bimport\s++(?:[\w*{}\s,$]+\bfrom\s+)?|\bexport\s++[\w*{}\s,$]+\bfrom\s+|\b(?:require|import)\s*\(\s*)['"]([^'"\n]+)['"]"""
 _JVM = r"(?m)^[ \t]*import[ \t]+((?:static[ \t]+)?\w+(?:\.\w+)*(?:\.\*)?)"
 _C = r'(?m)^[ \t]*#[ \t]*(?:include|import)[ \t]*(["<][^">\n]+)[">]'
 _RUBY = r"""(?m)^[ \t]*(require(?:_relative)?[ \t(]+['"][^'"\n]+)['"]"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import code, repository
+from ..operators import code, repository, syntax
 from .registry import SQL, query
 from .sql import WORD_CHARS, count_of, ratio
 
@@ -170,17 +170,46 @@ def repo_semantic_order(t):
     return repository.semantic_order(_tree(t), "repo", "path")
 
 
-def _files(t):
-    n = F.col("doc_id")
-    imports = F.concat(F.lit("import m"), (n % 7).cast("string"), F.lit("\nfrom pkg.m"), ((n * 3) % 11).cast("string"), F.lit(" import x\nimport os\n"))
-    return t("documents").select("doc_id", imports.alias("text"), F.lit("python").alias("lang"))
+#: A program for each document: its text as comments, then an import, types and functions, as many as its number says.
+_LANG = "CASE doc_id % 4 WHEN 0 THEN 'Python' WHEN 1 THEN 'JavaScript' WHEN 2 THEN 'Java' ELSE 'Ruby' END"
+_CODE_OF = f"""CASE doc_id % 4 WHEN 0 THEN 'import os, p' || doc_id % 7 || '.x as y~' || repeat('def f(a):~    s = "def no(): # not"~    def g(x):~        return x~~    return g~', CAST(doc_id % 3 AS INT))
+WHEN 1 THEN 'import a from "q' || doc_id % 5 || '"~' || repeat('function f(a) {{~  return `}}` // x~}}~', CAST(doc_id % 3 AS INT))
+WHEN 2 THEN 'import r' || doc_id % 3 || '.T;~class A {{~' || repeat('  int f(int a) {{ if (a > 0) {{ return 1; }} return 0; }}~', CAST(doc_id % 3 AS INT)) || '}}~'
+ELSE 'require "w"~module M~' || repeat('  def f(x)~    if x then 1 end~    x.each do |y|~    end~  end~', CAST(doc_id % 3 AS INT)) || 'end~' END"""
 
 
-@query("SELECT doc_id AS id, unnest(['m' || doc_id % 7, 'pkg', 'os']) AS library, unnest([NULL, NULL, 'system']) AS concept FROM documents")
+def _programs(t):
+    sign = F.when(F.col("doc_id") % 2 == 0, F.when(F.col("doc_id") % 4 == 0, "# ").otherwise("// ")).otherwise(F.when(F.col("doc_id") % 4 == 1, "// ").otherwise("# "))
+    comments = F.concat(sign, F.replace("text", F.lit("\n"), F.concat(F.lit("\n"), sign)), F.lit("\n"))
+    code_ = F.translate(F.expr(_CODE_OF.replace("{{", "{").replace("}}", "}")), "~", "\n")
+    return t("documents").select("doc_id", F.expr(_LANG).alias("language"), F.concat(comments, code_).alias("text"))
+
+
+_MADE = f"""m AS (SELECT doc_id, doc_id % 4 AS l, doc_id % 3 AS k, length(text) - length(replace(text, chr(10), '')) + 1 + CASE doc_id % 4 WHEN 1 THEN doc_id % 3 ELSE 0 END AS comments,
+CASE doc_id % 4 WHEN 0 THEN 1 + 5 * (doc_id % 3) WHEN 1 THEN 1 + 3 * (doc_id % 3) WHEN 2 THEN 3 + doc_id % 3 ELSE 3 + 5 * (doc_id % 3) END AS code,
+CASE doc_id % 4 WHEN 0 THEN 2 * (doc_id % 3) ELSE doc_id % 3 END AS functions, CASE doc_id % 4 WHEN 0 THEN 7 * (doc_id % 3) WHEN 1 THEN 3 * (doc_id % 3) WHEN 2 THEN doc_id % 3 ELSE 5 * (doc_id % 3) END AS inside,
+CASE doc_id % 4 WHEN 0 THEN ['os', 'p' || doc_id % 7] WHEN 1 THEN ['q' || doc_id % 5] WHEN 2 THEN ['r' || doc_id % 3 || '.T'] ELSE ['w'] END AS packages FROM documents WHERE text IS NOT NULL)"""
+
+
+@query(f"""WITH {_MADE} SELECT doc_id AS id, 'uast_root' AS kind, 1 AS nodes, code::BIGINT AS loc FROM m UNION ALL SELECT doc_id, 'uast_comment', comments, comments FROM m UNION ALL SELECT doc_id, 'uast_package', len(packages), len(packages) FROM m
+UNION ALL SELECT doc_id, 'uast_function', functions, inside FROM m WHERE functions > 0 UNION ALL SELECT doc_id, 'uast_class', 1, code - 1 FROM m WHERE l >= 2""")
+def code_nodes(t):
+    """Nodes and lines of code of each kind."""
+    return syntax.nodes(_programs(t)).groupBy("id", "kind").agg(F.count("*").alias("nodes"), F.sum("loc").alias("loc"))
+
+
+@query(f"""WITH {_MADE} SELECT doc_id AS id, round(code / comments::DOUBLE, 1) AS ccr, code::BIGINT AS code_snippet_len, CASE WHEN functions = 0 THEN 0.0::DOUBLE ELSE round(inside / functions::DOUBLE, 1) END AS avg_fn_len_in_snippet,
+array_to_string(packages, ',') AS package_list FROM m""")
+def code_profile(t):
+    return syntax.metrics(syntax.nodes(_programs(t)))
+
+
+@query(f"WITH {_MADE} SELECT DISTINCT doc_id AS id, p AS library, CASE p WHEN 'os' THEN 'system' WHEN 'q3' THEN 'queues' END AS concept FROM m, unnest(packages) t(p)")
 def library_concepts(t):
-    files = _files(t)
-    known = files.sparkSession.createDataFrame([("os", "Python", "system"), ("numpy", "Python", "mathematics")], "library string, language string, concept string")
-    return code.concepts(files, known)
+    """Packages of programs and what they are for, where a table knows it in the program's language."""
+    programs = _programs(t)
+    known = programs.sparkSession.createDataFrame([("os", "Python", "system"), ("q3", "javascript", "queues"), ("q3", "Python", "other"), ("w", "Java", "other")], "library string, language string, concept string")
+    return syntax.concepts(syntax.nodes(programs), programs.select(F.col("doc_id").alias("id"), "language"), known)
 
 
 _COMMENTS = r"len(list_filter(l, lambda x: regexp_matches(x, '^\s*(?:#|//|/\*|\*|--)')))"
