@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import shingles
-from ..operators import dedup, repetition
+from ..operators import dedup, phrases, repetition, suffixes, vectors
 from ..sources import tables
 from ..sources.shared import fresh_dir, stored
 from ..streaming import online
@@ -287,6 +287,24 @@ def repetition_removal(t):
     return repetition.remove_repetition(t("documents").select("doc_id", "text"))
 
 
+_BYTES = """h AS (SELECT doc_id, hex(encode(text)) AS x FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, q, md5_number(x[2 * q + 1:2 * q + 200]) AS g FROM h, unnest(range(0, length(x) // 2 - 99)) t(q)),
+c AS (SELECT g, min(struct_pack(d := doc_id, q := q)) AS f FROM p GROUP BY g HAVING count(*) > 1), hit AS (SELECT doc_id, q FROM p JOIN c USING (g) WHERE struct_pack(d := doc_id, q := q) <> f),
+s AS (SELECT doc_id, q, CASE WHEN q > lag(q) OVER w + 100 THEN 1 ELSE 0 END AS new FROM hit WINDOW w AS (PARTITION BY doc_id ORDER BY q)), r AS (SELECT doc_id, q, sum(new) OVER (PARTITION BY doc_id ORDER BY q) AS run FROM s)"""
+
+
+@query(f"WITH {_BYTES} SELECT doc_id AS id, min(q)::BIGINT AS first, (max(q) + 100)::BIGINT AS last FROM r GROUP BY doc_id, run")
+def byte_repetition(t):
+    """Ranges of at least 100 bytes that occur elsewhere, but for first occurrences."""
+    return suffixes.repeated_bytes(t("documents"), length=100)
+
+
+@query("""WITH h AS (SELECT item_id, hex(encode(text)) AS x FROM benchmark WHERE text IS NOT NULL), s AS (SELECT item_id AS id, p AS pos, x[2 * p + 1:] AS v FROM h, unnest(range(0, length(x) // 2)) t(p)),
+o AS (SELECT *, row_number() OVER w - 1 AS place, lag(v) OVER w AS b FROM s WINDOW w AS (ORDER BY v, id, pos))
+SELECT place, id, pos, coalesce((SELECT max(k) FROM unnest(range(0, least(length(v), length(b)) // 2 + 1)) t(k) WHERE v[:2 * k] = b[:2 * k]), 0)::BIGINT AS lcp FROM o""")
+def suffix_array(t):
+    return suffixes.suffix_array(t("benchmark"), id_column="item_id")
+
+
 @query(f"WITH hit AS (SELECT id, pos FROM {_grams('benchmark', 'item_id', 8)} WHERE gram IN (SELECT gram FROM {_grams('documents', 'doc_id', 8)})) " + _RUNS.format(n=8, low=-9))
 def cross_corpus_repetition(t):
     got = repetition.shared_ranges(t("benchmark"), t("documents"), id_a="item_id", n=8)
@@ -309,6 +327,55 @@ def similarity(t):
     return got.withColumn("rank", F.col("rank").cast("long"))
 
 
+_TERMS = r"list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^\p{L}\p{N}]+', ' ', 'g')), ' +'), lambda w: w <> '')"
+
+
+@query(f"""WITH a AS (SELECT item_id AS query_id, {_TERMS} AS w FROM benchmark), ph AS (SELECT DISTINCT query_id, array_to_string(w[i:i + 4], ' ') AS phrase FROM a, unnest(range(1, len(w) - 3)) t(i)), sl AS (SELECT phrase, i - 1 AS i, s[i] AS term FROM (SELECT DISTINCT phrase, string_split(phrase, ' ') AS s FROM ph), unnest(range(1, 6)) t(i)),
+d AS (SELECT doc_id AS id, {_TERMS} AS w FROM documents), po AS (SELECT id, q - 1 AS p, w[q] AS term FROM d, unnest(range(1, len(w) + 1)) t(q)), rare AS (SELECT phrase, arg_min(term, (n, term)) AS term FROM sl JOIN (SELECT term, count(*) AS n FROM po GROUP BY term) USING (term) GROUP BY phrase HAVING count(*) = 5),
+near AS (SELECT DISTINCT phrase, id, p + e AS p FROM rare JOIN po USING (term), unnest(range(-6, 7)) t(e)), dm AS (SELECT n.phrase, n.id, s.i, n.p FROM near n JOIN po ON po.id = n.id AND po.p = n.p JOIN sl s ON s.phrase = n.phrase AND s.term = po.term),
+win AS (SELECT phrase, id, p - i - e AS w, term, count(DISTINCT i) AS slots, count(DISTINCT p) AS places FROM dm JOIN sl USING (phrase, i), unnest(range(0, 3)) t(e) GROUP BY ALL), hit AS (SELECT DISTINCT phrase, id FROM win GROUP BY phrase, id, w HAVING sum(slots) = 5 AND bool_and(places >= slots)),
+sc AS (SELECT query_id, id, count(*) / any_value(n)::DOUBLE AS score FROM ph JOIN hit USING (phrase) JOIN (SELECT query_id, count(*) AS n FROM ph GROUP BY query_id) USING (query_id) GROUP BY query_id, id)
+SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 3""")
+def similarity_slop(t):
+    """Documents in which most phrases of a benchmark item stand, words up to two places off."""
+    items = t("benchmark").withColumnRenamed("item_id", "doc_id")
+    return phrases.similarity(items, t("documents"), n=5, slop=2).drop("phrase", "highlight")
+
+
+def _vectors(t):
+    return vectors.unit_vectors(t("embeddings"), "embedding", "vec_id")
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS neighbor_id, round(list_cosine_similarity(q.e, v.e), 9) AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, neighbor_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id)::INTEGER AS rank FROM s QUALIFY rank <= 4""")
+def vector_search_exact(t):
+    own = _vectors(t)
+    return vectors.exact(own.where("id % 100 = 0"), own, 4)
+
+
+def _vector_store(t):
+    own = stored(_vectors(t), "vectors")
+    store = vectors.VectorStore(own.sparkSession, fresh_dir(own.sparkSession, "vector-store")).create(own, 32)
+    store.add(own, "all")
+    return own, store
+
+
+@query()
+def vector_search(t):
+    """The same from three quarters of the inverted lists, which vectors without clusters need; `found`: whether the exact search gives this neighbour, too."""
+    own, store = _vector_store(t)
+    asked = own.where("id % 100 = 0")
+    sure = vectors.exact(asked, own, 4).select("query_id", "neighbor_id", F.lit(True).alias("found"))
+    return store.search(asked, 4, 24).join(sure, ["query_id", "neighbor_id"], "left").fillna(False, "found")
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT DISTINCT q.vec_id AS query_id FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0 AND round(list_cosine_similarity(q.e, v.e), 9) >= 0.4""")
+def known_vectors(t):
+    """Vectors that the rest has something near to, by all lists."""
+    own = _vectors(t)
+    return vectors.known_vectors(vectors.exact(own.where("id % 100 = 0"), own, 1), least=0.4)
+
+
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
 def latency_percentiles(t):
     return repetition.latency_percentiles(t("events"), "value", "event_type")
