@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import filters, structure, urls
-from ..sources import archives, shared, tables, warc
+from ..sources import archives, feed, shared, tables, warc
 from ..sources.shared import fresh_dir
 from .registry import query
 
@@ -36,36 +36,52 @@ def in_memory_table(t):
 
 
 def _listing(t):
-    """Five files in folders a to e, named after these."""
-    spark = t("region").sparkSession
-    path = fresh_dir(spark, "files")
-    for name in "abcde":
-        spark.createDataFrame([(name,)], "value string").coalesce(1).write.text(f"{path}/{name}")
-    return tables.files(spark, path, [".txt"]).withColumn("name", F.element_at(F.split("path", "/"), -2))
+    """A file for each source of the documents, named after it."""
+    rows = t("documents").select(F.col("doc_id").cast("string").alias("value"), "source")
+    spark, path = rows.sparkSession, fresh_dir(rows.sparkSession, "files")
+    rows.repartition("source").write.partitionBy("source").text(path)
+    return tables.files(spark, path, [".txt"]).withColumn("name", F.regexp_extract("path", "source=([^/]*)/", 1))
 
 
-@query("SELECT * FROM (VALUES ('a'), ('b'), ('c')) v(name)")
+_SOURCES = "(SELECT source AS name, row_number() OVER (ORDER BY source) - 1 AS n FROM (SELECT DISTINCT source FROM documents))"
+
+
+@query(f"SELECT name FROM {_SOURCES} WHERE n < 3")
 def capped_listing(t):
     return tables.capped(_listing(t), 3).select("name")
 
 
-@query("SELECT 40::BIGINT AS draws, true AS known")
+@query("SELECT 40::BIGINT AS draws, 0::BIGINT AS unknown, true AS spread")
 def sampled_listing(t):
-    """Draws with replacement are of listed files only."""
-    return tables.sampled(_listing(t), 40).agg(F.count("*").alias("draws"), F.every(F.col("name").isin(*"abcde")).alias("known"))
+    """Draws with replacement are of listed files only, and not all of one."""
+    known = t("documents").select(F.col("source").alias("name"), F.lit(1).alias("known")).distinct()
+    drawn = tables.sampled(_listing(t), 40).join(known, "name", "left")
+    return drawn.agg(F.count("*").alias("draws"), F.count_if(F.col("known").isNull()).alias("unknown"), (F.count_distinct("name") > 1).alias("spread"))
 
 
-@query("SELECT * FROM (VALUES ('b'), ('d'), ('e')) v(name)")
+@query(f"SELECT name FROM {_SOURCES} WHERE n % 3 <> 0")
 def resumed_listing(t):
+    """Without the files whose results are there: those of every third source."""
     files = _listing(t)
-    return tables.unprocessed(files, files.where("name in ('a', 'c')")).select("name")
+    done = tables.batches(files, 1).where("batch % 3 = 0")
+    return tables.unprocessed(files, done).select("name")
 
 
-@query("SELECT name, batch::BIGINT AS batch FROM (VALUES ('a', 0), ('b', 0), ('c', 1), ('d', 1), ('e', 2)) v(name, batch)")
+@query(f"SELECT name, (n // 2)::BIGINT AS batch FROM {_SOURCES}")
 def batched_listing(t):
     return tables.batches(_listing(t), 2).select("name", "batch")
 
 
+@query("SELECT doc_id, lang, length(text)::INTEGER AS n FROM documents")
+def fed_documents(t):
+    """Documents in files, read as a stream of three files a batch, each batch written where a repeated one would replace it."""
+    rows = t("documents").select("doc_id", "lang", "text")
+    spark, path = rows.sparkSession, fresh_dir(rows.sparkSession, "feed")
+    rows.repartition(8).write.parquet(f"{path}/in")
+    feed.run(spark, f"{path}/in", f"{path}/checkpoint", lambda df, i: df.write.mode("overwrite").parquet(f"{path}/out/batch={i}"), max_files=3, ending=".parquet")
+    return spark.read.parquet(f"{path}/out").select("doc_id", "lang", F.length("text").alias("n"))
+
+
 @query("SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) * 4 // (SELECT count(*) FROM documents))::BIGINT AS part FROM documents")
 def split_table(t):
     """Four parts of consecutive rows, as equal as can be."""
@@ -103,8 +119,7 @@ def token_stream(t):
     """Byte tokens to Arrow files and back."""
     tokens = structure.tokenize(t("documents"), structure.bytes_tokenizer)
     spark, path = tokens.sparkSession, fresh_dir(tokens.sparkSession, "tokens")
-    archives.write_token_stream(tokens, path).collect()  # a row a file
-    archives.register(spark)
+    archives.write_token_stream(tokens, path)
     return spark.read.format("token_stream").load(path).agg(F.count("*").alias("docs"), F.sum(F.size("tokens")).alias("tokens"))
 
 
@@ -118,12 +133,12 @@ def warc_records(t):
     return spark.read.format("warc").load(path).select("url", "type", "content")
 
 
-@query("SELECT domain, true AS listed FROM (VALUES ('a.org'), ('b.net')) v(domain)")
+@query(r"SELECT DISTINCT lower(regexp_extract(url, '^[^:/]+://([^/?#]*)', 1)) AS domain, true AS listed FROM pages WHERE regexp_extract(url, '^[^:/]+://([^/?#]*)', 1) <> ''")
 def blocklist_file(t):
-    """A list of domains read from a text file with comments and blanks."""
-    spark = t("region").sparkSession
-    path = fresh_dir(spark, "blocklist")
-    spark.createDataFrame([("# comment",), ("A.org ",), ("",), ("b.net",), ("a.org",)], "value string").coalesce(1).write.text(path)
+    """The hosts of all pages as a list of domains in a text file with comments, blanks and repeats."""
+    hosts = t("pages").select(F.regexp_extract("url", r"^[^:/]+://([^/?#]*)", 1).alias("h")).where("h <> ''")
+    spark, path = hosts.sparkSession, fresh_dir(hosts.sparkSession, "blocklist")
+    hosts.select(F.explode(F.array(F.lit("# comment"), F.concat(F.upper("h"), F.lit(" ")), F.lit(""), F.col("h"))).alias("value")).write.text(path)
     return urls.load_blocklist(spark, path).select("domain", F.lit(True).alias("listed"))
 
 
@@ -140,14 +155,15 @@ def task_resources(t):
     return got.agg(F.sum("rows").cast("long").alias("rows"), F.every((F.col("cpu_seconds") > 0) & (F.col("memory_mb") > 1)).alias("measured"))
 
 
-@query("SELECT 2 AS before, 1 AS after")
+@query("SELECT 2 AS before, 1 AS after, count(*) AS rows FROM documents")
 def cleaned_folder(t):
-    """Of two intermediate results one is cleaned away by its name."""
-    spark = t("region").sparkSession
+    """Of two intermediate results one is cleaned away by its name, the other one stays whole."""
+    rows = t("documents").select("doc_id")
+    spark = rows.sparkSession
     paths = [fresh_dir(spark, name) for name in ("clean-me", "keep-me")]
     for p in paths:
-        t("region").write.parquet(p)
+        rows.write.parquet(p)
     exists = lambda p: shared.place(p)[0].get_file_info(shared.place(p)[1]).type.name != "NotFound"
     before = sum(map(exists, paths))
     shared.cleaned(spark, ("clean-me",), older_than=0)
-    return spark.createDataFrame([(before, sum(map(exists, paths)))], "before int, after int")
+    return spark.read.parquet(paths[1]).agg(F.lit(before).alias("before"), F.lit(sum(map(exists, paths))).alias("after"), F.count("*").alias("rows"))

@@ -7,12 +7,13 @@ import io
 import posixpath
 import uuid
 import zipfile
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from .shared import place
 
@@ -101,6 +102,9 @@ class TokenStream(DataSource):
     def reader(self, schema):
         return _TokenReader(self.options["path"])
 
+    def writer(self, schema, overwrite):
+        return _TokenWriter(self.options["path"], schema.fieldNames().index("tokens"))
+
 
 class _TokenReader(DataSourceReader):
     def __init__(self, path: str):
@@ -121,25 +125,59 @@ class _TokenReader(DataSourceReader):
                 yield partition.path, i, r.get_batch(i).column("tokens").to_pylist()
 
 
-def write_token_stream(tokens: DataFrame, path: str, id_column: str = "doc_id") -> DataFrame:
-    """Write one Arrow IPC file per task; gives file, docs and tokens of each, and is what makes the files count."""
+@dataclass
+class _Written(WriterCommitMessage):
+    file: str
+    docs: int
+    tokens: int
 
-    def run(batches):
-        where, root = place(path)
+
+class _TokenWriter(DataSourceArrowWriter):
+    """A file a task, under a name that readers pass over; commit() gives the files of the tasks that count their names, and abort()
+    deletes what a failed job has left."""
+
+    def __init__(self, path: str, at: int):
+        self.path, self.at, self.job = path, at, uuid.uuid4().hex
+
+    def write(self, iterator):
+        where, root = place(self.path)
         where.create_dir(root, recursive=True)
-        name = f"{root}/{uuid.uuid4().hex}.arrow"
+        name = f"{root}/{self.job}-{uuid.uuid4().hex}.arrow"
         schema = pa.schema([("tokens", pa.uint32())])
         docs = total = 0
-        with where.open_output_stream(name + ".part") as f:
-            with pa.ipc.new_file(f, schema) as w:
-                for b in batches:
-                    for row in b.column(1).to_pylist():
-                        w.write_batch(pa.record_batch([pa.array(row, pa.uint32())], schema))
-                        docs, total = docs + 1, total + len(row)
-        where.move(name + ".part", name)
-        yield pa.RecordBatch.from_pydict({"file": [name], "docs": [docs], "tokens": [total]})
+        with where.open_output_stream(name + ".part") as f, pa.ipc.new_file(f, schema) as w:
+            for b in iterator:
+                for row in b.column(self.at).to_pylist():
+                    w.write_batch(pa.record_batch([pa.array(row or [], pa.uint32())], schema))
+                    docs, total = docs + 1, total + len(row or [])
+        return _Written(name, docs, total)
+
+    def _left(self):
+        from pyarrow import fs
 
-    return tokens.select(id_column, "tokens").mapInArrow(run, "file string, docs long, tokens long")
+        where, root = place(self.path)
+        return [i.path for i in where.get_file_info(fs.FileSelector(root, allow_not_found=True)) if i.base_name.startswith(self.job) and i.base_name.endswith(".part")]
+
+    def commit(self, messages):
+        where, root = place(self.path)
+        kept = [m for m in messages if m is not None]
+        for m in kept:
+            where.move(m.file + ".part", m.file)
+        for path in self._left():  # of attempts that were repeated
+            where.delete_file(path)
+        with where.open_output_stream(f"{root}/{self.job}.csv") as f:
+            f.write("".join(f"{m.file},{m.docs},{m.tokens}\n" for m in kept).encode())
+
+    def abort(self, messages):
+        for path in self._left():
+            place(self.path)[0].delete_file(path)
+
+
+def write_token_stream(tokens: DataFrame, path: str, id_column: str = "doc_id") -> None:
+    """Write one Arrow IPC file per task, a batch a document; no file is seen before all tasks are done. `path`/<job>.csv then lists
+    file, docs and tokens."""
+    register(tokens.sparkSession)
+    tokens.select(id_column, "tokens").write.format("token_stream").option("path", path).mode("append").save()
 
 
 def register(spark: SparkSession) -> None:

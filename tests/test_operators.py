@@ -188,7 +188,7 @@ def test_archives_and_token_stream(spark, tmp_path):
     archives.register(spark)
     tokens = spark.createDataFrame([(1, [5, 6]), (2, [7])], "doc_id long, tokens array<long>")
     out = str(tmp_path / "tok")
-    assert archives.write_token_stream(tokens, out).agg(F.sum("tokens")).first()[0] == 3
+    archives.write_token_stream(tokens, out)
     assert sorted(r["tokens"] for r in spark.read.format("token_stream").option("path", out).load().collect()) == [[5, 6], [7]]
 
 
