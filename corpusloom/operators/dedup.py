@@ -10,12 +10,14 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col, normal_key, shingles
+from ..sources.shared import stored
 
 PERMUTATIONS, BANDS, ROWS, THRESHOLD = 112, 14, 8, 0.7
 #: Bands and rows of the search: a document as near as THRESHOLD is met with probability 0.9995 (14 bands of 8 meet 0.56).
@@ -131,16 +133,71 @@ def classes(sigs: DataFrame) -> DataFrame:
     return sigs.groupBy("minhashes").agg(F.min("id").alias("id"), F.min("document_length").alias("document_length"))
 
 
-def greedy_pivots(banded: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+#: Documents of a bucket that one task goes through; more are taken in blocks of so many.
+BLOCK = 20_000
+
+
+def greedy_pivots(banded: DataFrame, threshold: float = THRESHOLD, block: int | None = None) -> DataFrame:
     """first_doc, removed, similarity: in each bucket, by id, a document goes to the first pivot it is similar to, else is one.
 
-    Buckets are streamed in sorted partitions; only their pivots are held."""
+    Buckets of up to `block` documents are streamed in sorted partitions. Larger ones are cut into blocks by id, which follow
+    each other: a block's documents are compared with the pivots of each earlier block in a task of its own, and what is near
+    none of them is streamed as a small bucket is. So a task never holds more than two blocks, whatever a bucket's size."""
+    block = block or BLOCK
+    own, key = banded.select("band", "band_hash", "id", "minhashes"), ["band", "band_hash"]
+    large = stored(own.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > block).select(*key, "n"), "large-buckets")
+    if large.isEmpty():
+        return _streamed_pivots(own, threshold)
+    out = _streamed_pivots(own.join(large.select(*key), key, "left_anti"), threshold)
+    from .filters import sequential_id
+
+    numbered = stored(sequential_id(own.join(large.select(*key), key, "left_semi"), [*key, "id"], "at"), "large-buckets")
+    first = numbered.groupBy(*key).agg(F.min("at").alias("first"))
+    rows = stored(numbered.join(first, key).select(*key, "id", "minhashes", F.floor((F.col("at") - F.col("first")) / block).cast("int").alias("block")), "large-buckets")
+    pivots: DataFrame | None = None
+    for k in range(rows.agg(F.max("block")).first()[0] + 1):
+        part = rows.where(F.col("block") == k)
+        if pivots is not None:
+            found = stored(_nearest_pivots(part, pivots, k, threshold), "pivots")
+            out = out.union(found.select("first_doc", "removed", "similarity"))
+            part = part.join(found.select(*key, F.col("removed").alias("id")), [*key, "id"], "left_anti")
+        part = stored(part, "pivots")
+        near = stored(_streamed_pivots(part.drop("block"), threshold, with_key=True), "pivots")
+        out = out.union(near.select("first_doc", "removed", "similarity"))
+        fresh = part.join(near.select(*key, F.col("removed").alias("id")), [*key, "id"], "left_anti")
+        pivots = stored(fresh if pivots is None else pivots.union(fresh), "pivots")
+    return out
+
+
+def _nearest_pivots(part: DataFrame, pivots: DataFrame, blocks: int, threshold: float) -> DataFrame:
+    """band, band_hash, removed, first_doc, similarity: of the documents that are similar to pivots of earlier blocks the first one."""
+    key = ["band", "band_hash", "block"]
+    asked = part.select("band", "band_hash", "id", "minhashes", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+
+    def run(_, docs, held):
+        docs, held = docs.sort_values("id"), held.sort_values("id")
+        rows = []
+        if len(docs) and len(held):
+            ids, matrix = held["id"].to_numpy(), np.stack(held["minhashes"].to_list())
+            for doc, m in zip(docs["id"], docs["minhashes"], strict=True):
+                j = (matrix == np.asarray(m)).mean(1)
+                hit = np.flatnonzero(j >= threshold)
+                if len(hit):
+                    rows.append((docs["band"].iloc[0], docs["band_hash"].iloc[0], doc, ids[hit[0]], float(j[hit[0]])))
+        return pd.DataFrame(rows, columns=["band", "band_hash", "removed", "first_doc", "similarity"])
+
+    met = asked.groupBy(*key).cogroup(pivots.select(*key, "id", "minhashes").groupBy(*key)).applyInPandas(run, "band int, band_hash long, removed long, first_doc long, similarity double")
+    return met.groupBy("band", "band_hash", "removed").agg(F.min(F.struct("first_doc", "similarity")).alias("m")).select("band", "band_hash", "removed", "m.first_doc", "m.similarity")
+
+
+def _streamed_pivots(banded: DataFrame, threshold: float, with_key: bool = False) -> DataFrame:
+    """Buckets in sorted partitions, of which only the pivots are held."""
     parts = banded.select("band", "band_hash", "id", "minhashes").repartition("band", "band_hash").sortWithinPartitions("band", "band_hash", "id")
 
     def run(batches):
         bucket, ids, pivots = None, [], None
         for b in batches:
-            out = ([], [], [])
+            out = ([], [], [], [], [])
             sigs = b.column(3)
             flat = sigs.flatten().to_numpy(zero_copy_only=False)
             if not b.num_rows:
@@ -157,14 +214,18 @@ def greedy_pivots(banded: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                         out[0].append(ids[hit[0]])
                         out[1].append(doc)
                         out[2].append(float(j[hit[0]]))
+                        out[3].append(key[0])
+                        out[4].append(key[1])
                         continue
                 if len(ids) == len(pivots):
                     pivots = np.concatenate([pivots, np.zeros_like(pivots)])
                 pivots[len(ids)] = matrix[i]
                 ids.append(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["first_doc", "removed", "similarity"])
+            columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["first_doc", "removed", "similarity", "band", "band_hash"])
 
-    return parts.mapInArrow(run, "first_doc long, removed long, similarity double")
+    found = parts.mapInArrow(run, "first_doc long, removed long, similarity double, band int, band_hash long")
+    return found if with_key else found.drop("band", "band_hash")
 
 
 def fuzzy_pairs(sigs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:

@@ -96,28 +96,33 @@ def doc_quality(df: DataFrame, text: str = "text", lang: str = "en", bad_words:
     return japanese(out, text) if lang == "ja" else out
 
 
-def normalise(text: str | Column, accents: bool = True, digits: bool = True) -> Column:
-    """Strip, compose, lower-case, drop accents, digits to 0, typographic marks to plain ones, no control characters."""
+def normalise(text: str | Column, language: str | Column = "en", accents: bool = True, lower: bool = True, digits: bool = True, punctuation: int = 1) -> Column:
+    """Strip, take the language's normal form (ja: NFKC, en: NFD, others: as it is), lower-case, drop marks without a width, digits to 0,
+    typographic marks to plain ones (punctuation 1) or none (2; 0: stay), no control characters, line ends included.
+
+    `language`: a column, or the language of all texts. Null texts stay null, a null language is none of the two."""
 
     @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        def one(t):
+    def run(s: pd.Series, languages: pd.Series) -> pd.Series:
+        def one(t, lang):
             if t is None:
                 return None
-            t = unicodedata.normalize("NFKC", t.strip()).lower()
-            if accents:
-                t = "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
+            t = t.strip()
+            t = unicodedata.normalize("NFKC", t) if lang == "ja" else unicodedata.normalize("NFD", t) if lang == "en" else t
+            t = t.lower() if lower else t
+            t = "".join(c for c in t if unicodedata.category(c) != "Mn") if accents else t
             t = re.sub(r"\d", "0", t) if digits else t
-            t = t.translate(_PLAIN)
-            return "".join(c for c in t if c in "\n\t" or unicodedata.category(c) != "Cc")
+            t = t.translate(PLAIN if punctuation == 1 else dict.fromkeys(PLAIN)) if punctuation else t
+            return _CONTROLS.sub("", t)
 
-        return s.map(one)
+        return pd.Series([one(t, lang) for t, lang in zip(s, languages, strict=True)], dtype=object)
 
-    return run(col(text))
+    return run(col(text), F.lit(language) if isinstance(language, str) else language)
 
 
+_CONTROLS = re.compile("[\x00-\x1f\x7f-\x9f]")
 #: Typographic punctuation and its plain form.
-_PLAIN = str.maketrans({
+PLAIN = str.maketrans({
     "，": ",", "。": ".", "、": ",", "„": '"', "”": '"', "“": '"', "«": '"', "»": '"', "１": '"', "」": '"', "「": '"', "《": '"', "》": '"', "´": "'", "∶": ":", "：": ":", "？": "?", "！": "!",
     "（": "(", "）": ")", "；": ";", "–": "-", "—": " - ", "．": ". ", "～": "~", "’": "'", "…": "...", "━": "-", "〈": "<", "〉": ">", "【": "[", "】": "]", "％": "%", "►": "-",
 })

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..operators import quality, structure
@@ -75,9 +77,17 @@ def doc_quality(t):
     return quality.doc_quality(t("documents"), bad_words=structure.RUDE).drop("text")
 
 
-@query()
+_MARKS = {chr(k): v for k, v in quality.PLAIN.items()}
+_SINGLE = [k for k, v in _MARKS.items() if len(v) == 1]
+_QUOTED = {k: v.replace("'", "''") for k, v in _MARKS.items()}
+_SPELLED = functools.reduce(lambda sql, k: f"replace({sql}, '{k}', '{_QUOTED[k]}')", [k for k in _MARKS if k not in _SINGLE], "t")
+_SPELLED = f"translate({_SPELLED}, '{''.join(_SINGLE)}', '{''.join(_QUOTED[k] for k in _SINGLE)}')"
+
+
+@query(rf"""SELECT doc_id, regexp_replace({_SPELLED}, '[\x00-\x1F\x7F-\x9F]', '', 'g') AS plain FROM (SELECT doc_id, regexp_replace(lower(CASE WHEN lang = 'en' THEN strip_accents(x) ELSE x END), '\p{{Nd}}', '0', 'g') AS t
+FROM (SELECT doc_id, lang, regexp_replace(text, '^[\s\v\x1C-\x1F\x85\xA0]+|[\s\v\x1C-\x1F\x85\xA0]+$', '', 'g') AS x FROM documents))""")
 def normalised_text(t):
-    return t("documents").select("doc_id", quality.normalise("text").alias("plain"))
+    return t("documents").select("doc_id", quality.normalise("text", F.col("lang")).alias("plain"))
 
 
 _L, _P = r"regexp_split_to_array(text, '\n+')", r"regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\n{2,}')"

@@ -133,6 +133,16 @@ def warc_records(t):
     return spark.read.format("warc").load(path).select("url", "type", "content")
 
 
+@query("SELECT 'http://x/' || doc_id AS url, lang AS language, text AS content FROM documents WHERE lang = 'de'")
+def warc_language(t):
+    """Of all documents as records the German ones, read in ranges of 64 kB of the files."""
+    rows = t("documents").select(F.concat(F.lit("http://x/"), "doc_id").alias("url"), F.col("text").alias("content"), "lang")
+    spark, path = rows.sparkSession, fresh_dir(rows.sparkSession, "wet")
+    warc.write(rows, path, language="lang")
+    warc.register(spark)
+    return spark.read.format("warc").option("language", "de").option("rangeBytes", 1 << 16).load(path).select("url", "language", "content")
+
+
 @query(r"SELECT DISTINCT lower(regexp_extract(url, '^[^:/]+://([^/?#]*)', 1)) AS domain, true AS listed FROM pages WHERE regexp_extract(url, '^[^:/]+://([^/?#]*)', 1) <> ''")
 def blocklist_file(t):
     """The hosts of all pages as a list of domains in a text file with comments, blanks and repeats."""

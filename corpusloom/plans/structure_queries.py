@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import structure
+from ..operators import languages, recognisers, structure
 from .registry import query
 from .sql import words
 
@@ -18,13 +18,13 @@ def html_text(t):
 
 
 @query(f"""SELECT doc_id AS source_document_id, c AS chunk_id, array_to_string(w[c * 98 + 1:c * 98 + 128], ' ') AS contents, sha256(array_to_string(w[c * 98 + 1:c * 98 + 128], ' ')) AS document_id
-FROM (SELECT doc_id, {W} AS w FROM documents), range(0, 2000) r(c) WHERE len(w) > 0 AND c * 98 <= greatest(len(w) - 31, 0)""")
+FROM (SELECT doc_id, {W} AS w FROM documents), unnest(range(0, len(w) // 98 + 1)) r(c) WHERE len(w) > 0 AND c * 98 <= greatest(len(w) - 31, 0)""")
 def chunk_words(t):
     return structure.chunk_words(t("documents").select("doc_id", "text"))
 
 
 @query(r"""SELECT doc_id AS source_document_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::BIGINT AS chunk_id, p AS contents, sha256(p) AS document_id FROM (SELECT doc_id, i, trim(regexp_replace(l[i], '\s+$', '')) AS p
-FROM (SELECT doc_id, string_split('# ' || replace(text, chr(10), chr(10) || '# '), chr(10)) AS l FROM documents), range(1, 100000) r(i) WHERE i <= len(l)) WHERE p <> ''""")
+FROM (SELECT doc_id, string_split('# ' || replace(text, chr(10), chr(10) || '# '), chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) r(i) WHERE i <= len(l)) WHERE p <> ''""")
 def chunk_markdown(t):
     docs = t("documents").select("doc_id", F.concat(F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n# "))).alias("text"))
     return structure.chunk_markdown(docs)
@@ -78,6 +78,25 @@ def _lang_histogram_sql() -> str:
     return f"SELECT lang_label, count(*) AS docs FROM ({SQL['lang_id']}) GROUP BY lang_label"
 
 
+@query()
+def language_identification(t):
+    """By trigrams, learned from the languages of the documents whose number's checksum isn't a multiple of five."""
+    docs = t("documents").select("doc_id", "text", "lang")
+    table = languages.learn(docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+    return languages.identify(docs, table).select("doc_id", "lang", "lang_label", "lang_score")
+
+
+@query()
+def pii_entities(t):
+    """Recognised entities with their places and scores; overlaps are settled."""
+    return recognisers.detect(t("documents")).drop("found")
+
+
+@query()
+def pii_redaction(t):
+    return recognisers.redact(t("documents")).select("doc_id", "new_contents", F.array_join("detected_pii", ",").alias("detected_pii"))
+
+
 @query(_lang_histogram_sql())
 def lang_histogram(t):
     return structure.lang_id(t("documents")).groupBy("lang_label").agg(F.count("*").alias("docs"))
