@@ -662,6 +662,28 @@ def test_packing_whole_and_tight(spark, data):
         assert all(p[2] == 2048 for p in ps[1:]) and all(p[1] == sum(q[2] for q in ps[:k]) for k, p in enumerate(ps))
 
 
+def test_patterns_are_no_worse_than_best_fit(spark):
+    """On the given documents, once and a hundred times, where the patterns are what is used, and on other histograms."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    hist = np.zeros(2049, np.int64)
+    for r in packing.pieces(docs, "text", 2048, "byte_bpe_50k.json", False).groupBy("length").count().collect():
+        hist[r["length"]] = r["count"]
+    used = lambda found: sum(n for _, n in found)
+    for h in (hist, 100 * hist):
+        found = packing.plan(h, 2048)
+        plain = packing.best_fit(h, 2048)
+        assert used(found) <= used(plain) and found != plain  # the patterns' plan, not the other one
+    rng = np.random.default_rng(8)
+    for _ in range(6):
+        h = np.zeros(2049, np.int64)
+        np.add.at(h, np.clip(rng.gamma(rng.uniform(0.5, 3), rng.uniform(50, 700), 20_000).astype(int), 1, 2048), 1)
+        placed = np.zeros(2049, np.int64)
+        found = packing.plan(h, 2048)
+        for p, n in found:
+            np.add.at(placed, list(p), n)
+        assert (placed == h).all() and all(sum(p) <= 2048 for p, _ in found) and used(found) <= used(packing.best_fit(h, 2048))
+
+
 def test_packing_edges(spark, edge):
     rows = packing.pack(edge, size=64).collect()
     check_packed(rows, 64)
