@@ -164,6 +164,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """From now on Python workers get batches of rows of at most so many bytes, unless the session asks for less: what operators
+    make of a batch is a few times as large, and workers that several operators use keep the most that any of them took."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.conf.get(name).rstrip("b")
+    if size.isdigit() and int(size) > most:
+        spark.conf.set(name, str(most))
+
+
 class Bloom:
     """A blocked Bloom filter over 64-bit hashes: four bits of one 64-bit word a key, about 16 bits a key.
 

@@ -88,22 +88,43 @@ def ordered(s: np.ndarray, common: Bloom) -> np.ndarray:
     return np.concatenate([s[~late], s[late]]) if late.any() else s
 
 
+#: n-grams that a task counts before it sends them on.
+MOST_HELD = 2_000_000
+
+
+def _counted(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of several batches added up."""
+    if len(held) == 1:
+        return held[0]
+    u, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+    return u, np.bincount(at, weights=np.concatenate([c for _, c in held])).astype(np.int64)
+
+
 def common_grams(docs: DataFrame, n: int, percent: int, text: str, common: int, most_words: int, heavy: int, most_heavy: int) -> tuple[Bloom, np.ndarray]:
     """The filter of n-grams that over `common` prefixes (by hash alone) hold, and a sorted list of the most frequent ones.
 
     If the filter can't hold all, only those with higher counts enter. The list has those in over `heavy` prefixes, the
     most_heavy most frequent at most, so no n-gram outside of it has more than one in most_heavy of all rows."""
 
+    told = lambda own: pa.RecordBatch.from_arrays([pa.array(own[0].view(np.int64)), pa.array(own[1].astype(np.int64))], names=["gram", "n"])
+
     def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        seen: set[tuple] = set()  # copies within a task count once, however its rows come in batches
         for b in batches:
-            parts, seen = [], set()
+            parts, seen = [], seen if len(seen) < MOST_HELD else set()
             for s in _sets(b.column(0), n):
                 if len(s) and (key := signature(s)) not in seen:
                     seen.add(key)
                     parts.append(s[: prefix_length(len(s), percent)])
             if parts:
-                u, c = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["gram", "n"])
+                held.append(np.unique(np.concatenate(parts), return_counts=True))
+            if sum(len(u) for u, _ in held) > MOST_HELD:
+                held = [_counted(held)]
+                if len(held[0][0]) > MOST_HELD // 2:
+                    yield told(held.pop())
+        if held:
+            yield told(_counted(held))
 
     counted = docs.select(text).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > common)
     counted = stored(counted, "common-grams")
