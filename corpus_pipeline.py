@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import contamination, jaccard, packing, pseudonyms, quality
-from corpusloom.llm.common import small_enough, stored, table
+from corpusloom.llm.common import small_batches, small_enough, stored, table
 
 #: Ids that may be broadcast, 8 bytes each; more are joined by shuffling.
 MOST_IDS = 2_000_000
@@ -17,6 +17,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Null and empty texts are scored as texts without words; repeated rows are scored alike and all stay or go; rows with a
     null id are scored, too; without labels of both kinds all stay; an empty table stays empty."""
+    small_batches(spark)
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model, into="__score", keep_from=model.at).drop("__score")
 
@@ -26,6 +27,7 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Texts without words are nobody's copies and stay; so do rows without an id. Of rows that repeat an id the least one stays, by
     the order of all columns. An empty table stays empty."""
+    small_batches(spark)
     found = stored(jaccard.join(docs, n=5, percent=80), "near-copies").where(F.col("doc_id").isNotNull())
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
     again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
@@ -43,6 +45,7 @@ def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts without words are clean; repeated rows all stay or go; items without words match nothing; without items or
     documents nothing goes."""
+    small_batches(spark)
     items = contamination.automaton(table(spark, sf_dir, "benchmark"))
     return contamination.matches(docs, items, only=("contaminated",)).where(~F.col("contaminated")).drop("contaminated").select(docs.columns)
 
@@ -58,6 +61,7 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The pieces of all documents with their places in sequences of at most 2048 tokens.
 
     Null and empty texts are the one closing id; repeated rows are packed each; an empty table gives no sequences."""
+    small_batches(spark)
     return packing.pack(docs)
 
 
