@@ -118,6 +118,11 @@ def band_hashes(sigs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFr
     return sigs.select("*", F.posexplode(hashes).alias("band", "band_hash"))
 
 
+def segments(banded: DataFrame, n: int) -> DataFrame:
+    """Adds the number of the segment, of n equal ranges of band hashes, that a row falls in: buckets are whole in their segment."""
+    return banded.withColumn("segment", F.floor(F.col("band_hash").cast("decimal(38,0)") * n / F.lit(1 << 60)).cast("int"))
+
+
 def buckets(banded: DataFrame) -> DataFrame:
     """band, band_hash, docs, first_doc of the buckets that hold at least two documents."""
     return banded.groupBy("band", "band_hash").agg(F.count("*").alias("docs"), F.min("id").alias("first_doc")).where("docs > 1")

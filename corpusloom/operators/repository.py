@@ -25,13 +25,16 @@ FAMILY = {
     "py": "python", "js": "js", "jsx": "js", "mjs": "js", "cjs": "js", "ts": "ts", "tsx": "ts", "java": "jvm", "kt": "jvm", "groovy": "jvm",
     "c": "c", "h": "c", "cpp": "c", "cc": "c", "hpp": "c", "m": "c", "rb": "ruby", "go": "go",
 }
+#: Characters; file systems have no longer paths.
+LONGEST_PATH = 4096
 #: Endings that are tried on a module's name, by family.
 ENDINGS = {"js": ("js", "jsx", "mjs", "cjs", "ts", "tsx"), "ts": ("ts", "tsx", "d.ts", "js", "jsx")}
 #: Statements: the pattern, and the group that names what is imported; Python's second group lists names of the module.
 _FROM = r"(?m)(?:^|;)[ \t]*from[ \t]+(\.*[ \t]*[\w.]*)[ \t]+import[ \t]+(\([^)]*\)|[^\n#;]+)"
 _IMPORT = r"(?m)(?:^|;)[ \t]*import[ \t]+([^\n#;]+)"
-_SCRIPT = r"""(?:\bimport\s++(?:[\w*{}\s,$]+\bfrom\s+)?|\bexport\s++[\w*{}\s,$]+\bfrom\s+|\b(?:require|import)\s*\(\s*)['"]([^'"\n]+)['"]"""
-_JVM = r"(?m)^[ \t]*import[ \t]+((?:static[ \t]+)?\w+(?:\.\w+)*(?:\.\*)?)"
+_SCRIPT = r"""(?:\bimport\s++(?:type\s++)?(?:[\w$]++\s*+,?\s*+)?(?:\{[^{}'"]*+\}\s*+|\*\s*+as\s++[\w$]++\s*+)?(?:from\s*+)?|\bexport\s++(?:type\s++)?(?:\*(?:\s*+as\s++[\w$]++)?|\{[^{}'"]*+\})\s*+from\s*+|\b(?:require|import)\s*+\(\s*+)['"]([^'"\n]+)['"]"""
+#: Classes of characters are repeated, not groups: a name of any length needs no stack.
+_JVM = r"(?m)^[ \t]*import[ \t]+((?:static[ \t]+)?\w[\w.]*\*?)"
 _C = r'(?m)^[ \t]*#[ \t]*(?:include|import)[ \t]*(["<][^">\n]+)[">]'
 _RUBY = r"""(?m)^[ \t]*(require(?:_relative)?[ \t(]+['"][^'"\n]+)['"]"""
 _GO = r"""(?m)^[ \t]*(?:import[ \t]+)?(?:[\w.]+[ \t]+)?"([^"\n]+)"[ \t]*(?://.*)?$"""
@@ -61,9 +64,9 @@ def family(path: Column) -> Column:
 
 
 def normal_path(path: Column) -> Column:
-    """Without `.` and empty parts, `..` taken with the part before it; null if it leaves the top."""
+    """Without `.` and empty parts, `..` taken with the part before it; null if it leaves the top, or is longer than a path can be."""
     up = lambda s, p: F.when(s.isNull() | ((p == "..") & (F.size(s) == 0)), F.lit(None).cast("array<string>")).when(p == "..", F.slice(s, F.lit(1), F.size(s) - 1)).when((p == ".") | (p == ""), s).otherwise(F.concat(s, F.array(p)))
-    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), up), "/")
+    return F.when(F.length(path) <= LONGEST_PATH, F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), up), "/"))
 
 
 def _let(value: Column, body) -> Column:
@@ -107,8 +110,9 @@ def _python(text: Column, at: Column) -> Column:
     def said(s: Column) -> Column:
         dots = F.length(F.regexp_extract(s["module"], r"^\.*", 0))
         path = F.regexp_replace(F.regexp_replace(s["module"], r"^[.\s]*", ""), r"\.", "/")
-        near = F.concat(at, F.repeat(F.lit("../"), dots - 1))
-        return F.transform(listed(s["names"]), lambda n: F.when(dots > 0, of(near, path, n)).otherwise(F.flatten(F.transform(roots, lambda r: of(r, path, n)))))
+        near = F.when(dots <= F.size(F.split(at, "/")), F.concat(at, F.repeat(F.lit("../"), dots - 1)))  # not above the top
+        named = lambda v: F.transform(listed(s["names"]), lambda n: F.when(v["dots"] > 0, of(v["near"], v["path"], n)).otherwise(F.flatten(F.transform(roots, lambda r: of(r, v["path"], n)))))
+        return _let(F.struct(dots.alias("dots"), path.alias("path"), near.alias("near")), named)  # computed once a statement
 
     plain = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_IMPORT), F.lit(1)), listed))
     module = lambda n: F.flatten(F.transform(roots, lambda r: _let(F.concat(r, F.regexp_replace(n, r"\.", "/")), lambda p: _strings(*both(p)))))

@@ -207,24 +207,24 @@ def online_dedup(t):
     return rows.groupBy("batch").agg(F.count_distinct("doc_id").alias("documents"), (F.count("kept") == F.count_distinct("doc_id")).alias("accounted"), (F.count("near") == 0).alias("apart"))
 
 
-@query("SELECT doc_id, false AS known FROM documents WHERE doc_id < 0")
+@query("SELECT doc_id, true AS known FROM documents WHERE doc_id % 100 = 0")
 def probe_known_documents(t):
-    """Documents probed against a store that holds them all: each is found again, so none is new. The store isn't changed."""
+    """Documents probed against a store that holds them all: each is found again. The store isn't changed."""
     docs = t("documents")
     spark, path = docs.sparkSession, fresh_dir(docs.sparkSession, "probed-store")
     store = online.FuzzyStore(path)
     store.add(docs, 0)
-    return store.probe(docs.where("doc_id % 100 = 0")).where("not known").select("doc_id", "known")
+    return store.probe(docs.where("doc_id % 100 = 0")).select("doc_id", "known")
 
 
-@query("SELECT doc_id, doc_id % 3 AS part, lang FROM documents")
+@query(f"SELECT band, (band_hash * 3 // 1152921504606846976)::BIGINT AS segment, count(*) AS rows, count(DISTINCT band_hash) AS buckets, min(id) AS least FROM (SELECT id, band, band_hash::HUGEINT AS band_hash FROM {_BANDS}) GROUP BY ALL")
 def segmented_bands(t):
-    """Rows dealt to numbered segments by a rule, as a partitioned table that is read back segment by segment."""
-    docs = t("documents").select("doc_id", "lang", (F.col("doc_id") % 3).alias("part"))
-    path = fresh_dir(docs.sparkSession, "segments")
-    tables.write(docs, path, partition_by=["part"])
-    spark = docs.sparkSession
-    return tables.merged([spark.read.parquet(f"{path}/part={i}").withColumn("part", F.lit(i).cast("long")) for i in range(3)]).select("doc_id", "part", "lang")
+    """Bands written as a table partitioned by band and segment, and read back segment by segment: no bucket is in two."""
+    rows = dedup.segments(dedup.band_hashes(_signed(t)).select("band", "band_hash", "id"), 3)
+    spark, path = rows.sparkSession, fresh_dir(rows.sparkSession, "segments")
+    tables.write(rows, path, partition_by=["segment", "band"])
+    back = tables.merged([spark.read.option("basePath", path).parquet(f"{path}/segment={i}") for i in range(3)])
+    return back.groupBy(F.col("band").cast("int").alias("band"), F.col("segment").cast("long").alias("segment")).agg(F.count("*").alias("rows"), F.count_distinct("band_hash").alias("buckets"), F.min("id").alias("least"))
 
 
 @query(f"SELECT doc_id, lang FROM documents WHERE {KEY} NOT IN (SELECT {KEY} FROM documents WHERE doc_id % 10 = 0) QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY doc_id) = 1")

@@ -1,6 +1,7 @@
 """Imports resolved to files, and the order of files by their dependencies, against cases by hand and brute force."""
 
 import random
+import time
 
 import pytest
 
@@ -118,3 +119,12 @@ def test_methods_are_counted(spark):
     rows = [("a.py", "def f():\n  async def g(): pass\n", 2), ("a.go", "func x() {}\nfunc (t T) y() {}\n", 2), ("A.java", "class A { int f(int x) { if (x) { return g(x); } } }", 1), ("a.js", "function f() {}\nconst g = () => 1", 2), ("a.md", "def f():", 0)]
     df = spark.createDataFrame(rows, "p string, t string, n long")
     assert df.where(repository.methods(F.col("p"), F.col("t")) != F.col("n")).count() == 0
+
+
+def test_very_long_texts(spark):
+    """Long names, lists and lines need neither a stack nor more than linear time."""
+    texts = [("a.java", "import " + "a." * 200_000 + "b;"), ("a.py", "from " + "." * 100_000 + " import " + "a, " * 100_000 + "b"), ("a.js", "import " * 20_000 + " " * 100_000 + "'x'"), ("a.go", "import (" + '"a"\n' * 50_000), ("a.rb", "require 'x'\n" * 20_000), ("a.c", '#include "' + "x/" * 100_000)]
+    df = spark.createDataFrame([("r", p, t) for p, t in texts], "repo string, path string, text string").repartition(2)
+    began = time.perf_counter()
+    assert repository.dependency_edges(df, "repo", "path").count() == 0
+    assert time.perf_counter() - began < 120
