@@ -294,3 +294,12 @@ def test_fuzzy_store_probes_without_inserting(spark, data, tmp_path):
     got = store.probe(docs)
     assert store.signatures(spark).count() == held and got.count() == docs.count()
     assert got.where("doc_id % 2 = 0 and not known").count() == 0
+
+
+@pytest.mark.parametrize("segment", [1_000_000, 1000])
+def test_bloom_holds_more_ids_than_expected(spark, monkeypatch, segment):
+    monkeypatch.setattr(filters, "SEGMENT", segment, raising=False)
+    ids = spark.range(20_000).withColumnRenamed("id", "n")
+    got = filters.bloom_member(ids, ids.where("n < 5000"), "n", expected=100, exact=False)
+    assert got.count() == 20_000 and got.where("n < 5000 AND bloom = 0").isEmpty()
+    assert got.where("n >= 5000 AND bloom = 1").count() <= 0.03 * 15_000
