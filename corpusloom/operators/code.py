@@ -28,7 +28,7 @@ def alphanumeric_share(text: str | Column) -> Column:
 
 
 def alphabetic_percent(text: str | Column) -> Column:
-    return 100 * ratio(F.regexp_count(col(text), F.lit(r"\p{L}")), F.length(col(text)))
+    return ratio(100 * F.regexp_count(col(text), F.lit(r"\p{L}")), F.length(col(text)))
 
 
 def _any_in(c: Column, needles: Sequence[str]) -> Column:
@@ -77,8 +77,10 @@ def top_words(df: DataFrame, text: str = "text", id_column: str = "doc_id") -> D
     return out.select("id", F.coalesce(100.0 * F.col("a") / F.col("n"), F.lit(0.0)).alias("top_word_percent"), F.coalesce(F.when(F.col("have") >= 2, 100.0 * F.col("ab") / F.col("n")), F.lit(0.0)).alias("top_two_words_percent"))
 
 
-#: Long base64, hexadecimal and escaped-Unicode runs.
-ENCODED = (r"[a-zA-Z0-9+/\n=]{64,}", r"(?:\b(?:0x|\\x)?[0-9a-fA-F]{2}(?:,|\b\s*)){8,}", r"(?:\\u[0-9a-fA-F]{4}){8,}")
+#: Long base64, hexadecimal and escaped-Unicode runs. Hexadecimal numbers end at ASCII words' ends, so that an accented
+#: letter next to one is none of its word. No run is given back, so runs of any length need no stack.
+_HEX = r"(?:(?:(?<![0-9A-Za-z_])(?:0x)?|(?<=[0-9A-Za-z_])\\x)[0-9a-fA-F]{2}(?:,|(?![0-9A-Za-z_])[\t\n\f\r ]*)){8,}+"
+ENCODED = (r"[a-zA-Z0-9+/\n=]{64,}", _HEX, r"(?:\\u[0-9a-fA-F]{4}){8,}")
 
 
 def encoded_data(df: DataFrame, text: str = "text") -> DataFrame:

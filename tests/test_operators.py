@@ -303,3 +303,19 @@ def test_bloom_holds_more_ids_than_expected(spark, monkeypatch, segment):
     got = filters.bloom_member(ids, ids.where("n < 5000"), "n", expected=100, exact=False)
     assert got.count() == 20_000 and got.where("n < 5000 AND bloom = 0").isEmpty()
     assert got.where("n >= 5000 AND bloom = 1").count() <= 0.03 * 15_000
+
+
+@pytest.mark.parametrize("name", ["encoded_data", "code_quality"])
+def test_encoded_data_as_its_sql(spark, tmp_path, name):
+    import duckdb
+
+    from corpusloom.plans import registry
+
+    pairs = "12 34 56 78 9a bc de f0"
+    texts = ["a" * 201 + " !" * 1499 + " ", "a" * 323 + "!" * 317, "é" + pairs, pairs + "é", "x " + pairs + "\x0b11", "0x12,0x34,0x56,0x78,0x9a,0xbc,0xde,0xf0", r"a\x12\x34\x56\x78\x9a\xbc\xde\xf0", "a" + pairs, pairs[:20] + "\xa0" + pairs, "ab " * 200_000, "x"]
+    spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.queries()[name](spark, str(tmp_path)).select("doc_id", "max_encoded_data_length", "encoded_data_percent")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT doc_id, max_encoded_data_length, encoded_data_percent FROM ({registry.oracle_sql()[name]})").fetchall()
+    assert sorted(values(got, *got.columns)) == sorted(want)
