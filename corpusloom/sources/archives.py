@@ -8,6 +8,7 @@ import posixpath
 import uuid
 import zipfile
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -23,15 +24,19 @@ LANGUAGES = {
     "cs": "C#", "go": "Go", "rs": "Rust", "rb": "Ruby", "php": "PHP", "swift": "Swift", "kt": "Kotlin", "scala": "Scala", "r": "R", "pl": "Perl", "sh": "Shell", "sql": "SQL",
     "html": "HTML", "css": "CSS", "xml": "XML", "json": "JSON", "yaml": "YAML", "yml": "YAML", "md": "Markdown", "tex": "TeX", "lua": "Lua", "hs": "Haskell", "m": "MATLAB",
 }
+#: Bytes of texts that a task holds at once, and of one archive that it writes (compressed; its last text may go beyond).
+PIECE, ARCHIVE = 4 << 20, 16 << 20
 _ROWS = "title string, document string, contents string, document_id string, ext string, hash string, size long, date_acquired string, repo_name string"
 
 
 def members(files: DataFrame, id_by_content: bool = False) -> DataFrame:
     """A row per text member of each ZIP archive (or per raw file) of a binaryFile frame; empty and undecodable ones are skipped."""
 
+    names = [c.split()[0] for c in _ROWS.split(", ")]
+
     def run(batches):
         for pdf in batches:
-            rows = []
+            rows, held = [], 0
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 name = posixpath.basename(path)
                 for title, raw in _opened(name, bytes(content)):
@@ -44,7 +49,11 @@ def members(files: DataFrame, id_by_content: bool = False) -> DataFrame:
                         ident = digest if id_by_content else str(uuid.uuid5(uuid.NAMESPACE_URL, f"{path}!{title}"))
                         ext = posixpath.splitext(title)[1].lstrip(".").lower()
                         rows.append((title, name, text, ident, ext, digest, len(raw), pd.Timestamp.now("UTC").date().isoformat(), posixpath.splitext(name)[0]))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _ROWS.split(", ")])
+                        held += len(raw)
+                    if held > PIECE:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "content").mapInPandas(run, _ROWS)
 
@@ -60,19 +69,22 @@ def _opened(name: str, content: bytes):
 
 
 def write_archives(rows: DataFrame, path: str, title: str = "title", contents: str = "contents") -> None:
-    """One ZIP archive a task of text members, under a name that only a finished task leaves."""
+    """ZIP archives of text members, of about ARCHIVE bytes, since a reader holds one whole; each gets its name when it is finished."""
 
     def run(batches):
         where, root = place(path)
         where.create_dir(root, recursive=True)
-        name = f"{root}/{uuid.uuid4().hex}.zip"
-        with where.open_output_stream(name + ".part") as f:
-            with zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
-                for b in batches:
-                    for member, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                        z.writestr(member, text or "")
-        where.move(name + ".part", name)
-        yield pa.RecordBatch.from_pydict({"file": [name]})
+        members = (x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        following = next(members, None)
+        while following is not None:
+            name = f"{root}/{uuid.uuid4().hex}.zip"
+            with where.open_output_stream(name + ".part") as f:
+                with zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+                    while following is not None and f.tell() < ARCHIVE:
+                        z.writestr(following[0], following[1] or "")
+                        following = next(members, None)
+            where.move(name + ".part", name)
+            yield pa.RecordBatch.from_pydict({"file": [name]})
 
     rows.select(title, contents).mapInArrow(run, "file string").collect()  # names of files
 
@@ -121,8 +133,21 @@ class _TokenReader(DataSourceReader):
             return
         where = place(self.path)[0]
         with where.open_input_file(partition.path) as f, pa.ipc.open_file(f) as r:
+            at, sizes, parts, held = 0, [], [], 0
+
+            def batch():
+                tokens = pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), pa.concat_arrays(parts))
+                return pa.RecordBatch.from_arrays([pa.array([partition.path] * len(sizes)), pa.array(range(at, at + len(sizes)), pa.int64()), tokens], names=["file", "doc", "tokens"])
+
             for i in range(r.num_record_batches):
-                yield partition.path, i, r.get_batch(i).column("tokens").to_pylist()
+                parts.append(r.get_batch(i).column("tokens").cast(pa.int64()))
+                sizes.append(len(parts[-1]))
+                held += parts[-1].nbytes
+                if held > PIECE:
+                    yield batch()
+                    at, sizes, parts, held = i + 1, [], [], 0
+            if sizes:
+                yield batch()
 
 
 @dataclass

@@ -319,3 +319,27 @@ def test_encoded_data_as_its_sql(spark, tmp_path, name):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = con.execute(f"SELECT doc_id, max_encoded_data_length, encoded_data_percent FROM ({registry.oracle_sql()[name]})").fetchall()
     assert sorted(values(got, *got.columns)) == sorted(want)
+
+
+def test_queries_get_batches_by_bytes(spark, data):
+    from corpusloom.plans import registry
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.unset(name)
+        registry.queries()["noop"](spark, data)
+        rows = spark.range(4000, numPartitions=1).select(F.repeat(F.lit("x"), 10_000).alias("t"))
+        most = rows.mapInPandas(lambda bs: (b.assign(n=b["t"].str.len().sum())[["n"]] for b in bs), "n long").agg(F.max("n")).first()[0]
+        assert most < 8 << 20
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_archives_of_bounded_size(spark, tmp_path, monkeypatch):
+    rows = spark.range(40, numPartitions=1).select(F.concat(F.lit("f"), "id", F.lit(".py")).alias("title"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(80_000)), lambda i: F.xxhash64(i, "id").cast("string"))).alias("contents"))
+    archives.write_archives(rows, str(tmp_path / "zips"))
+    sizes = [p.stat().st_size for p in (tmp_path / "zips").iterdir()]
+    assert len(sizes) > 1 and max(sizes) < 18 << 20
+    got = archives.code2parquet(spark, str(tmp_path / "zips")).select("title", "contents")
+    assert got.exceptAll(rows).isEmpty() and got.count() == 40
