@@ -343,3 +343,14 @@ def test_archives_of_bounded_size(spark, tmp_path, monkeypatch):
     assert len(sizes) > 1 and max(sizes) < 18 << 20
     got = archives.code2parquet(spark, str(tmp_path / "zips")).select("title", "contents")
     assert got.exceptAll(rows).isEmpty() and got.count() == 40
+
+
+def test_store_finds_all_that_it_was_given(spark, tmp_path):
+    """Chains of texts, each near its neighbours alone: what was dropped as a copy of a dropped one is found, too."""
+    rows = [(c * 10 + k, " ".join(f"w{c}x{i}" for i in range(k * 15, k * 15 + 110))) for c in range(12) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    store = online.FuzzyStore(str(tmp_path / "store"))
+    store.add(docs, 0)
+    assert store.probe(docs).where("NOT known").isEmpty()
+    kept = store.signatures(spark)
+    assert dedup.near_duplicates(kept, kept).isEmpty()
