@@ -1,22 +1,23 @@
-"""Repeated bytes by prefix doubling: places of a corpus are named by the order of what follows them, first by 16 bytes, then by
-pairs of names twice as long each time. Names are numbers of distinct pairs in a range-partitioned order, joins are on (row, place),
-so no task sorts or sees more than its share, and names are exact: no hashes of windows.
+"""Repeated bytes, and suffix arrays by prefix doubling: places of a corpus are named by the order of what follows them, first by 16
+bytes, then by pairs of names twice as long each time. Names are numbers of distinct pairs in a range-partitioned order, joins are on
+(row, place), so no task sorts or sees more than its share, and names are exact: no hashes of windows.
 
-Repeats of a given length drop all places whose name is rare as soon as it is; a whole suffix array keeps them."""
+Repeats of a given length need no order: they come from passages.repeats(), which compares windows by their md5."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col
 from ..sources.shared import stored
+from . import passages
 from .filters import sequential_id
 
-#: Bytes of the first names, and places of a text that one window goes over.
-FIRST, BLOCK = 16, 1 << 20
+#: Bytes of the first names, and places of a text that are looked for anchors at once.
+FIRST, BLOCK = 16, 1 << 18
 _TOP = np.uint64(1 << 63)
 
 
@@ -63,33 +64,6 @@ def _paired(named: DataFrame, step: int, outer: bool = False) -> DataFrame:
     return named.withColumnRenamed("name", "a").join(later, ["row", "pos"], "left" if outer else "inner").select("row", "pos", "a", F.coalesce("b", F.lit(-1)).alias("b"))
 
 
-def repeated_places(rows: DataFrame, length: int, more_than: int = 1) -> DataFrame:
-    """row, pos, name of all places whose next `length` bytes occur over `more_than` times; equal bytes have equal names."""
-    size = min(FIRST, length)
-    named, _ = _named(_places(rows, size, False), more_than)
-    while size < length:
-        step = min(size, length - size)
-        named, _ = _named(_paired(named, step), more_than)
-        size += step
-    return named
-
-
-def _islands(places: DataFrame, length: int) -> DataFrame:
-    """row, first, last (exclusive): stretches of [pos, pos + length) that overlap or touch, merged. Windows go over blocks of
-    BLOCK places, and learn the places next to their block from a row a block."""
-    cut = places.select("row", "pos", F.floor(F.col("pos") / BLOCK).alias("block"))
-    ends = cut.groupBy("row", "block").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
-    over = Window.partitionBy("row").orderBy("block")
-    near = ends.select("row", "block", F.lag("high").over(over).alias("before"), F.lead("low").over(over).alias("after"))
-    inside = Window.partitionBy("row", "block").orderBy("pos")
-    both = cut.withColumns({"p": F.lag("pos").over(inside), "q": F.lead("pos").over(inside)}).join(near, ["row", "block"])
-    far = lambda c, sign: c.isNull() | (sign * (c - F.col("pos")) > length)
-    marks = both.select("row", "pos", far(F.coalesce("p", "before"), -1).alias("opens"), far(F.coalesce("q", "after"), 1).alias("closes")).where("opens OR closes")
-    ordered = Window.partitionBy("row").orderBy("pos")
-    paired = marks.withColumn("last", F.when(F.col("closes"), F.col("pos")).otherwise(F.lead("pos").over(ordered)) + length)
-    return paired.where("opens").select("row", F.col("pos").alias("first"), "last")
-
-
 def repeated_bytes(df: DataFrame, text: str = "text", id_column: str = "doc_id", length: int = 100, more_than: int = 1, keep_first: bool = True) -> DataFrame:
     """id, first, last (exclusive, in bytes of UTF-8): all ranges made of byte strings of `length` that occur over `more_than` times in
     the corpus, overlapping ones merged; with keep_first the first occurrence of each string, by id and place, isn't counted.
@@ -106,12 +80,7 @@ def _with_ids(ranges: DataFrame, rows: DataFrame) -> DataFrame:
 def _ranges(rows: DataFrame, length: int, more_than: int, keep_first: bool) -> DataFrame:
     if length < 1:
         raise ValueError("length must be at least 1")
-    places = repeated_places(rows, length, more_than)
-    if keep_first:
-        told = places.join(rows.select("row", "id"), "row")
-        first = told.groupBy("name").agg(F.min(F.struct("id", "row", "pos")).alias("first")).select("first.row", "first.pos")
-        places = places.join(first, ["row", "pos"], "left_anti")
-    return _islands(places, length)
+    return passages.merged(passages.repeats(rows, "bytes", length, more_than, keep_first, BLOCK), "row")
 
 
 def remove_repeated_bytes(df: DataFrame, text: str = "text", id_column: str = "doc_id", length: int = 100, more_than: int = 1, keep_first: bool = True) -> DataFrame:
