@@ -354,3 +354,46 @@ def test_store_finds_all_that_it_was_given(spark, tmp_path):
     assert store.probe(docs).where("NOT known").isEmpty()
     kept = store.signatures(spark)
     assert dedup.near_duplicates(kept, kept).isEmpty()
+
+
+def test_search_shuffles_rows_and_not_pairs(spark, monkeypatch):
+    """A group of near copies, other texts and copies: results as by brute force, in blocks, too; what is kept of pairs grows with
+    the rows, and only rows that share a bucket get signatures."""
+    rng, told = np.random.default_rng(3), {}
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(w if rng.random() > 0.01 else f"x{rng.integers(1e6)}" for w in words) for _ in range(120)] + [" ".join(f"{c}y{i}" for i in range(50)) for c in range(200)]
+    texts += texts[5:15] + texts[200:203]
+    sigs = dedup.stored(dedup.signatures(spark.createDataFrame([(i - 20, x) for i, x in enumerate(texts)], "doc_id long, text string")), "signatures")
+    kept, pivots = dedup.stored, dedup.greedy_pivots
+
+    def counted(df, name):
+        out = kept(df, name)
+        told[name] = out.count()
+        return out
+
+    monkeypatch.setattr(dedup, "stored", counted)
+    m = {r["id"]: np.array(r["minhashes"]) for r in sigs.collect()}
+    apart = lambda q, i: 1 - float((m[q] == m[i]).mean())
+    for queries, index in ((sigs, sigs), (sigs.where("id % 3 = 0"), sigs.where("id % 2 = 0"))):
+        ids = [[r["id"] for r in d.select("id").collect()] for d in (queries, index)]
+        want = [(q, i, r) for q in ids[0] for r, (_, i) in enumerate(sorted((apart(q, i), i) for i in ids[1] if i != q and apart(q, i) <= 0.3 + 1e-9)[:4], 1)]
+        for options in ({}, {"block": 7}):
+            got = dedup.near_duplicates(queries, index, **options).collect()
+            assert sorted((r["query_id"], r["neighbor_id"], r["rank"]) for r in got) == sorted(want)
+    near = dedup.near_duplicates(sigs, sigs).count()
+    assert near and told["pairs"] < 120 * 119 / 2
+    seen = []
+    monkeypatch.setattr(dedup, "greedy_pivots", lambda banded, *a, **o: seen.append(banded.count()) or pivots(banded, *a, **o))
+    dedup.fuzzy_removed(sigs.where("id >= 100 AND id < 300")).count()
+    assert seen == [0]
+
+
+def test_store_of_older_bands_is_searched(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"{i}w{k}" for k in range(40))) for i in range(8)], "doc_id long, text string")
+    store = online.FuzzyStore(str(tmp_path / "store"))
+    store.add(docs.where("doc_id < 4"), 0)
+    (tmp_path / "store" / "bands").rename(tmp_path / "store" / "index")
+    again = docs.where("doc_id < 6").withColumn("doc_id", F.col("doc_id") + 100)
+    assert sorted(r["doc_id"] for r in store.probe(again).where("known").collect()) == [100, 101, 102, 103]
+    store.add(again, 1)
+    assert sorted(r["id"] for r in store.signatures(spark).collect()) == [0, 1, 2, 3, 104, 105]
