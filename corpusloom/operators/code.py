@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import col, count_of, count_where, once, ratio, split_lines
+from ..functions.text import LINE_ENDS, col, count_of, count_where, lower, once, ratio, split_lines
 
 #: Keywords and the languages they are looked for in.
 GENERATED = ("auto-generated", "autogenerated", "automatically generated")
@@ -16,19 +16,34 @@ PYTHON_KEYWORDS = ("def ", "class ", "for ", "while ")
 ASSIGNING = ("java", "python", "c", "c++", "c#", "go", "javascript", "ruby", "perl", "swift", "rust", "r", "matlab")
 
 
-def line_stats(df: DataFrame, text: str = "text", longest: int = 7) -> DataFrame:
-    df, sizes = once(df, "sizes", F.transform(split_lines(text), F.length))
+def line_stats(df: DataFrame, text: str = "text", longest: int = 7, ends: str = LINE_ENDS) -> DataFrame:
+    df, sizes = once(df, "sizes", F.transform(split_lines(text, ends), F.length))
     top = F.slice(F.reverse(F.array_sort(sizes)), 1, longest)
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
     return df.withColumns({"line_mean": ratio(total(sizes), F.size(sizes)), "line_max": F.coalesce(F.array_max(sizes), F.lit(0)).cast("long"), "avg_longest_lines": ratio(total(top), F.size(top)), "num_lines": F.size(sizes).cast("long")}).drop(sizes)
 
 
+#: Letters and numbers that came with Unicode 14 and 15, which Java's classes may lack; looked for only where they can be.
+_LETTERS = (
+    r"\x{870}-\x{887}\x{889}-\x{88E}\x{8B5}\x{8C8}-\x{8C9}\x{C5D}\x{CDD}\x{170D}\x{171F}\x{1B4C}"
+    r"\x{2C2F}\x{2C5F}\x{9FFD}-\x{9FFF}\x{A7C0}-\x{A7C1}\x{A7D0}-\x{A7D1}\x{A7D3}\x{A7D5}-\x{A7D9}\x{A7F2}-\x{A7F4}\x{10570}-\x{1057A}"
+    r"\x{1057C}-\x{1058A}\x{1058C}-\x{10592}\x{10594}-\x{10595}\x{10597}-\x{105A1}\x{105A3}-\x{105B1}\x{105B3}-\x{105B9}\x{105BB}-\x{105BC}\x{10780}-\x{10785}\x{10787}-\x{107B0}"
+    r"\x{107B2}-\x{107BA}\x{10F70}-\x{10F81}\x{11071}-\x{11072}\x{11075}\x{1123F}-\x{11240}\x{11740}-\x{11746}\x{11AB0}-\x{11ABF}\x{11F02}\x{11F04}-\x{11F10}"
+    r"\x{11F12}-\x{11F33}\x{12F90}-\x{12FF0}\x{1342F}\x{13441}-\x{13446}\x{16A70}-\x{16ABE}\x{1AFF0}-\x{1AFF3}\x{1AFF5}-\x{1AFFB}\x{1AFFD}-\x{1AFFE}\x{1B11F}-\x{1B122}"
+    r"\x{1B132}\x{1B155}\x{1DF00}-\x{1DF1E}\x{1DF25}-\x{1DF2A}\x{1E030}-\x{1E06D}\x{1E290}-\x{1E2AD}\x{1E4D0}-\x{1E4EB}\x{1E7E0}-\x{1E7E6}\x{1E7E8}-\x{1E7EB}"
+    r"\x{1E7ED}-\x{1E7EE}\x{1E7F0}-\x{1E7FE}\x{2A6DE}-\x{2A6DF}\x{2B735}-\x{2B739}\x{31350}-\x{323AF}"
+)
+_NUMBERS = r"\x{11F50}-\x{11F59}\x{16AC0}-\x{16AC9}\x{1D2C0}-\x{1D2D3}\x{1E4F0}-\x{1E4F9}"
+LETTER = rf"[\p{{L}}[\x{{870}}-\x{{323AF}}&&[{_LETTERS}]]]"
+ALPHANUMERIC = rf"[\p{{L}}\p{{N}}[\x{{870}}-\x{{323AF}}&&[{_LETTERS}{_NUMBERS}]]]"
+
+
 def alphanumeric_share(text: str | Column) -> Column:
-    return ratio(F.regexp_count(col(text), F.lit(r"[\p{L}\p{N}]")), F.length(col(text)))
+    return ratio(F.regexp_count(col(text), F.lit(ALPHANUMERIC)), F.length(col(text)))
 
 
 def alphabetic_percent(text: str | Column) -> Column:
-    return ratio(100 * F.regexp_count(col(text), F.lit(r"\p{L}")), F.length(col(text)))
+    return ratio(100 * F.regexp_count(col(text), F.lit(LETTER)), F.length(col(text)))
 
 
 def _any_in(c: Column, needles: Sequence[str]) -> Column:
@@ -38,15 +53,15 @@ def _any_in(c: Column, needles: Sequence[str]) -> Column:
     return found
 
 
-def is_generated(text: str | Column, head: int = 5) -> Column:
-    return F.exists(F.slice(split_lines(text), 1, head), lambda x: _any_in(F.lower(x), GENERATED))
+def is_generated(text: str | Column, head: int = 5, ends: str = LINE_ENDS) -> Column:
+    return F.exists(F.slice(split_lines(text, ends), 1, head), lambda x: _any_in(lower(x), GENERATED))
 
 
-def is_config_or_test(text: str | Column, head: int = 5, share: float = 0.2) -> Column:
+def is_config_or_test(text: str | Column, head: int = 5, share: float = 0.2, ends: str = LINE_ENDS) -> Column:
     """Keywords in the first lines, or more `config` or `test` than `share` of the line ends. Counts only rise, so totals decide."""
     few = F.floor(count_of(text, "\n") * share)
-    low = F.lower(col(text))
-    return F.exists(F.slice(split_lines(text), 1, head), lambda x: _any_in(F.lower(x), CONFIG_OR_TEST)) | (count_of(low, "config") > few) | (count_of(low, "test") > few)
+    low = lower(text)
+    return F.exists(F.slice(split_lines(text, ends), 1, head), lambda x: _any_in(lower(x), CONFIG_OR_TEST)) | (count_of(low, "config") > few) | (count_of(low, "test") > few)
 
 
 def has_no_keywords(text: str | Column, language: str | Column) -> Column:
@@ -89,10 +104,10 @@ def encoded_data(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumns({"max_encoded_data_length": F.coalesce(F.array_max(runs), F.lit(0)).cast("long"), "encoded_data_percent": ratio(F.aggregate(runs, F.lit(0).cast("long"), lambda a, x: a + x), F.length(col(text)))}).drop(runs)
 
 
-def code_quality(df: DataFrame, text: str = "text", language: str = "lang", tokens: Column | None = None) -> DataFrame:
-    """All per-file features; `tokens`, a token count, adds char_token_ratio."""
-    out = encoded_data(line_stats(df, text), text).withColumns({
-        "alphanum_frac": alphanumeric_share(text), "alphabetic_percent": alphabetic_percent(text), "autogenerated": is_generated(text), "config_or_test": is_config_or_test(text),
+def code_quality(df: DataFrame, text: str = "text", language: str = "lang", tokens: Column | None = None, ends: str = LINE_ENDS) -> DataFrame:
+    """All per-file features; `tokens`, a token count, adds char_token_ratio. `ends` is the pattern of line ends."""
+    out = encoded_data(line_stats(df, text, ends=ends), text).withColumns({
+        "alphanum_frac": alphanumeric_share(text), "alphabetic_percent": alphabetic_percent(text), "autogenerated": is_generated(text, ends=ends), "config_or_test": is_config_or_test(text, ends=ends),
         "has_no_keywords": has_no_keywords(text, language), "has_few_assignments": has_few_assignments(text, language), "is_xml": is_xml(text, language), "is_html": is_html(text, language),
     })
     return out if tokens is None else out.withColumn("char_token_ratio", ratio(F.length(col(text)), tokens))
