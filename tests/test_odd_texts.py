@@ -10,7 +10,7 @@ from corpusloom.plans import registry
 TEXTS = [None, "", " ", "\n", "\n\n\n\n\n\n", "\x0b", "a\x0bb", "x\r\ny\r\n", "a\x85b\u2028c\x1cd\n", "CONF\u0130G", "a\n\u212a\nUN\u0130T TESTS\n", "\u0870\u1e4f0\U0001e4f0\U00031350", "e\u0301\u200b\u00a0\u2029\ufeff", "12 a_b-c\tD"]
 
 
-@pytest.mark.parametrize("name", ["code_quality"])
+@pytest.mark.parametrize("name", ["code_quality", "tokenize_regex"])
 def test_as_sql(spark, tmp_path, name):
     rows = [(i, t, (None, "en", "de")[i % 3], "s", None if t is None else len(t)) for i, t in enumerate(TEXTS + TEXTS[::-1])]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
