@@ -3,7 +3,10 @@
 Of each window's k-grams the one of the least hash is its anchor, by a rule that looks at the window's content alone. So equal windows
 have equal anchors at equal distances, and neighbouring windows share theirs: only anchors are shuffled, some one for each `length` / 4
 places, with a digest of the stretch that their windows cover. Anchors of equal digests are one class, whose windows are all equal; only
-where an anchor's content stands in several classes are the windows of one occurrence of each class compared one by one."""
+where an anchor's content stands in several classes are the windows of one occurrence of each class compared one by one.
+
+Most anchors' content stands in one place of the corpus, where no window can repeat. So the hashes alone are counted first, and a
+bitmap of those that occur again says which anchors are shuffled; others that fall on its bits are only work for nothing."""
 
 from __future__ import annotations
 
@@ -16,13 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import rolling
+from ..functions.hashing import mix, rolling
 from ..functions.text import WS
 from ..sources.shared import stored
 from .filters import sequential_id
 
 #: Units of an anchor, at most; places of a text that are gone over at once.
 GRAM, STRETCH = {"bytes": 32, "words": 16}, 1 << 18
+#: Bits of the bitmap, as a power of two: 32 MB, which the driver collects and each worker holds.
+BITS = 28
 _SPACE = re.compile(WS + "+")
 _ANCHOR = "row long, id {}, m long, back int, last int, gram long, c1 long, c2 long"
 
@@ -92,9 +97,36 @@ def _joined(run, rows: int = 1 << 14):
     return joined
 
 
-def anchors(rows: DataFrame, kind: str, length: int, stretch: int = STRETCH) -> DataFrame:
+def _bit(gram: np.ndarray, bits: int) -> np.ndarray:
+    """A gram's bit: grams are least hashes, so mostly low ones, and are mixed once more."""
+    return mix(gram.view(np.uint64)) >> np.uint64(64 - bits)
+
+
+def again(rows: DataFrame, kind: str, length: int, stretch: int = STRETCH) -> np.ndarray:
+    """A bitmap, in words of 64 bits, of the anchors' grams that occur more than once."""
+    bits = BITS
+
+    def run(batches):
+        for b in batches:
+            number: dict[str, int] = {}
+            found = [gram for text in b.column(0).to_pylist() for *_, gram in _anchors(Units(text, kind, number), kind, length, stretch)]
+            if found:
+                gram, n = np.unique(np.concatenate(found), return_counts=True)
+                bit = _bit(gram, bits)
+                yield _batch([gram, n, (bit >> np.uint64(6)).astype(np.int32), (bit & np.uint64(63)).astype(np.int32)], [pa.int64(), pa.int64(), pa.int32(), pa.int32()], ["gram", "n", "word", "bit"])
+
+    counted = rows.select("text").mapInArrow(run, "gram long, n long, word int, bit int").groupBy("gram", "word", "bit").agg(F.sum("n").alias("n")).where("n > 1")
+    words = counted.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()  # at most a row a word
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def anchors(rows: DataFrame, kind: str, length: int, stretch: int = STRETCH, only: np.ndarray | None = None) -> DataFrame:
     """row, id, m (the anchor's place), back and last (the first window is `back` before it, the last one `last` windows after that),
-    gram (hash of the anchor), c1, c2 (md5 of all that the windows cover and of where the anchor lies in it)."""
+    gram (hash of the anchor), c1, c2 (md5 of all that the windows cover and of where the anchor lies in it); of those alone whose
+    gram has a bit in the bitmap `only`, if it is given."""
+    wanted, bits = (None, 0) if only is None else (rows.sparkSession.sparkContext.broadcast(only), len(only).bit_length() + 5)
 
     def run(batches):
         for b in batches:
@@ -102,6 +134,10 @@ def anchors(rows: DataFrame, kind: str, length: int, stretch: int = STRETCH) ->
             for row, i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 units = Units(text, kind, number)
                 for m, first, last, gram in _anchors(units, kind, length, stretch):
+                    if wanted is not None:
+                        bit = _bit(gram, bits)
+                        kept = np.flatnonzero(wanted.value[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1))
+                        m, first, last, gram = m[kept], first[kept], last[kept], gram[kept]
                     for at in range(0, len(m), 1 << 14):
                         cut = slice(at, at + (1 << 14))
                         f, e = first[cut], last[cut]
@@ -135,7 +171,7 @@ def _windows(rows: DataFrame, classes: DataFrame, kind: str, length: int) -> Dat
 def repeats(rows: DataFrame, kind: str, length: int, more_than: int = 1, keep_first: bool = True, stretch: int = STRETCH) -> DataFrame:
     """row, id, first, last (exclusive): windows of `length` units that occur over `more_than` times, neighbouring ones as one range;
     with keep_first the first occurrence of each, by id, row and place, is left out. rows: row (distinct), id, text."""
-    found = stored(anchors(rows, kind, length, stretch), "anchors")
+    found = stored(anchors(rows, kind, length, stretch, again(rows, kind, length, stretch) if more_than > 0 else None), "anchors")
     key = ["c1", "c2"]
     # a class's windows are alike, and so are the distances to its anchor: the first occurrence is that of each of its windows
     classes = found.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "m")).alias("f"), *[F.first(c).alias(c) for c in ("gram", "back", "last")])
@@ -145,9 +181,9 @@ def repeats(rows: DataFrame, kind: str, length: int, more_than: int = 1, keep_fi
     shared = stored(sequential_id(classes.join(company, "gram", "left_semi"), ["id", "row", "m", "back"], "class"), "classes")
     alone = classes.where(F.col("n") > more_than).join(company, "gram", "left_anti")
     by_class = alone.select(*key, (-F.col("back")).alias("lo"), (F.col("last") - F.col("back")).alias("hi"), F.col("row").alias("frow"), F.col("m").alias("fm"))
-    windows = stored(_windows(rows, shared, kind, length), "windows")
-    often = windows.groupBy("w", "d").agg(F.sum("n").alias("total"), F.min("class").alias("first")).where(F.col("total") > more_than).drop("total")
-    hit = windows.select("class", "d", "w").join(often, ["w", "d"]).select("class", "d", (F.col("first") == F.col("class")).alias("leads"))
+    alike = Window.partitionBy("w", "d")  # a row for each class that has the window, which may go to disk; so windows move once
+    windows = _windows(rows, shared, kind, length).withColumns({"total": F.sum("n").over(alike), "first": F.min("class").over(alike)})
+    hit = windows.where(F.col("total") > more_than).select("class", "d", (F.col("first") == F.col("class")).alias("leads"))
     over = Window.partitionBy("class", "leads").orderBy("d")  # at most `length` rows of a class
     runs = hit.withColumn("run", F.col("d") - F.row_number().over(over)).groupBy("class", "leads", "run").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
     by_window = runs.join(shared, "class").select(*key, "lo", "hi", F.when(F.col("leads"), F.col("row")).alias("frow"), F.when(F.col("leads"), F.col("m")).alias("fm"))

@@ -40,3 +40,20 @@ def test_ranges_of_words_equal_brute_force(spark, n, more_than, keep_first):
             seen.add(s)
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
     assert sorted(tuple(r) for r in repetition.repeated_ranges(df, n=n, more_than=more_than, keep_first=keep_first).collect()) == want
+
+
+def test_only_anchors_that_recur_are_shuffled(spark, monkeypatch):
+    rng = random.Random(4)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    texts = ["".join(rng.choice("ijklmnop ") for _ in range(2_999)) + chr(65 + i) + (passage if i % 3 == 0 else "") for i in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = df.selectExpr("doc_id AS row", "doc_id AS id", "text")
+    every = passages.anchors(rows, "bytes", 100)
+    kept, plain = [], passages.stored
+    monkeypatch.setattr(passages, "stored", lambda d, name: kept.append((name, d.count())) or plain(d, name))
+    found = {(r["id"], r["first"], r["last"]) for r in suffixes.repeated_bytes(df).collect()}
+    assert found == {(i, 3_000, 3_300) for i in (3, 6, 9)}
+    assert 0 < dict(kept)["anchors"] < every.count() // 10
+    # a bitmap on whose bits all fall only adds work
+    monkeypatch.setattr(passages, "BITS", 6)
+    assert {(r["id"], r["first"], r["last"]) for r in suffixes.repeated_bytes(df).collect()} == found
